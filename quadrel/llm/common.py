@@ -95,3 +95,49 @@ def by_size(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
 
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+def whole_groups(batches, keys: int):
+    """Arrow tables that end where the first ``keys`` columns change.
+
+    The batches come sorted by those columns, so only the last, unfinished group is kept
+    back; a table holds one batch and at most one group more.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None and rest.num_rows:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        changed = np.zeros(max(table.num_rows - 1, 0), bool)
+        for i in range(keys):
+            column = table.column(i).to_numpy()
+            changed |= column[1:] != column[:-1]
+        ends = np.flatnonzero(changed)
+        if not len(ends):
+            rest = table
+            continue
+        cut = int(ends[-1]) + 1
+        yield table.slice(0, cut)
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def pair_components(n: int, a, b):
+    """Least index connected to each of 0..n-1 by the index pairs (a, b); numpy only."""
+    import numpy as np
+
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        np.minimum.at(label, before, label)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
