@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quadrel.llm.bpe import encode_documents
 from quadrel.llm.common import read_table
 from quadrel.llm.embedding_dedup import link_embeddings
+from quadrel.llm.packing import pack_documents
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +45,14 @@ FROM least LEFT JOIN degree USING (vec_id)
 """
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
     "op2_embedding_dedup": OP2_SQL,
