@@ -12,6 +12,7 @@ from quadrel.llm.bpe import encode_documents
 from quadrel.llm.chat import format_digests
 from quadrel.llm.common import read_table
 from quadrel.llm.embedding_dedup import link_embeddings
+from quadrel.llm.fingerprint import compare_with_next
 from quadrel.llm.html import extract_pages
 from quadrel.llm.packing import pack_documents
 
@@ -82,12 +83,17 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_chat_format": op3_chat_format,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_html_extract": op8_html_extract,
+    "op10_edit_fingerprint": op10_edit_fingerprint,
 }
 ORACLES: dict[str, str] = {
     "op2_embedding_dedup": OP2_SQL,
