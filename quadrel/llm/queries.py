@@ -14,6 +14,7 @@ from quadrel.llm.common import read_table
 from quadrel.llm.embedding_dedup import link_embeddings
 from quadrel.llm.fingerprint import compare_with_next
 from quadrel.llm.html import extract_pages
+from quadrel.llm.jaccard import join_similar
 from quadrel.llm.packing import pack_documents
 
 
@@ -75,6 +76,29 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(read_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH RECURSIVE classes AS (SELECT COALESCE(text, '') AS text, min(doc_id) AS rep, count(*) AS copies FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
+words AS (SELECT rep, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS w FROM classes),
+grams AS (
+  SELECT DISTINCT rep, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM words
+),
+sizes AS (SELECT rep, count(*) AS n FROM grams GROUP BY rep),
+common AS (SELECT x.rep AS a, y.rep AS b, count(*) AS k FROM grams x JOIN grams y ON x.g = y.g AND x.rep <> y.rep GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.rep = a JOIN sizes q ON q.rep = b WHERE 5 * k >= 4 * (p.n + q.n - k)),
+reach(rep, other) AS (SELECT rep, rep FROM classes UNION SELECT reach.rep, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT rep, min(other) AS class_id FROM reach GROUP BY rep),
+degree AS (SELECT a AS rep, sum(copies) AS n FROM links JOIN classes ON classes.rep = b GROUP BY a)
+SELECT d.doc_id, class_id, CAST(copies - 1 + COALESCE(n, 0) AS BIGINT) AS n_links
+FROM documents d JOIN classes ON classes.text = COALESCE(d.text, '') JOIN least USING (rep) LEFT JOIN degree USING (rep)
+"""
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -91,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_chat_format": op3_chat_format,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_html_extract": op8_html_extract,
     "op10_edit_fingerprint": op10_edit_fingerprint,
@@ -98,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_embedding_dedup": OP2_SQL,
     "op3_chat_format": OP3_SQL,
+    "op5_ngram_jaccard": OP5_SQL,
 }
