@@ -62,20 +62,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Labelled documents (doc_id, text, label) outside the held-out quarter.
-
-    The quarter is crc32 of the id as text, modulo 4, equal to 2. Rows without an id or a
-    label are left out; several labels of one id must agree (the largest counts).
-    """
-    known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    return (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(known, "doc_id")
-        .where(~held_out(F.col("doc_id")))
-    )
-
-
 def held_out(doc_id):
     """Column: is this id in the held-out quarter? Null ids are not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -141,3 +127,21 @@ def pair_components(n: int, a, b):
         if (label == before).all():
             break
     return label
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list[str], list[int]]:
+    """Texts and 0/1 labels of at most ``per_class`` training rows of each class.
+
+    The rows are those of least hash of the key among the labelled documents outside the
+    held-out quarter, so the sample is bounded, repeatable and independent of partitioning;
+    its ids are few enough to broadcast. A text of a repeated key counts once (the least).
+    Labels other than 0 and 1 are ignored.
+    """
+    wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    wanted = wanted.where("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out(F.col("doc_id")))
+    present = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Twice as many ids as rows: some labelled ids may have no document here.
+    ids = [wanted.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for c in (0, 1)]
+    rows = present.join(F.broadcast(ids[0].union(ids[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    kept = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect() for c in (0, 1)]
+    return [r.text for part in kept for r in part], [r.label for part in kept for r in part]

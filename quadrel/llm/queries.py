@@ -16,6 +16,8 @@ from quadrel.llm.fingerprint import compare_with_next
 from quadrel.llm.html import extract_pages
 from quadrel.llm.jaccard import join_similar
 from quadrel.llm.packing import pack_documents
+from quadrel.llm.quality import score_quality, train_quality
+from quadrel.llm.toxicity import score_toxicity, train_toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,13 +113,25 @@ def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, read_table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_chat_format": op3_chat_format,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_html_extract": op8_html_extract,
+    "op9_toxicity": op9_toxicity,
     "op10_edit_fingerprint": op10_edit_fingerprint,
 }
 ORACLES: dict[str, str] = {
