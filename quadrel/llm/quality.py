@@ -56,9 +56,10 @@ class ByteNetwork:
         self.scale, self.shift = 1.0, 0.0
 
     def _layout(self, texts: list[str]):
-        """All bytes with a gap of zeros after each text; chunk starts; the chunks of each text."""
+        """All bytes with a gap of zeros after each text; the places where windows start, chunk
+        by chunk (starts, ends); the chunks of each text. No window or run spans the gap."""
         p = self.params
-        gap = max(p.width, max(p.lags) + 1)
+        gap = max(p.width, p.run, max(p.lags)) + 1
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
         raw = np.frombuffer((b"\0" * gap).join(data) + b"\0" * (2 * gap), np.uint8)
         sizes = np.array([len(d) for d in data])
@@ -67,21 +68,23 @@ class ByteNetwork:
         first = np.r_[0, np.cumsum(chunks)]
         owner = np.repeat(np.arange(len(texts)), chunks)
         starts = begin[owner] + (np.arange(first[-1]) - first[owner]) * p.chunk
-        return raw, starts, first
+        ends = np.maximum(np.minimum(starts + p.chunk, (begin + sizes)[owner]), starts + 1)
+        return raw, starts, ends, first
 
-    def _repeats(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def _repeats(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(chunks, lags): the largest share of a run of bytes that equal those one lag before."""
         p = self.params
         out = np.empty((len(starts), len(p.lags)), np.float32)
+        bounds = np.stack([starts, ends], axis=1).ravel()
         for n, lag in enumerate(p.lags):
             same = np.zeros(len(raw) + p.run, np.uint8)
             same[lag : len(raw)] = (raw[lag:] == raw[:-lag]) & (raw[lag:] != 0)
             total = np.cumsum(same, dtype=np.int32)
             run = (total[p.run :] - total[: -p.run])[: len(raw)]  # run[i]: places i+1 .. i+run
-            out[:, n] = np.maximum.reduceat(run, starts)
+            out[:, n] = np.maximum.reduceat(run, bounds)[::2]
         return out / np.float32(p.run)
 
-    def _filtered(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def _filtered(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(chunks, filters): the largest response to any window that starts in the chunk.
 
         An embedding times a filter is a table of 256 rows for each place of the window, so a
@@ -90,15 +93,15 @@ class ByteNetwork:
         p, w = self.params, self.weights
         tables = np.einsum("be,kef->kbf", w["emb"], w["conv"]).astype(np.float32)
         out = np.empty((len(starts), p.filters), np.float32)
-        bounds = np.r_[starts, len(raw) - p.width + 1]
         step = 128  # chunks at a time, about 130,000 positions
         for i in range(0, len(starts), step):
             j = min(i + step, len(starts))
-            a, b = bounds[i], bounds[j]
+            a, b = starts[i], ends[j - 1] + 1  # one place more, for the last end
             value = tables[0][raw[a:b]]
             for k in range(1, p.width):
                 value += tables[k][raw[a + k : b + k]]
-            out[i:j] = np.maximum.reduceat(value, starts[i:j] - a, axis=0)
+            bounds = np.stack([starts[i:j], ends[i:j]], axis=1).ravel() - a
+            out[i:j] = np.maximum.reduceat(value, bounds, axis=0)[::2]
         return out + w["bias"].astype(np.float32)
 
     def _head(self, conv: np.ndarray, repeats: np.ndarray):
@@ -109,9 +112,11 @@ class ByteNetwork:
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """Mean of each text's chunk logits. An empty text is one chunk of zeros."""
-        raw, starts, first = self._layout(texts)
-        chunk = self._head(self._filtered(raw, starts), self._repeats(raw, starts))[2]
-        return np.add.reduceat(chunk, first[:-1]) / np.diff(first) if len(texts) else np.zeros(0)
+        if not texts:
+            return np.zeros(0)
+        raw, starts, ends, first = self._layout(texts)
+        chunk = self._head(self._filtered(raw, starts, ends), self._repeats(raw, starts, ends))[2]
+        return np.add.reduceat(chunk, first[:-1]) / np.diff(first)
 
     def score(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts) + self.shift, -40, 40)))
@@ -139,12 +144,11 @@ class ByteNetwork:
             self.scale, self.shift = 0.0, 4.0 if not labels or labels[0] else -4.0
             return self
         texts, y_doc = self._with_crops(texts, y_doc)
-        raw, starts, first = self._layout(texts)
+        raw, starts, ends, first = self._layout(texts)
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
-        repeats = self._repeats(raw, starts)
+        repeats = self._repeats(raw, starts, ends)
         span = p.chunk + p.width - 1
         padded = np.r_[raw, np.zeros(span, np.uint8)]
-        ends = np.r_[starts[1:], len(raw)]
         weight = np.where(y_doc == 1, 1 / max(1, y_doc.sum()), 1 / max(1, (1 - y_doc).sum()))[owner] / np.diff(first)[owner]
         weight = weight / weight.mean()
         rng = np.random.default_rng(p.seed + 1)
@@ -155,12 +159,11 @@ class ByteNetwork:
         for _ in range(max(p.epochs, -(-p.steps // batches))):
             for rows in np.array_split(rng.permutation(len(starts)), batches):
                 x = padded[np.minimum(starts[rows][:, None] + places, len(padded) - 1)]
-                x[:, : p.chunk + p.width - 1][places[None, :] >= (ends[rows] - starts[rows] + p.width - 1)[:, None]] = 0
                 emb = w["emb"].astype(np.float32)[x]
                 seen = np.lib.stride_tricks.sliding_window_view(emb, p.width, axis=1)  # batch, place, e, width
                 kernel = w["conv"].astype(np.float32)
                 value = sum(emb[:, k : k + p.chunk] @ kernel[k] for k in range(p.width))
-                inside = np.arange(p.chunk)[None, :] < np.minimum(ends[rows] - starts[rows], p.chunk)[:, None]
+                inside = np.arange(p.chunk)[None, :] < (ends[rows] - starts[rows])[:, None]
                 value[~inside] = -1e9
                 best = value.argmax(axis=1)  # batch, filters
                 conv = np.take_along_axis(value, best[:, None, :], axis=1)[:, 0] + w["bias"]

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quadrel.llm.bpe import encode_documents
 from quadrel.llm.chat import format_digests
 from quadrel.llm.common import read_table
@@ -16,6 +17,7 @@ from quadrel.llm.fingerprint import compare_with_next
 from quadrel.llm.html import extract_pages
 from quadrel.llm.jaccard import join_similar
 from quadrel.llm.packing import pack_documents
+from quadrel.llm.pii import find_personal_data, train_field
 from quadrel.llm.quality import score_quality, train_quality
 from quadrel.llm.toxicity import score_toxicity, train_toxicity
 
@@ -78,6 +80,11 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op4_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return find_personal_data(docs, train_field(docs))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(read_table(spark, sf_dir, "documents"))
 
@@ -127,12 +134,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_pii_skip_chain": op4_pii_skip_chain,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_html_extract": op8_html_extract,
     "op9_toxicity": op9_toxicity,
     "op10_edit_fingerprint": op10_edit_fingerprint,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_embedding_dedup": OP2_SQL,

@@ -170,6 +170,8 @@ def fit_label_model(votes: np.ndarray, params: VoterParams) -> LabelModel:
     the classes), so k voters that always agree count as one.
     """
     n, m = votes.shape
+    if not n:
+        return LabelModel(np.full((m, 2, 3), 1 / 3), 0.5, np.ones(m))
     said = (votes != 0).sum(axis=1)
     q = np.clip((votes.sum(axis=1) / np.maximum(said, 1) + 1) / 2, 0.05, 0.95)
     model = LabelModel(np.full((m, 2, 3), 1 / 3), 0.5, np.ones(m))

@@ -32,7 +32,7 @@ def slow_logits(net, text):
     out = []
     for start in range(0, max(1, len(data)), p.chunk):
         end = min(start + p.chunk, len(data)) if data else 0
-        last = end if end < len(data) else len(data) + max(p.width, max(p.lags) + 1)
+        last = max(end, start + 1)
         conv = np.max([[sum(w["emb"][get(i + k)] @ w["conv"][k][:, f] for k in range(p.width)) for f in range(p.filters)] for i in range(start, last)], axis=0) + w["bias"]
         share = [max(sum(get(j) == get(j - lag) and get(j) != 0 and j >= lag for j in range(i + 1, i + p.run + 1)) / p.run for i in range(start, last)) for lag in p.lags]
         h = np.tanh(np.r_[np.maximum(conv, 0), share] @ w["w1"] + w["b1"])
@@ -43,7 +43,9 @@ def slow_logits(net, text):
 def test_network_equals_slow_network():
     net = ByteNetwork(ConvParams(chunk=32, filters=3, lags=(1, 2, 3), run=6))
     texts = ["ab ab ab ab ab ab ab ab ab ab ab cd", "é" * 40 + "x", "q", "y" * 31]
-    assert np.allclose(net.logits(texts), [slow_logits(net, t) for t in texts], atol=1e-4)
+    want = [slow_logits(net, t) for t in texts]
+    assert np.allclose(net.logits(texts), want, atol=1e-4)
+    assert np.allclose(net.logits(texts[::-1] + [""]), [*want[::-1], slow_logits(net, "")], atol=1e-4)
 
 
 def test_classifiers_take_any_rows(spark):
