@@ -4,6 +4,520 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrel.functions import dna, stats
+from quadrel.functions.index import positions_by, renumber
+from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix, combine, combine_selected
+from quadrel.operators import aggregate as agg
+from quadrel.operators import cells, index_build, records, sequences
+from quadrel.operators.validate import convention_counts, structure_counts
+from quadrel.plans import fixtures as fx
+from quadrel.sources import storage, text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "a01_aggregate_mean"
+
+SM = """
+sm AS (SELECT l_partkey AS row_ix, l_suppkey AS col_ix, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
+sup AS (SELECT s_suppkey AS col_ix, s_name AS cell, s_nationkey AS cluster, n_name AS nation, r_regionkey AS region, r_name AS rname, s_acctbal AS balance
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+"""
+LINES = "lines AS (SELECT l_partkey AS row_ix, l_suppkey AS col_ix, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)"
+GRAPH = "g AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, y.l_quantity AS w FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = 1 AND y.l_linenumber = 2)"
+RB = """
+rec AS (SELECT l_partkey * 1000000 + l_suppkey AS rec_ix, l_orderkey % 65536 AS barcode, l_linenumber AS umi, l_suppkey % 50 AS ec FROM lineitem),
+members AS (SELECT range AS ec, unnest(CASE WHEN range % 7 = 0 THEN [range, range + 1] ELSE [range] END) AS fragment FROM range(50)),
+genes AS (SELECT ec, CASE WHEN count(DISTINCT fragment // 5) = 1 THEN min(fragment // 5) ELSE -1 END AS gene FROM members GROUP BY ec),
+listed AS (SELECT DISTINCT o_orderkey % 65536 AS barcode FROM orders WHERE o_orderkey % 3 = 0)
+"""
+FIXED = RB + """,
+near AS (SELECT old, p * 4 + x AS pos, old - ((old >> (2 * (7 - p))) & 3) * (1 << (2 * (7 - p))) + x * (1 << (2 * (7 - p))) AS barcode
+         FROM (SELECT DISTINCT barcode AS old FROM rec WHERE barcode NOT IN (SELECT barcode FROM listed)) , (SELECT range AS p FROM range(8)), (SELECT range AS x FROM range(4))
+         WHERE ((old >> (2 * (7 - p))) & 3) <> x),
+repair AS (SELECT old, arg_min(barcode, pos) AS fixed FROM near WHERE barcode IN (SELECT barcode FROM listed) GROUP BY old UNION ALL SELECT barcode, barcode FROM listed),
+corrected AS (SELECT rec_ix, COALESCE(fixed, barcode) AS barcode, umi, rec.ec, gene, gene <> -1 AND fixed IS NOT NULL AS valid
+              FROM rec JOIN genes USING (ec) LEFT JOIN repair ON repair.old = rec.barcode),
+dedup AS (SELECT * REPLACE (valid AND row_number() OVER (PARTITION BY barcode, umi, gene, valid ORDER BY rec_ix) = 1 AS valid) FROM corrected)
+"""
+
+
+def register(name: str, sql: str | None = None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return keep
+
+
+# --- selection --------------------------------------------------------------------------
+
+
+@register("p01_slice", f"WITH {SM} SELECT row_ix - 10 AS row_ix, (col_ix - 1) // 2 AS col_ix, value FROM sm WHERE row_ix BETWEEN 10 AND 99 AND col_ix % 2 = 1 AND value <> 0")
+def p01(spark, sf):
+    return fx.trade(spark, sf).sparse(slice(10, 100), slice(1, None, 2))
+
+
+@register("p02_named_layer", f"WITH {LINES} SELECT * FROM lines")
+def p02(spark, sf):
+    return fx.trade(spark, sf, (MAIN, "lines")).layer("lines")
+
+
+@register("p04_attribute_predicate", f"WITH {SM} SELECT row_ix, col_ix, value FROM sm JOIN part ON p_partkey = row_ix WHERE p_brand = 'Brand#11' AND p_size > 10 OR p_size = 5")
+def p04(spark, sf):
+    m = fx.trade(spark, sf)
+    chosen = m.rows.where(((F.col("Brand") == "Brand#11") & (F.col("Size") > 10)) | (F.col("Size") == 5)).select(ROW)
+    return m.layer().join(chosen, ROW, "left_semi")
+
+
+@register("p06_attribute", "SELECT p_partkey AS row_ix, p_brand AS value FROM part")
+def p06(spark, sf):
+    return fx.trade(spark, sf).attribute(0, "Brand")
+
+
+@register("p07_stacked_attributes", "SELECT s_suppkey AS col_ix, [s_nationkey, n_regionkey] AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def p07(spark, sf):
+    return fx.trade(spark, sf).attribute(1, "Missing", "ClusterID", "RegionID")
+
+
+@register("p08_attribute_default", "SELECT s_suppkey AS col_ix, s_suppkey * 2 AS value FROM supplier")
+def p08(spark, sf):
+    m = fx.trade(spark, sf)
+    return m.attribute(1, "Nothing", default=m.cols.select(COL, (F.col(COL) * 2).alias("value")))
+
+
+VIEW = f"""WITH {SM},
+r AS (SELECT p_partkey AS row_ix, row_number() OVER (ORDER BY p_partkey) - 1 AS new_row FROM part WHERE p_size < 20),
+c AS (SELECT col_ix, row_number() OVER (ORDER BY col_ix) - 1 AS new_col, cell FROM sup WHERE rname = 'ASIA')
+"""
+
+
+@register("p10_view", VIEW + "SELECT new_row AS row_ix, new_col AS col_ix, value, cell AS CellID FROM sm JOIN r USING (row_ix) JOIN c USING (col_ix)")
+def p10(spark, sf):
+    view = fx.trade(spark, sf).view(F.col("Size") < 20, F.col("Region") == "ASIA")
+    return view.layer().join(view.cols.select(COL, "CellID"), COL)
+
+
+@register("p11_graph_slice", f"WITH {SM}, {GRAPH}, c AS (SELECT col_ix, row_number() OVER (ORDER BY col_ix) - 1 AS n FROM sup WHERE balance > 0) SELECT x.n AS a, y.n AS b, w FROM g JOIN c x ON a = x.col_ix JOIN c y ON b = y.col_ix")
+def p11(spark, sf):
+    m = fx.trade(spark, sf).set_graph(1, "next", fx.trade_graph(spark, sf))
+    return m.view(None, F.col("Balance") > 0).graph(1, "absent", "next")
+
+
+@register("p13_sparse_list", "SELECT CASE l_partkey WHEN 30 THEN 0 WHEN 10 THEN 1 ELSE 2 END AS row_ix, l_suppkey AS col_ix, sum(l_quantity) AS value FROM lineitem WHERE l_partkey IN (30, 10, 20) GROUP BY 1, 2")
+def p13(spark, sf):
+    return fx.trade(spark, sf).sparse([30, 10, 20], None)
+
+
+@register("p15_catalog", "SELECT 'rows' AS axis, count(*) AS n FROM part UNION ALL SELECT 'columns', count(*) FROM supplier")
+def p15(spark, sf):
+    m = fx.trade(spark, sf)
+    return m.rows.agg(F.count("*").alias("n")).select(F.lit("rows").alias("axis"), "n").union(m.cols.agg(F.count("*").alias("n")).select(F.lit("columns"), "n"))
+
+
+# --- aggregation ------------------------------------------------------------------------
+
+GROUPED = f"""WITH {SM}, sizes AS (SELECT cluster AS grp, count(*) AS n FROM sup GROUP BY 1),
+s AS (SELECT row_ix, cluster AS grp, count(*) AS nnz, sum(value) AS total, sum(value * value) AS squares, min(value) AS low, max(value) AS high
+      FROM sm JOIN sup USING (col_ix) WHERE value <> 0 GROUP BY 1, 2)
+"""
+
+
+@register("a01_aggregate_mean", GROUPED + "SELECT row_ix, CAST(grp AS BIGINT) AS grp, round(total / n, 6) AS mean FROM s JOIN sizes USING (grp)")
+def a01(spark, sf):
+    return agg.aggregate(fx.trade(spark, sf), "ClusterID", "mean").withColumn("mean", F.round("mean", 6))
+
+
+@register(
+    "a02_aggregate_functions",
+    GROUPED + """SELECT row_ix, CAST(grp AS BIGINT) AS grp, total AS sum, round((squares - total * total / n) / n, 4) AS var, round(sqrt((squares - total * total / n) / n), 4) AS std,
+    CASE WHEN nnz < n THEN least(low, 0) ELSE low END AS min, CASE WHEN nnz < n THEN greatest(high, 0) ELSE high END AS max, nnz AS count_nonzero, n AS len, true AS any, nnz = n AS "all", squares AS sumofsquares
+    FROM s JOIN sizes USING (grp)""",
+)
+def a02(spark, sf):
+    out = agg.aggregate(fx.trade(spark, sf), "ClusterID", ["sum", "var", "std", "min", "max", "count_nonzero", "len", "any", "all", "sumofsquares"])
+    return out.withColumn("var", F.round("var", 4)).withColumn("std", F.round("std", 4))
+
+
+DENSE_GROUPS = f"""WITH {SM}, cells AS (SELECT p_partkey AS row_ix, sup.col_ix, cluster AS grp, row_number() OVER (PARTITION BY p_partkey, cluster ORDER BY sup.col_ix) - 1 AS pos FROM part, sup WHERE p_partkey < 150),
+full_ AS (SELECT row_ix, grp, pos, COALESCE(value, 0) AS value FROM cells LEFT JOIN sm USING (row_ix, col_ix))
+"""
+
+
+@register(
+    "a02_aggregate_positions",
+    DENSE_GROUPS + """SELECT row_ix, CAST(grp AS BIGINT) AS grp, median(value) AS median, arg_min(value, pos) AS first, arg_max(value, pos) AS last,
+    arg_min(pos, (value, pos)) AS argmin, arg_min(pos, (-value, pos)) AS argmax FROM full_ GROUP BY ALL HAVING max(value) > 0""",
+)
+def a02_positions(spark, sf):
+    m = fx.trade(spark, sf)
+    return agg.aggregate(m.view(slice(0, 150), None), "ClusterID", ["median", "first", "last", "argmin", "argmax"])
+
+
+@register("a02_aggregate_custom", DENSE_GROUPS + "SELECT row_ix, CAST(grp AS BIGINT) AS grp, max(value) - min(value) AS value FROM full_ GROUP BY ALL HAVING max(value) > 0")
+def a02_custom(spark, sf):
+    return agg.aggregate_custom(fx.trade(spark, sf).view(slice(0, 150), None), "ClusterID", lambda v: v.max() - v.min())
+
+
+@register(
+    "a03_column_attributes",
+    f"""WITH {SM} SELECT CAST(region AS BIGINT) AS grp, round(avg(balance), 6) AS Balance, arg_min(cell, col_ix) AS CellID, arg_min(rname, col_ix) AS Region, arg_min(region, col_ix) AS RegionID,
+    count(*) FILTER (col_ix % 2 = 1) AS Parity_1, count(*) FILTER (col_ix % 2 = 0) AS Parity_0 FROM sup GROUP BY region""",
+)
+def a03(spark, sf):
+    m = fx.trade(spark, sf).set_attribute(1, "Parity", F.col(COL) % 2)
+    out = agg.aggregate_attributes(m, "RegionID", {"Balance": "mean", "CellID": "first", "Parity": "tally", "ClusterID": "first", "ClusterName": "first", "Valid": "first"}, keep_constant=True)
+    return out.withColumn("Balance", F.round("Balance", 6)).drop("ClusterID", "ClusterName", "Valid")
+
+
+@register("a05_mode", f"WITH {SM}, k AS (SELECT region, cluster, count(*) AS n FROM sup GROUP BY ALL) SELECT CAST(region AS BIGINT) AS grp, CAST(arg_min(cluster, (-n, cluster)) AS VARCHAR) AS ClusterID FROM k GROUP BY region")
+def a05(spark, sf):
+    return agg.aggregate_attributes(fx.trade(spark, sf), "RegionID", {"ClusterID": "mode"})
+
+
+@register("a08_totals", "SELECT s_suppkey AS col_ix, COALESCE(sum(l_quantity), 0) AS total FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
+def a08(spark, sf):
+    return fx.trade(spark, sf).totals(1)
+
+
+@register("a12_layer_sum", "SELECT l_partkey AS row_ix, l_suppkey AS col_ix, sum(l_quantity) + count(*) AS value FROM lineitem GROUP BY 1, 2")
+def a12(spark, sf):
+    m = fx.trade(spark, sf, (MAIN, "lines"))
+    return text.sum_layers([m.layer(), m.layer("lines")])
+
+
+@register("a13_distinct", "SELECT count(DISTINCT p_brand) AS brands, count(DISTINCT p_size) AS sizes, count(*) - count(DISTINCT p_partkey) AS repeated FROM part")
+def a13(spark, sf):
+    return fx.trade(spark, sf).rows.agg(F.count_distinct("Brand").alias("brands"), F.count_distinct("Size").alias("sizes"), (F.count("*") - F.count_distinct(ROW)).alias("repeated"))
+
+
+@register("a14_nonzero", f"WITH {LINES} SELECT row_ix, count(*) AS nnz FROM lines WHERE value <> 0 GROUP BY 1")
+def a14(spark, sf):
+    return fx.trade(spark, sf, (MAIN, "lines")).layer("lines").groupBy(ROW).agg(F.count_if(F.col("value") != 0).alias("nnz"))
+
+
+@register("a15_percentiles", "WITH t AS (SELECT sum(l_quantity) AS total FROM lineitem GROUP BY l_suppkey) SELECT round(quantile_cont(total, 0.9), 6) AS p90, round(median(total), 6) AS mid FROM t")
+def a15(spark, sf):
+    t = fx.trade(spark, sf).layer().groupBy(COL).agg(F.sum("value").alias("total"))
+    return t.agg(F.round(F.percentile("total", 0.9), 6).alias("p90"), F.round(F.median("total"), 6).alias("mid"))
+
+
+# --- order, sets, combination -----------------------------------------------------------
+
+
+@register("o01_permute", f"WITH {SM}, o AS (SELECT p_partkey AS row_ix, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS n FROM part) SELECT n AS row_ix, col_ix, value FROM sm JOIN o USING (row_ix)")
+def o01(spark, sf):
+    return fx.trade(spark, sf).permute(0, F.desc("Size")).layer()
+
+
+@register("o01_permute_graph", f"WITH {SM}, {GRAPH}, o AS (SELECT col_ix, row_number() OVER (ORDER BY cell, col_ix) - 1 AS n FROM sup) SELECT x.n AS a, y.n AS b, w FROM g JOIN o x ON a = x.col_ix JOIN o y ON b = y.col_ix")
+def o01_graph(spark, sf):
+    return fx.trade(spark, sf).set_graph(1, "next", fx.trade_graph(spark, sf)).permute(1, "CellID").graph(1, "next")
+
+
+@register("o05_sort_by_key", "SELECT p_partkey AS row_ix, row_number() OVER (ORDER BY p_brand, p_size, p_partkey) - 1 AS new_ix FROM part")
+def o05(spark, sf):
+    return positions_by(fx.trade(spark, sf).rows, "Brand", "Size", ROW).select(ROW, "new_ix")
+
+
+@register("o06_dictionary", "SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS new_ix FROM (SELECT DISTINCT user_id FROM events)")
+def o06(spark, sf):
+    return renumber(fx.table(spark, sf, "events").select("user_id").distinct(), "user_id")
+
+
+def halves(spark, sf) -> tuple[AnnotatedMatrix, AnnotatedMatrix]:
+    m = fx.trade(spark, sf, (MAIN, "lines"))
+    return m.view(None, F.col(COL) % 2 == 0), m.view(None, F.col(COL) % 2 == 1).delete_attribute(1, "Balance")
+
+
+BOTH = "WITH c AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey % 2, s_suppkey) - 1 AS col_ix FROM supplier) "
+
+
+@register("u01_add_columns", BOTH + "SELECT l_partkey AS row_ix, col_ix, s_name AS CellID, sum(l_quantity) AS value FROM lineitem JOIN c ON s_suppkey = l_suppkey GROUP BY ALL")
+def u01(spark, sf):
+    a, b = halves(spark, sf)
+    made = a.add_columns(b)
+    assert "Balance" not in made.cols.columns
+    return made.layer().join(made.cols.select(COL, "CellID"), COL)
+
+
+@register("u01_fill_values", BOTH + "SELECT col_ix, CASE WHEN s_suppkey % 2 = 0 THEN s.s_acctbal ELSE 0 END AS Balance FROM supplier s JOIN c USING (s_suppkey)")
+def u01_fill(spark, sf):
+    a, b = halves(spark, sf)
+    return a.add_columns(b, fill_values="auto").cols.select(COL, "Balance")
+
+
+@register("u02_add_matrix_by_key", BOTH + "SELECT l_partkey AS row_ix, col_ix, sum(l_quantity) AS value FROM lineitem JOIN c ON s_suppkey = l_suppkey GROUP BY ALL")
+def u02(spark, sf):
+    a, b = halves(spark, sf)
+    return a.add_matrix(b.permute(0, F.desc(ROW)), key="Accession").layer()
+
+
+@register("u02_add_matrix_graphs", f"WITH {GRAPH}, n AS (SELECT count(*) AS n FROM supplier) SELECT a, b, w FROM g UNION ALL SELECT a + n, b + n, w FROM g, n")
+def u02_graphs(spark, sf):
+    m = fx.trade(spark, sf).set_graph(1, "next", fx.trade_graph(spark, sf))
+    return m.add_matrix(m, include_graphs=True).graph(1, "next")
+
+
+@register("u03_combine", BOTH + "SELECT col_ix, s_name AS CellID, CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS Part FROM c")
+def u03(spark, sf):
+    a, b = halves(spark, sf)
+    return combine([a.set_global("Part", "even"), b.set_global("Part", "odd")], key="Accession", convert_attrs=True).cols.select(COL, "CellID", "Part")
+
+
+@register(
+    "u04_combine_selected",
+    f"""WITH {SM}, {LINES}, r AS (SELECT p_partkey, row_number() OVER (ORDER BY 'P' || p_partkey) - 1 AS new_row FROM part),
+c AS (SELECT s_suppkey AS col_ix, row_number() OVER (ORDER BY s_suppkey % 2, s_suppkey) - 1 AS new_col FROM supplier WHERE s_acctbal > 0)
+SELECT 'main' AS layer, new_row AS row_ix, new_col AS col_ix, value FROM sm JOIN r ON p_partkey = row_ix JOIN c USING (col_ix)
+UNION ALL SELECT 'lines', new_row, new_col, value FROM lines JOIN r ON p_partkey = row_ix JOIN c USING (col_ix) WHERE col_ix % 2 = 0""",
+)
+def u04(spark, sf):
+    a, b = halves(spark, sf)
+    b = b.delete_layer("lines")
+    made = combine_selected([a, b], [F.col("Valid") == 1, F.col("Valid") == 1], key="Accession")
+    return made.layer().select(F.lit("main").alias("layer"), ROW, COL, "value").unionByName(made.layer("lines").select(F.lit("lines").alias("layer"), ROW, COL, "value"))
+
+
+@register("u05_selective_combine", f"WITH {SM}, t AS (SELECT col_ix, sum(value) AS total FROM sm GROUP BY 1), k AS (SELECT col_ix, row_number() OVER (ORDER BY col_ix) - 1 AS n FROM t WHERE total > 15000) SELECT row_ix, n AS col_ix, value FROM sm JOIN k USING (col_ix)")
+def u05(spark, sf):
+    m = fx.trade(spark, sf)
+    return m.view(None, m.totals(1).where("total > 15000").select(COL)).layer()
+
+
+@register("u06_union_of_sets", "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer")
+def u06(spark, sf):
+    return fx.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).union(fx.table(spark, sf, "customer").select("c_nationkey")).distinct()
+
+
+@register("j10_metadata_chain", """SELECT p_partkey, p_brand, COALESCE(string_agg(DISTINCT n_name, ',' ORDER BY n_name), '') AS nations, bool_or(s_acctbal < 0) IS TRUE AS debtor
+FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL""")
+def j10(spark, sf):
+    part, line, supplier, nation = (fx.table(spark, sf, t) for t in ("part", "lineitem", "supplier", "nation"))
+    sold = line.select("l_partkey", "l_suppkey").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return index_build.enriched_genes(part.select("p_partkey", "p_brand"), {}, {"nations": (sold, "p_partkey", "l_partkey", "n_name")}, {"debtor": (sold.where("s_acctbal < 0"), "p_partkey", "l_partkey")})
+
+
+# --- scans and maps ---------------------------------------------------------------------
+
+
+@register("m01_scan_bands", f"WITH {SM} SELECT (row_ix // 64) * 64 AS start, sum(value) AS total, count(*) AS nnz FROM sm GROUP BY 1")
+def m01(spark, sf):
+    def band(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"start": [int(pdf[ROW].min() // 64 * 64)], "total": [float(pdf["value"].sum())], "nnz": [len(pdf)]})
+
+    return fx.trade(spark, sf).apply_bands(0, band, "start long, total double, nnz long", batch_size=64)
+
+
+@register("m01_scan_view", f"WITH {SM} SELECT row_ix - 64 AS row_ix, col_ix, value FROM sm WHERE row_ix BETWEEN 64 AND 95")
+def m01_view(spark, sf):
+    return next(v.layer() for start, v in fx.trade(spark, sf).scan(0, 32, items=slice(60, 130)) if start == 64)
+
+
+@register(
+    "m04_map_reducers",
+    """WITH s AS (SELECT l_suppkey AS col_ix, count(*) AS nnz, sum(v) AS total, sum(v * v) AS squares, min(v) AS low, max(v) AS high FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1), n AS (SELECT count(*) AS n FROM part)
+SELECT s_suppkey AS col_ix, COALESCE(total, 0) AS f0, round(COALESCE(total / n, 0), 6) AS f1, round(COALESCE(sqrt((squares - total * total / n) / n), 0), 6) AS f2, 0.0::DOUBLE AS f3, COALESCE(high, 0) AS f4, CAST(COALESCE(nnz, 0) AS DOUBLE) AS f5
+FROM supplier CROSS JOIN n LEFT JOIN s ON col_ix = s_suppkey""",
+)
+def m04(spark, sf):
+    out = agg.map_axis(fx.trade(spark, sf), ["sum", "mean", "std", "min", "max", "count_nonzero"], axis=1)
+    return out.withColumn("f1", F.round("f1", 6)).withColumn("f2", F.round("f2", 6))
+
+
+@register("m04_map_callables", f"WITH {SM} SELECT p_partkey AS row_ix, COALESCE(max(value), 0) * 2 AS f0 FROM part LEFT JOIN sm ON row_ix = p_partkey GROUP BY 1")
+def m04_callables(spark, sf):
+    return agg.map_axis(fx.trade(spark, sf), [lambda v: 2 * v.max()], axis=0)
+
+
+@register("m05_gram_matrix", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT CAST(p.i AS BIGINT) AS i, CAST(q.i AS BIGINT) AS j, round(sum(p.x * q.x), 6) AS value FROM e p JOIN e q ON p.vec_id = q.vec_id AND p.i <= q.i WHERE p.x <> 0 AND q.x <> 0 GROUP BY 1, 2")
+def m05(spark, sf):
+    return agg.gram_matrix(fx.dense(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+# --- mutation ---------------------------------------------------------------------------
+
+
+@register("x01_assign", f"WITH {SM} SELECT row_ix, col_ix, value FROM sm WHERE row_ix >= 20 UNION ALL SELECT p_partkey, 0, -1.0 FROM part WHERE p_partkey < 20 UNION ALL SELECT row_ix, col_ix, value FROM sm WHERE row_ix < 20 AND col_ix <> 0")
+def x01(spark, sf):
+    m = fx.trade(spark, sf)
+    return m.assign(m.rows.where(F.col(ROW) < 20).select(ROW, F.lit(0).alias(COL), F.lit(-1.0).alias("value"))).layer()
+
+
+@register("x04_set_attribute", "SELECT p_partkey AS row_ix, p_size * 2 AS Double FROM part")
+def x04(spark, sf):
+    return fx.trade(spark, sf).set_attribute(0, "Double", F.col("Size") * 2).delete_attribute(0, "Gene").rows.select(ROW, "Double")
+
+
+# --- records ----------------------------------------------------------------------------
+
+
+@register("b01_twobit_to_dna", "SELECT o_orderkey, array_to_string([substr('ACGT', CAST((o_orderkey >> (2 * (7 - i))) & 3 AS INT) + 1, 1) FOR i IN range(8)], '') AS dna FROM orders WHERE o_orderkey < 65536")
+def b01(spark, sf):
+    return fx.table(spark, sf, "orders").where("o_orderkey < 65536").select("o_orderkey", dna.twobit_to_dna(F.col("o_orderkey"), 8).alias("dna"))
+
+
+@register("b02_dna_to_twobit", "SELECT o_orderkey, o_orderkey AS code FROM orders WHERE o_orderkey < 65536")
+def b02(spark, sf):
+    return b01(spark, sf).select("o_orderkey", dna.dna_to_twobit(F.col("dna")).alias("code"))
+
+
+@register("b03_neighbours", """SELECT o_orderkey, ((o_orderkey & ~(3 << (2 * (3 - p)))) | (x << (2 * (3 - p)))) AS near FROM orders, (SELECT range AS p FROM range(4)), (SELECT range AS x FROM range(4))
+WHERE o_orderkey < 256 AND ((o_orderkey >> (2 * (3 - p))) & 3) <> x""")
+def b03(spark, sf):
+    return fx.table(spark, sf, "orders").where("o_orderkey < 256").select("o_orderkey", F.explode(dna.twobit_neighbours(F.col("o_orderkey"), 4)).alias("near"))
+
+
+@register("b04_class_genes", f"WITH {RB} SELECT ec, gene FROM genes")
+def b04(spark, sf):
+    return records.gene_of_class(fx.class_members(spark), fx.fragment_genes(spark))
+
+
+def corrected(spark, sf) -> DataFrame:
+    return records.correct_barcodes(records.with_genes(fx.records(spark, sf), b04(spark, sf)), fx.whitelist(spark, sf), fx.BARCODE_LENGTH)
+
+
+@register("b05_correct", f"WITH {FIXED} SELECT barcode, valid, count(*) AS n FROM corrected GROUP BY ALL")
+def b05(spark, sf):
+    return corrected(spark, sf).groupBy("barcode", "valid").agg(F.count("*").alias("n"))
+
+
+@register("b06_deduplicate", f"WITH {FIXED} SELECT gene, valid, count(*) AS n FROM dedup GROUP BY ALL")
+def b06(spark, sf):
+    return records.deduplicate(corrected(spark, sf)).groupBy("gene", "valid").agg(F.count("*").alias("n"))
+
+
+@register("b07_count", f"WITH {FIXED}, k AS (SELECT barcode, row_number() OVER (ORDER BY barcode) - 1 AS col_ix FROM (SELECT DISTINCT barcode FROM dedup WHERE valid)) SELECT gene AS row_ix, col_ix, count(*) AS value FROM dedup JOIN k USING (barcode) WHERE valid GROUP BY ALL")
+def b07(spark, sf):
+    valid = records.deduplicate(corrected(spark, sf))
+    return records.count_molecules(valid, records.cell_index(valid))
+
+
+@register("b08_count_layer", f"""WITH {FIXED}, k AS (SELECT barcode, row_number() OVER (ORDER BY barcode) - 1 AS col_ix FROM (SELECT DISTINCT barcode FROM dedup WHERE valid))
+SELECT gene AS row_ix, col_ix, count(*) AS value FROM dedup JOIN k USING (barcode) WHERE valid AND ec IN (SELECT ec FROM members WHERE fragment % 2 = 0) GROUP BY ALL""")
+def b08(spark, sf):
+    valid = records.deduplicate(corrected(spark, sf))
+    classes = records.classes_with(fx.class_members(spark), fx.fragment_genes(spark).where("fragment % 2 = 0"))
+    return records.count_molecules(valid, records.cell_index(valid), classes)
+
+
+@register("b10_saturation", f"WITH {FIXED} SELECT round(1 - avg(CAST(valid AS INT)), 6) AS saturation FROM dedup")
+def b10(spark, sf):
+    return records.saturation(records.deduplicate(corrected(spark, sf))).withColumn("saturation", F.round("saturation", 6))
+
+
+# --- statistics -------------------------------------------------------------------------
+
+
+@register("c01_averaging_transform", """WITH f AS (SELECT n AS r, count(*) AS nr FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey) GROUP BY 1),
+d AS (SELECT r, nr, COALESCE(r - lag(r) OVER (ORDER BY r), 1) AS before, lead(r) OVER (ORDER BY r) - r AS after FROM f)
+SELECT r, nr, round(nr / (0.5 * (before + COALESCE(after, before))), 6) AS z FROM d""")
+def c01(spark, sf):
+    counts = fx.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("freq"))
+    return stats.averaging_transform(stats.frequency_of_frequencies(counts)).withColumn("z", F.round("z", 6))
+
+
+@register("c05_adjust_bh", """WITH p AS (SELECT o_orderkey, o_totalprice / (SELECT max(o_totalprice) FROM orders) AS p FROM orders),
+r AS (SELECT *, rank() OVER (ORDER BY p DESC) AS up, count(*) OVER () AS n FROM p), q AS (SELECT *, n * p / (n - up + 1) AS q FROM r)
+SELECT o_orderkey, round(least(1, min(q) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS padj FROM q""")
+def c05(spark, sf):
+    orders = fx.table(spark, sf, "orders")
+    top = orders.agg(F.max("o_totalprice")).first()[0]
+    p = orders.select("o_orderkey", (F.col("o_totalprice") / F.lit(top)).alias("p"))
+    return stats.adjust_bh(p).select("o_orderkey", F.round("padj", 9).alias("padj"))
+
+
+@register("c06_loglikelihood", """WITH c AS (SELECT event_type, user_id, count(*) AS x FROM events GROUP BY ALL), p AS (SELECT event_type, count(*) / (SELECT count(*) FROM events) AS p FROM events GROUP BY 1)
+SELECT user_id, CAST(sum(x) AS BIGINT) AS n, round(lgamma(sum(x) + 1) + sum(x * ln(p) - lgamma(x + 1)), 6) AS loglk FROM c JOIN p USING (event_type) GROUP BY user_id""")
+def c06(spark, sf):
+    m = fx.activity(spark, sf)
+    total = m.layer().agg(F.sum("value")).first()[0]
+    profile = m.layer().groupBy(ROW).agg((F.sum("value") / F.lit(total)).alias("p"))
+    out = cells.multinomial_loglikelihoods(m.layer(), profile)
+    return out.join(m.cols, COL).select(F.col("User").alias("user_id"), "n", F.round("loglk", 6).alias("loglk"))
+
+
+@register("c08_empirical_pvalues", """WITH o AS (SELECT s_suppkey AS col_ix, s_suppkey % 3 AS n, s_acctbal AS loglk FROM supplier), s AS (SELECT c_custkey % 3 AS n, c_acctbal AS loglk FROM customer)
+SELECT col_ix, round((1 + count(*) FILTER (s.loglk < o.loglk)) / (1 + count(*)), 9) AS p FROM o JOIN s USING (n) GROUP BY col_ix""")
+def c08(spark, sf):
+    seen = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias(COL), (F.col("s_suppkey") % 3).alias("n"), F.col("s_acctbal").alias("loglk"))
+    simulated = fx.table(spark, sf, "customer").select((F.col("c_custkey") % 3).alias("n"), F.col("c_acctbal").alias("loglk"))
+    return cells.empirical_pvalues(seen, simulated).withColumn("p", F.round("p", 9))
+
+
+@register("c10_call_cells")
+def c10(spark, sf):
+    return cells.call_cells(fx.trade(spark, sf), expected_cells=20, sims=200)[1]
+
+
+# --- sequences --------------------------------------------------------------------------
+
+
+@register("i03_find_runs", """WITH s AS (SELECT o_orderkey AS id, repeat('A', CAST(o_orderkey % 9 AS INT)) || 'CA' || repeat('A', CAST(o_orderkey % 5 AS INT)) || 'G' AS seq FROM orders),
+w AS (SELECT id, unnest(range(0, length(seq) - 5)) AS start, seq FROM s WHERE length(seq) >= 6), h AS (SELECT id, start, start + 6 AS "end" FROM w WHERE length(replace(substr(seq, CAST(start AS INT) + 1, 6), 'A', '')) <= 1),
+m AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM h),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY start) AS run FROM m) SELECT id, CAST(min(start) AS INT) AS start, CAST(max("end") AS INT) AS "end" FROM r GROUP BY id, run""")
+def i03(spark, sf):
+    seq = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr("repeat('A', cast(o_orderkey % 9 as int)) || 'CA' || repeat('A', cast(o_orderkey % 5 as int)) || 'G'").alias("seq"))
+    return sequences.find_runs(seq, "A", 6)
+
+
+@register("w07_merge_intervals", """WITH e AS (SELECT l_suppkey AS id, l_orderkey AS start, l_orderkey + l_linenumber * 3 AS "end" FROM lineitem WHERE l_orderkey < 3000),
+m AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM e),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT id, min(start) AS start, max("end") AS "end" FROM r GROUP BY id, run""")
+def w07(spark, sf):
+    line = fx.table(spark, sf, "lineitem").where("l_orderkey < 3000")
+    return sequences.merge_intervals(line.select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber") * 3).alias("end")))
+
+
+@register("i05_reverse_complement", "SELECT o_orderkey, reverse(translate(array_to_string([substr('ACGT', CAST((o_orderkey >> (2 * (7 - i))) & 3 AS INT) + 1, 1) FOR i IN range(8)], ''), 'ACGT', 'TGCA')) AS rc FROM orders WHERE o_orderkey < 65536")
+def i05(spark, sf):
+    return b01(spark, sf).select("o_orderkey", dna.reverse_complement(F.col("dna")).alias("rc"))
+
+
+# --- text formats -----------------------------------------------------------------------
+
+
+@register("s07_matrix_market", "SELECT l_partkey AS row_ix, l_suppkey AS col_ix, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2")
+def s07(spark, sf):
+    m = fx.trade(spark, sf)
+    body = m.layer().select((F.xxhash64(ROW, COL) % 1000 + 2000).alias("line_no"), F.concat_ws(" ", F.col(ROW) + 1, F.col(COL) + 1, F.col("value")).alias("line"))
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, f"{m.n_rows} {m.n_cols} 0")], "line_no long, line string")
+    return text.parse_matrix_market(head.union(body))
+
+
+@register("s06_expression_table", "SELECT CAST(r_regionkey AS BIGINT) AS row_ix, CAST(c AS BIGINT) AS col_ix, CAST(r_regionkey * 10 + c AS FLOAT) AS value FROM region, (SELECT range AS c FROM range(3)) WHERE r_regionkey * 10 + c <> 0")
+def s06(spark, sf):
+    rows = fx.table(spark, sf, "region").select((F.col("r_regionkey") + 1).cast("long").alias("line_no"), F.expr("concat_ws('\t', concat('\"', r_name, '\"'), r_regionkey * 10, r_regionkey * 10 + 1, r_regionkey * 10 + 2)").alias("line"))
+    head = spark.createDataFrame([(0, 'a\t"b"\tc')], "line_no long, line string")
+    return text.expression_table(head.union(rows))[0].layer()
+
+
+@register("k02_export", """WITH c AS (SELECT event_type, user_id, count(*) AS x FROM events GROUP BY ALL), k AS (SELECT DISTINCT event_type FROM events), u AS (SELECT DISTINCT user_id FROM events),
+n AS (SELECT count(*) AS n FROM u), r AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i FROM k)
+SELECT 0 AS line_no, chr(9) || 'User' || chr(9) || string_agg(user_id, chr(9) ORDER BY user_id) || chr(9) AS line FROM u
+UNION ALL SELECT 1, 'Gene' || chr(9) || chr(9) || repeat(chr(9), n) FROM n
+UNION ALL SELECT i + 1, event_type || chr(9) || chr(9) || string_agg(COALESCE(x, 0), chr(9) ORDER BY user_id) || chr(9) FROM r CROSS JOIN u LEFT JOIN c USING (event_type, user_id) GROUP BY event_type, i""")
+def k02(spark, sf):
+    return storage.export_lines(fx.activity(spark, sf))
+
+
+# --- validation -------------------------------------------------------------------------
+
+
+@register("v02_structure", f"WITH {SM} SELECT 'layer ''''' AS part, problem, CAST(0 AS BIGINT) AS n FROM (VALUES ('outside the shape'), ('not finite'), ('repeated coordinates')) t(problem) UNION ALL SELECT part, 'positions not 0..n-1 once', 0 FROM (VALUES ('rows'), ('columns')) u(part)")
+def v02(spark, sf):
+    return structure_counts(fx.trade(spark, sf))
+
+
+@register("v03_conventions", """SELECT 'ClusterID' AS attribute, 'not 0, 1, 2, ... without gaps' AS problem, CAST(abs(count(DISTINCT s_nationkey) - max(s_nationkey) - 1) + abs(min(s_nationkey)) AS BIGINT) AS n FROM supplier
+UNION ALL SELECT 'ClusterName', 'not one to one with ClusterID', 0 UNION ALL SELECT 'CellID', 'repeated values', count(*) - count(DISTINCT s_name) FROM supplier
+UNION ALL SELECT 'Accession', 'repeated values', 0 UNION ALL SELECT 'Valid', 'values other than 0 and 1', 0""")
+def v03(spark, sf):
+    return convention_counts(fx.trade(spark, sf))
