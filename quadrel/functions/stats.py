@@ -5,6 +5,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def frequency_of_frequencies(counts: DataFrame, count: str = "freq") -> DataFrame:
@@ -89,6 +90,6 @@ def lgamma1(column):
     return _lgamma1(column)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _lgamma1(x: pd.Series) -> pd.Series:
     return x.map(lambda k: math.lgamma(k + 1))
