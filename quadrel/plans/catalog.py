@@ -521,3 +521,97 @@ UNION ALL SELECT 'ClusterName', 'not one to one with ClusterID', 0 UNION ALL SEL
 UNION ALL SELECT 'Accession', 'repeated values', 0 UNION ALL SELECT 'Valid', 'values other than 0 and 1', 0""")
 def v03(spark, sf):
     return convention_counts(fx.trade(spark, sf))
+
+
+# --- more sources, sinks and statistics -----------------------------------------------------
+
+
+@register("s08_align_layers", """WITH c AS (SELECT s_name, s_suppkey, row_number() OVER (ORDER BY s_name) - 1 AS col_ix FROM supplier WHERE s_acctbal > 0)
+SELECT col_ix, 's:' || s_name AS CellID, CAST(s_suppkey % 2 = 0 AS INT) AS Valid_even, 1 AS Valid_every, CAST(COALESCE(sum(q), 0) AS DOUBLE) AS BarcodeTotalUMIs
+FROM c LEFT JOIN (SELECT l_suppkey, l_quantity * CASE WHEN l_suppkey % 2 = 0 THEN 2 ELSE 1 END AS q FROM lineitem) ON l_suppkey = s_suppkey GROUP BY ALL""")
+def s08(spark, sf):
+    m = fx.trade(spark, sf)
+    own = m.cols.select(COL, F.col("CellID").alias("barcode"))
+    even = own.where(F.col(COL) % 2 == 0)
+    layers = {"every": (m.layer(), own), "even": (m.layer().where(F.col(COL) % 2 == 0), even)}
+    made = text.align_layers(layers, m.cols.where("Balance > 0").select(F.col("CellID").alias("barcode")), m.rows, ["every", "even"], "s")
+    return made.cols.select(COL, "CellID", "Valid_even", "Valid_every", F.col("BarcodeTotalUMIs").cast("double").alias("BarcodeTotalUMIs"))
+
+
+GTF_SQL = """WITH k AS (SELECT 'E' || p_partkey AS id, p_brand AS name, p_partkey AS line, p_size AS start FROM part),
+u AS (SELECT id AS key, line, id, start FROM k UNION ALL SELECT name, line, id, start FROM k)
+"""
+
+
+@register("s12_gene_lookup", GTF_SQL + "SELECT key, arg_max(id, line) AS Accession, CAST(arg_max(start, line) AS BIGINT) AS Start FROM u GROUP BY key")
+def s12(spark, sf):
+    part = fx.table(spark, sf, "part")
+    line = F.format_string('chr1\tx\tgene\t%d\t%d\t.\t+\t.\tgene_id "E%d"; gene_name "%s";', F.col("p_size"), F.col("p_size") + 1, "p_partkey", "p_brand")
+    genes = text.parse_gtf(part.select(F.col("p_partkey").alias("line_no"), line.alias("line")))
+    return text.gene_lookup(genes).select("key", "Accession", "Start")
+
+
+@register("s13_annotate_rows", "SELECT CAST(n_nationkey AS BIGINT) AS row_ix, COALESCE('chr' || r_regionkey, 'Un') AS Chromosome, CASE WHEN r_regionkey IS NULL THEN 'n/a' ELSE 'known' END AS Biotype FROM nation LEFT JOIN region ON n_nationkey = r_regionkey")
+def s13(spark, sf):
+    features = fx.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias(ROW), F.col("n_nationkey").cast("string").alias("id"))
+    key = F.col("r_regionkey").cast("string")
+    lookup = fx.table(spark, sf, "region").select(key.alias("key"), key.alias("Accession"), key.alias("Gene"), F.lit("known").alias("Biotype"), F.concat(F.lit("chr"), key).alias("Chromosome"), F.lit(1).alias("Start"), F.lit(2).alias("End"))
+    return text.annotate_rows(features, lookup, "id").select(ROW, "Chromosome", "Biotype")
+
+
+@register("c02_frequencies", "SELECT n AS r, count(*) AS nr FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey) GROUP BY 1")
+def c02(spark, sf):
+    return stats.frequency_of_frequencies(fx.table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("freq")))
+
+
+SGT_INPUT = "(SELECT CAST(ceil(4000.0 / ((p_partkey + 2) * sqrt(p_partkey + 2))) AS BIGINT) AS freq, p_partkey FROM part)"
+
+
+@register("c03_good_turing", f"""WITH f AS (SELECT freq AS r, count(*) AS nr FROM {SGT_INPUT} GROUP BY 1),
+d AS (SELECT r, nr, row_number() OVER (ORDER BY r) AS i, COALESCE(r - lag(r) OVER (ORDER BY r), 1) AS before, lead(r) OVER (ORDER BY r) - r AS after, lead(nr) OVER (ORDER BY r) AS next FROM f),
+z AS (SELECT *, nr / (0.5 * (before + COALESCE(after, before))) AS z FROM d), l AS (SELECT regr_slope(ln(z), ln(r)) AS slope, sum(r * nr) AS total, arg_min(nr, r) AS n1 FROM z),
+e AS (SELECT r, nr, i, total, n1, pow(1 + 1.0 / r, slope + 1) AS lin, CASE WHEN after = 1 THEN (r + 1.0) / r * next / nr ELSE 0 END AS tur,
+      CASE WHEN after = 1 THEN (i + 1.0) / nr * sqrt(next * (1 + next * 1.0 / nr)) ELSE 1 END AS sd FROM z, l),
+s AS (SELECT *, min(CASE WHEN abs(lin - tur) * i / sd > 1.65 THEN NULL ELSE i END) OVER () AS stop FROM e),
+c AS (SELECT *, CASE WHEN stop IS NULL OR i < stop THEN tur ELSE lin END AS share FROM s)
+SELECT r, nr, round(r * share * (1 - n1 * 1.0 / total) / (sum(share * r * nr) OVER () / total), 6) AS rstar FROM c""")
+def c03(spark, sf):
+    part = fx.table(spark, sf, "part").select("p_partkey", F.ceil(4000.0 / ((F.col("p_partkey") + 2) * F.sqrt(F.col("p_partkey") + 2))).cast("long").alias("freq"))
+    return stats.simple_good_turing(stats.frequency_of_frequencies(part))[0].withColumn("rstar", F.round("rstar", 6))
+
+
+@register("c07_simulate")
+def c07(spark, sf):
+    m = fx.activity(spark, sf)
+    total = m.layer().agg(F.sum("value")).first()[0]
+    return cells.simulate_loglikelihoods(spark, m.layer().groupBy(ROW).agg((F.sum("value") / F.lit(total)).alias("p")), [10, 50, 60], sims=100)
+
+
+@register("b09_remove_empty")
+def b09(spark, sf):
+    return records.remove_empty(fx.trade(spark, sf), 20, sims=200, most=15000).cols
+
+
+@register("i04_transcript_genes", "SELECT 'T' || p_partkey AS Transcript, 'G' || p_size AS Accession, p_brand AS Gene FROM part")
+def i04(spark, sf):
+    line = F.format_string('1\tx\ttranscript\t1\t2\t.\t+\t.\tgene_id "G%d"; transcript_id "T%d"; gene_name "%s";', "p_size", "p_partkey", "p_brand")
+    return text.transcript_genes(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("line_no"), line.alias("line")))
+
+
+@register("i05_fragments", """WITH s AS (SELECT o_orderkey AS id, repeat('CG', CAST(o_orderkey % 5 AS INT)) || 'AAAAAA' || repeat('GCT', CAST(o_orderkey % 3 AS INT)) AS seq FROM orders)
+SELECT id, 'end' AS kind, right(seq, 8) AS fragment FROM s WHERE length(seq) >= 4 UNION ALL SELECT id, 'A', right(repeat('CG', CAST(id % 5 AS INT))[:-2], 8) FROM s WHERE length(right(repeat('CG', CAST(id % 5 AS INT))[:-2], 8)) >= 4""")
+def i05_fragments(spark, sf):
+    seq = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr("repeat('CG', cast(o_orderkey % 5 as int)) || 'AAAAAA' || repeat('GCT', cast(o_orderkey % 3 as int))").alias("seq"))
+    return sequences.fragments_at_runs(seq, 6, 8, 4).select("id", "kind", "fragment")
+
+
+@register("x03_delete_layer", "SELECT '' AS layer UNION ALL SELECT 'discounted'")
+def x03(spark, sf):
+    m = fx.trade(spark, sf, (MAIN, "lines", "discounted")).delete_layer("lines")
+    return spark.createDataFrame([(k,) for k in m.layers], "layer string")
+
+
+@register("x06_graph_degree", f"WITH {GRAPH} SELECT a, count(*) AS n, sum(w) AS w FROM g GROUP BY a")
+def x06(spark, sf):
+    m = fx.trade(spark, sf).set_graph(1, "next", fx.trade_graph(spark, sf)).set_graph(1, "other", fx.trade_graph(spark, sf)).delete_graph(1, "other")
+    return m.graph(1, "other", "next").groupBy("a").agg(F.count("*").alias("n"), F.sum("w").alias("w"))

@@ -223,11 +223,10 @@ def gene_lookup(genes: DataFrame) -> DataFrame:
 
 def annotate_rows(features: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """The features (row_ix, key, ...) with annotations; unknown ones get defaults."""
-    joined = features.join(lookup.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left")
-    new = {"Biotype": "n/a", "Chromosome": "Un", "Start": 0, "End": 0}
-    taken = set(features.columns)
-    names = [F.coalesce("Accession", F.col(key)).alias("Accession")] if "Accession" not in taken else []
-    return joined.select(*features.columns, *names, *[F.coalesce(lookup[c], F.lit(v)).alias(c) for c, v in new.items() if c not in taken])
+    known = lookup.select(*[F.col(c).alias(f"_{c}") for c in lookup.columns])
+    joined = features.join(known, F.col(key) == F.col("_key"), "left")
+    new = {"Accession": F.col(key), "Biotype": F.lit("n/a"), "Chromosome": F.lit("Un"), "Start": F.lit(0), "End": F.lit(0)}
+    return joined.select(*features.columns, *[F.coalesce(f"_{c}", v).alias(c) for c, v in new.items() if c not in features.columns])
 
 
 def transcript_genes(lines: DataFrame) -> DataFrame:
