@@ -269,11 +269,19 @@ def more_spans(text: str, base: list[Span], field: Field, params: CrfParams) ->
 
 
 def train_field(docs: DataFrame, params: CrfParams = CrfParams(), text: str = "text") -> Field:
-    """Fit on the documents with a digit or @ of least text hash, ``documents`` at most."""
-    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    rows = rows.where(F.length("text") <= 100_000)  # the sample only; scoring takes any length
-    sample = rows.orderBy(F.xxhash64("text"), "text").limit(params.documents).collect()
-    return fit_field(sorted({r.text for r in sample}), params)
+    """Fit on the different texts with a digit or @ of least hash, ``documents`` at most.
+
+    How many there are says which share of the hashes' range holds about that many, so only
+    those texts come to the driver, each once, however many partitions or copies there are.
+    Texts over 100,000 characters are left out of the sample (not of the search).
+    """
+    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 100_000)).withColumn("h", F.xxhash64("text"))
+    number = rows.agg(F.approx_count_distinct("h")).first()[0]
+    share = min(1.0, 1.3 * params.documents / max(1, number))
+    bound = min(2**63 - 1, int(-(2**63) + share * 2**64))
+    sample = rows.where(F.col("h") <= F.lit(bound)).distinct().collect()
+    chosen = sorted((r.h, r.text) for r in sample)[: params.documents]
+    return fit_field([t for _, t in chosen], params)
 
 
 def find_personal_data(docs: DataFrame, field: Field, params: CrfParams = CrfParams(), text: str = "text", key: str = "doc_id", redact: bool = False) -> DataFrame:
