@@ -27,7 +27,7 @@ from quadrel.llm.jaccard import JaccardParams, signatures
 INSULTS = {
     "stupidity": "idiot idiots idiotic moron morons stupid dumb imbecile fool fools retard retarded".split(),
     "contempt": "loser losers pathetic worthless useless clown trash garbage scum filth filthy vermin".split(),
-    "disgust": "disgusting gross vile pig pigs ugly".split(),
+    "disgust": "disgusting revolting repulsive ugly".split(),
     "profanity": "fuck fucking shit shitty bitch bastard asshole crap damn".split(),
 }
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‚‘’…–—¡¿"
@@ -39,7 +39,8 @@ class VoterParams:
     stems: tuple[int, ...] = (4, 5, 6, 7)  # lengths of word beginnings that may be terms
     groups: int = 4  # lexicon voters of each kind of term
     lift: float = 40.0  # least ratio of a term's document rates in toxic and clean texts
-    chance: float = 1e-5  # most likely chance of a term's toxic count at its clean rate
+    chance: float = 1e-6  # most likely chance of a term's toxic count at its clean rate
+    folds: int = 3
     iterations: int = 40
     seed: int = 5
 
@@ -61,7 +62,7 @@ class Voters:
         return ["two terms", "term share", "no mined word", "no stem", "no insult"]
 
     def pieces(self, word: str) -> list[tuple[str, str]]:
-        return [("word", word), *((f"stem{n}", word[:n]) for n in self.params.stems if len(word) > n)]
+        return [] if not word else [("word", word), *((f"stem{n}", word[:n]) for n in self.params.stems if len(word) > n)]
 
     def _say(self, word: str) -> tuple[int, ...] | None:
         """Voters that a raw word sets off, or None."""
@@ -130,22 +131,51 @@ def poisson_tail(n: int, mean: float) -> float:
     return total
 
 
-def mine(texts: list[str], labels: list[int], params: VoterParams) -> Voters:
-    """Terms whose document rate in toxic texts is ``lift`` times that in clean ones or more,
-    and that chance does not explain: their count in toxic texts must be a rare one (Poisson)
-    at the rate that one more clean text with the term would mean."""
-    voters = Voters(params)
-    seen: tuple[dict, dict] = ({}, {})
-    for text, label in zip(texts, labels, strict=True):
-        own = {p for w in {w.lower().strip(STRIP) for w in text.split()} if w for p in voters.pieces(w)}
-        for piece in own:
-            seen[label][piece] = seen[label].get(piece, 0) + 1
-    toxic, clean = max(1, sum(labels)), max(1, len(labels) - sum(labels))
-    for (kind, term), n in seen[1].items():
-        other = seen[0].get((kind, term), 0)
-        if n >= 2 and n / toxic >= params.lift * (other + 0.5) / clean and poisson_tail(n, toxic * (other + 1) / clean) <= params.chance:
-            voters.terms.setdefault(kind, set()).add(term)
-    return voters.prepare()
+def mine(texts: list[str], labels: list[int], params: VoterParams) -> list[Voters]:
+    """Lexicons of all texts, and of all but those of each fold (text i is in fold i modulo
+    ``folds``): 1 + folds voters.
+
+    Terms are those whose document rate in toxic texts is ``lift`` times that in clean ones or
+    more, and that chance does not explain: their count in toxic texts must be a rare one
+    (Poisson) at the rate that one more clean text with the term would mean. Toxic texts
+    count by their different neighbours of the term, so a passage that many share counts
+    once. Clean texts are counted for terms that some toxic text has.
+    """
+    shape = Voters(params)
+    contexts: dict[tuple[str, str], list[set]] = {}
+    clean_texts: dict[tuple[str, str], list[int]] = {}
+    numbers = [[0, 0] for _ in range(params.folds)]
+    for wanted in (1, 0):
+        for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
+            if label != wanted:
+                continue
+            fold = i % params.folds
+            numbers[fold][label] += 1
+            words = text.split()
+            if label:
+                own: dict[tuple[str, str], tuple] = {}
+                for at, word in enumerate(words):
+                    for piece in shape.pieces(word.lower().strip(STRIP)):
+                        if piece not in own:
+                            own[piece] = (words[at - 1] if at else "", words[at + 1] if at + 1 < len(words) else "")
+                for piece, context in own.items():
+                    contexts.setdefault(piece, [set() for _ in range(params.folds)])[fold].add(context)
+            else:
+                for piece in {p for w in {w.lower().strip(STRIP) for w in words} for p in shape.pieces(w)}:
+                    if piece in contexts:
+                        clean_texts.setdefault(piece, [0] * params.folds)[fold] += 1
+    out = []
+    for left_out in (None, *range(params.folds)):
+        kept = [f for f in range(params.folds) if f != left_out]
+        clean, toxic = (max(1, sum(numbers[f][label] for f in kept)) for label in (0, 1))
+        voters = Voters(params)
+        for piece, own_contexts in contexts.items():
+            n = len(set().union(*[own_contexts[f] for f in kept]))
+            other = sum(clean_texts[piece][f] for f in kept) if piece in clean_texts else 0
+            if n >= 2 and n / toxic >= params.lift * (other + 0.5) / clean and poisson_tail(n, toxic * (other + 1) / clean) <= params.chance:
+                voters.terms.setdefault(piece[0], set()).add(piece[1])
+        out.append(voters.prepare())
+    return out
 
 
 @dataclass
@@ -234,8 +264,14 @@ def fit_toxicity(texts: list[str], labels: list[int], params: VoterParams = Vote
     """
     kept = without_copies(texts)
     texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
-    voters = mine(texts, labels, params)
-    counts, sizes = voters.counts(texts)
+    # A lexicon flatters the texts it was mined from, so what voters say about a text is
+    # learned from lexicons mined without it: a voter is the same kind and group of terms.
+    voters, *without = mine(texts, labels, params)
+    counts, sizes = np.zeros((len(texts), len(voters.names())), np.float32), np.zeros(len(texts), np.float32)
+    for fold, other in enumerate(without):
+        own = list(range(fold, len(texts), params.folds))
+        if own:
+            counts[own], sizes[own] = other.counts([texts[i] for i in own])
     votes = voters.votes(counts, sizes)
     model = fit_label_model(votes, params)
     target = model.posterior(votes) if len(texts) else np.zeros(0)
