@@ -13,8 +13,8 @@ RECORD = 32
 def read_bus(spark: SparkSession, path: str, chunk_records: int = 2_000_000) -> tuple[DataFrame, int, int]:
     """((rec_ix, barcode, umi, ec, count, flags), barcode length, UMI length).
 
-    The header is read from the file's first bytes. Record ranges are dealt to tasks, each of
-    which opens the file by Hadoop's reader of whole files and keeps its range only.
+    The header is read from the file's first bytes; records are parsed in pieces of
+    ``chunk_records``. Larger inputs come as several files, which are read one by one.
     """
     head = spark.read.format("binaryFile").load(path).select(F.expr("substring(content, 1, 20)").alias("h"), "length").first()
     magic, _, barcode_length, umi_length, text = struct.unpack("<4sIIII", bytes(head.h))
@@ -22,9 +22,12 @@ def read_bus(spark: SparkSession, path: str, chunk_records: int = 2_000_000) ->
         raise ValueError("not a BUS file")
     start = 20 + text
     total = (head.length - start) // RECORD
-    ranges = spark.range(0, max(1, -(-total // chunk_records))).select((F.col("id") * chunk_records).alias("first"))
-    content = spark.read.format("binaryFile").load(path).select("content")
-    pieces = content.join(F.broadcast(ranges)).select("first", F.expr(f"substring(content, cast({start} + first * {RECORD} + 1 as int), {chunk_records * RECORD})").alias("bytes"))
+    count = max(1, -(-total // chunk_records))
+    # One task opens the file (Spark's reader gives a file as one value, 2 GB at most) and cuts
+    # it to pieces, which are then dealt to all.
+    piece = f"named_struct('first', i * {chunk_records}L, 'bytes', substring(content, cast({start} + i * {chunk_records * RECORD}L + 1 AS int), {chunk_records * RECORD}))"
+    cut = spark.read.format("binaryFile").load(path).select(F.expr(f"explode(transform(sequence(0L, {count - 1}L), i -> {piece})) AS p"))
+    pieces = cut.select("p.first", "p.bytes").repartition(count, "first")
 
     def parse(batches):
         import numpy as np

@@ -64,6 +64,8 @@ def test_cells_are_told_from_ambient(spark):
     totals = np.array([c.sum() for c in columns])
     assert top == pytest.approx(np.percentile(totals, 100 * (165 - 24) / 165))
     assert all(p[j] == 1 for j in range(150)) and all(p[j] < 0.02 for j in range(153, 165))
+    kept = records.remove_empty(m, 12, sims=300, most=10**9)
+    assert kept.n_cols == sum(x < 0.01 for x in p.values()) and kept.attrs == {"AmbientUMIs": top}
     profile = spark.createDataFrame([(i, float(x)) for i, x in enumerate(ambient)], "row_ix long, p double")
     seen = {r.col_ix: r.loglk for r in cells.multinomial_loglikelihoods(m.layer(), profile).collect()}
     for j in (0, 150):
