@@ -33,14 +33,14 @@ def aggregate(matrix: AnnotatedMatrix, group_by: str | DataFrame, how: str | lis
     if unknown:
         raise ValueError(f"unknown functions {sorted(unknown)}")
     groups = groups_of(matrix, group_by)
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    entries = matrix.layer(layer).where("value <> 0").join(groups, COL).withColumn("value", F.col("value").cast("double"))
+    # Group sizes join the columns, not the result: that would shuffle it by a few groups.
+    sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp")
+    entries = matrix.layer(layer).where("value <> 0").join(sized, COL).withColumn("value", F.col("value").cast("double"))
     keys = [ROW, "grp"]
     v, n, nnz = F.col("value"), F.col("n"), F.col("nnz")
     stats = entries.groupBy(*keys).agg(
-        F.count("*").alias("nnz"), F.sum(v).alias("total"), F.avg(v).alias("avg"), F.var_pop(v).alias("v"), F.min(v).alias("low"), F.max(v).alias("high"), F.product(v).alias("product"), F.sum(v * v).alias("squares")
+        F.max("n").alias("n"), F.count("*").alias("nnz"), F.sum(v).alias("total"), F.avg(v).alias("avg"), F.var_pop(v).alias("v"), F.min(v).alias("low"), F.max(v).alias("high"), F.product(v).alias("product"), F.sum(v * v).alias("squares")
     )
-    stats = stats.join(sizes, "grp")
     zeros = n > nnz
     variance = (nnz * F.col("v") + F.col("avg") * F.col("avg") * nnz * (n - nnz) / n) / n
     made: dict[str, Column] = {
