@@ -9,17 +9,17 @@ a record of a random sequence of its own. Texts of nearly equal length thus samp
 steps, and every step is as likely as any other, whatever the length.
 """
 
-from __future__ import annotations
-
 import hashlib
 import math
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrel.llm.common import by_size, connected_components
 
@@ -135,7 +135,7 @@ def compare_with_next(docs: DataFrame, params: WalkParams = WalkParams(), text:
     spark = docs.sparkSession
     count = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / count for i in range(1, count)]
-    cuts = rows.agg(F.percentile_approx("k", shares, 20 * count).alias("q"), F.max("k").alias("top")).first()
+    cuts = rows.agg(F.percentile_approx("k", shares, max(10_000, 4 * count)).alias("q"), F.max("k").alias("top")).first()
     if cuts.top is None:
         bounds = [0]
     else:
@@ -184,15 +184,14 @@ def compare_with_next(docs: DataFrame, params: WalkParams = WalkParams(), text:
 
 
 def _range_of(k, bounds: list[int]):
-    """Column: number of bounds below ``k``, by a search tree of comparisons."""
+    """Column: number of bounds below ``k``, by binary search in Arrow batches of ``k`` alone
+    (a search tree of expressions would grow with the number of ranges)."""
+    sorted_bounds = np.array(bounds, np.int64)
 
-    def tree(i, j):
-        if i == j:
-            return F.lit(i)
-        mid = (i + j) // 2
-        return F.when(k <= F.lit(bounds[mid]).cast("long"), tree(i, mid)).otherwise(tree(mid + 1, j))
+    def place(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(sorted_bounds, keys.to_numpy(), side="left").astype(np.int32))
 
-    return tree(0, len(bounds) - 1)
+    return F.pandas_udf(place, T.IntegerType())(k)
 
 
 def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int = 3, params: WalkParams = WalkParams(), text: str = "text", key: str = "doc_id") -> DataFrame:
