@@ -138,41 +138,57 @@ def mine(texts: list[str], labels: list[int], params: VoterParams) -> list[Voter
     Terms are those whose document rate in toxic texts is ``lift`` times that in clean ones or
     more, and that chance does not explain: their count in toxic texts must be a rare one
     (Poisson) at the rate that one more clean text with the term would mean. Toxic texts
-    count by their different neighbours of the term, so a passage that many share counts
-    once. Clean texts are counted for terms that some toxic text has.
+    count by their different neighbours of the term, so a passage that many share counts once.
+
+    Three passes keep the memory small: toxic texts are counted by hashes of terms, clean
+    texts for frequent ones, and neighbours are kept for terms that may still pass.
     """
-    shape = Voters(params)
+    shape, folds = Voters(params), params.folds
+    numbers = np.zeros((folds, 2), int)
+    for i, label in enumerate(labels):
+        numbers[i % folds, label] += 1
+    clean_all, toxic_all = np.maximum(numbers.sum(axis=0), 1)
+
+    def passes(n: int, other: int, toxic: int, clean: int, ease: float = 1.0) -> bool:
+        rate = n * ease / toxic >= params.lift * (other + 0.5) / clean
+        return n >= 2 and rate and (ease > 1 or poisson_tail(n, toxic * (other + 1) / clean) <= params.chance)
+
+    def pieces_of(text: str) -> set:
+        return {p for w in {w.lower().strip(STRIP) for w in text.split()} for p in shape.pieces(w)}
+
+    toxic_texts = [(i, t) for i, (t, label) in enumerate(zip(texts, labels, strict=True)) if label]
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for start in range(0, len(toxic_texts), 200):
+        block = [np.fromiter(map(hash, pieces_of(t)), np.int64) for _, t in toxic_texts[start : start + 200]]
+        merged, place = np.unique(np.concatenate([codes, *block]), return_inverse=True)
+        weight = np.concatenate([counts, np.ones(sum(map(len, block)), np.int64)])
+        codes, counts = merged, np.bincount(place, weight, len(merged)).astype(np.int64)
+    # One fold less may raise a term's rate by half at most; neighbours only lower its count.
+    often = {int(c): int(n) for c, n in zip(codes, counts, strict=True) if passes(n, 0, toxic_all, clean_all, 2.0)}
+    seen = {c: [0] * folds for c in often}
+    for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
+        if not label:
+            for code in map(hash, pieces_of(text)):
+                if code in seen:
+                    seen[code][i % folds] += 1
+    likely = {c for c, n in often.items() if passes(n, sum(seen[c]), toxic_all, clean_all, 2.0)}
     contexts: dict[tuple[str, str], list[set]] = {}
-    clean_texts: dict[tuple[str, str], list[int]] = {}
-    numbers = [[0, 0] for _ in range(params.folds)]
-    for wanted in (1, 0):
-        for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
-            if label != wanted:
-                continue
-            fold = i % params.folds
-            numbers[fold][label] += 1
-            words = text.split()
-            if label:
-                own: dict[tuple[str, str], tuple] = {}
-                for at, word in enumerate(words):
-                    for piece in shape.pieces(word.lower().strip(STRIP)):
-                        if piece not in own:
-                            own[piece] = (words[at - 1] if at else "", words[at + 1] if at + 1 < len(words) else "")
-                for piece, context in own.items():
-                    contexts.setdefault(piece, [set() for _ in range(params.folds)])[fold].add(context)
-            else:
-                for piece in {p for w in {w.lower().strip(STRIP) for w in words} for p in shape.pieces(w)}:
-                    if piece in contexts:
-                        clean_texts.setdefault(piece, [0] * params.folds)[fold] += 1
+    for i, text in toxic_texts:
+        words, met = text.split(), set()
+        for at, word in enumerate(words):
+            for piece in shape.pieces(word.lower().strip(STRIP)):
+                if hash(piece) in likely and piece not in met:
+                    met.add(piece)
+                    context = hash((words[at - 1] if at else "", words[at + 1] if at + 1 < len(words) else ""))
+                    contexts.setdefault(piece, [set() for _ in range(folds)])[i % folds].add(context)
     out = []
-    for left_out in (None, *range(params.folds)):
-        kept = [f for f in range(params.folds) if f != left_out]
-        clean, toxic = (max(1, sum(numbers[f][label] for f in kept)) for label in (0, 1))
+    for left_out in (None, *range(folds)):
+        kept = [f for f in range(folds) if f != left_out]
+        clean, toxic = np.maximum(numbers[kept].sum(axis=0), 1)
         voters = Voters(params)
-        for piece, own_contexts in contexts.items():
-            n = len(set().union(*[own_contexts[f] for f in kept]))
-            other = sum(clean_texts[piece][f] for f in kept) if piece in clean_texts else 0
-            if n >= 2 and n / toxic >= params.lift * (other + 0.5) / clean and poisson_tail(n, toxic * (other + 1) / clean) <= params.chance:
+        for piece, own in contexts.items():
+            n, other = len(set().union(*[own[f] for f in kept])), sum(seen[hash(piece)][f] for f in kept)
+            if passes(n, other, toxic, clean):
                 voters.terms.setdefault(piece[0], set()).add(piece[1])
         out.append(voters.prepare())
     return out
