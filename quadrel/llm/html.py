@@ -3,13 +3,15 @@
 Markup is stripped to lines, one per block of text; what stands in menus, forms, scripts and
 the like leaves blank lines. Text lengths are summed over windows of a few lines: where the
 sum rises from zero is a surge, where it is zero again a dive, and the lines between them
-form one passage. Passages of running text are kept, those of links are not.
+form one passage. Passages that only a removed element parts are joined again; those of
+running text are kept, those of links are not. <article> and <main> are one signal more.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,7 +25,7 @@ from quadrel.llm.common import by_size
 class LineBlockParams:
     window: int = 3  # lines whose text lengths are summed
     links: float = 0.5  # a passage of more link text than this share is a menu
-    height: float = 0.2  # without <article> or <main>: least peak, against the page's highest
+    height: float = 0.2  # outside <article> and <main>: least peak, against the page's highest
 
 
 # HTML's element kinds.
@@ -34,6 +36,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q ruby s samp small span strike strong sub sup time tt u var wbr rp rt nobr".split()
 )
+# Blocks of a running text; other blocks are containers of them.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address details summary".split())
 # Words of class and id attributes that name what is not main text.
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|"
@@ -71,27 +75,41 @@ class Line:
     text: str
     linked: int  # characters inside links
     main: bool  # inside <article> or <main>
+    home: tuple[int, int]  # the container it stands in, and the one around if nothing is between
 
 
 def lines(page: str, blank: int) -> list[Line | None]:
     """The page's blocks of text in order; ``blank`` None lines where anything was taken out."""
     out: list[Line | None] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is boilerplate
+    stack: list[tuple[str, bool, int]] = []  # open elements, whether each is boilerplate, its number
     parts: list[str] = []
-    skipped = main = links = linked = 0
+    skipped = main = links = linked = opened = 0
+
+    def home() -> tuple[int, int]:
+        direct, inner = True, None
+        for name, _, number in reversed(stack):
+            if name in TEXTUAL:
+                direct = False
+            elif name not in INLINE:
+                if inner is not None:
+                    return inner, number
+                if not direct:
+                    return number, number
+                inner = number
+        return (0, 0) if inner is None else (inner, 0)
 
     def end_block():
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Line(text, linked, main > 0))
+            out.append(Line(text, linked, main > 0, home()))
         parts.clear()
         linked = 0
 
     def leave(depth: int):
         nonlocal skipped, main, links
         while len(stack) > depth:
-            name, bad = stack.pop()
+            name, bad, _ = stack.pop()
             skipped -= bad
             main -= name in MAIN
             links -= name == "a"
@@ -131,13 +149,14 @@ def lines(page: str, blank: int) -> list[Line | None]:
                         leave(i)
                     break
         bad = is_boilerplate(name, m["rest"])
-        if name in MAIN and skipped and not any(n in MAIN for n, _ in stack):
+        if name in MAIN and skipped and not any(n in MAIN for n, *_ in stack):
             # The main text does not stand in a menu: an element before it was never closed.
-            leave(next(i for i, (_, b) in enumerate(stack) if b))
+            leave(next(i for i, (_, b, _) in enumerate(stack) if b))
         if bad:
             end_block()
             out.extend([None] * blank)
-        stack.append((name, bad))
+        opened += 1
+        stack.append((name, bad, opened))
         skipped += bad
         main += name in MAIN
         links += name == "a"
@@ -164,22 +183,49 @@ def passages(rows: list[Line | None], window: int) -> list[tuple[list[Line], int
     return out
 
 
+def joined(found: list[tuple[list[Line], int]], near: Callable[[Line, Line], bool]) -> list[tuple[list[Line], int]]:
+    """Neighbouring passages as one where the lines at their border are ``near`` each other."""
+    out: list[tuple[list[Line], int]] = []
+    for part, top in found:
+        if out and out[-1][0][-1].main == part[0].main and near(out[-1][0][-1], part[0]):
+            before, peak = out[-1]
+            before.extend(part)
+            out[-1] = before, max(peak, top)
+        else:
+            out.append((list(part), top))
+    return out
+
+
 def main_text(page: str | None, params: LineBlockParams = LineBlockParams()) -> str:
     """Main text of one page: blocks in page order, joined by one space; "" if there is none.
 
-    Where the page marks an <article> or <main>, every line of it counts; else the passages
-    are kept that are mostly not links and whose peak is at least ``height`` of the page's
-    highest. Nothing is cut or capped.
+    Passages end where <article> or <main> begins or ends, too. What a removed element parts
+    inside one container is judged as one passage. Outside <article> and <main> passages are
+    kept that are mostly not links and whose peak is at least ``height`` of the page's
+    highest; beside such a region they must also reach its highest peak, or hold together at
+    least as much text as the region does (it is a teaser then). Passages in the region are
+    all kept, but for those of links where the main text stands beside it. Nothing is cut
+    or capped.
     """
-    rows = lines(page or "", params.window)
-    if any(r and r.main for r in rows):
-        rows = [r if r and r.main else None for r in rows]
-        kept = [p for p, _ in passages(rows, params.window)]
-    else:
-        found = [(p, top) for p, top in passages(rows, params.window) if sum(r.linked for r in p) <= params.links * sum(len(r.text) for r in p)]
-        peak = max((top for _, top in found), default=0)
-        kept = [p for p, top in found if top >= params.height * peak]
-    return " ".join(r.text for p in kept for r in p)
+    rows: list[Line | None] = []
+    last = None
+    for r in lines(page or "", params.window):
+        if r and last and r.main != last.main:
+            rows.extend([None] * params.window)
+        rows.append(r)
+        last = r or last
+    size = lambda p: sum(len(r.text) for r in p)
+    running = lambda p: sum(r.linked for r in p) <= params.links * size(p)
+    every = joined(passages(rows, params.window), lambda a, b: a.home[0] == b.home[0])
+    found = joined([x for x in every if x[0][0].main or running(x[0])], lambda a, b: not {*a.home}.isdisjoint(b.home))
+    peak = max((top for _, top in found), default=0)
+    region = [x for x in found if x[0][0].main]
+    beside = [x for x in found if not x[0][0].main and x[1] >= params.height * peak]
+    if sum(size(p) for p, _ in beside) < sum(size(p) for p, _ in region):
+        highest = max(top for _, top in region)
+        beside = [x for x in beside if x[1] >= highest]
+    places = {id(p) for p, _ in beside} | {id(p) for p, _ in region if not beside or running(p)}
+    return " ".join(r.text for p, _ in found if id(p) in places for r in p)
 
 
 def extract_pages(pages: DataFrame, params: LineBlockParams = LineBlockParams(), key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -25,6 +25,27 @@ def test_page_without_article_by_line_blocks():
     assert main_text("plain text") == "plain text"
 
 
+def test_text_beside_a_teaser_article():
+    story = f"<p>{LONG}</p><p>{LONG}</p>"
+    want = f"{LONG.strip()} {LONG.strip()}"
+    assert main_text(f"<body><div id=content>{story}</div><article><h3>Read on</h3><p>A teaser.</p></article></body>") == f"{want} Read on A teaser."
+    assert main_text(f"<body><article><a href=1>Read this one too</a></article><div id=content>{story}</div></body>") == want
+    many = "".join(f"<p>Short paragraph {i} of the story.</p>" for i in range(40))
+    assert "paragraph 39" in main_text(f"<body><div>{many}</div><article>{LONG}</article></body>")
+    # Text beside a true article stays away, and all of the article counts.
+    assert main_text(f"<body><div><p>About this site.</p></div><article>{story}<div class=ad>x</div><p>End.</p></article><div>Imprint of us</div></body>") == f"{want} End."
+    links = f"<ul><li><a href=1>{LONG}</a></ul>"
+    assert main_text(f"<body><article><p>See:</p>{links}</article><div>Imprint</div></body>") == f"See: {LONG.strip()}"
+
+
+def test_short_end_behind_a_removed_element():
+    for end in ("<p>Short end.</p>", "Short end.", "<div>Short end.</div>", "<p>See <a href=1>the end</a>"):
+        text = " ".join(re.sub("<.*?>", "", end).split())
+        assert main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p><div class=ad>Buy</div>{end}</div></body>") == f"{LONG.strip()} {LONG.strip()} {text}"
+        assert main_text(f"<body><article><p>{LONG}</p><div class=ad>Buy</div>{end}</article></body>") == f"{LONG.strip()} {text}"
+    assert main_text(f"<body><div><p>{LONG}</p></div><div class=ad>Buy</div><section><p>Far away.</p></section></body>") == LONG.strip()
+
+
 def test_unclosed_and_hostile():
     assert main_text("<div class=ad>x<article><p>kept") == "kept"
     assert main_text("<p>a <!-- never closed <p>b") == "a"
