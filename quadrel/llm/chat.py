@@ -62,12 +62,20 @@ def _common_end(a: str, b: str) -> int:
     return len(os.path.commonprefix([a[::-1], b[::-1]]))
 
 
+def own_context(render: Callable) -> int | None:
+    """How many turns before a turn the template itself says its rendering depends on, by an
+    attribute ``context``; None, so all of them, where it says nothing."""
+    return getattr(render, "context", None)
+
+
 class BracketTemplate:
     """User turns in instruction brackets, answers closed by an end mark, system turns and
     other roles in brackets of their own. Control strings inside texts are escaped by a
     backslash after their first character, and backslashes are doubled, so any text can be
     read back and none can pose as a mark."""
 
+    context = 0  # a turn's rendering depends on no other turn
+
     # The marks.
     KNOWN = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", "</s>"), "system": ("<<SYS>>\n", "\n<</SYS>>\n\n")}
     OTHER = ("<s>[ROLE] ", "\n", " [/ROLE]")
@@ -140,12 +148,14 @@ def _streamed(batches) -> Iterator[tuple[object, Iterator[Turn]]]:
         yield conv, ((r[1], r[2]) for r in own)
 
 
-def format_turns(conversations: DataFrame, render: Callable[[list[Turn]], str] | None = None, loss_roles: tuple[str, ...] = ("assistant",), context: int | None = 2, **names) -> DataFrame:
+def format_turns(conversations: DataFrame, render: Callable[[list[Turn]], str] | None = None, loss_roles: tuple[str, ...] = ("assistant",), **names) -> DataFrame:
     """The formatted conversations, a row a turn: (conv_id, n, role, piece, loss_start,
     loss_end, rewritten). The pieces of a conversation, in the order of n, are its output
     where ``rewritten`` is 0; loss_start and loss_end are code points of the piece, null for
-    turns outside the loss mask."""
+    turns outside the loss mask. Whole prefixes are rendered, unless the template has an
+    attribute ``context`` that says how many turns before a turn matter to it."""
     render = render or BracketTemplate()
+    context = own_context(render)
 
     def run(batches):
         out: list[tuple] = []
@@ -169,7 +179,7 @@ def format_turns(conversations: DataFrame, render: Callable[[list[Turn]], str] |
     return ordered.mapInArrow(run, f"conv_id {kind}, n long, role string, piece string, loss_start long, loss_end long, rewritten long")
 
 
-def format_digests(conversations: DataFrame, context: int | None = 2, **names) -> DataFrame:
+def format_digests(conversations: DataFrame, **names) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) per
     conversation, read back from the bracket template's output.
 
@@ -183,7 +193,7 @@ def format_digests(conversations: DataFrame, context: int | None = 2, **names) -
         rows = []
         for conv, turns in _streamed(batches):
             said, loss, n, chars, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-            for s in spans(turns, template, context):
+            for s in spans(turns, template, own_context(template)):
                 if s.rewritten:
                     raise ValueError(f"the template rewrites history in conversation {conv}")
                 role, text = template.read(s.piece)

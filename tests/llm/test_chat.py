@@ -35,6 +35,22 @@ def test_rewriting_template_is_reported():
     assert [s.rewritten > 0 for s in spans([("a", "xy"), ("b", "z")], last_only)] == [False, True]
 
 
+def test_templates_that_look_far_back(spark):
+    def last_five(turns):  # drops what is before the last five turns
+        return "".join(f"<{role}>{text}" for role, text in turns[-5:])
+
+    def numbered(turns):
+        return "".join(f"{i}<{role}>{text}" for i, (role, text) in enumerate(turns))
+
+    turns = [("user", f"question {i}") if i % 2 == 0 else ("assistant", f"answer {i}") for i in range(9)]
+    frame = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    out = format_turns(frame, last_five).orderBy("n").collect()
+    assert [r.rewritten > 0 for r in out] == [False] * 5 + [True] * 4
+    out = format_turns(frame, numbered).orderBy("n").collect()
+    assert "".join(r.piece for r in out) == numbered(turns) and not any(r.rewritten for r in out)
+    assert [r.piece[r.loss_start : r.loss_end] for r in out if r.loss_start is not None] == [t for r, t in turns if r == "assistant"]
+
+
 def test_nulls_ties_and_empty(spark):
     rows = [(1, 0, None, None, "c"), (1, 0, "user", "b", "c"), (1, 0, "user", "b", "c"), (1, None, "assistant", "a", "c"), (None, 1, "assistant", "q" * 100_000, "c")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, piece string")
