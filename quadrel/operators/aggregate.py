@@ -1,7 +1,8 @@
 """Grouped aggregates of a layer that count the zeros a coordinate table leaves out.
 
-Results hold a row for every (row, group) with a non-zero value; what is absent has the
-aggregate of zeros alone (0, or the group's size for "len").
+With ``every``, results hold a row for every row and group. Without, they hold the pairs
+with a non-zero value; what is absent has the aggregate of zeros alone (0, or the group's
+size for "len").
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ def groups_of(matrix: AnnotatedMatrix, group_by: str | DataFrame) -> DataFrame:
     return source.select(COL, F.col("grp").cast("long").alias("grp"))
 
 
-def aggregate(matrix: AnnotatedMatrix, group_by: str | DataFrame, how: str | list[str] = "mean", layer: str = MAIN) -> DataFrame:
-    """(row_ix, grp, one column per function), over the columns of every group.
+def aggregate(matrix: AnnotatedMatrix, group_by: str | DataFrame, how: str | list[str] = "mean", layer: str = MAIN, every: bool = False) -> DataFrame:
+    """(row_ix, grp, one column per function), over the columns of every group; ``every``:
+    for pairs whose values are all zero, too.
 
     One shuffle of partial aggregates serves all functions but the median and positions. The
     variance merges the non-zero values' with the zeros' (both exact), so nothing cancels.
@@ -78,12 +80,25 @@ def aggregate(matrix: AnnotatedMatrix, group_by: str | DataFrame, how: str | lis
         made["last"] = F.when(F.col("a1") == n - 1, F.col("v1")).otherwise(F.lit(0.0))
         made["argmin"] = F.when(zeros & (F.col("low") > 0), zero_at).otherwise(F.col("lo.at")).cast("long")
         made["argmax"] = F.when(zeros & (F.col("high") < 0), zero_at).otherwise(F.col("hi.at")).cast("long")
-    return stats.select(*keys, *[made[f].alias(f) for f in wanted])
+    out = stats.select(*keys, *[made[f].alias(f) for f in wanted])
+    if not every:
+        return out
+    zero = {f: F.lit(0.0) for f in FUNCTIONS} | {f: F.lit(0).cast("long") for f in ("count_nonzero", "argmin", "argmax")} | {"any": F.lit(False), "all": F.lit(False), "len": F.col("_n")}
+    return grid(matrix, groups).join(out, keys, "left").select(*keys, *[F.coalesce(f, zero[f]).alias(f) for f in wanted])
 
 
-def aggregate_custom(matrix: AnnotatedMatrix, group_by: str | DataFrame, fn: Callable, layer: str = MAIN) -> DataFrame:
+def grid(matrix: AnnotatedMatrix, groups: DataFrame) -> DataFrame:
+    """(row_ix, grp, _n): every row with every group and its size. The list of groups is
+    broadcast, a row a group."""
+    sizes = groups.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("_n"))
+    return matrix.rows.select(ROW).crossJoin(F.broadcast(sizes))
+
+
+def aggregate_custom(matrix: AnnotatedMatrix, group_by: str | DataFrame, fn: Callable, layer: str = MAIN, every: bool = False) -> DataFrame:
     """(row_ix, grp, value) of ``fn(numpy vector)`` over each row's whole group, zeros included,
-    for rows and groups with a non-zero value. The vectors are made in grouped Arrow tasks."""
+    for rows and groups with a non-zero value, or for ``every`` pair. The vectors are made in
+    grouped Arrow tasks; that of zeros alone is made once a group, so ``fn`` must give equal
+    values for equal vectors."""
     groups = groups_of(matrix, group_by)
     sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp")
     ranked = sized.withColumn("at", F.row_number().over(Window.partitionBy("grp").orderBy(COL)) - 1)
@@ -97,7 +112,21 @@ def aggregate_custom(matrix: AnnotatedMatrix, group_by: str | DataFrame, fn: Cal
         vector[pdf["at"].to_numpy()] = pdf["value"].to_numpy()
         return pd.DataFrame({ROW: [pdf[ROW].iloc[0]], "grp": [pdf["grp"].iloc[0]], "value": [float(fn(vector))]})
 
-    return entries.select(ROW, "grp", "n", "at", F.col("value").cast("double").alias("value")).groupBy(ROW, "grp").applyInPandas(run, f"{ROW} long, grp long, value double")
+    out = entries.select(ROW, "grp", "n", "at", F.col("value").cast("double").alias("value")).groupBy(ROW, "grp").applyInPandas(run, f"{ROW} long, grp long, value double")
+    if not every:
+        return out
+
+    def blank(batches):
+        import numpy as np
+
+        for pdf in batches:
+            yield pdf.assign(_zero=[float(fn(np.zeros(int(n)))) for n in pdf["_n"]])[["grp", "_zero"]]
+
+    sizes = groups.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("_n"))
+    zeros = F.broadcast(sizes.mapInPandas(blank, "grp long, _zero double"))
+    # The value of a pair that is there may be null, so a mark tells pairs.
+    found = out.withColumn("_there", F.lit(True))
+    return matrix.rows.select(ROW).crossJoin(zeros).join(found, [ROW, "grp"], "left").select(ROW, "grp", F.when(F.col("_there"), F.col("value")).otherwise(F.col("_zero")).alias("value"))
 
 
 def aggregate_attributes(matrix: AnnotatedMatrix, group_by: str, how: dict[str, str] | None = None, keep_constant: bool = False) -> DataFrame:

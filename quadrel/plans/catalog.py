@@ -18,7 +18,7 @@ from quadrel.sources import storage, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "a01_aggregate_mean"
+FLAGSHIP = "a01_aggregate_mean_grid"
 
 SM = """
 sm AS (SELECT l_partkey AS row_ix, l_suppkey AS col_ix, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
@@ -163,6 +163,42 @@ def a02_custom(spark, sf):
     return agg.aggregate_custom(fx.trade(spark, sf).view(slice(0, 150), None), "ClusterID", lambda v: v.max() - v.min())
 
 
+# The same over every part and group, pairs of zeros alone included.
+
+GRID = f"""WITH {SM}, full_ AS (SELECT p_partkey AS row_ix, CAST(cluster AS BIGINT) AS grp, row_number() OVER (PARTITION BY p_partkey, cluster ORDER BY sup.col_ix) - 1 AS pos, COALESCE(value, 0) AS value
+FROM part CROSS JOIN sup LEFT JOIN sm ON sm.row_ix = p_partkey AND sm.col_ix = sup.col_ix)
+"""
+
+
+@register("a01_aggregate_mean_grid", GRID + "SELECT row_ix, grp, round(avg(value), 6) AS mean FROM full_ GROUP BY ALL")
+def a01_grid(spark, sf):
+    return agg.aggregate(fx.trade(spark, sf), "ClusterID", "mean", every=True).withColumn("mean", F.round("mean", 6))
+
+
+@register(
+    "a02_aggregate_functions_grid",
+    GRID + """SELECT row_ix, grp, sum(value) AS sum, round(var_pop(value), 4) AS var, round(stddev_pop(value), 4) AS std, min(value) AS min, max(value) AS max, count(*) FILTER (value <> 0) AS count_nonzero,
+    count(*) AS len, bool_or(value <> 0) AS any, bool_and(value <> 0) AS "all", sum(value * value) AS sumofsquares FROM full_ GROUP BY ALL""",
+)
+def a02_grid(spark, sf):
+    out = agg.aggregate(fx.trade(spark, sf), "ClusterID", ["sum", "var", "std", "min", "max", "count_nonzero", "len", "any", "all", "sumofsquares"], every=True)
+    return out.withColumn("var", F.round("var", 4)).withColumn("std", F.round("std", 4))
+
+
+@register(
+    "a02_aggregate_positions_grid",
+    GRID + """SELECT row_ix, grp, median(value) AS median, arg_min(value, pos) AS first, arg_max(value, pos) AS last,
+    arg_min(pos, (value, pos)) AS argmin, arg_min(pos, (-value, pos)) AS argmax FROM full_ GROUP BY ALL""",
+)
+def a02_positions_grid(spark, sf):
+    return agg.aggregate(fx.trade(spark, sf), "ClusterID", ["median", "first", "last", "argmin", "argmax"], every=True)
+
+
+@register("a02_aggregate_custom_grid", GRID + "SELECT row_ix, grp, max(value) - min(value) AS value FROM full_ GROUP BY ALL")
+def a02_custom_grid(spark, sf):
+    return agg.aggregate_custom(fx.trade(spark, sf), "ClusterID", lambda v: v.max() - v.min(), every=True)
+
+
 @register(
     "a03_column_attributes",
     f"""WITH {SM} SELECT CAST(region AS BIGINT) AS grp, round(avg(balance), 6) AS Balance, arg_min(cell, col_ix) AS CellID, arg_min(rname, col_ix) AS Region, arg_min(region, col_ix) AS RegionID,
