@@ -410,6 +410,25 @@ def b03(spark, sf):
     return fx.table(spark, sf, "orders").where("o_orderkey < 256").select("o_orderkey", F.explode(dna.twobit_neighbours(F.col("o_orderkey"), 4)).alias("near"))
 
 
+# Over every order: 16 letters hold all keys below 4^16.
+
+
+@register("b01_twobit_to_dna_all", "SELECT o_orderkey, array_to_string([substr('ACGT', CAST((o_orderkey >> (2 * (15 - i))) & 3 AS INT) + 1, 1) FOR i IN range(16)], '') AS dna FROM orders")
+def b01_all(spark, sf):
+    return fx.table(spark, sf, "orders").select("o_orderkey", dna.twobit_to_dna(F.col("o_orderkey"), 16).alias("dna"))
+
+
+@register("b02_dna_to_twobit_all", "SELECT o_orderkey, o_orderkey AS code FROM orders")
+def b02_all(spark, sf):
+    return b01_all(spark, sf).select("o_orderkey", dna.dna_to_twobit(F.col("dna")).alias("code"))
+
+
+@register("b03_neighbours_all", """SELECT o_orderkey, o_orderkey + (x - ((o_orderkey >> (2 * p)) & 3)) * (CAST(1 AS BIGINT) << (2 * p)) AS near FROM orders, (SELECT range AS p FROM range(16)), (SELECT range AS x FROM range(4))
+WHERE ((o_orderkey >> (2 * p)) & 3) <> x""")
+def b03_all(spark, sf):
+    return fx.table(spark, sf, "orders").select("o_orderkey", F.explode(dna.twobit_neighbours(F.col("o_orderkey"), 16)).alias("near"))
+
+
 @register("b04_class_genes", f"WITH {RB} SELECT ec, gene FROM genes")
 def b04(spark, sf):
     return records.gene_of_class(fx.class_members(spark), fx.fragment_genes(spark))
@@ -489,7 +508,7 @@ def c08(spark, sf):
 
 @register("c10_call_cells")
 def c10(spark, sf):
-    return cells.call_cells(fx.trade(spark, sf), expected_cells=20, sims=200)[1]
+    return cells.call_cells(fx.trade(spark, sf), expected_cells=20)[1]
 
 
 # --- sequences --------------------------------------------------------------------------
@@ -517,6 +536,19 @@ def i05(spark, sf):
     return b01(spark, sf).select("o_orderkey", dna.reverse_complement(F.col("dna")).alias("rc"))
 
 
+@register("w07_merge_intervals_all", """WITH e AS (SELECT l_suppkey AS id, l_orderkey AS start, l_orderkey + l_linenumber * 3 AS "end" FROM lineitem),
+m AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM e),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT id, min(start) AS start, max("end") AS "end" FROM r GROUP BY id, run""")
+def w07_all(spark, sf):
+    line = fx.table(spark, sf, "lineitem")
+    return sequences.merge_intervals(line.select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber") * 3).alias("end")))
+
+
+@register("i05_reverse_complement_all", "SELECT o_orderkey, reverse(translate(array_to_string([substr('ACGT', CAST((o_orderkey >> (2 * (15 - i))) & 3 AS INT) + 1, 1) FOR i IN range(16)], ''), 'ACGT', 'TGCA')) AS rc FROM orders")
+def i05_all(spark, sf):
+    return b01_all(spark, sf).select("o_orderkey", dna.reverse_complement(F.col("dna")).alias("rc"))
+
+
 # --- text formats -----------------------------------------------------------------------
 
 
@@ -620,12 +652,12 @@ def c03(spark, sf):
 def c07(spark, sf):
     m = fx.activity(spark, sf)
     total = m.layer().agg(F.sum("value")).first()[0]
-    return cells.simulate_loglikelihoods(spark, m.layer().groupBy(ROW).agg((F.sum("value") / F.lit(total)).alias("p")), [10, 50, 60], sims=100)
+    return cells.simulate_loglikelihoods(spark, m.layer().groupBy(ROW).agg((F.sum("value") / F.lit(total)).alias("p")), [10, 50, 60])
 
 
 @register("b09_remove_empty")
 def b09(spark, sf):
-    return records.remove_empty(fx.trade(spark, sf), 20, sims=200, most=15000).cols
+    return records.remove_empty(fx.trade(spark, sf), 20, most=15000).cols
 
 
 @register("i04_transcript_genes", "SELECT 'T' || p_partkey AS Transcript, 'G' || p_size AS Accession, p_brand AS Gene FROM part")

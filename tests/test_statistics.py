@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quadrel.functions import dna, stats
 from quadrel.matrix import AnnotatedMatrix
 from quadrel.operators import cells, records, sequences
+from quadrel.plans import catalog
 
 
 def good_turing(freqs):
@@ -123,3 +124,19 @@ def test_runs_and_fragments(spark):
 def slow_bounds(s, c, n):
     hits = [i for i in range(len(s) - n + 1) if s[i : i + n].count(c) >= n - 1]
     return hits[0], hits[-1] + n
+
+
+def test_queries_cover_whole_tables(spark, sf_dir, tmp_path):
+    orders = [(k,) for k in (0, 255, 256, 65535, 65536, 600_000, 4**16 - 1)]
+    spark.createDataFrame(orders, "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(1, k, n) for k in (10, 2999, 3000, 3004, 5_000_000) for n in (1, 2)]
+    spark.createDataFrame(lines, "l_suppkey long, l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    run = lambda name: [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+    letters = {k: "".join("ACGT"[k >> 2 * i & 3] for i in reversed(range(16))) for (k,) in orders}
+    assert dict(run("b01_twobit_to_dna_all")) == letters
+    assert dict(run("b02_dna_to_twobit_all")) == {k: k for k in letters}
+    assert dict(run("i05_reverse_complement_all")) == {k: v[::-1].translate(str.maketrans("ACGT", "TGCA")) for k, v in letters.items()}
+    near = sorted((k, k ^ x << 2 * p) for k in letters for p in range(16) for x in (1, 2, 3))
+    assert sorted(run("b03_neighbours_all")) == near
+    assert sorted(run("w07_merge_intervals_all")) == [(1, 10, 16), (1, 2999, 3010), (1, 5_000_000, 5_000_006)]
+    assert catalog.QUERIES["c07_simulate"](spark, sf_dir).select("sim").distinct().count() == 1000
