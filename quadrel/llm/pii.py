@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 MARK = re.compile("[0-9@]")
 SPACE = re.compile(r"\s")
+WORD = re.compile(r"\S+")
+EDGE = ".,;:!?\"'()[]{}<>"  # what may stand around a word
 Span = tuple[int, int, int]  # kind, start, end
 
 
@@ -74,7 +77,8 @@ class CrfParams:
     documents: int = 4000  # sampled documents with a digit or @ that weights are fitted on
     sweeps: int = 6  # rounds of message passing
     sure: float = 0.95  # least posterior of a further span
-    core: int = 6  # letters and digits of a part by which words are similar
+    core: int = 6  # letters and digits of a part by which words are similar; shorter parts must be whole words
+    longest: int = 100_000  # characters of a sampled text; longer texts teach nothing, but are searched
     ridge: float = 1.0
     agreement: float = 8.0  # skip potential before any evidence, to which the ridge pulls
     steps: int = 200
@@ -87,6 +91,12 @@ class Word:
     label: int  # kind of the pattern span over it, or NONE
 
 
+def lowered(text: str) -> str:
+    """Lower case character by character, so that offsets hold."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+
+
 def words_of(text: str, spans: list[Span], core: int) -> tuple[list[Word], list[str]]:
     """Suspicious words in order, with the spelling by which each is tied to others."""
     found: dict[int, tuple[int, int]] = {}
@@ -100,30 +110,40 @@ def words_of(text: str, spans: list[Span], core: int) -> tuple[list[Word], list[
         space = SPACE.search(text, m.end())
         end = space.start() if space else len(text)
         found[start] = (start, end)
-    parts = set()
+    parts, short = set(), {}  # short: start of an address -> its local part
     for kind, a, b in spans:
         if kind == 0:
-            local = text[a:b].split("@")[0]
+            local = text[a:b].split("@")[0].lower()
             if len(local) >= core:
-                parts.add(local.lower())
-    low = text.lower()
-    if len(low) == len(text):
-        for part in sorted(parts):
-            at = low.find(part)
-            while at >= 0:
-                start = at
-                while start > 0 and not text[start - 1].isspace():
-                    start -= 1
-                space = SPACE.search(text, at)
-                stop = space.start() if space else len(text)
-                found.setdefault(start, (start, stop))
-                at = low.find(part, stop)
+                parts.add(local)
+            elif local.strip(EDGE):
+                short[a] = local.strip(EDGE)
+    low = lowered(text) if parts or short else ""
+    for part in sorted(parts):
+        at = low.find(part)
+        while at >= 0:
+            start = at
+            while start > 0 and not text[start - 1].isspace():
+                start -= 1
+            space = SPACE.search(text, at)
+            stop = space.start() if space else len(text)
+            found.setdefault(start, (start, stop))
+            at = low.find(part, stop)
+    whole, starts = set(short.values()), sorted(short)
+    if whole:
+        for m in WORD.finditer(low):
+            if m[0].strip(EDGE) in whole:
+                found.setdefault(m.start(), m.span())
     out, ties = [], []
     ordered = sorted(spans, key=lambda s: s[1])
     for a, b in sorted(found.values()):
         label = next((kind for kind, x, y in ordered if x < b and a < y), NONE)
-        word = text[a:b].lower()
-        tie = next((p for p in sorted(parts) if p in word), None) or re.sub(r"[^0-9a-z]", "", word)
+        word = lowered(text[a:b])
+        tie = next((p for p in sorted(parts) if p in word), None)
+        if tie is None and starts:
+            i = bisect_left(starts, a)
+            tie = short[starts[i]] if i < len(starts) and starts[i] < b else None
+        tie = tie or re.sub(r"[^0-9a-z]", "", word)
         out.append(Word(a, b, label))
         ties.append(tie)
     return out, ties
@@ -273,9 +293,9 @@ def train_field(docs: DataFrame, params: CrfParams = CrfParams(), text: str = "t
 
     How many there are says which share of the hashes' range holds about that many, so only
     those texts come to the driver, each once, however many partitions or copies there are.
-    Texts over 100,000 characters are left out of the sample (not of the search).
+    Texts over ``longest`` characters are left out of the sample (not of the search).
     """
-    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 100_000)).withColumn("h", F.xxhash64("text"))
+    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= params.longest)).withColumn("h", F.xxhash64("text"))
     number = rows.agg(F.approx_count_distinct("h")).first()[0]
     share = min(1.0, 1.3 * params.documents / max(1, number))
     bound = min(2**63 - 1, int(-(2**63) + share * 2**64))

@@ -54,6 +54,17 @@ def test_field_widens_and_agrees():
     assert more_spans(clean, base_spans(clean), field, CrfParams()) == []
 
 
+def test_repeats_are_found_at_the_production_threshold():
+    field = fit_field(TRAINING)
+    far = "and so on " * 500
+    for address, mention in (("longname.42", "longname.42"), ("johnsmith", "JohnSmith"), ("jdoe7", "jdoe7"), ("ann", "Ann"), ("jdoe", "jdoe")):
+        for first in ("", "\u0130stanbul, "):
+            text = f"{first}mail <{address}@mail.example.com>. {far}Later, {mention}, wrote of {mention}s again"
+            found = [(KINDS[k], text[a:b], a) for k, a, b in more_spans(text, base_spans(text), field, CrfParams())]
+            want = [("email", mention, text.rindex(f" {mention},") + 1)]
+            assert found[:1] == want and (len(address) >= CrfParams().core or found == want), text[:40]
+
+
 @settings(max_examples=100, deadline=None)
 @given(TEXT)
 def test_field_takes_any_text(text):
