@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrel.llm.common import by_size, connected_components
+from quadrel.llm.common import by_size, checkpointed, connected_components, pair_components, whole_groups
 
 PERIOD = 8192  # steps after which the walk's random bits repeat
 
@@ -194,23 +194,65 @@ def _range_of(k, bounds: list[int]):
     return F.pandas_udf(place, T.IntegerType())(k)
 
 
-def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int = 3, params: WalkParams = WalkParams(), text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int = 3, block: int = 1000, params: WalkParams = WalkParams(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, class_id): texts in few edits of each other get one class, the least key.
 
     Equal texts form one group first. Every band samples ``width`` slots of the fingerprint
-    at random; in each bucket of a band the texts are paired with its least key, and pairs
-    are verified by the share of agreeing slots. A bucket of n texts gives n - 1 pairs, so
-    texts that are close only to others than a bucket's least one meet in other bands. Rows
-    with null keys get a null class.
+    at random; texts that meet in a bucket, directly or through others, are a candidate group,
+    and all pairs of a group are verified by the share of agreeing slots. A group is dealt to
+    blocks of about ``block`` texts, a task a pair of blocks, so work is quadratic in a group's
+    size; a task returns a spanning forest. Rows with null keys get a null class.
     """
     marked = fingerprint_documents(docs, params, text, key).withColumn("doc_id", F.col("doc_id").cast("long"))
-    prints = marked.groupBy("fingerprint", "n_chars").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
+    prints = checkpointed(marked.groupBy("fingerprint", "n_chars").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"))
     rng = np.random.default_rng([params.seed, 2])
     keys = [F.xxhash64(F.lit(b), *[F.substring("fingerprint", 2 * int(s) + 1, 2) for s in rng.choice(params.slots, width, replace=False)]) for b in range(bands)]
     banded = prints.select("rep", "fingerprint", F.explode(F.array(*keys)).alias("bucket"))
-    first = banded.groupBy("bucket").agg(F.min_by("fingerprint", "rep").alias("head_print"), F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    same = sum(F.when(F.substring("fingerprint", 2 * i + 1, 2) == F.substring("head_print", 2 * i + 1, 2), 1).otherwise(0) for i in range(params.slots))
-    pairs = banded.join(first, "bucket").where("rep <> head").select("rep", "head", "fingerprint", "head_print").distinct()
-    classes = connected_components(pairs.where(same >= math.ceil(least * params.slots)).select(F.col("rep").alias("u"), F.col("head").alias("v")))
+    met = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
+    groups = connected_components(banded.join(met, "bucket").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct())
+    members = prints.join(groups, F.col("rep") == F.col("node")).select("component", "rep", "fingerprint", "n_chars")
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = (
+        members.join(sizes, "component")
+        .withColumn("own", F.pmod(F.xxhash64("fingerprint", "n_chars"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "component",
+            (F.least("own", "other") * F.lit(1 << 31).cast("long") + F.greatest("own", "other")).alias("pair"),
+            "rep",
+            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
+            F.unhex("fingerprint").alias("code"),
+        )
+    )
+    need = math.ceil(least * params.slots)
+
+    def verify(batches):
+        for table in whole_groups(batches, 2):
+            group, pair, rep = (table.column(i).to_numpy() for i in range(3))
+            side = table.column(3).to_numpy()
+            codes = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, params.slots)
+            starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (pair[1:] != pair[:-1])])
+            for i, j in zip(starts, np.r_[starts[1:], len(group)], strict=True):
+                a, b = alike(codes[i:j], side[i:j], need)
+                low = pair_components(j - i, a, b)
+                hit = np.flatnonzero(low != np.arange(j - i))
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[i:j][hit]), pa.array(rep[i:j][low[hit]])], ["u", "v"])
+
+    links = placed.repartition("component", "pair").sortWithinPartitions("component", "pair", "rep").mapInArrow(verify, "u long, v long")
+    classes = connected_components(links)
     named = prints.join(classes, F.col("rep") == F.col("node"), "left").select("fingerprint", "n_chars", F.coalesce("component", "rep").alias("class_id"))
     return marked.join(named, ["fingerprint", "n_chars"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+
+
+def alike(codes: np.ndarray, side: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (a < b) of rows that agree in ``need`` places or more; rows of sides 1 and
+    2 are paired with the other side only."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(codes), 16):
+        agree = (codes[i : i + 16, None, :] == codes[None, i:, :]).sum(axis=2) >= need
+        agree &= (side[i : i + 16, None] != side[None, i:]) | (side[None, i:] == 0)
+        a, b = np.nonzero(np.triu(agree, 1))
+        left.append(a + i)
+        right.append(b + i)
+    return np.concatenate(left), np.concatenate(right)

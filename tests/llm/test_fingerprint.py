@@ -78,6 +78,24 @@ def test_near_texts_share_a_class(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, None: None}
 
 
+def test_near_texts_behind_heads_that_fail(spark):
+    rng = random.Random(6)
+    piece = lambda: prose(rng, 40)[:150]  # noqa: E731 (equal lengths sample equal steps)
+    blocks = [piece() for _ in range(10)]
+    family = []
+    for _ in range(200):  # each shares another 60% of the text; in every band one shares the bucket
+        changed = set(rng.sample(range(10), 4))
+        family.append(" ".join(piece() if i in changed else x for i, x in enumerate(blocks)))
+    text = " ".join(blocks)
+    near = text[:900] + "q" + text[901:]
+    codes = fingerprints([*family, text, near])
+    assert likeness(codes[-2], codes[-1]) > 0.85 and max(likeness(c, d) for c in codes[:-2] for d in codes[-2:]) < 0.7
+    frame = spark.createDataFrame([*enumerate(family), (1000, text), (1001, near)], "doc_id long, text string")
+    for block in (1000, 7):
+        got = {r.doc_id: r.class_id for r in near_texts(frame, block=block).collect()}
+        assert (got[1000], got[1001]) == (1000, 1000)
+
+
 def test_query_against_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in op10_edit_fingerprint(spark, sf_dir).collect()), key=repr)
