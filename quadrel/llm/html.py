@@ -1,10 +1,11 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one per block of text; what stands in menus, forms, scripts and
-the like leaves blank lines. Text lengths are summed over windows of a few lines: where the
-sum rises from zero is a surge, where it is zero again a dive, and the lines between them
-form one passage. Passages that only a removed element parts are joined again; those of
-running text are kept, those of links are not. <article> and <main> are one signal more.
+Markup is stripped to lines, one per block of text. Blank lines part what stands in different
+containers, and stand for what the contract names as no text (scripts, forms, menus and the
+like). Text and link lengths are summed over windows of a few lines: where the sum rises from
+zero is a surge, where it is zero again a dive, and the lines between them form one passage.
+The page's heaviest passage sets the height that others must reach; <article> and <main> are a
+weight in that comparison, not a switch. The whole is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from quadrel.llm.common import by_size
 class LineBlockParams:
     window: int = 3  # lines whose text lengths are summed
     links: float = 0.5  # a passage of more link text than this share is a menu
-    height: float = 0.2  # outside <article> and <main>: least peak, against the page's highest
+    height: float = 0.5  # least peak of a further passage, against that of the heaviest
+    weight: float = 2.0  # what a character in <article> or <main> counts against others
 
 
 # HTML's element kinds.
@@ -38,10 +40,13 @@ INLINE = set(
 )
 # Blocks of a running text; other blocks are containers of them.
 TEXTUAL = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address details summary".split())
-# Words of class and id attributes that name what is not main text.
+# Whole names in class and id attributes that say menu, header, footer, sidebar, notice, advert,
+# form or reader comments, alone or with a word for a place or a box. Other names say nothing:
+# what they hold is judged by its text.
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|"
-    r"comments?|disqus|replies|respond|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|login|signup|search)(?=$|[\s_-])",
+    r"(?:^|\s)(?:(?:site|page|top|bottom|left|right|main|global|primary|secondary|user|reader|cookie|google|text|side|sticky|article|post)[_-])*"
+    r"(?:ads?|advert(?:s|isements?|ising)?|banners?|sponsor(?:ed|s)?|promos?|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footers?|headers?|masthead|cookies?|consent|notices?|gdpr|popups?|modals?|newsletter|comments?|disqus|replies)"
+    r"(?:[_-](?:box|bar|block|area|list|section|container|wrapper|wrap|inner|outer|content|unit|slot|banner|notice|consent|form|thread|item|links?|top|bottom|left|right|[0-9]+))*(?=$|\s)",
     re.I,
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
@@ -74,158 +79,222 @@ def is_boilerplate(name: str, rest: str) -> bool:
 class Line:
     text: str
     linked: int  # characters inside links
-    main: bool  # inside <article> or <main>
-    home: tuple[int, int]  # the container it stands in, and the one around if nothing is between
-
-
-def lines(page: str, blank: int) -> list[Line | None]:
-    """The page's blocks of text in order; ``blank`` None lines where anything was taken out."""
-    out: list[Line | None] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements, whether each is boilerplate, its number
-    parts: list[str] = []
-    skipped = main = links = linked = opened = 0
-
-    def home() -> tuple[int, int]:
-        direct, inner = True, None
-        for name, _, number in reversed(stack):
-            if name in TEXTUAL:
-                direct = False
-            elif name not in INLINE:
-                if inner is not None:
-                    return inner, number
-                if not direct:
-                    return number, number
-                inner = number
-        return (0, 0) if inner is None else (inner, 0)
-
-    def end_block():
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        if text:
-            out.append(Line(text, linked, main > 0, home()))
-        parts.clear()
-        linked = 0
-
-    def leave(depth: int):
-        nonlocal skipped, main, links
-        while len(stack) > depth:
-            name, bad, _ = stack.pop()
-            skipped -= bad
-            main -= name in MAIN
-            links -= name == "a"
-            if bad:
-                out.extend([None] * blank)
-
-    def say(raw: str):
-        nonlocal linked
-        if raw and not skipped:
+    main: int  # number of the innermost <article> or <main> around it, or 0
+    inside: int  # number of the container it stands in
+    around: int  # the container around that one
+    direct: bool  # no textual block between it and its container
+
+
+@dataclass
+class Open:
+    """An open element. ``inside`` and ``around`` are what text in it stands in."""
+
+    name: str
+    bad: bool
+    number: int
+    inside: int
+    around: int
+    direct: bool
+    main: int
+
+
+ROOT = Open("", False, 0, 0, -1, True, 0)
+
+
+class Reader:
+    """The page's blocks of text in order, with ``blank`` None lines where anything was taken
+    out and where the container changes. ``places`` gives the lines of every <article> and
+    <main>, by its number. Every element is entered and left once, so work is linear."""
+
+    def __init__(self, page: str, blank: int):
+        self.blank = [None] * blank
+        self.out: list[Line | None] = []
+        self.places: dict[int, tuple[int, int]] = {}
+        self.stack = [ROOT]
+        self.depths: dict[str, list[int]] = {}  # places of the open elements of a name
+        self.blocks = [0]  # places of the open elements that are blocks
+        self.parts: list[str] = []
+        self.skipped = self.links = self.linked = self.count = 0
+        self.last: Line | None = None
+        at = 0
+        for m in TOKEN.finditer(page):
+            self.say(page[at : m.start()])
+            at = m.end()
+            name = (m["name"] or "").lower()
+            if name:
+                self.tag(name, bool(m["close"]), m["rest"])
+        self.say(page[at:])
+        self.leave(1)
+        self.end_block()
+
+    def say(self, raw: str) -> None:
+        if raw and not self.skipped:
             text = entities.unescape(raw)
-            parts.append(text)
-            if links:
-                linked += len("".join(text.split()))
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
-            continue
-        block = name not in INLINE
-        if block:
-            end_block()
-        if m["close"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                leave(depth)
-            continue
-        if name in VOID or m["rest"].endswith("/"):
-            continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # their end tags may be left out
-            fence = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(name, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name or name == "p" and stack[i][0] not in INLINE or stack[i][0] in fence:
-                    if stack[i][0] == name:
-                        leave(i)
-                    break
-        bad = is_boilerplate(name, m["rest"])
-        if name in MAIN and skipped and not any(n in MAIN for n, *_ in stack):
+            self.parts.append(text)
+            if self.links:
+                self.linked += len("".join(text.split()))
+
+    def end_block(self) -> None:
+        text = " ".join("".join(self.parts).split()) if self.parts else ""
+        if text:
+            top = self.stack[-1]
+            if self.last and self.last.inside != top.inside:
+                self.out.extend(self.blank)
+            self.last = Line(text, self.linked, top.main, top.inside, top.around, top.direct)
+            self.out.append(self.last)
+        self.parts.clear()
+        self.linked = 0
+
+    def leave(self, depth: int) -> None:
+        """Close the open elements from this place on."""
+        while len(self.stack) > max(depth, 1):
+            element = self.stack[-1]
+            if element.name not in INLINE:
+                self.end_block()
+                self.blocks.pop()
+            self.stack.pop()
+            self.depths[element.name].pop()
+            self.skipped -= element.bad
+            self.links -= element.name == "a"
+            if element.name in MAIN:
+                self.places[element.number] = (self.places[element.number][0], len(self.out))
+            if element.bad:
+                self.out.extend(self.blank)
+
+    def nearest(self, *names: str) -> int:
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def tag(self, name: str, closing: bool, rest: str) -> None:
+        if name not in INLINE:
+            self.end_block()
+        if closing:
+            if depth := self.nearest(name):
+                self.leave(depth)
+            return
+        if name in VOID or rest.endswith("/"):
+            return
+        # Blocks whose end tags may be left out.
+        if name == "p" and self.stack[self.blocks[-1]].name == "p":
+            self.leave(self.blocks[-1])
+        elif name in FENCES and self.nearest(name) > self.nearest(*FENCES[name]):
+            self.leave(self.nearest(name))
+        bad = is_boilerplate(name, rest)
+        if name in MAIN and self.skipped and not self.stack[-1].main:
             # The main text does not stand in a menu: an element before it was never closed.
-            leave(next(i for i, (_, b, _) in enumerate(stack) if b))
+            self.leave(next(i for i, e in enumerate(self.stack) if e.bad))
         if bad:
-            end_block()
-            out.extend([None] * blank)
-        opened += 1
-        stack.append((name, bad, opened))
-        skipped += bad
-        main += name in MAIN
-        links += name == "a"
-    say(page[at:])
-    end_block()
-    return out
+            self.end_block()
+            self.out.extend(self.blank)
+        self.count += 1
+        up = self.stack[-1]
+        if name in INLINE:
+            place = (up.inside, up.around, up.direct)
+        elif name in TEXTUAL:
+            place = (up.inside, up.around, False)
+        else:
+            place = (self.count, up.inside, True)
+        if name in MAIN:
+            self.places[self.count] = (len(self.out), len(self.out))
+        self.depths.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(Open(name, bad, self.count, *place, self.count if name in MAIN else up.main))
+        self.skipped += bad
+        self.links += name == "a"
+
 
+# Elements that a new one of the same name closes, unless one of these stands between.
+FENCES = {
+    "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",),
+}
 
-def passages(rows: list[Line | None], window: int) -> list[tuple[list[Line], int]]:
-    """Runs of lines between a surge and a dive, each with its highest window sum."""
+
+@dataclass
+class Passage:
+    lines: list[Line]
+    start: int  # place of its first line in the page
+    peak: int  # highest window sum of text
+    size: int
+    linked: int
+
+    def joins(self, other: Passage) -> bool:
+        """Does the other passage, which follows, go on in the same container or in one that
+        is no more than a paragraph of it?"""
+        a, b = self.lines[-1], other.lines[0]
+        if a.main != b.main:
+            return False
+        homes = [{x.inside, x.around if x.direct else x.inside} for x in (a, b)]
+        return bool(homes[0] & homes[1])
+
+
+def passages(rows: list[Line | None], window: int) -> list[Passage]:
+    """Runs of lines between a surge and a dive of the window sums."""
     sizes = [len(r.text) if r else 0 for r in rows]
-    sums, total = [], 0
-    for i in range(len(sizes) + window - 1):  # sums[i] covers the lines i-window+1 .. i
+    out: list[Passage] = []
+    surge, total, peak = None, 0, 0
+    for i in range(len(sizes) + window):  # total covers the lines i-window+1 .. i
         total += (sizes[i] if i < len(sizes) else 0) - (sizes[i - window] if i >= window else 0)
-        sums.append(total)
-    out: list[tuple[list[Line], int]] = []
-    surge = None
-    for i, value in enumerate([*sums, 0]):
-        if value and surge is None:
-            surge = i
-        elif not value and surge is not None:
-            out.append(([r for r in rows[surge:i] if r], max(sums[surge:i])))
+        if total and surge is None:
+            surge, peak = i, 0
+        peak = max(peak, total)
+        if not total and surge is not None:
+            own = [r for r in rows[surge:i] if r]
+            out.append(Passage(own, surge, peak, sum(len(r.text) for r in own), sum(r.linked for r in own)))
             surge = None
     return out
 
 
-def joined(found: list[tuple[list[Line], int]], near: Callable[[Line, Line], bool]) -> list[tuple[list[Line], int]]:
-    """Neighbouring passages as one where the lines at their border are ``near`` each other."""
-    out: list[tuple[list[Line], int]] = []
-    for part, top in found:
-        if out and out[-1][0][-1].main == part[0].main and near(out[-1][0][-1], part[0]):
-            before, peak = out[-1]
-            before.extend(part)
-            out[-1] = before, max(peak, top)
+def joined(found: list[Passage], near: Callable[[Passage, Passage], bool]) -> list[Passage]:
+    """Neighbouring passages as one where they are ``near`` each other."""
+    out: list[Passage] = []
+    for p in found:
+        if out and near(out[-1], p):
+            q = out[-1]
+            q.lines.extend(p.lines)
+            q.peak, q.size, q.linked = max(q.peak, p.peak), q.size + p.size, q.linked + p.linked
         else:
-            out.append((list(part), top))
+            out.append(Passage(list(p.lines), p.start, p.peak, p.size, p.linked))
     return out
 
 
 def main_text(page: str | None, params: LineBlockParams = LineBlockParams()) -> str:
     """Main text of one page: blocks in page order, joined by one space; "" if there is none.
 
-    Passages end where <article> or <main> begins or ends, too. What a removed element parts
-    inside one container is judged as one passage. Outside <article> and <main> passages are
-    kept that are mostly not links and whose peak is at least ``height`` of the page's
-    highest; beside such a region they must also reach its highest peak, or hold together at
-    least as much text as the region does (it is a teaser then). Passages in the region are
-    all kept, but for those of links where the main text stands beside it. Nothing is cut
-    or capped.
+    Passages that only a removed element parts are joined; those that are mostly links are
+    menus. Of the others, and of all in <article> or <main>, the one of most text is the core:
+    links count against it, and text in <article> or <main> counts ``weight`` times. A passage
+    that is no menu is kept if its peak, so weighted, is at least ``height`` of the core's; if
+    it stands in an <article> or <main> (a teaser stays, but decides nothing); if it stands in
+    a container of which another passage is kept, or between two kept ones of one container's
+    parts. Where the core stands in an <article> or <main>, lists of links there are kept too.
+    Nothing is cut or capped.
     """
-    rows: list[Line | None] = []
-    last = None
-    for r in lines(page or "", params.window):
-        if r and last and r.main != last.main:
-            rows.extend([None] * params.window)
-        rows.append(r)
-        last = r or last
-    size = lambda p: sum(len(r.text) for r in p)
-    running = lambda p: sum(r.linked for r in p) <= params.links * size(p)
-    every = joined(passages(rows, params.window), lambda a, b: a.home[0] == b.home[0])
-    found = joined([x for x in every if x[0][0].main or running(x[0])], lambda a, b: not {*a.home}.isdisjoint(b.home))
-    peak = max((top for _, top in found), default=0)
-    region = [x for x in found if x[0][0].main]
-    beside = [x for x in found if not x[0][0].main and x[1] >= params.height * peak]
-    if sum(size(p) for p, _ in beside) < sum(size(p) for p, _ in region):
-        highest = max(top for _, top in region)
-        beside = [x for x in beside if x[1] >= highest]
-    places = {id(p) for p, _ in beside} | {id(p) for p, _ in region if not beside or running(p)}
-    return " ".join(r.text for p, _ in found if id(p) in places for r in p)
+    read = Reader(page or "", params.window)
+    running = lambda p: p.linked <= params.links * p.size
+    weight = lambda p: params.weight if p.lines[0].main else 1.0
+    same = joined(passages(read.out, params.window), lambda a, b: a.lines[-1].inside == b.lines[0].inside and a.lines[-1].main == b.lines[0].main)
+    found = joined([p for p in same if p.lines[0].main or running(p)], Passage.joins)
+    if not found:
+        return ""
+    core = max(found, key=lambda p: p.size * weight(p) - p.linked)
+    least = params.height * core.peak * weight(core)
+    kept = {p.start for p in found if p is core or running(p) and (p.lines[0].main or p.peak * weight(p) >= least)}
+    shared = {r.inside for p in found if p.start in kept for r in p.lines}
+    spread: dict[int, list[int]] = {}  # container -> first and last kept part
+    for p in found:
+        if p.start in kept:
+            spread.setdefault(p.lines[0].around, [p.start, p.start])[1] = p.start
+    for p in found:
+        first, last = spread.get(p.lines[0].around, (0, 0))
+        if running(p) and (first < p.start < last or any(r.inside in shared for r in p.lines)):
+            kept.add(p.start)
+    chosen = [(p.start, p.lines) for p in found if p.start in kept]
+    if core.lines[0].main:
+        first, last = read.places[core.lines[0].main]
+        # The region holds whole passages: they end where the innermost <article> or <main> changes.
+        chosen = [x for x in chosen if not first <= x[0] < last]
+        chosen.append((first, [r for r in read.out[first:last] if r]))
+    return " ".join(r.text for _, lines in sorted(chosen, key=lambda x: x[0]) for r in lines)
 
 
 def extract_pages(pages: DataFrame, params: LineBlockParams = LineBlockParams(), key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
