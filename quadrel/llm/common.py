@@ -2,50 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrel.functions.index import checkpointed
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, by Spark's reader (any store Spark can open)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable folder named by ``spark.checkpoint.dir``.
-
-    Only where the session names none (as in unit tests) a temporary folder is set.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node that ``edges`` (u, v; longs) connect to each node.
 
     Alternating large-star and small-star steps: every step groups edges by a node and
     points the neighbours to the group's minimum, so the work is two shuffles of the edges
-    a round and about log2(diameter) rounds. The minimum per node is pre-aggregated before
-    the shuffle and joined back, so a hub is never gathered in one task (AQE splits it).
-    Nodes without edges are not in the result; null ends and self loops are ignored.
+    a round and about log2(diameter) rounds. Minima are pre-aggregated; a hub's minimum comes
+    to its edges by broadcast, so no hub is gathered in one task. Nodes without edges are not
+    in the result; null ends and self loops are ignored.
     """
     pairs = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
     current = checkpointed(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    state = (current.count(), None)
     for _ in range(max_rounds):
+        # Of nodes with more edges than this there are at most 8,192 a step.
+        many = max(64, state[0] // 4096)
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = _with_least(both, many).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = (
-            large.join(lowest, "u")
+            _with_least(large, many)
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
@@ -62,6 +51,71 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def _with_least(edges: DataFrame, many: int) -> DataFrame:
+    """(u, v, m): every edge with the least v of its u. Nodes of more than ``many`` edges are
+    few, so their minima are broadcast; the others are joined."""
+    tally = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = tally.where(F.col("n") > many).select("u", F.col("m").alias("h"))
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    plain = marked.where("h IS NULL").select("u", "v").join(tally.where(F.col("n") <= many).select("u", "m"), "u")
+    return marked.where("h IS NOT NULL").select("u", "v", F.col("h").alias("m")).unionByName(plain)
+
+
+PAIR = 1 << 31
+BY_BAND = 1 << 62  # bit of ``pair`` that marks a group of one band
+
+
+def candidate_groups(classes: DataFrame, block: int, block_weight: int) -> DataFrame:
+    """(group, pair, side, rep, alone): where each class meets those that share a band.
+
+    ``classes`` is (rep, weight, bands): a unique long, the cost of sending it, and an array
+    of band hashes, of which 0 means none. Classes that bands connect form a component. One
+    of at most ``block`` classes and ``block_weight`` is a group, in which all pairs meet.
+    A larger one is cut into blocks, a group for every pair of blocks, or, where that sends
+    less, into a group for every band that two share (cut into blocks likewise): loosely
+    connected texts then meet only those they share a band with. Sizes decide alone; either
+    way every two classes that share a band meet: in a group of blocks once, in groups of
+    bands (``pair`` has the bit BY_BAND, ``group`` is the band) as often as they share bands.
+    ``side`` is 0 where a block meets itself, else 1 or 2. ``alone``: one group holds the
+    whole component.
+    """
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("weight") / block_weight)).cast("int").alias("blocks")
+    total = [F.count("*").alias("n"), F.sum("weight").alias("weight")]
+    banded = classes.select("rep", "weight", F.explode("bands").alias("band")).where("band <> 0")
+    met = checkpointed(banded.groupBy("band").agg(F.min("rep").alias("head"), *total).where("n > 1").select("band", "head", "n", "weight", blocks))
+    shared = banded.join(met.select("band", "head"), "band")
+    components = connected_components(shared.where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct())
+    members = checkpointed(classes.join(components, F.col("rep") == F.col("node")).select("component", "rep", "weight"))
+    sizes = members.groupBy("component").agg(*total).select("component", "weight", blocks)
+    sends = F.col("blocks") * F.col("weight")
+    large = sizes.where("blocks > 1").select("component", sends.alias("whole"))
+    bands = met.join(components, F.col("head") == F.col("node")).join(large, "component")
+    cheaper = bands.groupBy("component").agg(F.sum(sends).alias("split"), F.first("whole").alias("whole")).where("split < whole").select("component")
+    together = members.join(sizes.select("component", "blocks"), "component").join(cheaper, "component", "left_anti")
+    split = banded.select("rep", "band").join(bands.join(cheaper, "component").select("band", "blocks"), "band")
+    dealt = together.select(F.col("component").alias("group"), "rep", "blocks", F.lit(0).cast("long").alias("mark"), (F.col("blocks") == 1).alias("alone")).unionByName(
+        split.select(F.col("band").alias("group"), "rep", "blocks", F.lit(BY_BAND).cast("long").alias("mark"), F.lit(False).alias("alone"))
+    )
+    return (
+        dealt.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "group",
+            (F.col("mark") + F.least("own", "other") * F.lit(PAIR).cast("long") + F.greatest("own", "other")).alias("pair"),
+            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
+            "rep",
+            "alone",
+        )
+    )
+
+
+def least_common(a, b):
+    """Least value that two arrays of band hashes (pairs, bands) hold at one place; 0 is none."""
+    import numpy as np
+
+    return np.where((a == b) & (a != 0), a, np.iinfo(np.int64).max).min(axis=1)
+
+
 def held_out(doc_id):
     """Column: is this id in the held-out quarter? Null ids are not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

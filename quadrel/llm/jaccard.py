@@ -3,8 +3,8 @@
 Equal texts form one class. Each class's set of word n-grams is MinHashed; bands of hashes
 are shuffled, and classes that share a band with others are joined to the band's least
 class. That forest of candidates splits the corpus into small candidate groups, outside of
-which no pair shares a band. Each text is then sent to its group once, where all pairs are
-verified on the full n-gram sets, in blocks.
+which no pair shares a band. Each text is then sent to its group once, where pairs are
+verified on the full n-gram sets; large groups are cut into blocks, or into their bands.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.llm.common import by_size, checkpointed, connected_components, pair_components, whole_groups
+from quadrel.llm.common import BY_BAND, by_size, candidate_groups, checkpointed, connected_components, least_common, pair_components, whole_groups
 
 
 @dataclass(frozen=True)
@@ -161,12 +161,12 @@ def join_similar(docs: DataFrame, params: JaccardParams = JaccardParams(), text:
     directly; class_id is the least key that links connect to the document, itself included.
     Null texts are empty; texts without words are linked to equal texts only. Rows with a null
     key get a null class and no links. Rows that share key and text are copies; rows that
-    share a key but not the text are one node with the links of each text.
+    share a key but not the text are one node with the links of each text. Keys are integers.
 
     Shuffles: a row of band hashes per text; a row per band; the candidates' edges; the
-    candidates' texts, once (and once for each other block of a very large group). A task
-    returns counts and a spanning forest of its block pair, never the pairs. Hot texts are
-    counted before the shuffle, hot bands give one edge a member.
+    candidates' texts, once (of groups over ``block`` texts, once for each of its blocks or
+    bands, whichever is less). A task returns counts and a spanning forest of its group, never
+    the pairs. Hot texts are counted before the shuffle, hot bands give one edge a member.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marked = rows.select("doc_id", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(11), "text").alias("d2"), "text")
@@ -187,29 +187,14 @@ def join_similar(docs: DataFrame, params: JaccardParams = JaccardParams(), text:
     classes = checkpointed(
         sketched.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("chars").alias("chars"), F.first("bands").alias("bands"))
     )
-    banded = classes.select("rep", F.explode("bands").alias("band")).where("band <> 0")
-    met = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    groups = connected_components(banded.join(met, "band").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct())
-    members = classes.join(groups, F.col("rep") == F.col("node")).select("component", "rep", "d1", "d2", "copies", "chars")
-    sizes = members.groupBy("component").agg(
-        F.ceil(F.greatest(F.count("*") / params.block, F.sum("chars") / params.block_chars)).cast("int").alias("blocks")
-    )
-    candidates = checkpointed(members.join(sizes, "component"))
-    placed = (
-        candidates.join(marked.withColumnRenamed("doc_id", "rep"), ["rep", "d1", "d2"])
-        .withColumn("own", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "component",
-            (F.least("own", "other") * F.lit(1 << 31).cast("long") + F.greatest("own", "other")).alias("pair"),
-            "rep",
-            "d1",
-            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-            "copies",
-            (F.col("blocks") == 1).alias("alone"),
-            "text",
-        )
+    # Texts with one key are one class by its key, but each has bands and links of its own.
+    numbered = classes.withColumn("own", F.xxhash64("rep", "d1", "d2"))
+    groups = candidate_groups(numbered.select(F.col("own").alias("rep"), F.col("chars").alias("weight"), "bands"), params.block, params.block_chars)
+    facts = numbered.select("own", "rep", "d1", "d2", "copies", "bands")
+    candidates = checkpointed(
+        groups.withColumnRenamed("rep", "own").join(facts, "own").withColumn("bands", F.when(F.col("pair") >= F.lit(BY_BAND), F.col("bands")))
     )
+    placed = candidates.join(marked.withColumnRenamed("doc_id", "rep"), ["rep", "d1", "d2"]).select("group", "pair", "rep", "d1", "side", "copies", "alone", "text", "bands")
 
     def verify(batches):
         for table in whole_groups(batches, 2):
@@ -224,6 +209,10 @@ def join_similar(docs: DataFrame, params: JaccardParams = JaccardParams(), text:
                 a, b = similar_pairs(table.column(7).take(pa.array(own)).to_pylist(), params)
                 good = (side[own[a]] != side[own[b]]) | (side[own[a]] == 0)
                 a, b = a[good], b[good]
+                if len(a) and pair[i] >= BY_BAND:  # a pair counts in the least band that it shares
+                    bands = np.array(table.column(8).take(pa.array(own)).to_pylist(), np.int64)
+                    once_only = least_common(bands[a], bands[b]) == group[i]
+                    a, b = a[once_only], b[once_only]
                 if len(a):
                     weight = copies[own]
                     links = np.zeros(len(own), np.int64)
@@ -237,12 +226,18 @@ def join_similar(docs: DataFrame, params: JaccardParams = JaccardParams(), text:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rep", "toward", "links", "alone"])
 
     found = checkpointed(
-        placed.repartition("component", "pair").sortWithinPartitions("component", "pair", "rep", "d1").mapInArrow(verify, "rep long, toward long, links long, alone boolean")
+        placed.repartition("group", "pair").sortWithinPartitions("group", "pair", "rep", "d1").mapInArrow(verify, "rep long, toward long, links long, alone boolean")
+    )
+    counts = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("toward").alias("toward"), F.max("toward").alias("other"))
+    # A group that holds its whole component has its classes already. Only groups that do not,
+    # and keys that stand in several (with different texts), must be joined up.
+    several = found.join(counts.where("toward <> other").select("rep"), "rep", "left_semi").union(found.where("NOT alone"))
+    spread = connected_components(several.select(F.col("rep").alias("u"), F.col("toward").alias("v")))
+    named = (
+        counts.join(spread.select(F.col("node").alias("rep"), F.col("component").alias("own")), "rep", "left")
+        .join(spread.select(F.col("node").alias("toward"), F.col("component").alias("its")), "toward", "left")
+        .select("rep", "links", F.least(F.coalesce("own", "toward"), F.coalesce("its", "toward")).alias("component"))
     )
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("toward").alias("toward"), F.min("alone").alias("alone"))
-    # A group of one block has its classes already; only those of several blocks must be joined up.
-    spread = connected_components(found.where("NOT alone").select(F.col("rep").alias("u"), F.col("toward").alias("v")))
-    named = counts.join(spread, F.col("rep") == F.col("node"), "left").select("rep", "links", F.coalesce("component", "toward").alias("component"))
     summary = classes.join(named, "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )

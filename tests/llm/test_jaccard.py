@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from quadrel.llm.common import BY_BAND, candidate_groups, connected_components
 from quadrel.llm.jaccard import JaccardParams, join_similar, ngrams, signatures, similar_pairs
 from quadrel.llm.queries import OP5_SQL, op5_ngram_jaccard
 from tests.oracle import same
@@ -82,6 +83,46 @@ def test_groups_against_brute_force(spark, block):
     assert join_similar(frame.limit(0)).collect() == []
 
 
+def test_texts_of_one_key_are_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (3, a + " end"), (5, b), (9, b + " end"), (7, "alone"), (7, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id) for r in join_similar(frame).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 7), (7, 7), (9, 3)]
+
+
+def test_loose_groups_are_dealt_by_bands(spark):
+    """A chain of texts, each like its neighbours only: one component of bands, in which the
+    pairs that share none are not compared."""
+    words = [f"w{i}" for i in range(4100)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 4000, 10)]
+    params = JaccardParams(block=8)
+    code = signatures(texts, params)
+    frame = spark.createDataFrame([(i, 1, c.tolist()) for i, c in enumerate(code)], "rep long, weight long, bands array<long>")
+    groups = {}
+    for r in candidate_groups(frame, params.block, 10**9).collect():
+        groups.setdefault((r.group, r.pair), []).append((r.rep, r.side))
+    assert any(pair >= BY_BAND for _, pair in groups)
+    met = {(a, b) for own in groups.values() for a, x in own for b, y in own if a < b and (x != y or x == 0)}
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (code[i] == code[j]).any()}
+    assert want <= met and len(met) < len(texts) ** 2 / 8
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = sorted((tuple(r) for r in join_similar(spark.createDataFrame(rows, "doc_id long, text string"), params).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def test_components_with_hubs(spark):
+    rng = random.Random(3)
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(90)] + [(399, 1040)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)] + [(5000, 5000), (None, 7)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    label = {x: x for e in edges for x in e if x is not None and None not in e and e[0] != e[1]}
+    for _ in range(200):
+        for u, v in edges:
+            if u in label and v in label and u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    assert got == label
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_query_equals_sql(spark, sf):
     assert same(spark, f"/root/testdata/{sf}", op5_ngram_jaccard, OP5_SQL)
