@@ -10,6 +10,7 @@ steps, and every step is as likely as any other, whatever the length.
 """
 
 import hashlib
+import itertools
 import math
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrel.llm.common import by_size, checkpointed, connected_components, pair_components, whole_groups
+from quadrel.llm.common import by_size, candidate_groups, checkpointed, connected_components, pair_components, whole_groups
 
 PERIOD = 8192  # steps after which the walk's random bits repeat
 
@@ -64,8 +65,12 @@ def _classes(points: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(texts: list[str], params: WalkParams = WalkParams()) -> list[bytes]:
-    """One byte a slot. All texts walk in step, each until it is used up, at most 4 steps a
-    character and 1,024 more; equal texts have equal fingerprints, empty ones zeros."""
+    """One byte a slot. All texts walk in step, each until it is used up, so a fingerprint does
+    not depend on the others; equal texts have equal fingerprints, empty ones zeros.
+
+    A walk ends: every class of characters has moves among the period's random bits, and no
+    text, however chosen, makes the reader stay more than some ten steps a character.
+    """
     distinct = sorted(set(texts), key=lambda t: (-len(t), t))
     out = np.zeros((len(distinct), params.slots), np.uint8)
     lengths = np.array([len(t) for t in distinct], np.int64)
@@ -79,8 +84,7 @@ def fingerprints(texts: list[str], params: WalkParams = WalkParams()) -> list[by
     bits, records = _bits(params), _records(params)
     powers = np.uint64(0x9E3779B97F4A7C15) * np.cumprod(np.full(params.note, 0x100000001B3, np.uint64))
     alive, at = np.arange(len(distinct)), starts.copy()
-    limit = int(lengths.max(initial=0)) * 4 + 1024
-    for j in range(limit):
+    for j in itertools.count():
         if j % 64 == 0:
             going = flat[at] != 0
             if not going.all():
@@ -198,32 +202,21 @@ def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int
     """(doc_id, class_id): texts in few edits of each other get one class, the least key.
 
     Equal texts form one group first. Every band samples ``width`` slots of the fingerprint
-    at random; texts that meet in a bucket, directly or through others, are a candidate group,
-    and all pairs of a group are verified by the share of agreeing slots. A group is dealt to
-    blocks of about ``block`` texts, a task a pair of blocks, so work is quadratic in a group's
-    size; a task returns a spanning forest. Rows with null keys get a null class.
+    at random; texts that meet in a bucket are verified by the share of agreeing slots, in
+    the groups of ``candidate_groups``, so no task gathers a hot bucket; a task returns a
+    spanning forest. Rows with null keys get a null class. Keys are integers. A pair that
+    agrees in a share s of the slots meets with chance 1 - (1 - s ** width) ** bands: 0.99995
+    at the least share 0.7, surely above.
     """
     marked = fingerprint_documents(docs, params, text, key).withColumn("doc_id", F.col("doc_id").cast("long"))
     prints = checkpointed(marked.groupBy("fingerprint", "n_chars").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"))
     rng = np.random.default_rng([params.seed, 2])
     keys = [F.xxhash64(F.lit(b), *[F.substring("fingerprint", 2 * int(s) + 1, 2) for s in rng.choice(params.slots, width, replace=False)]) for b in range(bands)]
-    banded = prints.select("rep", "fingerprint", F.explode(F.array(*keys)).alias("bucket"))
-    met = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    groups = connected_components(banded.join(met, "bucket").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct())
-    members = prints.join(groups, F.col("rep") == F.col("node")).select("component", "rep", "fingerprint", "n_chars")
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = (
-        members.join(sizes, "component")
-        .withColumn("own", F.pmod(F.xxhash64("fingerprint", "n_chars"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "component",
-            (F.least("own", "other") * F.lit(1 << 31).cast("long") + F.greatest("own", "other")).alias("pair"),
-            "rep",
-            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-            F.unhex("fingerprint").alias("code"),
-        )
-    )
+    # Texts of one key are several: each is a node of its own until the classes are named.
+    numbered = prints.withColumn("own", F.xxhash64("fingerprint", "n_chars"))
+    groups = candidate_groups(numbered.select(F.col("own").alias("rep"), F.lit(1).cast("long").alias("weight"), F.array(*keys).alias("bands")), block, block)
+    facts = numbered.select("own", F.col("rep").alias("key"), F.unhex("fingerprint").alias("code"))
+    placed = groups.join(facts, groups["rep"] == facts["own"]).select("group", "pair", F.col("key").alias("rep"), "side", "code")
     need = math.ceil(least * params.slots)
 
     def verify(batches):
@@ -239,7 +232,7 @@ def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(rep[i:j][hit]), pa.array(rep[i:j][low[hit]])], ["u", "v"])
 
-    links = placed.repartition("component", "pair").sortWithinPartitions("component", "pair", "rep").mapInArrow(verify, "u long, v long")
+    links = placed.repartition("group", "pair").sortWithinPartitions("group", "pair", "rep").mapInArrow(verify, "u long, v long")
     classes = connected_components(links)
     named = prints.join(classes, F.col("rep") == F.col("node"), "left").select("fingerprint", "n_chars", F.coalesce("component", "rep").alias("class_id"))
     return marked.join(named, ["fingerprint", "n_chars"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

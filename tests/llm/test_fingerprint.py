@@ -36,6 +36,27 @@ def test_walk_equals_slow_walk():
     assert fingerprints(texts) == [slow(t) for t in texts]
 
 
+def slowest(n, params=WalkParams()):
+    """A text that makes the reader stay as long as 200 kinds of characters can."""
+    bits, out, j = _bits(params), [], 0
+    classes = np.arange(33, 233)
+    for _ in range(n):
+        moves = bits[(j + np.arange(400)) % PERIOD][:, classes]
+        wait = moves.argmax(axis=0)
+        out.append(chr(classes[wait.argmax()]))
+        j += int(wait.max()) + 1
+    return "".join(out), j
+
+
+def test_slow_walks_are_read_to_the_end():
+    text, steps = slowest(3000)
+    assert steps > 6 * len(text)
+    other = text[:2000] + prose(random.Random(1), 300)[:1000]
+    alone = fingerprints([text])[0]
+    assert alone == slow(text) and alone == fingerprints([text, "x" * 9000, "y"])[0]
+    assert likeness(alone, fingerprints([other])[0]) < 0.9
+
+
 def test_edits_lower_likeness():
     rng = random.Random(8)
     text = prose(rng, 800)
