@@ -27,24 +27,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
     current = checkpointed(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = (current.count(), None)
     for _ in range(max_rounds):
+        facts = current.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes")).first()
+        if facts.n == facts.nodes and current.join(current.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            break  # every node has one edge, to a node that has none
         # Of nodes with more edges than this there are at most 8,192 a step.
-        many = max(64, state[0] // 4096)
+        many = max(64, facts.n // 4096)
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, many).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        small = (
+        current = checkpointed(
             _with_least(large, many)
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()
         )
-        current = checkpointed(small)
-        seen = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == tuple(seen):
-            break
-        state = tuple(seen)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
@@ -83,7 +80,7 @@ def candidate_groups(classes: DataFrame, block: int, block_weight: int) -> DataF
     total = [F.count("*").alias("n"), F.sum("weight").alias("weight")]
     banded = classes.select("rep", "weight", F.explode("bands").alias("band")).where("band <> 0")
     met = checkpointed(banded.groupBy("band").agg(F.min("rep").alias("head"), *total).where("n > 1").select("band", "head", "n", "weight", blocks))
-    shared = banded.join(met.select("band", "head"), "band")
+    shared = checkpointed(banded.select("rep", "band").join(met.select("band", "head"), "band"))
     components = connected_components(shared.where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct())
     members = checkpointed(classes.join(components, F.col("rep") == F.col("node")).select("component", "rep", "weight"))
     sizes = members.groupBy("component").agg(*total).select("component", "weight", blocks)
@@ -92,7 +89,7 @@ def candidate_groups(classes: DataFrame, block: int, block_weight: int) -> DataF
     bands = met.join(components, F.col("head") == F.col("node")).join(large, "component")
     cheaper = bands.groupBy("component").agg(F.sum(sends).alias("split"), F.first("whole").alias("whole")).where("split < whole").select("component")
     together = members.join(sizes.select("component", "blocks"), "component").join(cheaper, "component", "left_anti")
-    split = banded.select("rep", "band").join(bands.join(cheaper, "component").select("band", "blocks"), "band")
+    split = shared.select("rep", "band").join(bands.join(cheaper, "component").select("band", "blocks"), "band")
     dealt = together.select(F.col("component").alias("group"), "rep", "blocks", F.lit(0).cast("long").alias("mark"), (F.col("blocks") == 1).alias("alone")).unionByName(
         split.select(F.col("band").alias("group"), "rep", "blocks", F.lit(BY_BAND).cast("long").alias("mark"), F.lit(False).alias("alone"))
     )
