@@ -3,7 +3,9 @@
 Spark deals the documents out; each task splits its texts, and one recursive query per
 batch encodes the words that its cache lacks: token-position rows join the merge table, the
 leftmost pair of least rank of every word is contracted, and words without a pair leave the
-recursion. Decoding is one ordered aggregation of the tokens' bytes.
+recursion. In a long word every pair is contracted that is such a one for as many tokens
+around it as a token can have bytes: no merge from further away can reach it before its turn.
+Decoding is one ordered aggregation of the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrel.llm.common import by_size
+
 # Unicode White_Space, which the rank files' pattern means by \s.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNUSUAL = re.compile("[\\t\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
@@ -40,6 +44,34 @@ WITH RECURSIVE state(w, t, done) AS (
 SELECT w, t FROM state WHERE done ORDER BY w
 """
 
+# ``shaken``: where some token of lower rank holds the pair's bytes, by blocks of 256 bytes.
+# Elsewhere contracting one occurrence cannot start merges that reach another first, and all of
+# a window may go at once: of a run of pairs that overlap, every other one, if nothing can
+# change where the run begins. Where it may, and near the word's start, where a space may
+# stand, only the leftmost of a window goes.
+ENCODE_LONG = """
+WITH RECURSIVE state(w, p, t, done) AS (
+  SELECT w, p, t, false FROM long_words
+  UNION ALL
+  (WITH paired AS (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS b, row_number() OVER (PARTITION BY w ORDER BY p) AS i
+                   FROM state WHERE NOT done),
+        ranked AS (SELECT w, p, i, paired.t, r, i = 1 OR r IS DISTINCT FROM lag(r) OVER (PARTITION BY w ORDER BY p) AS fresh
+                   FROM paired LEFT JOIN merges ON merges.a = paired.t AND merges.b = paired.b),
+        placed AS (SELECT w, p, i, t, r, max(CASE WHEN fresh THEN i END) OVER (PARTITION BY w ORDER BY p) AS run,
+                          min(r::BIGINT * 4294967296 + p) OVER (PARTITION BY w ORDER BY p ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS k
+                   FROM ranked),
+        settled AS (SELECT w, p, i, t, r, k, run, first_value(r = k // 4294967296) OVER (PARTITION BY w ORDER BY p ROWS BETWEEN i - run PRECEDING AND CURRENT ROW) AS ready
+                    FROM placed),
+        chosen AS (SELECT w, p, t, r, coalesce(r = k // 4294967296 AND (p = k % 4294967296 OR (block IS NULL AND ready AND i > {reach} AND (i - run) % 2 = 0)), false) AS hit
+                   FROM settled LEFT JOIN shaken ON id = r AND block = p // 256),
+        stepped AS (SELECT w, p, CASE WHEN hit THEN r ELSE t END AS t, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY p) AS gone,
+                           NOT bool_or(hit) OVER (PARTITION BY w) AS done FROM chosen)
+   SELECT w, p, t, done FROM stepped WHERE NOT gone)
+)
+SELECT w, list(t ORDER BY p) AS t FROM state WHERE done GROUP BY w ORDER BY w
+"""
+LONG = 96  # bytes of a word from which on it is a long one
+
 DECODE = """
 SELECT d, string_agg(s, '') AS t
 FROM (SELECT d, p, s FROM tokens JOIN vocabulary USING (id) ORDER BY p) GROUP BY d ORDER BY d
@@ -47,13 +79,13 @@ FROM (SELECT d, p, s FROM tokens JOIN vocabulary USING (id) ORDER BY p) GROUP BY
 
 
 class Codec:
-    """Ranks, merge table and word cache of one Python worker.
+    """Ranks, merge table and caches of one Python worker.
 
-    The cache holds at most ``cache_words`` entries and starts anew when it is full, so a
-    task's memory does not grow with its input.
+    The caches of words and of chunks hold about ``cache_bytes`` each and lose their older
+    half when they are full, so a task's memory does not grow with its input.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, cache_words: int = 500_000, memory: str = "256MB"):
+    def __init__(self, ranks_path: str, pattern: str, cache_bytes: int = 100_000_000, memory: str = "256MB"):
         import duckdb
         import regex
 
@@ -61,7 +93,9 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         spelled = pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
         self.pattern = regex.compile(spelled)
-        self.cache_words, self.cache = cache_words, {}
+        self.cache_bytes, self.cache, self.words, self.held = cache_bytes, {}, {}, {}
+        self.beginnings: set[bytes] = set()  # of tokens; made when a long word is met
+        self.windows: dict[bytes, tuple[int, tuple[int, ...]]] = {}  # what _shaken found in them
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": tempfile.gettempdir()})
         get = self.ranks.get
         merges = [(get(k[:i]), get(k[i:]), r) for k, r in self.ranks.items() for i in range(1, len(k)) if k[:i] in self.ranks and k[i:] in self.ranks]
@@ -80,6 +114,18 @@ class Codec:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
+    def _remember(self, name: str, new: dict[str, bytes]) -> None:
+        """Add to a cache; an entry counts 200 bytes and its contents."""
+        cache = getattr(self, name)
+        cache.update(new)
+        self.held[name] = self.held.get(name, 0) + sum(map(len, new)) + sum(map(len, new.values())) + 200 * len(new)
+        if self.held[name] > self.cache_bytes:
+            kept = list(cache.items())[len(cache) // 2 :]
+            self.held[name] = sum(len(k) + len(v) + 200 for k, v in kept)
+            if self.held[name] > self.cache_bytes:
+                kept, self.held[name] = [], 0
+            setattr(self, name, dict(kept))
+
     def _merge(self, parts: list[bytes]) -> list[bytes]:
         """Token ids (as little-endian bytes) of byte strings that are no tokens themselves."""
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -87,27 +133,117 @@ class Codec:
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         cuts = np.flatnonzero(~self.joined[raw[:-1], raw[1:]]) + 1 if len(raw) > 1 else np.array([], np.int64)
         bounds = np.union1d(offsets, cuts)
-        segments = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(self.byte_id[raw], pa.int32()))
+        ids, size = self.byte_id[raw], np.diff(bounds)
+        far = size >= LONG
+        if not far.any():
+            flat, counts = self._short(bounds, ids)
+        else:
+            counts, tokens = np.empty(len(size), np.int64), np.empty(len(size), object)
+            near = np.flatnonzero(~far)
+            of_byte = np.repeat(far, size)
+            short, number = self._short(np.r_[0, np.cumsum(size[near])], ids[~of_byte])
+            for i, found in zip(near, np.split(short, np.cumsum(number)[:-1]) if len(near) else [], strict=True):
+                tokens[i] = found
+            for i, found in zip(np.flatnonzero(far), self._long(np.flatnonzero(far), bounds, raw, ids), strict=True):
+                tokens[i] = found
+            counts[:] = [len(t) for t in tokens]
+            flat = np.concatenate(list(tokens))
+        ends = np.r_[0, np.cumsum(counts)][np.searchsorted(bounds, offsets)] * 4
+        data = flat.astype("<u4").tobytes()
+        return [data[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+    def _short(self, bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, their number in each word) of the words between ``bounds``."""
+        segments = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
         self.con.register("words", pa.table({"w": pa.array(np.arange(len(segments)), pa.int64()), "t": segments}))
         tokens = self.con.sql(ENCODE).to_arrow_table()["t"].combine_chunks()
         self.con.unregister("words")
-        ends = tokens.offsets.to_numpy()[np.searchsorted(bounds, offsets)] * 4
-        data = tokens.values.to_numpy().astype("<u4").tobytes()
-        return [data[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        return tokens.flatten().to_numpy(), np.diff(tokens.offsets.to_numpy())
+
+    def _long(self, which: np.ndarray, bounds: np.ndarray, raw: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+        """Tokens of the long words ``which``, some 200,000 bytes or one word at a time."""
+        out: list[np.ndarray] = []
+        for first, last in by_size([range(bounds[i], bounds[i + 1]) for i in which], 200_000):
+            own = which[first:last]
+            base = bounds[own[0]]
+            reach, shaken = 3, set()
+            for i in own:
+                longest, found = self._shaken(raw[bounds[i] : bounds[i + 1]].tobytes(), int(bounds[i] - base))
+                reach = max(reach, longest + 2)
+                shaken |= found
+            self._table("shaken", id=np.array([r for r, _ in shaken], np.int32), block=np.array([b for _, b in shaken], np.int64))
+            places = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in own])
+            words = np.repeat(np.arange(len(own)), bounds[own + 1] - bounds[own])
+            self.con.register("long_words", pa.table({"w": words, "p": places - places[0], "t": ids[places]}))
+            found = self.con.sql(ENCODE_LONG.format(reach=reach)).to_arrow_table()["t"].combine_chunks()
+            self.con.unregister("long_words")
+            out += [x.values.to_numpy() for x in found]
+        return out
+
+    def _shaken(self, data: bytes, base: int) -> tuple[int, set[tuple[int, int]]]:
+        """Length of the longest token that stands in ``data``, and (token, block of 256 bytes)
+        where a token of lower rank stands that holds it, a block more on either side. Places
+        count from ``base``. A space stands at a word's start only or all through it."""
+        if not self.beginnings:
+            self.beginnings = {k[:j] for k in self.ranks for j in range(2, len(k) + 1)}
+            self.longest = max(map(len, self.ranks))
+        rank, shaken, most = self.ranks, set(), 1
+        known = self.windows
+        for at in range(len(data)):
+            window = data[at : at + self.longest]
+            if window not in known:
+                if len(known) > 50_000:
+                    known.clear()
+                size, parts = 1, set()
+                for n in range(2, len(window) + 1):
+                    holder = window[:n]
+                    if holder not in self.beginnings:
+                        break
+                    if holder in rank:
+                        size = n
+                        inner = (holder[i:j] for i in range(n) for j in range(i + 2, n + 1))
+                        parts.update(rank[x] for x in inner if rank.get(x, -1) > rank[holder] and (b" " in x or b" " not in holder))
+                known[window] = size, tuple(parts)
+            size, parts = known[window]
+            most = max(most, size)
+            block = (base + at) // 256
+            for r in parts:
+                shaken |= {(r, block - 1), (r, block), (r, block + 1)}
+        return most, shaken
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks, of which none splits a match of the pattern."""
-        split = {c: self.pattern.findall(c) for c in chunks}
-        known, open_words = {}, []
-        for word in {w for words in split.values() for w in words}:
+        """Ids of chunks, of which none splits a match of the pattern.
+
+        Chunks that begin with a space and end with none may be read in one go: the places
+        between them are such as texts are cut at.
+        """
+        plain = [c for c in chunks if c[0] == " " and not c[-1].isspace()]
+        words = self.pattern.findall("".join(plain))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
+        if sizes.sum() != (ends[-1] if len(ends) else 0):
+            raise ValueError("the pattern leaves characters out")
+        rest = {c: self.pattern.findall(c) for c in chunks.difference(plain)}
+        wanted = set(words).union(*rest.values())
+        known, open_words = {w: ids for w in wanted if (ids := self.words.get(w)) is not None}, []
+        fresh = {}
+        for word in wanted - known.keys():
             data = word.encode()
             if (r := self.ranks.get(data)) is not None:
-                known[word] = r.to_bytes(4, "little")
+                fresh[word] = r.to_bytes(4, "little")
             else:
                 open_words.append((word, data))
         if open_words:
-            known.update(zip([w for w, _ in open_words], self._merge([d for _, d in open_words]), strict=True))
-        return {c: b"".join([known[w] for w in words]) for c, words in split.items()}
+            fresh.update(zip([w for w, _ in open_words], self._merge([d for _, d in open_words]), strict=True))
+        known.update(fresh)
+        self._remember("words", fresh)
+        parts = [known[w] for w in words]
+        flat = b"".join(parts)
+        after = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        stops = after[np.searchsorted(np.cumsum(sizes), ends)].tolist() if plain else []
+        out = {c: flat[i:j] for c, i, j in zip(plain, [0, *stops], stops, strict=False)}
+        out.update((c, b"".join([known[w] for w in own])) for c, own in rest.items())
+        return out
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -124,13 +260,13 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [self.chunks(t) if t else [] for t in texts]
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
         fresh = set().union(*split) - self.cache.keys()
-        if fresh:
-            self.cache.update(self._learn(fresh))
+        learnt = self._learn(fresh) if fresh else {}
+        self.cache.update(learnt)
         get = self.cache.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+        out = [b"".join(map(get, parts)) for parts in split]
+        self._remember("cache", learnt)  # may drop entries, so it comes last
+        return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that little-endian unsigned 32-bit ids stand for; raises on an unknown id."""
@@ -161,16 +297,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     and empty texts have no ids (hashes of no bytes). Repeated rows stay repeated, the key
     may be null, other columns are ignored. decoded_sha256 is made from the ids alone.
     With ``ids=False`` the array is left out. There is no shuffle; a task keeps a batch of
-    about two million characters, one text at least. Time is linear in the text, but
-    quadratic in the length of a single match of the pattern (a run of letters, say).
+    about four million characters, one text at least. Time is linear in the text, and nearly
+    so in the length of a single match of the pattern (a run of letters, say).
     """
-    from quadrel.llm.common import by_size
 
     def run(batches):
         tool = codec(ranks_path, pattern)
         for batch in batches:
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in by_size(texts, 2_000_000):
+            for i, j in by_size(texts, 4_000_000):
                 coded = tool.encode(texts[i:j])
                 plain = tool.decode(coded)
                 columns = [

@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -20,7 +22,7 @@ def public():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-TOOL = Codec(RANKS, P.PATTERN, cache_words=50)
+TOOL = Codec(RANKS, P.PATTERN, cache_bytes=10_000)
 
 
 @settings(max_examples=60, deadline=None)
@@ -34,6 +36,26 @@ def test_random_texts(texts):
     assert TOOL.decode(coded) == [t.encode() for t in texts]
 
 
+def test_long_words_match_library(public):
+    rng = random.Random(4)
+    pieces = ["etaoinshrdlu", "ab", "the", "-", "=-", "0123456789", "é日本", "thers"]
+    texts = ["".join(rng.choice(p) for _ in range(rng.randint(90, 700))) for p in pieces for _ in range(12)]
+    texts += [" " + "".join(rng.choice(["the", "ing", "ABab", "x", "--"]) for _ in range(rng.randint(40, 200))) for _ in range(30)]
+    texts += [unit * n for unit in ("a", "the", " ", "\n", "é", "ther") for n in (95, 96, 97, 333)]
+    coded = Codec(RANKS, P.PATTERN).encode(texts)
+    for text, ids in zip(texts, coded, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == public.encode_ordinary(text), text[:60]
+
+
+def test_very_long_words_end_soon(public):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(100_000)), "the" * 33_000, "the" * 9000 + "ther" + "the" * 9000, "a" * 100_000, " " * 100_000]
+    begin = time.process_time()
+    coded = Codec(RANKS, P.PATTERN).encode(texts)
+    assert time.process_time() - begin < 20
+    assert [np.frombuffer(x, "<u4").tolist() for x in coded] == [public.encode_ordinary(t) for t in texts]
+
+
 def test_documents_match_library(spark, public):
     rows = [(1, "Hello  world's <|endoftext|> 123\n\n x", "clash"), (2, None, "c"), (3, "", "c"), (None, "a" * 300, "c"), (4, "word " * 30000, "c"), (4, "word " * 30000, "c"), (5, "é　漢字\r\n\t.", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
