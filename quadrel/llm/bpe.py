@@ -78,14 +78,39 @@ FROM (SELECT d, p, s FROM tokens JOIN vocabulary USING (id) ORDER BY p) GROUP BY
 """
 
 
+class Cache:
+    """Bytes by string, in two generations: what is asked for moves to the young one, and when
+    that holds half of ``most`` bytes the old one is dropped. An entry counts 200 bytes and its
+    contents."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old, self.held = most, {}, {}, 0
+
+    def unknown(self, wanted: set[str]) -> set[str]:
+        """Those of ``wanted`` that are not held; the others are young now."""
+        missed = wanted - self.young.keys()
+        if self.old:
+            self.add({x: self.old[x] for x in missed & self.old.keys()})
+            missed -= self.young.keys()
+        return missed
+
+    def add(self, new: dict[str, bytes]) -> None:
+        self.young.update(new)
+        self.held += sum(map(len, new)) + sum(map(len, new.values())) + 200 * len(new)
+
+    def trim(self) -> None:
+        if self.held > self.most // 2:
+            self.old, self.young, self.held = self.young if self.held <= self.most else {}, {}, 0
+
+
 class Codec:
     """Ranks, merge table and caches of one Python worker.
 
-    The caches of words and of chunks hold about ``cache_bytes`` each and lose their older
-    half when they are full, so a task's memory does not grow with its input.
+    The caches of words and of chunks hold at most ``cache_bytes`` each between batches, so a
+    task's memory does not grow with its input.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, cache_bytes: int = 100_000_000, memory: str = "256MB"):
+    def __init__(self, ranks_path: str, pattern: str, cache_bytes: int = 160_000_000, memory: str = "256MB"):
         import duckdb
         import regex
 
@@ -93,7 +118,7 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         spelled = pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
         self.pattern = regex.compile(spelled)
-        self.cache_bytes, self.cache, self.words, self.held = cache_bytes, {}, {}, {}
+        self.cache, self.words = Cache(cache_bytes), Cache(cache_bytes)
         self.beginnings: set[bytes] = set()  # of tokens; made when a long word is met
         self.windows: dict[bytes, tuple[int, tuple[int, ...]]] = {}  # what _shaken found in them
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": tempfile.gettempdir()})
@@ -114,18 +139,6 @@ class Codec:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
-    def _remember(self, name: str, new: dict[str, bytes]) -> None:
-        """Add to a cache; an entry counts 200 bytes and its contents."""
-        cache = getattr(self, name)
-        cache.update(new)
-        self.held[name] = self.held.get(name, 0) + sum(map(len, new)) + sum(map(len, new.values())) + 200 * len(new)
-        if self.held[name] > self.cache_bytes:
-            kept = list(cache.items())[len(cache) // 2 :]
-            self.held[name] = sum(len(k) + len(v) + 200 for k, v in kept)
-            if self.held[name] > self.cache_bytes:
-                kept, self.held[name] = [], 0
-            setattr(self, name, dict(kept))
-
     def _merge(self, parts: list[bytes]) -> list[bytes]:
         """Token ids (as little-endian bytes) of byte strings that are no tokens themselves."""
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -225,9 +238,8 @@ class Codec:
             raise ValueError("the pattern leaves characters out")
         rest = {c: self.pattern.findall(c) for c in chunks.difference(plain)}
         wanted = set(words).union(*rest.values())
-        known, open_words = {w: ids for w in wanted if (ids := self.words.get(w)) is not None}, []
-        fresh = {}
-        for word in wanted - known.keys():
+        fresh, open_words = {}, []
+        for word in self.words.unknown(wanted):
             data = word.encode()
             if (r := self.ranks.get(data)) is not None:
                 fresh[word] = r.to_bytes(4, "little")
@@ -235,14 +247,15 @@ class Codec:
                 open_words.append((word, data))
         if open_words:
             fresh.update(zip([w for w, _ in open_words], self._merge([d for _, d in open_words]), strict=True))
-        known.update(fresh)
-        self._remember("words", fresh)
+        self.words.add(fresh)
+        known = self.words.young
         parts = [known[w] for w in words]
         flat = b"".join(parts)
         after = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         stops = after[np.searchsorted(np.cumsum(sizes), ends)].tolist() if plain else []
         out = {c: flat[i:j] for c, i, j in zip(plain, [0, *stops], stops, strict=False)}
         out.update((c, b"".join([known[w] for w in own])) for c, own in rest.items())
+        self.words.trim()
         return out
 
     @staticmethod
@@ -260,12 +273,12 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [self.chunks(t) if t else [] for t in texts]
-        fresh = set().union(*split) - self.cache.keys()
-        learnt = self._learn(fresh) if fresh else {}
-        self.cache.update(learnt)
-        get = self.cache.__getitem__
+        fresh = self.cache.unknown(set().union(*split))
+        if fresh:
+            self.cache.add(self._learn(fresh))
+        get = self.cache.young.__getitem__
         out = [b"".join(map(get, parts)) for parts in split]
-        self._remember("cache", learnt)  # may drop entries, so it comes last
+        self.cache.trim()
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
