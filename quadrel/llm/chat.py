@@ -14,6 +14,7 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -136,9 +137,15 @@ def sorted_turns(conversations: DataFrame, key: str = "conv_id", turn: str = "tu
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
+def _first(batches) -> tuple[pa.DataType | None, Iterator[pa.RecordBatch]]:
+    """The key's Arrow type, whatever it is, and all batches."""
+    batches = iter(batches)
+    first = next(batches, None)
+    return (None, iter(())) if first is None else (first.column(0).type, chain([first], batches))
+
+
 def _streamed(batches) -> Iterator[tuple[object, Iterator[Turn]]]:
     """Conversations one after the other; a conversation's turns must be used up first."""
-    from itertools import groupby
 
     def rows():
         for batch in batches:
@@ -159,22 +166,22 @@ def format_turns(conversations: DataFrame, render: Callable[[list[Turn]], str] |
 
     def run(batches):
         out: list[tuple] = []
+        key_type, batches = _first(batches)
         for conv, turns in _streamed(batches):
             for n, s in enumerate(spans(turns, render, context)):
                 masked = s.role in loss_roles
                 out.append((conv, n, s.role, s.piece, s.text_start if masked else None, s.text_end if masked else None, s.rewritten))
                 if len(out) >= 2000:
-                    yield record(out)
+                    yield record(out, key_type)
                     out = []
         if out:
-            yield record(out)
+            yield record(out, key_type)
 
-    def record(rows):
+    def record(rows, key_type):
         kinds = [key_type, pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["conv_id", "n", "role", "piece", "loss_start", "loss_end", "rewritten"])
 
     ordered = sorted_turns(conversations, **names)
-    key_type = pa.string() if ordered.schema["conv_id"].dataType.simpleString() == "string" else pa.int64()
     kind = ordered.schema["conv_id"].dataType.simpleString()
     return ordered.mapInArrow(run, f"conv_id {kind}, n long, role string, piece string, loss_start long, loss_end long, rewritten long")
 
@@ -191,6 +198,7 @@ def format_digests(conversations: DataFrame, **names) -> DataFrame:
     def run(batches):
         template = BracketTemplate()
         rows = []
+        key_type, batches = _first(batches)
         for conv, turns in _streamed(batches):
             said, loss, n, chars, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
             for s in spans(turns, template, own_context(template)):
@@ -205,16 +213,15 @@ def format_digests(conversations: DataFrame, **names) -> DataFrame:
                 n, size = n + 1, size + len(s.piece)
             rows.append((conv, n, said.hexdigest(), chars, loss.hexdigest(), size))
             if len(rows) >= 5000:
-                yield record(rows)
+                yield record(rows, key_type)
                 rows = []
         if rows:
-            yield record(rows)
+            yield record(rows, key_type)
 
-    def record(rows):
+    def record(rows, key_type):
         kinds = [key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     ordered = sorted_turns(conversations, **names)
     kind = ordered.schema["conv_id"].dataType.simpleString()
-    key_type = pa.string() if kind == "string" else pa.int64()
     return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -51,6 +51,36 @@ def test_templates_that_look_far_back(spark):
     assert [r.piece[r.loss_start : r.loss_end] for r in out if r.loss_start is not None] == [t for r, t in turns if r == "assistant"]
 
 
+@pytest.mark.parametrize("size", [8, 200])
+def test_rewriting_is_found_at_any_turn(spark, size):
+    def strips_answers(turns):  # from the sixth turn on, every answer but the last loses its text
+        last = max((i for i, (role, _) in enumerate(turns) if role == "assistant"), default=-1)
+        return "".join(f"<{role}>{'' if role == 'assistant' and i < last and len(turns) >= 6 else text}" for i, (role, text) in enumerate(turns))
+
+    def only_late(turns):  # rewrites its first turn once, at the last but one
+        return "".join(f"<{role}>{text if i or len(turns) < size - 1 else '*'}" for i, (role, text) in enumerate(turns))
+
+    turns = [("user", f"question {i}") if i % 2 == 0 else ("assistant", f"answer {i}") for i in range(size)]
+    frame = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id int, turn long, role string, text string")
+    for template in (strips_answers, only_late):
+        got = [r.rewritten for r in format_turns(frame, template).orderBy("n").collect()]
+        texts = ["", *(template(turns[: n + 1]) for n in range(size))]
+        want = [len(a) - next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(texts, texts[1:], strict=False)]
+        assert got == want and any(want)
+
+
+@pytest.mark.parametrize("kind", ["int", "decimal(20,0)", "string", "smallint", "double", "date", "timestamp", "binary"])
+def test_keys_of_any_type(spark, kind):
+    rows = spark.createDataFrame([("1", 0, "user", "a"), ("1", 1, "assistant", "b"), (None, 0, "assistant", "c")], "k string, turn long, role string, text string")
+    value = {"date": "date'2020-02-02'", "timestamp": "timestamp'2020-02-02 01:02:03'"}.get(kind, f"cast(k as {kind})")
+    frame = rows.selectExpr(f"CASE WHEN k IS NOT NULL THEN {value} END AS conv_id", "turn", "role", "text")
+    digests = format_digests(frame)
+    assert digests.schema["conv_id"].dataType == frame.schema["conv_id"].dataType
+    assert sorted(r.n_turns for r in digests.collect()) == [1, 2]
+    want = {r.conv_id for r in frame.collect()}
+    assert {r.conv_id for r in format_turns(frame).collect()} == {r.conv_id for r in digests.collect()} == want
+
+
 def test_nulls_ties_and_empty(spark):
     rows = [(1, 0, None, None, "c"), (1, 0, "user", "b", "c"), (1, 0, "user", "b", "c"), (1, None, "assistant", "a", "c"), (None, 1, "assistant", "q" * 100_000, "c")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, piece string")
