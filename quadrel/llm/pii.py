@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import deque
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A run of digits matches from its first one or not at all, so no other start need be tried.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
@@ -80,8 +83,8 @@ class CrfParams:
     core: int = 6  # letters and digits of a part by which words are similar; shorter parts must be whole words
     longest: int = 100_000  # characters of a sampled text; longer texts teach nothing, but are searched
     ridge: float = 1.0
-    agreement: float = 8.0  # skip potential before any evidence, to which the ridge pulls
-    steps: int = 200
+    mentions: int = 4  # masked further mentions that each sampled word gets to learn skip potentials from
+    steps: int = 300
 
 
 @dataclass
@@ -98,18 +101,22 @@ def lowered(text: str) -> str:
 
 
 def words_of(text: str, spans: list[Span], core: int) -> tuple[list[Word], list[str]]:
-    """Suspicious words in order, with the spelling by which each is tied to others."""
-    found: dict[int, tuple[int, int]] = {}
+    """Suspicious words in order, with the spelling by which each is tied to others. One pass
+    over the text for the words, one for all the parts together."""
+    found: dict[int, int] = {}
+
+    def word_at(place: int, least: int) -> tuple[int, int]:
+        start = place
+        while start > least and not text[start - 1].isspace():
+            start -= 1
+        space = SPACE.search(text, place)
+        return start, space.start() if space else len(text)
+
     end = 0
     for m in MARK.finditer(text):
-        if m.start() < end:
-            continue
-        start = m.start()
-        while start > end and not text[start - 1].isspace():
-            start -= 1
-        space = SPACE.search(text, m.end())
-        end = space.start() if space else len(text)
-        found[start] = (start, end)
+        if m.start() >= end:
+            start, end = word_at(m.start(), end)
+            found[start] = end
     parts, short = set(), {}  # short: start of an address -> its local part
     for kind, a, b in spans:
         if kind == 0:
@@ -119,33 +126,36 @@ def words_of(text: str, spans: list[Span], core: int) -> tuple[list[Word], list[
             elif local.strip(EDGE):
                 short[a] = local.strip(EDGE)
     low = lowered(text) if parts or short else ""
-    for part in sorted(parts):
-        at = low.find(part)
-        while at >= 0:
-            start = at
-            while start > 0 and not text[start - 1].isspace():
-                start -= 1
-            space = SPACE.search(text, at)
-            stop = space.start() if space else len(text)
-            found.setdefault(start, (start, stop))
-            at = low.find(part, stop)
+    tied: dict[int, str] = {}  # start of a word -> the least part in it
+    if parts:
+        search = ahocorasick.Automaton()
+        for part in parts:
+            search.add_word(part, part)
+        search.make_automaton()
+        start = end = 0
+        for last, part in search.iter(low):
+            if last >= end:
+                start, end = word_at(last, end)
+            found.setdefault(start, end)
+            tied[start] = min(part, tied.get(start, part))
     whole, starts = set(short.values()), sorted(short)
     if whole:
         for m in WORD.finditer(low):
             if m[0].strip(EDGE) in whole:
-                found.setdefault(m.start(), m.span())
+                found.setdefault(*m.span())
     out, ties = [], []
-    ordered = sorted(spans, key=lambda s: s[1])
-    for a, b in sorted(found.values()):
-        label = next((kind for kind, x, y in ordered if x < b and a < y), NONE)
-        word = lowered(text[a:b])
-        tie = next((p for p in sorted(parts) if p in word), None)
+    coming, over = deque(sorted(spans, key=lambda s: s[1])), []  # over: spans that may reach the word
+    for a, b in sorted(found.items()):
+        while coming and coming[0][1] < b:
+            over.append(coming.popleft())
+        over = [s for s in over if s[2] > a]
+        label = over[0][0] if over else NONE
+        tie = tied.get(a)
         if tie is None and starts:
             i = bisect_left(starts, a)
             tie = short[starts[i]] if i < len(starts) and starts[i] < b else None
-        tie = tie or re.sub(r"[^0-9a-z]", "", word)
         out.append(Word(a, b, label))
-        ties.append(tie)
+        ties.append(tie or re.sub(r"[^0-9a-z]", "", lowered(text[a:b])))
     return out, ties
 
 
@@ -170,7 +180,8 @@ def features(text: str, word: Word) -> np.ndarray:
 
 @dataclass
 class Field:
-    """Weights: unary (features, labels), chain (labels, labels), skip (labels)."""
+    """Weights: unary (features, labels), chain (labels, labels), skip (labels; one value, as a
+    label of a larger one would win in every large group)."""
 
     unary: np.ndarray
     chain: np.ndarray
@@ -189,7 +200,11 @@ class Field:
         local[observed] = -30
         local[observed, known[observed]] = 0
         chain = np.exp(np.clip(self.chain, -20, 20))
-        agree = np.exp(np.clip(np.diag(self.skip), -20, 20))  # exp(0) off the diagonal
+        # With these between word and hub, two words affect each other through the hub as by
+        # the skip potential between them.
+        direct = np.exp(np.clip(self.skip, 0, 20))
+        agree = np.ones((k, k))
+        np.fill_diagonal(agree, direct + np.sqrt(np.maximum(direct**2 + (k - 2) * direct - (k - 1), 0)))
         groups = int(tie.max()) + 1 if n else 0
         size = np.bincount(tie, minlength=groups)
         left = right = np.zeros((n, k))  # logs of messages from the word before, after
@@ -226,10 +241,14 @@ def fit_field(texts: list[str], params: CrfParams = CrfParams()) -> Field:
     """Maximum pseudo-likelihood with the patterns' labels, by gradient ascent with momentum.
 
     Every word's label is predicted from its shape, its neighbours' labels and the labels of
-    its like-spelled words; no word sees its own.
+    its like-spelled words; no word sees its own. What a pattern does not match but repeats a
+    matched word is left out: whether that is personal data is what the field is asked. Skip
+    potentials are learned from masked mentions: each word counts ``mentions`` times more with
+    its shape and neighbours hidden, so that only its like-spelled words, among them the word
+    itself, tell its label. Where like spellings disagree, these examples pull them down.
     """
     k = NONE + 1
-    rows, prev, nxt, same, y = [], [], [], [], []
+    rows, prev, nxt, same, y, weight = [], [], [], [], [], []
     for text in texts:
         words, ties = words_of(text, base_spans(text), params.core)
         if not words:
@@ -239,24 +258,34 @@ def fit_field(texts: list[str], params: CrfParams = CrfParams()) -> Field:
         count = np.zeros((tie.max() + 1, k))
         np.add.at(count, tie, hot)
         others = count[tie] - hot
-        rows.append(x)
-        prev.append(np.where(near[:, None], np.r_[np.zeros((1, k)), hot[:-1]], 0))
-        nxt.append(np.where(np.r_[near[1:], False][:, None], np.r_[hot[1:], np.zeros((1, k))], 0))
-        same.append(others / np.maximum(others.sum(axis=1, keepdims=True), 1))
-        y.append(hot)
-    field = Field(np.zeros((FEATURES, k)), np.zeros((k, k)), np.full(k, params.agreement))
+        told = (label != NONE) | (others[:, :NONE].sum(axis=1) == 0)
+        before = np.where(near[:, None], np.r_[np.zeros((1, k)), hot[:-1]], 0)
+        after = np.where(np.r_[near[1:], False][:, None], np.r_[hot[1:], np.zeros((1, k))], 0)
+        share = others / np.maximum(others.sum(axis=1, keepdims=True), 1)
+        masked = np.zeros_like(x)
+        masked[:, 0] = 1
+        all_ = count[tie] / count[tie].sum(axis=1, keepdims=True)
+        nothing = np.zeros_like(before)
+        for own, b, a, s, w in ((x, before, after, share, 1), (masked, nothing, nothing, all_, params.mentions)):
+            rows.append(own[told])
+            prev.append(b[told])
+            nxt.append(a[told])
+            same.append(s[told])
+            y.append(hot[told])
+            weight.append(np.full(int(told.sum()), float(w)))
+    field = Field(np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros(k))
     if not rows:
         field.unary[0, NONE] = 10.0
         return field
-    x, prev, nxt, same, y = (np.concatenate(a) for a in (rows, prev, nxt, same, y))
+    x, prev, nxt, same, y, weight = (np.concatenate(a) for a in (rows, prev, nxt, same, y, weight))
     speed = [np.zeros_like(field.unary), np.zeros_like(field.chain), np.zeros_like(field.skip)]
     for _ in range(params.steps):
         p = _normal(x @ field.unary + prev @ field.chain + nxt @ field.chain.T + same * field.skip)
-        error = y - p
-        grads = [x.T @ error, prev.T @ error + (nxt.T @ error).T, (same * error).sum(axis=0)]
+        error = (y - p) * weight[:, None]
+        grads = [x.T @ error, prev.T @ error + (nxt.T @ error).T, (same * error).sum() * np.ones(k)]
         for s, g, w in zip(speed, grads, (field.unary, field.chain, field.skip), strict=True):
             s *= 0.9
-            s += (g - params.ridge * (w - (params.agreement if w is field.skip else 0))) / len(x)
+            s += (g - params.ridge * w) / weight.sum()
             w += 0.5 * s
     field.skip = np.maximum(field.skip, 0)
     return field

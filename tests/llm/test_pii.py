@@ -1,10 +1,14 @@
 import hashlib
+import itertools
 import re
+import time
+
+import numpy as np
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quadrel.llm.pii import KINDS, CrfParams, base_spans, blanked, find_personal_data, fit_field, more_spans, words_of
+from quadrel.llm.pii import KINDS, CrfParams, Field, base_spans, blanked, find_personal_data, fit_field, more_spans, words_of
 from quadrel.llm.queries import op4_pii_skip_chain
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -65,6 +69,77 @@ def test_repeats_are_found_at_the_production_threshold():
             assert found[:1] == want and (len(address) >= CrfParams().core or found == want), text[:40]
 
 
+def exact(field, x, near, tie, known):
+    """Posteriors by summing over all labellings, words alone: the definition of the field."""
+    n, k = len(x), field.unary.shape[1]
+    out = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        if any(o >= 0 and o != v for o, v in zip(known, labels, strict=True)):
+            continue
+        score = sum(x[i] @ field.unary[:, v] for i, v in enumerate(labels) if known[i] < 0)
+        score += sum(field.chain[labels[i - 1], labels[i]] for i in range(1, n) if near[i])
+        score += sum(field.skip[labels[i]] for i in range(n) for j in range(i) if tie[i] == tie[j] and labels[i] == labels[j])
+        out[np.arange(n), labels] += np.exp(score)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_messages_against_exact_inference():
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        n = int(rng.integers(1, 6))
+        field = Field(rng.normal(0, 1, (3, 5)), rng.normal(0, 0.7, (5, 5)), np.full(5, rng.uniform(0, 3)))
+        x = rng.normal(0, 1, (n, 3))
+        known = np.where(rng.random(n) < 0.3, rng.integers(0, 5, n), -1)
+        chain = np.r_[False, rng.random(n - 1) < 0.8]
+        alone, pairs = np.arange(n), np.arange(n) // 2
+        # Chains, and pairs of like words: no loops, so messages are exact.
+        for near, tie in ((chain, alone), (np.zeros(n, bool), pairs)):
+            assert np.allclose(field.beliefs(x, near, tie, known, 12), exact(field, x, near, tie, known), atol=1e-6)
+        if trial < 20:  # loops: chain and pairs together
+            assert np.abs(field.beliefs(x, chain, pairs, known, 12) - exact(field, x, chain, pairs, known)).max() < 0.25
+
+
+def test_skip_potentials_are_learned():
+    agreeing = fit_field(TRAINING)
+    assert agreeing.skip.min() > 3
+    # The same digits as a card in one place and as a phone number in another, again and again.
+    split = [f"card 4111111111111{i:03d} x +4111111111111{i:03d} y 4111111111111{i:03d}" for i in range(300)]
+    split = [t for t in split if {k for k, *_ in base_spans(t)} >= {2}]
+    assert fit_field(split).skip[2] < agreeing.skip[2]
+
+
+def test_added_spans_on_planted_mentions():
+    import pandas as pd
+
+    texts = [t for t in pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text if t]
+    field = fit_field([t for t in texts if re.search("[0-9@]", t)])
+    hit = planted = 0
+    for n, text in enumerate(texts):
+        clean = text.replace("@", " ")
+        base = base_spans(clean)
+        name = f"mara.{n}quell" if n % 2 else f"oddname{n}x"
+        changed = f"{clean} write to <{name}@post{n}.example.org>, please. {clean[:2000]} So said {name} again."
+        own = base_spans(changed)
+        added = more_spans(changed, own, field, CrfParams())
+        at = changed.rindex(f"{name} again")
+        planted += 1
+        hit += (0, at, at + len(name)) in added
+    assert hit >= 0.9 * planted
+    without = [t for t in texts if not base_spans(t)]
+    assert sum(bool(more_spans(t, [], field, CrfParams())) for t in without) <= 0.02 * len(without)
+
+
+def test_time_is_linear():
+    def seconds(n):
+        begin = time.process_time()
+        for text in (" ".join(f"user{i}x@mail.example.com" for i in range(n)), " ".join(f"u{i}@m.de u{i}" for i in range(n)), "longname@x.de " + "longname" * n, "9" * (10 * n), "1.1.1." * n, "+1(" * n):
+            words_of(text, base_spans(text), 6)
+        return time.process_time() - begin
+
+    seconds(500)
+    assert seconds(16_000) < 16 * max(seconds(2000), 0.05)
+
+
 @settings(max_examples=100, deadline=None)
 @given(TEXT)
 def test_field_takes_any_text(text):
