@@ -130,6 +130,23 @@ def by_size(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def where_scored(docs: DataFrame, score, wanted, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose texts' scores are ``wanted``.
+
+    ``score`` gives an array for a list of texts (null is empty), ``wanted`` a mask for that
+    array. No shuffle; a row passes through its task once.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            for i, j in by_size(texts, 4_000_000):
+                yield batch.slice(i, j - i).filter(pa.array(wanted(score(texts[i:j])), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
@@ -193,6 +210,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     present = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Twice as many ids as rows: some labelled ids may have no document here.
     ids = [wanted.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for c in (0, 1)]
-    rows = present.join(F.broadcast(ids[0].union(ids[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = checkpointed(present.join(F.broadcast(ids[0].union(ids[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
     kept = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect() for c in (0, 1)]
     return [r.text for part in kept for r in part], [r.label for part in kept for r in part]

@@ -13,7 +13,7 @@ from quadrel.llm.bpe import encode_documents
 from quadrel.llm.chat import format_digests
 from quadrel.llm.common import read_table
 from quadrel.llm.embedding_dedup import link_embeddings
-from quadrel.llm.fingerprint import compare_with_next
+from quadrel.llm.fingerprint import compare_with_next, near_texts
 from quadrel.llm.html import extract_pages
 from quadrel.llm.jaccard import join_similar
 from quadrel.llm.packing import pack_documents
@@ -120,6 +120,11 @@ def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
+def edit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands and verification of op10's fingerprints: classes of texts in few edits."""
+    return near_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_quality(docs, train_quality(docs, read_table(spark, sf_dir, "labels")), threshold=0.7)
@@ -141,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_toxicity": op9_toxicity,
     "op10_edit_fingerprint": op10_edit_fingerprint,
+    "edit_classes": edit_classes,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {

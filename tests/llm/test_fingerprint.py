@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from quadrel.llm.fingerprint import PERIOD, WalkParams, _bits, _classes, _records, compare_with_next, fingerprints, likeness, near_texts
-from quadrel.llm.queries import op10_edit_fingerprint
+from quadrel.llm.queries import edit_classes, op10_edit_fingerprint
 
 
 def slow(text, params=WalkParams()):
@@ -117,6 +117,59 @@ def test_near_texts_behind_heads_that_fail(spark):
         assert (got[1000], got[1001]) == (1000, 1000)
 
 
+def distance(a, b):
+    """Edit distance, a row of the table at a time."""
+    y = np.array([ord(c) for c in b])
+    places = np.arange(len(b) + 1)
+    row = places.copy()
+    for i, c in enumerate(a, 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + (y != ord(c)))
+        row = np.minimum.accumulate(np.r_[i, step] - places) + places
+    return int(row[-1])
+
+
+def test_classes_against_edit_distances(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        base = prose(rng, 70)
+        texts.append(base)
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.choice([1, 2, 3, 5])):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice([0, 1])] = rng.choice(["", "q", "zz"])
+            texts.append("".join(copy))
+    got = {r.doc_id: r.class_id for r in near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    shares, met = [], []
+    for i in range(len(texts)):
+        for j in range(i):
+            share = distance(texts[i], texts[j]) / len(texts[i])
+            shares.append(share)
+            met.append(got[i] == got[j])
+            if share > 0.5:
+                assert got[i] != got[j]
+    shares, met = np.array(shares), np.array(met)
+    # Texts of some 400 characters: a pair is found by up to two edits, mostly by up to four.
+    for most, least in ((0.005, 0.9), (0.01, 0.85)):
+        assert (shares <= most).sum() > 20 and met[shares <= most].mean() >= least
+
+
+def test_edit_classes_on_the_table(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r.class_id for r in edit_classes(spark, sf_dir).collect()}
+    assert got.keys() == texts.keys() and all(c <= k and got[c] == c for k, c in got.items())
+    codes = dict(zip(texts, fingerprints(list(texts.values())), strict=True))
+    label = {k: k for k in texts}  # brute force: all pairs of fingerprints that agree enough
+    order = sorted(texts)
+    for i, a in enumerate(order):
+        for b in order[:i]:
+            if likeness(codes[a], codes[b]) >= 0.7 and len(texts[a]) and len(texts[b]):
+                old, new = sorted((label[a], label[b]))
+                label = {k: old if v == new else v for k, v in label.items()}
+    assert sum(got[k] == label[k] for k in got) >= 0.99 * len(got)
+
+
 def test_query_against_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in op10_edit_fingerprint(spark, sf_dir).collect()), key=repr)
