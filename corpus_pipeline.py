@@ -6,19 +6,19 @@ duplicates one document stays, personal data is blanked, and what is left is pac
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.llm.common import read_table
+from quadrel.functions.index import shared_folder
+from quadrel.llm.common import read_table, where_scored
 from quadrel.llm.jaccard import join_similar
 from quadrel.llm.packing import pack_documents
 from quadrel.llm.pii import find_personal_data, train_field
-from quadrel.llm.quality import score_quality, train_quality
-from quadrel.llm.toxicity import score_toxicity, train_toxicity
+from quadrel.llm.quality import train_quality
+from quadrel.llm.toxicity import train_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,20 +31,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier scores 0.7 or more; others go. Rows that share
     an id are kept or go by their own texts."""
     model = train_quality(docs, read_table(spark, sf_dir, "labels"))
-    return _by_text(docs, lambda d: score_quality(d, model, threshold=0.7, key="row"), "predicted = 1")
+    return where_scored(_rows(docs), model.score, lambda score: score >= 0.7)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier scores under 0.3; others go."""
     model = train_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return _by_text(docs, lambda d: score_toxicity(d, model, threshold=0.3, key="row"), "predicted = 0")
-
-
-def _by_text(docs: DataFrame, score, wanted: str) -> DataFrame:
-    """Rows whose text is scored as wanted. A whole row travels as the scorer's key, so the
-    decision needs no join."""
-    rows = _rows(docs).select(F.struct(*COLUMNS).alias("row"), "text")
-    return score(rows).where(wanted).select("doc_id.*")
+    return where_scored(_rows(docs), model.score, lambda score: score < 0.3)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,9 +75,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table documents. Each stage's result is written as Parquet under the
-    checkpoint folder, which all executors share, and read again as the next one's input."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    checkpoint folder, which all executors share, and read again as the next one's input; the
+    folders stay, as the checkpoints do."""
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
         path = f"{base}/{n}-{name}"
