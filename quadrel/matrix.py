@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrel.functions.index import positions_by, renumber
+from quadrel.functions.index import checkpointed, positions_by, renumber
 
 ROW, COL = "row_ix", "col_ix"
 MAIN = ""
@@ -38,6 +38,30 @@ def coordinates(df: DataFrame) -> DataFrame:
     return df.select(F.col(ROW).cast("long").alias(ROW), F.col(COL).cast("long").alias(COL), "value")
 
 
+def fill_value(schema: T.StructType, name: str, fill_values: dict | str | None):
+    """What an attribute gets where it is absent, or None to drop it."""
+    if isinstance(schema[name].dataType, T.ArrayType):
+        return None
+    if isinstance(fill_values, dict):
+        return fill_values.get(name)
+    if fill_values == "auto":
+        return "" if isinstance(schema[name].dataType, T.StringType) else 0
+    return None
+
+
+@dataclass(frozen=True)
+class Origin:
+    """Where a matrix was opened: the dataset's metadata, each component's DataFrame as it was
+    opened, and the layers with their column ``band`` (of ``width`` columns), by which their
+    files are laid out."""
+
+    path: str
+    meta: dict
+    parts: dict[str, DataFrame]
+    banded: dict[str, DataFrame]
+    width: int
+
+
 @dataclass(frozen=True)
 class AnnotatedMatrix:
     """``rows`` and ``cols`` hold the attributes, keyed by dense 0-based row_ix and col_ix;
@@ -51,6 +75,8 @@ class AnnotatedMatrix:
     row_graphs: dict[str, DataFrame] = field(default_factory=dict)
     col_graphs: dict[str, DataFrame] = field(default_factory=dict)
     attrs: dict = field(default_factory=dict)
+    origin: Origin | None = field(default=None, compare=False, repr=False)
+    touched: frozenset[str] = frozenset()  # attributes set since the origin, as "col_attrs/x"
 
     # --- construction -----------------------------------------------------------------
     @classmethod
@@ -134,7 +160,8 @@ class AnnotatedMatrix:
             if (count, distinct) != (n, n):
                 raise ValueError(f"attribute {name!r} needs {n} values")
             made = table.drop(name).join(values.select(ix, name), ix)
-        return replace(self, **{axis_names(axis)[1]: made})
+        key = axis_names(axis)[1]
+        return replace(self, **{key: made}, touched=self.touched | {f"{key[:3]}_attrs/{name}"})
 
     def delete_attribute(self, axis: int, name: str) -> AnnotatedMatrix:
         if name not in self.names(axis):
@@ -204,13 +231,12 @@ class AnnotatedMatrix:
         if isinstance(selector, DataFrame):
             return selector if "new_ix" in selector.columns else renumber(selector.select(ix).distinct(), ix)
         if isinstance(selector, slice):
-            start, stop, step = selector.indices(n)
-            if step > 0:
-                inside = (F.col(ix) >= start) & (F.col(ix) < stop) & ((F.col(ix) - start) % step == 0)
-            else:
-                inside = (F.col(ix) <= start) & (F.col(ix) > stop) & ((F.lit(start) - F.col(ix)) % -step == 0)
-            at = (F.col(ix) - start) / step
-            return table.where(inside).select(ix, at.cast("long").alias("new_ix"))
+            inside, at, _ = positions(selector, n)
+            return table.where(inside(F.col(ix))).select(ix, at(F.col(ix)).alias("new_ix"))
+        return self.spark.createDataFrame([(x, i) for i, x in enumerate(self._items(axis, selector))], f"{ix} long, new_ix long")
+
+    def _items(self, axis: int, selector: int | list | tuple) -> list[int]:
+        n = self.shape[axis]
         items = [selector] if isinstance(selector, int) and not isinstance(selector, bool) else list(selector)
         if items and all(isinstance(x, bool) for x in items):
             if len(items) != n:
@@ -219,15 +245,47 @@ class AnnotatedMatrix:
         items = [x + n if x < 0 else x for x in map(int, items)]
         if any(not 0 <= x < n for x in items):
             raise IndexError("selected outside the axis")
-        return self.spark.createDataFrame([(x, i) for i, x in enumerate(items)], f"{ix} long, new_ix long")
+        return items
+
+    def _stored(self, name: str, cols: Selector) -> DataFrame:
+        """A layer's entries; of a stored layer, those of the bands that the columns are in."""
+        entries = self.layer(name)
+        if self.origin is None or self.origin.parts.get(f"layers/{name}") is not entries:
+            return entries
+        banded, width = self.origin.banded[name], self.origin.width
+        if isinstance(cols, slice):
+            chosen = range(*cols.indices(self.n_cols))
+            low, high = (min(chosen[0], chosen[-1]), max(chosen[0], chosen[-1])) if chosen else (0, -1)
+            banded = banded.where(F.col("band").between(low // width, high // width))
+        elif isinstance(cols, (int, list, tuple)):
+            banded = banded.where(F.col("band").isin(sorted({x // width for x in self._items(1, cols)})))
+        return banded.select(ROW, COL, "value")
+
+    def _chosen(self, axis: int, selector: Selector) -> tuple[Callable | None, Callable | None, int]:
+        """(pick rows of a table by its position column, pick edges, number selected), or Nones
+        for all. Ranges are filters; other selections are joined, and computed once."""
+        ix, _, n = self.axis(axis)
+        if selector is None or isinstance(selector, slice) and selector == slice(None):
+            return None, None, n
+        if isinstance(selector, slice):
+            inside, at, size = positions(selector, n)
+            pick = lambda df: df.where(inside(F.col(ix))).withColumn(ix, at(F.col(ix)))
+            edges = lambda g: g.where(inside(F.col("a")) & inside(F.col("b"))).select(at(F.col("a")).alias("a"), at(F.col("b")).alias("b"), "w")
+            return pick, edges, size
+        chosen = self.selection(axis, selector)
+        if isinstance(selector, (Column, DataFrame)):
+            chosen = checkpointed(chosen.select(ix, "new_ix"))
+        pick = lambda df: df.join(chosen, ix).withColumn(ix, F.col("new_ix")).drop("new_ix")
+        return pick, lambda g: induced(g, chosen.withColumnRenamed(ix, "ix")), chosen.count() if isinstance(selector, (Column, DataFrame)) else len(self._items(axis, selector))
 
     def sparse(self, rows: Selector = None, cols: Selector = None, layer: str = MAIN) -> DataFrame:
-        """Non-zero coordinates of a selection, by their positions in it."""
-        out = self.layer(layer).where("value <> 0")
+        """Non-zero coordinates of a selection, by their positions in it. Of a stored layer,
+        column ranges and lists read their bands' folders only, row ranges skip row groups."""
+        out = self._stored(layer, cols).where("value <> 0")
         for axis, selector in ((0, rows), (1, cols)):
-            chosen, ix = self.selection(axis, selector), axis_names(axis)[0]
-            if chosen is not None:
-                out = out.join(chosen, ix).withColumn(ix, F.col("new_ix")).drop("new_ix")
+            pick, _, _ = self._chosen(axis, selector)
+            if pick is not None:
+                out = pick(out)
         return coordinates(out)
 
     def view(self, rows: Selector = None, cols: Selector = None) -> AnnotatedMatrix:
@@ -236,18 +294,17 @@ class AnnotatedMatrix:
         Of a graph the edges stay whose ends are both selected.
         """
         made, shape = self, list(self.shape)
+        layers = {k: self._stored(k, cols) for k in self.layers}
         for axis, selector in ((0, rows), (1, cols)):
-            chosen = self.selection(axis, selector)
-            if chosen is None:
+            pick, edges, shape[axis] = self._chosen(axis, selector)
+            if pick is None:
                 continue
-            ix, table = axis_names(axis)
-            attributes = getattr(made, table).join(chosen, ix).withColumn(ix, F.col("new_ix")).drop("new_ix")
-            layers = {k: coordinates(v.join(chosen, ix).withColumn(ix, F.col("new_ix"))) for k, v in made.layers.items()}
+            table = axis_names(axis)[1]
+            layers = {k: coordinates(pick(v)) for k, v in layers.items()}
             key = "row_graphs" if axis == 0 else "col_graphs"
-            graphs = {k: induced(g, chosen.withColumnRenamed(ix, "ix")) for k, g in getattr(made, key).items()}
-            shape[axis] = chosen.count()
-            made = replace(made, layers=layers, **{table: attributes, key: graphs})
-        return replace(made, n_rows=shape[0], n_cols=shape[1])
+            graphs = {k: edges(g) for k, g in getattr(made, key).items()}
+            made = replace(made, **{table: pick(getattr(made, table)), key: graphs}, origin=None)
+        return made if made is self else replace(made, layers=layers, n_rows=shape[0], n_cols=shape[1])
 
     def permute(self, axis: int, *order: Column | str, ordering: DataFrame | None = None) -> AnnotatedMatrix:
         """Reorder an axis by attributes (ties by position), or by a table (ix, new_ix)."""
@@ -267,12 +324,15 @@ class AnnotatedMatrix:
         ix, table, n = base.axis(axis)
         if key is not None:
             base = base.permute(1 - axis, key)
-        chosen = base.selection(axis, items)
-        if chosen is not None:
-            table = table.join(chosen.select(ix), ix, "left_semi")
+        if items is None:
+            for start in range(0, n, batch_size):
+                part = slice(start, start + batch_size)
+                yield start, base.view(part, None) if axis == 0 else base.view(None, part)
+            return
+        chosen = checkpointed(table.select(ix).join(base.selection(axis, items).select(ix), ix, "left_semi"))
         band = F.floor(F.col(ix) / batch_size).cast("long")
-        for (start,) in table.select((band * batch_size).alias("s")).distinct().orderBy("s").collect():
-            part = table.where((F.col(ix) >= start) & (F.col(ix) < start + batch_size)).select(ix)
+        for (start,) in chosen.select((band * batch_size).alias("s")).distinct().orderBy("s").collect():  # a row a band
+            part = chosen.where((F.col(ix) >= start) & (F.col(ix) < start + batch_size))
             yield start, base.view(part, None) if axis == 0 else base.view(None, part)
 
     def apply_bands(self, axis: int, fn: Callable, schema: str, batch_size: int = 512, layer: str = MAIN) -> DataFrame:
@@ -294,7 +354,7 @@ class AnnotatedMatrix:
         shift = F.col(COL) + F.lit(self.n_cols).cast("long")
         layers = {k: v.unionByName(other.layers[k].withColumn(COL, shift).withColumn("value", F.col("value").cast(v.schema["value"].dataType))) for k, v in self.layers.items()}
         mine, theirs = align_attributes(self.cols, other.cols.withColumn(COL, shift), COL, fill_values)
-        return replace(self, layers=layers, cols=mine.unionByName(theirs), n_cols=self.n_cols + other.n_cols)
+        return replace(self, layers=layers, cols=mine.unionByName(theirs), n_cols=self.n_cols + other.n_cols, touched=self.touched | {"col_attrs/*"})
 
     def add_matrix(self, other: AnnotatedMatrix, key: str | None = None, fill_values: dict | str | None = None, convert_attrs: bool = False, include_graphs: bool = False) -> AnnotatedMatrix:
         """Append another matrix's columns after aligning its rows by an attribute.
@@ -344,6 +404,19 @@ class AnnotatedMatrix:
         return self.layer(layer).where("value <> 0").count()
 
 
+def positions(selector: slice, n: int) -> tuple[Callable, Callable, int]:
+    """(is a position in the slice, its place there, the slice's length)."""
+    chosen = range(*selector.indices(n))
+    start, step = chosen.start, chosen.step
+    low, high = (min(chosen[0], chosen[-1]), max(chosen[0], chosen[-1])) if chosen else (0, -1)
+
+    def inside(c: Column) -> Column:
+        near = (c >= low) & (c <= high)
+        return near if abs(step) == 1 else near & ((c - start) % step == 0)
+
+    return inside, lambda c: ((c - start) / step).cast("long"), len(chosen)
+
+
 def induced(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """Edges with both ends in ``chosen`` (ix, new_ix), renumbered; multiplicities stay."""
     first = chosen.select(F.col("ix").alias("a"), F.col("new_ix").alias("na"))
@@ -355,17 +428,10 @@ def align_attributes(a: DataFrame, b: DataFrame, ix: str, fill_values: dict | st
     """Both tables with the same columns: attributes of one side are filled or dropped; so are
     those whose types cannot be joined (an array and a number, say)."""
 
-    def filler(schema, name):
-        if isinstance(fill_values, dict):
-            return fill_values.get(name)
-        if fill_values == "auto":
-            return "" if isinstance(schema[name].dataType, T.StringType) else 0
-        return None
-
     out_a, out_b = a, b
     for name in sorted(set(a.columns) ^ set(b.columns)):
         has = a if name in a.columns else b
-        value = None if isinstance(has.schema[name].dataType, T.ArrayType) else filler(has.schema, name)
+        value = fill_value(has.schema, name, fill_values)
         if value is None:
             out_a, out_b = out_a.drop(name), out_b.drop(name)
         elif has is a:

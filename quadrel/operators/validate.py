@@ -54,8 +54,8 @@ def structure_counts(matrix: AnnotatedMatrix) -> DataFrame:
     return union
 
 
-def validate_spec(matrix: AnnotatedMatrix) -> Report:
-    """Types by schema, then one job of counts."""
+def validate_schema(matrix: AnnotatedMatrix) -> Report:
+    """What the schemas show; reads no data."""
     report = Report()
     report.check(MAIN in matrix.layers, "the main layer is missing")
     for name, e in matrix.layers.items():
@@ -64,6 +64,15 @@ def validate_spec(matrix: AnnotatedMatrix) -> Report:
         for name, g in graphs.items():
             good = set(g.columns) >= {"a", "b", "w"} and isinstance(g.schema["a"].dataType, INTEGERS) and isinstance(g.schema["b"].dataType, INTEGERS) and isinstance(g.schema["w"].dataType, (T.FloatType, T.DoubleType))
             report.check(good, f"graph {name!r} needs integers a, b and a float w")
+    for axis in (0, 1):
+        ix, table, _ = matrix.axis(axis)
+        report.check(ix in table.columns and isinstance(table.schema[ix].dataType, INTEGERS), f"{ix} is missing or no integer")
+    return report
+
+
+def validate_spec(matrix: AnnotatedMatrix) -> Report:
+    """Types by schema, then one job of counts over all data."""
+    report = validate_schema(matrix)
     if not report.errors:
         for r in structure_counts(matrix).where("n > 0").collect():
             report.check(False, f"{r.part}: {r.problem} ({r.n})")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrel.functions import dna, stats
-from quadrel.functions.index import positions_by, renumber
+from quadrel.functions.index import positions_by, renumber, shared_folder
 from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix, combine, combine_selected
 from quadrel.operators import aggregate as agg
 from quadrel.operators import cells, index_build, records, sequences
@@ -683,3 +684,36 @@ def x03(spark, sf):
 def x06(spark, sf):
     m = fx.trade(spark, sf).set_graph(1, "next", fx.trade_graph(spark, sf)).set_graph(1, "other", fx.trade_graph(spark, sf)).delete_graph(1, "other")
     return m.graph(1, "other", "next").groupBy("a").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+
+
+# --- stored datasets ------------------------------------------------------------------------
+
+
+def stored(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/dataset-{uuid.uuid4().hex}"
+
+
+@register("k01_append", f"WITH {SM} SELECT row_ix, col_ix, value FROM sm WHERE value <> 0")
+def k01_append(spark, sf):
+    m, path = fx.trade(spark, sf), stored(spark)
+    half = m.n_cols // 2
+    storage.append(spark, path, m.view(None, slice(0, half)))
+    storage.append(spark, path, m.view(None, slice(half, None)))
+    return storage.connect(spark, path).sparse()
+
+
+@register("s01_connect_slice", f"WITH {SM} SELECT row_ix - 10 AS row_ix, (col_ix - 1) // 2 AS col_ix, value FROM sm WHERE row_ix BETWEEN 10 AND 99 AND col_ix % 2 = 1 AND value <> 0")
+def s01_connect_slice(spark, sf):
+    path = stored(spark)
+    storage.save(fx.trade(spark, sf), path)
+    return storage.connect(spark, path).sparse(slice(10, 100), slice(1, None, 2))
+
+
+@register("x09_changes", "SELECT * FROM (VALUES ('col_attrs', 'Size'), ('layers', 'copy')) t(kind, name)")
+def x09_changes(spark, sf):
+    path = stored(spark)
+    storage.save(fx.trade(spark, sf), path)
+    m, before = storage.connect(spark, path), storage.last_modified(spark, path)
+    storage.save(m.set_attribute(1, "Size", F.lit(1)).set_layer("copy", m.layer()), path)
+    found = storage.changes_since(spark, path, before)
+    return spark.createDataFrame([(k, n) for k, names in found.items() for n in names], "kind string, name string")

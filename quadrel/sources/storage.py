@@ -1,9 +1,10 @@
-"""Datasets in a folder: Parquet for each component and one JSON line of metadata.
+"""Datasets in a folder: Parquet for each component and JSON lines of metadata.
 
-A dataset's components lie in a version folder; the metadata line that names it is written
-last, so readers see the old version or the new one. Layers are partitioned by bands of
-columns and sorted by rows within files, so column ranges prune folders and row ranges skip
-row groups. All files go through Spark's readers and writers.
+Every save or append writes new folders, named by a version, with what it adds or changes, and
+then a line of metadata that lists every component's folders, so readers see the old state or the new one
+and nothing is written twice. Layers are partitioned by bands of columns and sorted by rows
+within files, so column ranges prune folders and row ranges skip row groups. All files go
+through Spark's readers and writers.
 """
 
 from __future__ import annotations
@@ -11,16 +12,19 @@ from __future__ import annotations
 import datetime
 import json
 import uuid
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix
-from quadrel.operators.validate import validate_spec
+from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix, Origin, align_attributes, fill_value
+from quadrel.operators.validate import validate_schema, validate_spec
 
 SPEC_VERSION = "3.0.0"
-BAND = 4096
-COMPONENTS = ("layers", "row_graphs", "col_graphs")
+BAND = 4096  # columns of a folder
+ROWS = 65_536  # rows of a band that one task writes
 
 
 def timestamp() -> str:
@@ -49,59 +53,118 @@ def safe(name: str) -> str:
     return "main" if name == MAIN else "x" + name.encode().hex()
 
 
+def refuse_unsound(layers: list[DataFrame]) -> None:
+    """Raise if a layer holds values that are no numbers; before anything is written."""
+    value = F.col("value").cast("double")
+    bad = [e.where(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))).select(ROW, COL) for e in layers]
+    if bad and not reduce(DataFrame.union, bad).isEmpty():
+        raise ValueError("layers may not hold null, NaN or infinite values")
+
+
+def write_layer(entries: DataFrame, folder: str, width: int) -> None:
+    """A folder a band of ``width`` columns; a task writes a range of a band's rows."""
+    banded = entries.withColumn("band", F.floor(F.col(COL) / width).cast("int"))
+    dealt = banded.repartition(F.col("band"), F.floor(F.col(ROW) / ROWS))
+    dealt.sortWithinPartitions("band", ROW, COL).write.partitionBy("band").parquet(folder)
+
+
+def layer_part(name: str, version: str) -> str:
+    """Folder of what one save or append adds to a layer."""
+    return f"layers/{safe(name)}/part={version}"
+
+
+def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("append").text(f"{path}/_meta")
+
+
 def save(matrix: AnnotatedMatrix, path: str, changed: dict[str, str] | None = None) -> None:
-    """Write a dataset. ``changed``: component -> time stamp to keep for what did not change."""
-    spark, now, version = matrix.spark, timestamp(), uuid.uuid4().hex
-    base, stamps = f"{path}/v{version}", {}
-    bad = None
+    """Write a dataset. What a matrix that was opened at this path still holds unchanged is
+    not written again and keeps its time stamps. ``changed``: component -> stamp to set."""
+    spark, now, version = matrix.spark, timestamp(), f"v{uuid.uuid4().hex}"
+    origin = matrix.origin if matrix.origin and matrix.origin.path == path else None
+    old = origin.meta if origin else None
+    same = lambda component, df: origin is not None and origin.parts.get(component) is df
+    width = old["band"] if old else BAND
+    meta = {"spec": SPEC_VERSION, "band": width, "shape": list(matrix.shape), "attrs": matrix.attrs, "last_modified": now, "layers": {}, "row_graphs": {}, "col_graphs": {}}
+    stamps = {}
+    refuse_unsound([e for n, e in matrix.layers.items() if not same(f"layers/{n}", e)])
     for name, entries in matrix.layers.items():
-        value = F.col("value").cast("double")
-        broken = entries.where(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")))
-        bad = broken if bad is None else bad.select(ROW, COL).union(broken.select(ROW, COL))
-        banded = entries.withColumn("band", F.floor(F.col(COL) / BAND).cast("int"))
-        banded.repartition("band").sortWithinPartitions("band", ROW, COL).write.partitionBy("band").parquet(f"{base}/layers/{safe(name)}")
-        stamps[f"layers/{name}"] = now
-    if bad is not None and not bad.isEmpty():
-        raise ValueError("layers may not hold null, NaN or infinite values")
+        component = f"layers/{name}"
+        if same(component, entries):
+            meta["layers"][name], stamps[component] = old["layers"][name], old["modified"][component]
+            continue
+        write_layer(entries, f"{path}/{layer_part(name, version)}", width)
+        meta["layers"][name] = {"type": entries.schema["value"].dataType.simpleString(), "folders": [layer_part(name, version)]}
+        stamps[component] = now
     for key, table in (("row_attrs", matrix.rows), ("col_attrs", matrix.cols)):
-        table.write.parquet(f"{base}/{key}")
-        stamps.update({f"{key}/{c}": now for c in table.columns if c not in (ROW, COL)})
+        names = [c for c in table.columns if c not in (ROW, COL)]
+        if same(key, table):
+            meta[key] = old[key]
+        else:
+            table.write.parquet(f"{path}/{version}/{key}")
+            meta[key] = {"schema": table.schema.jsonValue(), "parts": [{"folder": f"{version}/{key}", "fills": {}}]}
+        known = old["modified"] if old and f"{key}/*" not in matrix.touched else {}
+        stamps.update({f"{key}/{c}": now if f"{key}/{c}" in matrix.touched else known.get(f"{key}/{c}", now) for c in names})
     for key in ("row_graphs", "col_graphs"):
         for name, edges in getattr(matrix, key).items():
-            edges.write.parquet(f"{base}/{key}/{safe(name)}")
-            stamps[f"{key}/{name}"] = now
-    stamps.update({f"attrs/{k}": now for k in matrix.attrs})
-    meta = {
-        "version": version, "spec": SPEC_VERSION, "shape": list(matrix.shape), "attrs": matrix.attrs, "modified": {**stamps, **(changed or {})}, "last_modified": now,
-        "layers": {k: v.schema["value"].dataType.simpleString() for k, v in matrix.layers.items()}, "row_graphs": sorted(matrix.row_graphs), "col_graphs": sorted(matrix.col_graphs),
-    }
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("append").text(f"{path}/_meta")
+            component = f"{key}/{name}"
+            if same(component, edges):
+                meta[key][name], stamps[component] = old[key][name], old["modified"][component]
+                continue
+            edges.write.parquet(f"{path}/{version}/{key}/{safe(name)}")
+            meta[key][name], stamps[component] = f"{version}/{key}/{safe(name)}", now
+    for k, v in matrix.attrs.items():
+        stamps[f"attrs/{k}"] = old["modified"].get(f"attrs/{k}", now) if old and k in old["attrs"] and old["attrs"][k] == v else now
+    write_meta(spark, path, meta | {"modified": {**stamps, **(changed or {})}})
 
 
 def metadata(spark: SparkSession, path: str) -> dict:
-    """The dataset's last metadata line; raises OSError if there is none."""
+    """The dataset's last metadata line; raises FileNotFoundError if there is no dataset.
+    Any other trouble in reading it is raised as it is."""
     from pyspark.errors import AnalysisException
 
     try:
         lines = [json.loads(r.value) for r in spark.read.text(f"{path}/_meta").collect()]  # a line a save
-    except AnalysisException as missing:
-        raise OSError(f"no dataset at {path}") from missing
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no dataset at {path}") from error
+    if not lines:
+        raise FileNotFoundError(f"no dataset at {path}")
     return max(lines, key=lambda m: m["last_modified"])
 
 
-def connect(spark: SparkSession, path: str, validate: bool = True) -> AnnotatedMatrix:
-    """Open a dataset lazily; with ``validate`` its parts are checked first."""
-    meta = metadata(spark, path)
-    base = f"{path}/v{meta['version']}"
+def read_attributes(spark: SparkSession, path: str, entry: dict) -> DataFrame:
+    """An attribute table from its parts; a part without an attribute has the fill for it."""
+    schema = T.StructType.fromJson(entry["schema"])
+    by_fill: dict[str, list[dict]] = {}
+    for part in entry["parts"]:
+        by_fill.setdefault(json.dumps(part["fills"], sort_keys=True), []).append(part)
+    tables = []
+    for parts in by_fill.values():
+        table = spark.read.schema(schema).parquet(*[f"{path}/{p['folder']}" for p in parts])
+        fills = {k: F.lit(v).cast(schema[k].dataType) for k, v in parts[0]["fills"].items() if k in schema.names}
+        tables.append(table.withColumns(fills) if fills else table)
+    return reduce(DataFrame.unionByName, tables)
+
 
-    def entries(name: str, kind: str) -> DataFrame:
-        table = spark.read.schema(f"{ROW} long, {COL} long, value {kind}, band int").parquet(f"{base}/layers/{safe(name)}")
-        return table.select(ROW, COL, "value")
+def connect(spark: SparkSession, path: str, validate: bool = True, full: bool = False) -> AnnotatedMatrix:
+    """Open a dataset lazily. ``validate`` checks what the schemas show and reads no data;
+    ``full`` checks all values, which reads and shuffles every layer."""
+    meta = metadata(spark, path)
 
-    graphs = {key: {n: spark.read.parquet(f"{base}/{key}/{safe(n)}") for n in meta[key]} for key in ("row_graphs", "col_graphs")}
-    made = AnnotatedMatrix(spark.read.parquet(f"{base}/row_attrs"), spark.read.parquet(f"{base}/col_attrs"), {n: entries(n, k) for n, k in meta["layers"].items()}, *meta["shape"], **graphs, attrs=meta["attrs"])
-    if validate:
-        report = validate_spec(made)
+    def banded(name: str, entry: dict) -> DataFrame:
+        reader = spark.read.schema(f"{ROW} long, {COL} long, value {entry['type']}, part string, band int").option("basePath", f"{path}/layers/{safe(name)}")
+        return reader.parquet(*[f"{path}/{f}" for f in entry["folders"]])
+
+    bands = {n: banded(n, e) for n, e in meta["layers"].items()}
+    layers = {n: b.select(ROW, COL, "value") for n, b in bands.items()}
+    tables = {key: read_attributes(spark, path, meta[key]) for key in ("row_attrs", "col_attrs")}
+    graphs = {key: {n: spark.read.parquet(f"{path}/{f}") for n, f in meta[key].items()} for key in ("row_graphs", "col_graphs")}
+    parts = {f"layers/{n}": e for n, e in layers.items()} | tables | {f"{key}/{n}": g for key, own in graphs.items() for n, g in own.items()}
+    made = AnnotatedMatrix(tables["row_attrs"], tables["col_attrs"], layers, *meta["shape"], **graphs, attrs=meta["attrs"], origin=Origin(path, meta, parts, bands, meta["band"]))
+    if validate or full:
+        report = validate_spec(made) if full else validate_schema(made)
         if report.errors:
             raise ValueError("; ".join(report.errors))
     return made
@@ -123,14 +186,38 @@ def changes_since(spark: SparkSession, path: str, since: str) -> dict[str, list[
     return {k: sorted(v) for k, v in out.items()}
 
 
-def append(spark: SparkSession, path: str, batch: AnnotatedMatrix, fill_values: dict | str | None = None) -> None:
-    """Create the dataset, or append the batch's columns to it."""
+def append(spark: SparkSession, path: str, batch: AnnotatedMatrix, fill_values: dict | str | None = None, attrs: dict | None = None) -> None:
+    """Create the dataset, or append the batch's columns to it as ``add_columns`` does, with
+    ``attrs`` set. Only the batch is written; the files that are there stay as they are."""
     try:
         current = connect(spark, path, validate=False)
-    except OSError:
-        save(batch, path)
+    except FileNotFoundError:
+        current = None
+    if current is None or not current.n_cols:
+        save(replace(batch, attrs={**(current.attrs if current else {}), **batch.attrs, **(attrs or {})}), path)
         return
-    save(current.add_columns(batch, fill_values) if current.n_cols else batch, path)
+    if batch.n_rows != current.n_rows:
+        raise ValueError("the matrices need the same number of rows")
+    if set(batch.layers) != set(current.layers):
+        raise ValueError("the matrices need the same layers")
+    now, version, meta = timestamp(), f"v{uuid.uuid4().hex}", json.loads(json.dumps(current.origin.meta))
+    shift = (F.col(COL) + F.lit(current.n_cols)).cast("long")
+    refuse_unsound(list(batch.layers.values()))
+    for name, entries in batch.layers.items():
+        kind = meta["layers"][name]["type"]
+        write_layer(entries.select(F.col(ROW).cast("long").alias(ROW), shift.alias(COL), F.col("value").cast(kind).alias("value")), f"{path}/{layer_part(name, version)}", meta["band"])
+        meta["layers"][name]["folders"].append(layer_part(name, version))
+        meta["modified"][f"layers/{name}"] = now
+    mine, theirs = align_attributes(current.cols, batch.cols.withColumn(COL, shift), COL, fill_values)
+    theirs.select(*[F.col(c).cast(mine.schema[c].dataType).alias(c) for c in mine.columns]).write.parquet(f"{path}/{version}/col_attrs")
+    for name in set(mine.columns) - set(current.cols.columns):
+        for part in meta["col_attrs"]["parts"]:
+            part["fills"][name] = fill_value(batch.cols.schema, name, fill_values)
+    meta["col_attrs"]["schema"] = mine.schema.jsonValue()
+    meta["col_attrs"]["parts"].append({"folder": f"{version}/col_attrs", "fills": {}})
+    meta["modified"] = {k: v for k, v in meta["modified"].items() if not k.startswith("col_attrs/")} | {f"col_attrs/{c}": now for c in mine.columns if c != COL} | {f"attrs/{k}": now for k in attrs or {}}
+    meta["attrs"].update(attrs or {})
+    write_meta(spark, path, meta | {"shape": [current.n_rows, current.n_cols + batch.n_cols], "last_modified": now})
 
 
 # --- sinks of text ------------------------------------------------------------------------

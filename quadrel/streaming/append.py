@@ -22,17 +22,12 @@ def append_stream(records: DataFrame, rows: DataFrame, path: str, checkpoint: st
         spark = batch.sparkSession
         try:
             done = storage.metadata(spark, path)["attrs"].get("LastBatch", -1)
-        except OSError:
+        except FileNotFoundError:
             done = -1
         if number <= done or batch.isEmpty():
             return
         cells = positions_by(batch.select(F.col(cell).alias("CellID")).distinct(), "CellID", name=COL)
         entries = batch.groupBy(F.col(row).alias(ROW), F.col(cell).alias("CellID")).agg(F.sum(value).alias("value")).join(cells, "CellID").select(ROW, COL, "value")
-        made = AnnotatedMatrix.create({MAIN: entries}, rows, cells)
-        try:
-            made = storage.connect(spark, path, validate=False).add_columns(made)
-        except OSError:
-            pass
-        storage.save(made.set_global("LastBatch", number), path)
+        storage.append(spark, path, AnnotatedMatrix.create({MAIN: entries}, rows, cells), attrs={"LastBatch": number})
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

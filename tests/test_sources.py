@@ -1,5 +1,6 @@
 import gzip
 import struct
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +132,85 @@ def test_storage(spark, tmp_path):
     assert storage.compare_versions("2.0.10", "3.0.0") == -1 and storage.new(spark).shape == (0, 0)
 
 
+def files(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_append_writes_the_batch_only(spark, tmp_path):
+    path = str(tmp_path / "ds")
+    storage.append(spark, path, sample(spark))
+    first = files(tmp_path)
+    storage.append(spark, path, sample(spark, 2, 100))
+    second = files(tmp_path)
+    assert first.items() < second.items() and sum("/layers/" in f for f in second.keys() - first.keys()) <= 2
+    # An attribute of one side only is dropped, or filled where a value is given; any files stay.
+    extra = sample(spark, 3, 200)
+    extra = replace(extra, cols=extra.cols.drop("Cell").withColumn("Batch", F.lit("x")))
+    storage.append(spark, path, extra, fill_values={"Cell": -1, "Batch": "none"})
+    m = storage.connect(spark, path, full=True)
+    assert [(r.Cell, r.Batch) for r in m.cols.orderBy(COL).collect()] == [(c, "none") for c in (0, 1, 2, 3, 4, 100, 101)] + [(-1, "x")] * 3
+    storage.append(spark, path, sample(spark, 1, 300))
+    m = storage.connect(spark, path)
+    assert m.shape == (3, 11) and "Batch" not in m.cols.columns and second.items() < files(tmp_path).items()
+    want = [c for n, (cols, start) in enumerate(((5, 0), (2, 100), (3, 200), (1, 300))) for c in ((i, j + (0, 5, 7, 10)[n], v) for i, j, v in cells(sample(spark, cols, start)))]
+    assert cells(m) == sorted(want)
+    with pytest.raises(ValueError, match="rows"):
+        storage.append(spark, path, replace(sample(spark), n_rows=4))
+
+
+def test_changes_by_component(spark, tmp_path):
+    path = str(tmp_path / "ds")
+    storage.save(sample(spark).set_layer("b", "int").set_graph(1, "k", spark.createDataFrame([(0, 1, 0.5)], "a long, b long, w double")), path)
+    before, written = storage.last_modified(spark, path), files(tmp_path)
+    m = storage.connect(spark, path)
+    storage.save(m.set_attribute(1, "Size", F.lit(3)).set_layer("b", sample(spark).layer()).set_global("Year", 2020), path)
+    changes = storage.changes_since(spark, path, before)
+    assert changes == {"row_attrs": [], "col_attrs": ["Size"], "row_graphs": [], "col_graphs": [], "layers": ["b"]}
+    assert storage.last_modified(spark, path, "layers/") == before < storage.last_modified(spark, path, "attrs/Year")
+    assert written.items() < files(tmp_path).items()
+    back = storage.connect(spark, path)
+    assert cells(back) == cells(m) and {r.Size for r in back.cols.collect()} == {3} and back.graph(1, "k").count() == 1
+    storage.save(back.view(None, slice(0, 2)), path)  # another matrix: all of it is written
+    assert storage.connect(spark, path).shape == (3, 2) and storage.changes_since(spark, path, before)["row_attrs"] == ["Gene"]
+
+
+def plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    return df._jdf.queryExecution().toString()
+
+
+def test_slices_prune_what_is_stored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "BAND", 4)
+    path = str(tmp_path / "ds")
+    entries = spark.range(40).selectExpr("id % 5 AS row_ix", "id DIV 2 AS col_ix", "CAST(id AS DOUBLE) + 1 AS value")
+    whole = AnnotatedMatrix.create(entries, spark.range(5).withColumnRenamed("id", ROW), spark.range(20).withColumnRenamed("id", COL))
+    storage.save(whole, path)
+    m = storage.connect(spark, path)
+    part = m.sparse(slice(1, 3), slice(2, 7))
+    shown = plan(part)
+    assert "PartitionFilters: [isnotnull(band" in shown and "GreaterThanOrEqual(row_ix,1)" in shown and "Join" not in shown
+    assert len(part.inputFiles()) and sorted(tuple(r) for r in part.collect()) == cells(whole.view(slice(1, 3), slice(2, 7)))
+    for rows, cols in ((None, [19, 0, -2]), (slice(4, None, -2), slice(17, 3, -3)), ([2], 5), (None, slice(9, 9)), (F.col(ROW) > 2, slice(0, 8))):
+        a, b = m.view(rows, cols), whole.view(rows, cols)
+        assert a.shape == b.shape and cells(a) == cells(b) and sorted(tuple(r) for r in m.sparse(rows, cols).collect()) == cells(b)
+    assert "band#" in plan(m.sparse(None, [19, 0])).split("PartitionFilters: [")[1].split("]")[0]
+    assert [(s, v.shape) for s, v in m.scan(1, 8)] == [(0, (5, 8)), (8, (5, 8)), (16, (5, 4))]
+
+
+def test_opening_runs_no_job_on_layers(spark, tmp_path):
+    path = str(tmp_path / "ds")
+    storage.save(sample(spark), path)
+    (next((tmp_path / "ds").glob("layers/*/part=*/band=*/*.parquet"))).write_bytes(b"broken")
+    assert storage.connect(spark, path).shape == (3, 5)  # the layer's files are not read
+    with pytest.raises(Exception):
+        storage.connect(spark, path, full=True)
+    meta = tmp_path / "ds" / "_meta"
+    next(meta.glob("*.txt")).write_text("{not json")
+    with pytest.raises(Exception) as broken:  # a broken dataset is not taken for an absent one
+        storage.append(spark, path, sample(spark))
+    assert not isinstance(broken.value, FileNotFoundError) and len(list(meta.glob("*.txt"))) == 1
+
+
 def test_export_and_html(spark, tmp_path):
     m = sample(spark, 3)
     storage.export(m, str(tmp_path / "out"))
