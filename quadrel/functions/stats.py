@@ -1,12 +1,15 @@
 """Statistics of counts: Good-Turing smoothing, false discovery rates, log-likelihoods."""
 
 import math
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadrel.functions.index import checkpointed
+
 
 def frequency_of_frequencies(counts: DataFrame, count: str = "freq") -> DataFrame:
     """(r, nr): how many objects were seen r times, for r > 0."""
@@ -73,18 +76,33 @@ def adjust_bh(pvalues: DataFrame, p: str = "p", name: str = "padj") -> DataFrame
     """Add Benjamini-Hochberg adjusted p-values.
 
     Tests with one p-value have one adjusted value, so ranks and running minima are taken
-    over distinct p-values, counted before the shuffle; the window is over those.
+    over distinct p-values, counted before the shuffle. Those are dealt to ranges; a range's
+    ranks start after the counts before it, and its minima include the least of the ranges
+    after it, so no window runs over all of them.
     """
-    distinct = pvalues.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
-    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = distinct.withColumn("_rank", F.sum("_c").over(up))
-    total = distinct.agg(F.sum("_c").alias("_n"))
-    down = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = ranked.join(F.broadcast(total)).withColumn("_q", F.col("_n") * F.col("_p") / F.col("_rank"))
-    adjusted = step.select("_p", F.least(F.lit(1.0), F.min("_q").over(down)).alias(name))
+    parts = int(pvalues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = pvalues.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    ranged = checkpointed(distinct.repartitionByRange(parts, "_p").withColumn("_part", F.spark_partition_id()))
+    sizes = dict(sorted(map(tuple, ranged.groupBy("_part").agg(F.sum("_c")).collect())))  # a row a range
+    before = dict(zip(sizes, accumulate([0, *sizes.values()]), strict=False))
+    up = Window.partitionBy("_part").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = _by_part(before, 0) + F.sum("_c").over(up)
+    step = ranged.withColumn("_q", F.lit(float(sum(sizes.values()))) * F.col("_p") / rank)
+    least = dict(sorted(map(tuple, step.groupBy("_part").agg(F.min("_q")).collect())))
+    after, low = {}, 1.0
+    for part in sorted(least, reverse=True):
+        after[part], low = low, min(low, least[part])
+    down = Window.partitionBy("_part").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    adjusted = step.select("_p", F.least(_by_part(after, 1.0), F.min("_q").over(down)).alias(name))
     return pvalues.join(adjusted, pvalues[p] == F.col("_p")).drop("_p")
 
 
+def _by_part(values: dict, other):
+    """Column: the value for the range ``_part``."""
+    pairs = [F.lit(x) for item in values.items() for x in item]
+    return F.coalesce(F.create_map(*pairs)[F.col("_part")], F.lit(other)) if pairs else F.lit(other)
+
+
 def lgamma1(column):
     """log(x!) of a long column, by an Arrow function (SQL has no lgamma)."""
     return _lgamma1(column)
