@@ -2,9 +2,9 @@
 
 Lexicon and pattern voters say toxic, clean or nothing about a text. A generative label
 model, fitted by expectation maximisation without labels, estimates how often each voter
-says what about either class, and how strongly voters repeat each other beyond that;
-correlated voters count for less. Its posterior labels train a linear classifier on what the
-voters saw, and that classifier scores every whole text.
+says what about either class, and the correlations beyond that: a vote depends on the class
+and on the votes of correlated voters. Its posterior labels train a linear classifier on what
+the voters saw, and that classifier scores every whole text.
 
 Labels are used for one thing: to mine the lexicons, on a bounded sample of training rows.
 """
@@ -42,6 +42,8 @@ class VoterParams:
     chance: float = 1e-6  # most likely chance of a term's toxic count at its clean rate
     folds: int = 3
     iterations: int = 40
+    parents: int = 1  # other voters that a vote may depend on (least log loss of 1 to 4, on training rows of other folds)
+    dependence: float = 0.005  # least mutual information (nats) of two voters that depend on each other
     seed: int = 5
 
 
@@ -196,53 +198,105 @@ def mine(texts: list[str], labels: list[int], params: VoterParams) -> list[Voter
 
 @dataclass
 class LabelModel:
-    """P(vote | class) of every voter, the class prior, and each voter's share of new evidence."""
+    """A class, and votes that depend on it and on at most ``parents`` other voters each.
 
-    rates: np.ndarray  # voters, class, vote (-1, 0, 1)
+    ``parents`` (voters, parents) names the voters that a voter's vote depends on (-1: none);
+    no voter depends on itself by way of others. ``rates`` are P(vote | class, parents' votes).
+    The probability of a text's votes is the product of the prior and the rates.
+    """
+
+    rates: np.ndarray  # voters, class, parents' votes as a number of base 3, vote (-1, 0, 1)
     prior: float
-    share: np.ndarray
+    parents: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def above(self, votes: np.ndarray) -> np.ndarray:
+        """(texts, voters): the parents' votes, as a number of base 3."""
         place = votes.astype(int) + 1
-        index = np.arange(votes.shape[1])
-        odds = np.log(self.rates[index, 1, place]) - np.log(self.rates[index, 0, place])
-        return 1 / (1 + np.exp(-np.clip(odds @ self.share + np.log(self.prior / (1 - self.prior)), -40, 40)))
+        out = np.zeros(votes.shape, int)
+        for column in self.parents.T:
+            out = out * 3 + np.where(column >= 0, place[:, column], 1)
+        return out
 
+    def joint(self, votes: np.ndarray) -> np.ndarray:
+        """(texts, class): log P(class, votes)."""
+        index, above = np.arange(votes.shape[1]), self.above(votes)
+        logs = [np.log(self.rates[index, c, above, votes.astype(int) + 1]).sum(axis=1) for c in (0, 1)]
+        return np.stack(logs, axis=1) + np.log([1 - self.prior, self.prior])
 
-def fit_label_model(votes: np.ndarray, params: VoterParams) -> LabelModel:
-    """EM from the voters' majority; correlations from residuals given the posterior.
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        logs = self.joint(votes)
+        return 1 / (1 + np.exp(-np.clip(logs[:, 1] - logs[:, 0], -40, 40)))
+
+
+def dependence(pairs: np.ndarray) -> np.ndarray:
+    """(voters, voters): mutual information of two voters' votes within the classes, of
+    ``pairs`` (class, voter, vote, voter, vote), weighted numbers of texts."""
+    p = pairs / max(pairs[:, 0, :, 0, :].sum(), 1e-300)
+    size = p[:, 0, :, 0, :].sum(axis=(1, 2))[:, None, None, None, None]
+    first, second = p.sum(axis=4, keepdims=True), p.sum(axis=2, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = np.where(p > 0, p * np.log(p * size / (first * second)), 0.0)
+    return terms.sum(axis=(0, 2, 4))
+
+
+def choose_parents(weights: np.ndarray, least: float, most: int) -> np.ndarray:
+    """(voters, most): voters are taken one by one, the one that depends most on those taken
+    first; its parents are up to ``most`` of them, of ``least`` dependence at least."""
+    m = len(weights)
+    out, taken = np.full((m, most), -1), np.zeros(m, bool)
+    known = np.where(weights >= least, weights, 0.0)
+    for _ in range(m):
+        strongest = -np.sort(-np.where(taken, known, 0.0), axis=1)[:, :most].sum(axis=1)
+        at = int(np.where(taken, -1.0, strongest).argmax())
+        order = [j for j in np.argsort(-known[at], kind="stable") if taken[j] and known[at, j] > 0][:most]
+        out[at, : len(order)] = order
+        taken[at] = True
+    return out
 
-    A voter's share is 1 / (1 + the sum of its absolute correlations with the others within
-    the classes), so k voters that always agree count as one.
+
+def fit_label_model(votes: np.ndarray, params: VoterParams) -> LabelModel:
+    """Expectation maximisation from the voters' majority.
+
+    Each M-step also finds the correlations: which other voters a vote depends on within the
+    classes, by mutual information. What a voter only repeats after its parents adds no
+    evidence. At first only near copies are tied, or they would outvote the others from the
+    start; weaker dependences, which are the class itself while that is unsure, come later,
+    down to ``dependence`` or what chance gives. From the middle of the steps on the parents
+    stay as they are, which lets the rates converge.
     """
     n, m = votes.shape
+    configs = 3**params.parents
+    model = LabelModel(np.full((m, 2, configs, 3), 1 / 3), 0.5, np.full((m, params.parents), -1))
     if not n:
-        return LabelModel(np.full((m, 2, 3), 1 / 3), 0.5, np.ones(m))
+        return model
     said = (votes != 0).sum(axis=1)
     q = np.clip((votes.sum(axis=1) / np.maximum(said, 1) + 1) / 2, 0.05, 0.95)
-    model = LabelModel(np.full((m, 2, 3), 1 / 3), 0.5, np.ones(m))
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
+    place = votes.astype(int) + 1
+    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64).reshape(n, 3 * m)
+    middle = params.iterations // 2
     for step in range(params.iterations):
-        weight = np.stack([1 - q, q], axis=1)
-        counts = np.einsum("nc,nmv->mcv", weight, onehot) + 0.2
-        model.rates = counts / counts.sum(axis=2, keepdims=True)
-        # Voters are better than chance: toxic votes come more from toxic texts, clean votes less.
+        weight = np.stack([1 - q, q])
+        if step <= middle:
+            pairs = np.stack([(onehot * w[:, None]).T @ onehot for w in weight]).reshape(2, m, 3, m, 3)
+            least = max(params.dependence, 10 / n, 0.3 * 0.7**step)
+            model.parents = choose_parents(dependence(pairs), least, params.parents)
+        cell = model.above(votes) * 3 + place
+        for j in range(m):
+            counts = np.stack([np.bincount(cell[:, j], w, 3 * configs) for w in weight]).reshape(2, configs, 3)
+            own = counts.sum(axis=1) + 0.2
+            counts += own[:, None, :] / own.sum(axis=1)[:, None, None]  # smoothed by one text of the voter's own rates
+            model.rates[j] = counts / counts.sum(axis=2, keepdims=True)
+        # Voters are better than chance, whatever their parents say: toxic votes come more
+        # from toxic texts, clean votes less.
         for vote, sign in ((2, 1), (0, -1)):
-            wrong = sign * (model.rates[:, 1, vote] - model.rates[:, 0, vote]) < 0
-            model.rates[wrong, 1, vote] = model.rates[wrong, 0, vote] = model.rates[wrong, :, vote].mean(axis=1)
-        model.rates /= model.rates.sum(axis=2, keepdims=True)
+            wrong = sign * (model.rates[:, 1, :, vote] - model.rates[:, 0, :, vote]) < 0
+            mean = model.rates[:, :, :, vote].mean(axis=1)
+            for c in (0, 1):
+                model.rates[:, c, :, vote] = np.where(wrong, mean, model.rates[:, c, :, vote])
+        model.rates /= model.rates.sum(axis=3, keepdims=True)
         model.prior = float(np.clip(q.mean(), 0.01, 0.99))
-        if step >= 3:
-            mean = (model.rates[:, :, 2] - model.rates[:, :, 0]).T  # class, voter
-            rest = votes - weight @ mean
-            cov = rest.T @ rest / max(1, n)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = np.abs(cov / np.outer(sd, sd))
-            corr[corr < 0.1] = 0
-            np.fill_diagonal(corr, 0)
-            model.share = 1 / (1 + corr.sum(axis=1))
         new = model.posterior(votes)
-        if np.abs(new - q).max(initial=0) < 1e-6 and step > 5:
+        if np.abs(new - q).max(initial=0) < 1e-6 and step > middle:
             break
         q = new
     return model

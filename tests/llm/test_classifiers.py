@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -76,8 +77,71 @@ def test_label_model_finds_accuracies():
     votes = np.stack([np.where(rng.random(4000) < a, np.where(y, 1, -1), np.where(y, -1, 1)) for a in accuracy], axis=1)
     votes = np.c_[votes, votes[:, 4], votes[:, 4]]  # two copies of the worst voter
     model = fit_label_model(votes, VoterParams())
-    right = model.rates[:5, 1, 2] * model.prior + model.rates[:5, 0, 0] * (1 - model.prior)
+    above = model.above(votes)
+    says = np.stack([[model.rates[j, c, above[:, j], 2 * c].mean() for c in (0, 1)] for j in range(5)])
+    right = says[:, 1] * model.prior + says[:, 0] * (1 - model.prior)
     assert np.abs(right - accuracy).max() < 0.06
-    assert model.share[4] < 0.5 < model.share[0]
+    # The copies depend on each other and change no posterior.
+    assert sum(model.parents[j, 0] in (4, 5, 6) for j in (4, 5, 6)) == 2
+    alone = fit_label_model(votes[:, :5], VoterParams())
+    assert np.abs(model.posterior(votes) - alone.posterior(votes[:, :5])).mean() < 0.02
     assert np.mean((model.posterior(votes) > 0.5) == y) > 0.94
     assert abs(poisson_tail(7, 0.54) - 1.16e-6) < 2e-6
+
+
+def correlated_votes(n, seed=3):
+    """Classes, and votes of five voters of which the second and third repeat the first, or
+    say nothing, most of the time; the true probability of the class, by enumeration."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.35
+    draw = lambda hit: np.where(rng.random(n) < hit, np.where(y, 1, -1), np.where(y, -1, 1))
+    a = np.where(rng.random(n) < 0.8, draw(0.75), 0)
+    b = np.where(rng.random(n) < 0.9, a, draw(0.7))
+    c = np.where(rng.random(n) < 0.9, a, draw(0.7))
+    d, e = draw(0.8), draw(0.85)
+    chance = lambda vote, own, hit: hit if vote == own else 1 - hit if vote == -own else 0.0
+
+    def joint(v, own):
+        first = 0.2 if v[0] == 0 else 0.8 * chance(v[0], own, 0.75)
+        rest = [0.9 * (v[i] == v[0]) + 0.1 * chance(v[i], own, 0.7) for i in (1, 2)]
+        return first * rest[0] * rest[1] * chance(v[3], own, 0.8) * chance(v[4], own, 0.85)
+
+    votes = np.stack([a, b, c, d, e], axis=1)
+    truth = {}
+    for v in {tuple(row) for row in votes.tolist()}:
+        toxic, clean = 0.35 * joint(v, 1), 0.65 * joint(v, -1)
+        truth[v] = toxic / (toxic + clean)
+    return y, votes, np.array([truth[tuple(row)] for row in votes.tolist()])
+
+
+@pytest.mark.parametrize("parents", [1, 2])
+def test_label_model_equals_enumeration(parents):
+    _, votes, _ = correlated_votes(3000)
+    model = fit_label_model(votes, VoterParams(parents=parents))
+    assert (model.parents >= 0).any()
+    every = list(itertools.product((-1, 0, 1), repeat=5))
+
+    def slow(v, c):
+        out = model.prior if c else 1 - model.prior
+        for j, vote in enumerate(v):
+            config = 0
+            for parent in model.parents[j]:
+                config = config * 3 + (v[parent] + 1 if parent >= 0 else 1)
+            out *= model.rates[j, c, config, vote + 1]
+        return out
+
+    joint = np.array([[slow(v, c) for c in (0, 1)] for v in every])
+    assert abs(joint.sum() - 1) < 1e-9  # a distribution over all classes and votes: no voter is its own ancestor
+    assert np.allclose(np.exp(model.joint(np.array(every))), joint)
+    assert np.allclose(model.posterior(np.array(every)), joint[:, 1] / joint.sum(axis=1))
+
+
+def test_label_model_finds_correlations():
+    y, votes, truth = correlated_votes(20_000)
+    model = fit_label_model(votes, VoterParams())
+    assert {frozenset((j, int(p))) for j, p in enumerate(model.parents[:3, 0]) if p >= 0} <= {frozenset(x) for x in ((0, 1), (0, 2), (1, 2))}
+    assert sum(0 <= p < 3 for p in model.parents[:3, 0]) == 2 and all(p < 0 or p > 2 for p in model.parents[3:, 0])
+    blind = fit_label_model(votes, VoterParams(parents=0))
+    error, blind_error = (np.abs(m.posterior(votes) - truth).mean() for m in (model, blind))
+    assert error < 0.05 and error < blind_error / 2
+    assert np.mean((model.posterior(votes) > 0.5) == y) >= np.mean((truth > 0.5) == y) - 0.01
