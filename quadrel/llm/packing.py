@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,6 +42,17 @@ class PackParams:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or float(self.tokens) ** 2], float)
 
 
+class Remembered(dict):
+    """Results of ``work`` by key, worked out when a key is first asked for."""
+
+    def __init__(self, work):
+        self.work = work
+
+    def __missing__(self, key):
+        value = self[key] = self.work(key)
+        return value
+
+
 class WordTokenizer:
     """The tokenizer of a JSON file, with a bounded cache of white-space separated words.
 
@@ -62,44 +74,35 @@ class WordTokenizer:
         self.model = self.tool.model
         # The vocabulary's own splitting pattern.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.cache_words, self.words, self.parts = cache_words, {}, {}
+        self.cache_words, self.words, self.parts = cache_words, Remembered(self._word), Remembered(self._part)
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def _part(self, part: str) -> bytes:
-        spelled = part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        plain = part.isascii() and part.isalpha()  # spelled as itself
+        spelled = part if plain else part.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        lower = unicodedata.normalize("NFC", word).lower()
+        lower = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
         if lower.isalpha():
-            parts = (lower,)
-        elif lower[:-1].isalpha() and lower[-1] in ".,;:!?":
-            parts = (lower[:-1], lower[-1])
-        else:
-            parts = self.pattern.findall(lower)
-        out = []
-        for part in parts:
-            if (ids := self.parts.get(part)) is None:
-                ids = self.parts[part] = self._part(part)
-            out.append(ids)
-        return b"".join(out)
+            return self.parts[lower]
+        if lower[:-1].isalpha() and lower[-1] in ".,;:!?":
+            return self.parts[lower[:-1]] + self.parts[lower[-1]]
+        return b"".join(map(self.parts.__getitem__, self.pattern.findall(lower)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
-        unsure = [any(x in t for x in self.UNSURE) for t in texts]
-        split = [[] if u else t.split() for t, u in zip(texts, unsure, strict=True)]
         if len(self.words) > self.cache_words:
             self.words.clear()
         if len(self.parts) > self.cache_words:
             self.parts.clear()
-        for word in set().union(*split) - self.words.keys():
-            self.words[word] = self._word(word)
-        get = self.words.__getitem__
+        ids_of = self.words.__getitem__
         return [
-            np.array(self.tool.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if u else b"".join(map(get, words))
-            for t, u, words in zip(texts, unsure, split, strict=True)
+            np.array(self.tool.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if any(x in t for x in self.UNSURE) else b"".join(map(ids_of, t.split()))
+            for t in texts
         ]
 
 
