@@ -74,6 +74,8 @@ class WordTokenizer:
         self.model = self.tool.model
         # The vocabulary's own splitting pattern.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        # Blocks without unassigned places: Latin, combining marks, Cyrillic, punctuation, currencies.
+        self.settled = regex.compile(r"[\x00-\u036f\u0400-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
         self.cache_words, self.words, self.parts = cache_words, Remembered(self._word), Remembered(self._part)
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(printable)]
@@ -87,11 +89,15 @@ class WordTokenizer:
 
     def _word(self, word: str) -> bytes:
         lower = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
-        if lower.isalpha():
-            return self.parts[lower]
-        if lower[:-1].isalpha() and lower[-1] in ".,;:!?":
-            return self.parts[lower[:-1]] + self.parts[lower[-1]]
-        return b"".join(map(self.parts.__getitem__, self.pattern.findall(lower)))
+        if lower.isascii() or max(lower) < "\U00010000":
+            if lower.isalpha():
+                return self.parts[lower]
+            if lower[:-1].isalpha() and lower[-1] in ".,;:!?":
+                return self.parts[lower[:-1]] + self.parts[lower[-1]]
+        if self.settled.fullmatch(lower):
+            return b"".join(map(self.parts.__getitem__, self.pattern.findall(lower)))
+        # Whether another character is a letter may depend on the version of Unicode: the library's counts.
+        return np.array(self.tool.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special tokens."""

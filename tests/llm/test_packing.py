@@ -21,6 +21,11 @@ def test_ids_equal_library(texts):
     assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_of_characters_that_unicode_versions_class_differently():
+    texts = [f"{a}{chr(c)}{b}" for a in (":", "x", "") for b in ("", "y", " z") for c in (0x378, 0xA7CB, 0xA7DC, 0x1C89, 0xE000, 0x105C0, 0x16D40, 0x20000, 0x323B0, 0x3D000, 0xF0000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in TOOL.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def valid(rows, docs, params):
     """Every id once, cut and placed as asked; the number of sequences."""
     for key, texts in docs.items():
