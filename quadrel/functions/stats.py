@@ -3,10 +3,8 @@
 import math
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quadrel.functions.index import checkpointed
 
@@ -104,10 +102,10 @@ def _by_part(values: dict, other):
 
 
 def lgamma1(column):
-    """log(x!) of a long column, by an Arrow function (SQL has no lgamma)."""
-    return _lgamma1(column)
-
-
-@F.pandas_udf(T.DoubleType())
-def _lgamma1(x: pd.Series) -> pd.Series:
-    return x.map(lambda k: math.lgamma(k + 1))
+    """log(x!) of a whole-number column, x >= 0: Stirling's series for x + 8, less the logarithm
+    of the seven factors between. Within 1e-11 of the value, relative beyond 1."""
+    x = column.cast("double")
+    t = x + 8
+    factors = (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (t * t)) / (t * t)) / (t * t)) / t
+    return (t - 0.5) * F.log(t) - t + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(factors)

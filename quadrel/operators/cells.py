@@ -39,7 +39,8 @@ def simulate_loglikelihoods(spark: SparkSession, profile: DataFrame, totals: lis
 
     p = np.array([r.p for r in profile.orderBy(ROW).select("p").collect()])  # as long as the feature axis
     p = p / p.sum()
-    steps = sorted(set(totals))
+    steps = np.array(sorted(set(totals)), np.int64)
+    factorials = np.array([math.lgamma(n + 1) for n in steps.tolist()])
 
     def run(batches):
         import pandas as pd
@@ -48,25 +49,26 @@ def simulate_loglikelihoods(spark: SparkSession, profile: DataFrame, totals: lis
             logp = np.log(p)
         for pdf in batches:
             for sim in pdf["id"]:
-                rng = np.random.default_rng([seed, int(sim)])
-                counts, at, value, out = np.zeros(len(p), np.int64), 0, 0.0, []
-                for n in steps:
-                    drawn = rng.choice(len(p), n - at, p=p)
-                    for f in drawn:  # log(k!) grows by log k with the k-th draw of a feature
-                        counts[f] += 1
-                        value += logp[f] - math.log(counts[f])
-                    value += math.lgamma(n + 1) - math.lgamma(at + 1)
-                    at = n
-                    out.append(value)
-                yield pd.DataFrame({"sim": sim, "n": steps, "loglk": out})
+                drawn = np.random.default_rng([seed, int(sim)]).choice(len(p), steps.max(initial=0), p=p)
+                order = np.argsort(drawn, kind="stable")
+                ends = np.cumsum(np.bincount(drawn, minlength=len(p)))
+                count = np.empty(len(drawn), np.int64)  # how often the feature has been drawn by then
+                count[order] = np.arange(1, len(drawn) + 1) - np.r_[0, ends[:-1]][drawn[order]]
+                grown = np.r_[0.0, np.cumsum(logp[drawn] - np.log(count))]  # log(k!) grows by log k
+                yield pd.DataFrame({"sim": sim, "n": steps, "loglk": grown[steps] + factorials})
 
     return spark.range(sims).repartition(max(1, min(sims, spark.sparkContext.defaultParallelism))).mapInPandas(run, "sim long, n long, loglk double")
 
 
 def empirical_pvalues(observed: DataFrame, simulated: DataFrame) -> DataFrame:
-    """(col_ix, p): (1 + simulations below the observed likelihood) / (1 + simulations)."""
-    joined = observed.join(simulated.withColumnRenamed("loglk", "sim_loglk"), "n")
-    return joined.groupBy(COL).agg(((1 + F.count_if(F.col("sim_loglk") < F.col("loglk"))) / (1 + F.count("*"))).alias("p"))
+    """(col_ix, p): (1 + simulations below the observed likelihood) / (1 + simulations).
+
+    A total's simulations, as many as were asked for, become one array, which each column of
+    that total meets once; no pair of a column and a simulation is a row.
+    """
+    drawn = simulated.groupBy("n").agg(F.collect_list("loglk").alias("_drawn"))
+    below = F.size(F.filter("_drawn", lambda x: x < F.col("loglk")))
+    return observed.join(drawn, "n").select(COL, ((1 + below) / (1 + F.size("_drawn"))).alias("p"))
 
 
 def call_cells(matrix: AnnotatedMatrix, expected_cells: int = 5000, layer: str = MAIN, sims: int = 1000, seed: int = 0) -> tuple[int, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrel.functions.dna import twobit_neighbours, twobit_to_dna
-from quadrel.functions.index import positions_by
+from quadrel.functions.index import checkpointed, positions_by
 from quadrel.operators.cells import call_cells
 from quadrel.matrix import COL, ROW, AnnotatedMatrix
 
@@ -54,6 +54,12 @@ def deduplicate(records: DataFrame) -> DataFrame:
     return records.withColumn("valid", F.col("valid") & (rank == 1))
 
 
+def valid_records(records: DataFrame) -> DataFrame:
+    """(barcode, gene, ec, valid) of the valid records, written once: cells, the main layer and every
+    further layer are counted from them, and the steps before run once."""
+    return checkpointed(records.where("valid").select("barcode", "gene", "ec", "valid"))
+
+
 def cell_index(records: DataFrame) -> DataFrame:
     """(barcode, col_ix): barcodes of valid records in ascending order."""
     return positions_by(records.where("valid").select("barcode").distinct(), "barcode", name=COL).select("barcode", COL)
@@ -82,6 +88,7 @@ def saturation(records: DataFrame) -> DataFrame:
 def records_matrix(records: DataFrame, genes: DataFrame, length: int, layers: dict[str, DataFrame] | None = None, sample: str = "") -> AnnotatedMatrix:
     """The count matrix of deduplicated records, with CellID (sample_barcode), TotalUMIs and
     one further layer for each table of classes. ``genes`` are the row attributes."""
+    records = valid_records(records)
     cells = cell_index(records)
     main = count_molecules(records, cells)
     more = {name: count_molecules(records, cells, classes) for name, classes in (layers or {}).items()}

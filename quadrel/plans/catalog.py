@@ -451,14 +451,14 @@ def b06(spark, sf):
 
 @register("b07_count", f"WITH {FIXED}, k AS (SELECT barcode, row_number() OVER (ORDER BY barcode) - 1 AS col_ix FROM (SELECT DISTINCT barcode FROM dedup WHERE valid)) SELECT gene AS row_ix, col_ix, count(*) AS value FROM dedup JOIN k USING (barcode) WHERE valid GROUP BY ALL")
 def b07(spark, sf):
-    valid = records.deduplicate(corrected(spark, sf))
+    valid = records.valid_records(records.deduplicate(corrected(spark, sf)))
     return records.count_molecules(valid, records.cell_index(valid))
 
 
 @register("b08_count_layer", f"""WITH {FIXED}, k AS (SELECT barcode, row_number() OVER (ORDER BY barcode) - 1 AS col_ix FROM (SELECT DISTINCT barcode FROM dedup WHERE valid))
 SELECT gene AS row_ix, col_ix, count(*) AS value FROM dedup JOIN k USING (barcode) WHERE valid AND ec IN (SELECT ec FROM members WHERE fragment % 2 = 0) GROUP BY ALL""")
 def b08(spark, sf):
-    valid = records.deduplicate(corrected(spark, sf))
+    valid = records.valid_records(records.deduplicate(corrected(spark, sf)))
     classes = records.classes_with(fx.class_members(spark), fx.fragment_genes(spark).where("fragment % 2 = 0"))
     return records.count_molecules(valid, records.cell_index(valid), classes)
 

@@ -100,6 +100,9 @@ def test_bus_file(spark, tmp_path):
     (tmp_path / "o.bus").write_bytes(data)
     rec, barcode, umi = bus.read_bus(spark, str(tmp_path / "o.bus"), chunk_records=3)
     assert (barcode, umi) == (4, 3) and sorted(tuple(r) for r in rec.collect()) == [(i, *r) for i, r in enumerate(rows)]
+    assert rec.rdd.getNumPartitions() == -(-len(rows) // 3)
+    (tmp_path / "none.bus").write_bytes(data[:25] + b"rest")
+    assert bus.read_bus(spark, str(tmp_path / "none.bus"))[0].count() == 0
     (tmp_path / "bad.bus").write_bytes(b"XXXX" + bytes(20))
     with pytest.raises(ValueError, match="BUS"):
         bus.read_bus(spark, str(tmp_path / "bad.bus"))

@@ -74,6 +74,25 @@ def test_cells_are_told_from_ambient(spark):
         assert seen[j] == pytest.approx(math.lgamma(c.sum() + 1) + sum(-math.lgamma(x + 1) + x * math.log(q) for x, q in zip(c, ambient) if x))
 
 
+def test_log_factorials(spark):
+    xs = [0, 1, 2, 3, 7, 8, 20, 170, 1000, 10**6, 10**9]
+    got = spark.createDataFrame([(x,) for x in xs], "x long").select("x", stats.lgamma1(F.col("x")).alias("y")).collect()
+    for r in got:
+        assert r.y == pytest.approx(math.lgamma(r.x + 1), rel=1e-11, abs=1e-11)
+
+
+def test_simulations_equal_drawing_one_by_one(spark):
+    p = [0.5, 0.3, 0.0, 0.2]
+    profile = spark.createDataFrame(list(enumerate(p)), "row_ix long, p double")
+    got = {(r.sim, r.n): r.loglk for r in cells.simulate_loglikelihoods(spark, profile, [0, 3, 40, 3, 7], 5, seed=9).collect()}
+    assert set(got) == {(sim, n) for sim in range(5) for n in (0, 3, 7, 40)}
+    for (sim, n), value in got.items():
+        drawn = np.random.default_rng([9, sim]).choice(4, 40, p=p)[:n]
+        counts = np.bincount(drawn, minlength=4)
+        assert value == pytest.approx(math.lgamma(n + 1) + sum(c * math.log(q) - math.lgamma(c + 1) for c, q in zip(counts, p) if c))
+    assert cells.simulate_loglikelihoods(spark, profile, [], 5).count() == 0
+
+
 def test_dna_codes(spark):
     df = spark.createDataFrame([("ACGT",), ("TTTT",), ("NACG",)], "s string").select("s", dna.dna_to_twobit(F.col("s")).alias("c"))
     got = df.select("c", dna.twobit_to_dna(F.col("c"), 4).alias("back"), F.size(dna.twobit_neighbours(F.col("c"), 4)).alias("n"), dna.reverse_complement(F.col("s")).alias("rc")).collect()
