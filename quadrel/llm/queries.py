@@ -12,6 +12,7 @@ import corpus_pipeline
 from quadrel.llm.bpe import encode_documents
 from quadrel.llm.chat import format_digests
 from quadrel.llm.common import read_table
+from quadrel.llm.decontaminate import contamination
 from quadrel.llm.embedding_dedup import link_embeddings
 from quadrel.llm.fingerprint import compare_with_next, near_texts
 from quadrel.llm.html import extract_pages
@@ -135,6 +136,30 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS part
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+places AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+sizes AS (SELECT DISTINCT n FROM windows),
+found AS (
+  SELECT k, i, windows.n, item_id FROM places JOIN sizes ON i + sizes.n - 1 <= len(w)
+  JOIN windows ON windows.n = sizes.n AND part = array_to_string(w[i:i + sizes.n - 1], ' ')
+),
+hit AS (SELECT k, count(DISTINCT at) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS at FROM found) GROUP BY k),
+ids AS (SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT doc_id, len(w) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN ids USING (k)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -146,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_toxicity": op9_toxicity,
     "op10_edit_fingerprint": op10_edit_fingerprint,
+    "op13_decontaminate": op13_decontaminate,
     "edit_classes": edit_classes,
     "pipeline": corpus_pipeline.run,
 }
@@ -153,4 +179,5 @@ ORACLES: dict[str, str] = {
     "op2_embedding_dedup": OP2_SQL,
     "op3_chat_format": OP3_SQL,
     "op5_ngram_jaccard": OP5_SQL,
+    "op13_decontaminate": OP13_SQL,
 }
