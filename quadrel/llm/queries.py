@@ -21,6 +21,7 @@ from quadrel.llm.merkle import document_manifest
 from quadrel.llm.packing import pack_documents
 from quadrel.llm.pii import find_personal_data, train_field
 from quadrel.llm.quality import score_quality, train_quality
+from quadrel.llm.resample import resample
 from quadrel.llm.toxicity import score_toxicity, train_toxicity
 
 
@@ -179,6 +180,11 @@ FROM (SELECT *, row_number() OVER () AS k FROM placed) JOIN done USING (k) JOIN
 """
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -215,6 +221,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_edit_fingerprint": op10_edit_fingerprint,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_decontaminate": op13_decontaminate,
     "edit_classes": edit_classes,
     "pipeline": corpus_pipeline.run,
