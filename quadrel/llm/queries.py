@@ -163,17 +163,17 @@ top(level, ix, n, digest) AS (
   UNION ALL
   SELECT level + 1, ix // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY ix)) FROM top WHERE n > 1 GROUP BY level, ix // 2, n
 ),
-steps(k, lang, at, level, ix, node, proof) AS (
+steps(k, lang, tier, level, ix, node, proof) AS (
   SELECT row_number() OVER (), lang, 0, 0, ix, CASE WHEN (4294967295 - crc) % 7 = 0 THEN altered ELSE leaf END, '' FROM placed
   UNION ALL
-  SELECT k, s.lang, CASE WHEN up THEN 1 ELSE at END, CASE WHEN up THEN 0 ELSE s.level + 1 END, CASE WHEN up THEN r.ix ELSE s.ix // 2 END,
+  SELECT k, s.lang, CASE WHEN up THEN 1 ELSE tier END, CASE WHEN up THEN 0 ELSE s.level + 1 END, CASE WHEN up THEN r.ix ELSE s.ix // 2 END,
          CASE WHEN up THEN node ELSE sha256(CASE WHEN s.ix % 2 = 1 THEN other || node ELSE node || COALESCE(other, '') END) END, proof || CASE WHEN up THEN '' ELSE COALESCE(other, '') END
-  FROM (SELECT s.*, s.at = 0 AND s.level = r.height AS up, COALESCE(a.digest, b.digest) AS other FROM steps s JOIN subroots r USING (lang)
-        LEFT JOIN tree a ON s.at = 0 AND a.lang = s.lang AND a.level = s.level AND a.ix = xor(s.ix, 1)
-        LEFT JOIN top b ON s.at = 1 AND b.level = s.level AND b.ix = xor(s.ix, 1)) s JOIN subroots r USING (lang)
-  WHERE s.at = 0 OR s.level < (SELECT max(level) FROM top)
+  FROM (SELECT s.*, s.tier = 0 AND s.level = r.height AS up, COALESCE(a.digest, b.digest) AS other FROM steps s JOIN subroots r USING (lang)
+        LEFT JOIN tree a ON s.tier = 0 AND a.lang = s.lang AND a.level = s.level AND a.ix = xor(s.ix, 1)
+        LEFT JOIN top b ON s.tier = 1 AND b.level = s.level AND b.ix = xor(s.ix, 1)) s JOIN subroots r USING (lang)
+  WHERE s.tier = 0 OR s.level < (SELECT max(level) FROM top)
 ),
-done AS (SELECT k, node, proof FROM steps WHERE at = 1 AND level = (SELECT max(level) FROM top)),
+done AS (SELECT k, node, proof FROM steps WHERE tier = 1 AND level = (SELECT max(level) FROM top)),
 root AS (SELECT digest AS root FROM top WHERE n = 1)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
 FROM (SELECT *, row_number() OVER () AS k FROM placed) JOIN done USING (k) JOIN subroots USING (lang) CROSS JOIN root
