@@ -60,9 +60,14 @@ def positions_by(df: DataFrame, *order: Column | str, name: str = "new_ix") -> D
     placed = checkpointed(rows.withColumn("_at", F.monotonically_increasing_id()))
     part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
     sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("p")).count().collect())  # a row a partition
-    total, offsets = 0, []
-    for p, n in sizes:
-        offsets += [F.lit(p).cast("long"), F.lit(total).cast("long")]
+    return placed.withColumn(name, starts_of(sizes, part) + local).drop("_at")
+
+
+def starts_of(sizes: list[tuple[int, int]], part: Column) -> Column:
+    """Rows before each partition, looked up by its number ``part``, from (number, rows) pairs.
+    One array literal: a lookup is one step, however many partitions there are."""
+    starts, total = [0] * (max((p for p, _ in sizes), default=0) + 1), 0
+    for p, n in sorted(sizes):
+        starts[p] = total
         total += n
-    offset = F.create_map(*offsets)[part] if offsets else F.lit(0).cast("long")
-    return placed.withColumn(name, offset + local).drop("_at")
+    return F.get(F.array(*[F.lit(x).cast("long") for x in starts]), part.cast("int"))

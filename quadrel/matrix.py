@@ -18,6 +18,7 @@ from quadrel.functions.index import checkpointed, positions_by, renumber
 
 ROW, COL = "row_ix", "col_ix"
 MAIN = ""
+LISTED = 1000  # bands that a filter lists at most
 Selector = Column | slice | list | tuple | int | DataFrame | None
 
 
@@ -77,6 +78,8 @@ class AnnotatedMatrix:
     attrs: dict = field(default_factory=dict)
     origin: Origin | None = field(default=None, compare=False, repr=False)
     touched: frozenset[str] = frozenset()  # attributes set since the origin, as "col_attrs/x"
+    # Of the origin's layers that cells were assigned to: the layer as it is now, the cells.
+    patches: dict[str, tuple[DataFrame, DataFrame]] = field(default_factory=dict, compare=False, repr=False)
 
     # --- construction -----------------------------------------------------------------
     @classmethod
@@ -144,10 +147,19 @@ class AnnotatedMatrix:
         return replace(self, layers={k: v for k, v in made.items() if k != name or k == to})
 
     def assign(self, entries: DataFrame, layer: str = MAIN) -> AnnotatedMatrix:
-        """Set the given coordinates; others keep their values."""
-        new = coordinates(entries)
-        kept = self.layer(layer).join(new.select(ROW, COL), [ROW, COL], "left_anti")
-        return self.set_layer(layer, kept.unionByName(new.withColumn("value", F.col("value").cast(kept.schema["value"].dataType))))
+        """Set the given coordinates; others keep their values. Saving a stored matrix then
+        writes the bands of these cells only."""
+        new, before = coordinates(entries), self.layer(layer)
+        kept = before.join(new.select(ROW, COL), [ROW, COL], "left_anti")
+        made = self.set_layer(layer, kept.unionByName(new.withColumn("value", F.col("value").cast(kept.schema["value"].dataType))))
+        if self.origin is None:
+            return made
+        if layer in self.patches and self.patches[layer][0] is before:
+            earlier = self.patches[layer][1].join(new.select(ROW, COL), [ROW, COL], "left_anti")
+            new = earlier.unionByName(new)
+        elif self.origin.parts.get(f"layers/{layer}") is not before:
+            return made
+        return replace(made, patches={**self.patches, layer: (made.layers[layer], new)})
 
     def set_attribute(self, axis: int, name: str, values: DataFrame | Column) -> AnnotatedMatrix:
         """From an expression over the attributes, or a table (ix, name) with a row for each."""
@@ -247,12 +259,15 @@ class AnnotatedMatrix:
             raise IndexError("selected outside the axis")
         return items
 
-    def _stored(self, name: str, cols: Selector) -> DataFrame:
-        """A layer's entries; of a stored layer, those of the bands that the columns are in."""
+    def _stored(self, name: str, cols: Selector, bands: list[int] | None = None) -> DataFrame:
+        """A layer's entries; of a stored layer, those of the bands that the columns are in, or
+        of ``bands``."""
         entries = self.layer(name)
         if self.origin is None or self.origin.parts.get(f"layers/{name}") is not entries:
             return entries
         banded, width = self.origin.banded[name], self.origin.width
+        if bands is not None:
+            return banded.where(F.col("band").isin(bands)).select(ROW, COL, "value")
         if isinstance(cols, slice):
             chosen = range(*cols.indices(self.n_cols))
             low, high = (min(chosen[0], chosen[-1]), max(chosen[0], chosen[-1])) if chosen else (0, -1)
@@ -261,29 +276,36 @@ class AnnotatedMatrix:
             banded = banded.where(F.col("band").isin(sorted({x // width for x in self._items(1, cols)})))
         return banded.select(ROW, COL, "value")
 
-    def _chosen(self, axis: int, selector: Selector) -> tuple[Callable | None, Callable | None, int]:
-        """(pick rows of a table by its position column, pick edges, number selected), or Nones
-        for all. Ranges are filters; other selections are joined, and computed once."""
+    def _chosen(self, axis: int, selector: Selector) -> tuple[Callable | None, Callable | None, int, list[int] | None]:
+        """(pick rows of a table by its position column, pick edges, number selected, bands of
+        the selected columns where a stored matrix is worth pruning by them), or Nones for all.
+        Ranges are filters; other selections are joined, and computed once."""
         ix, _, n = self.axis(axis)
         if selector is None or isinstance(selector, slice) and selector == slice(None):
-            return None, None, n
+            return None, None, n, None
         if isinstance(selector, slice):
             inside, at, size = positions(selector, n)
             pick = lambda df: df.where(inside(F.col(ix))).withColumn(ix, at(F.col(ix)))
             edges = lambda g: g.where(inside(F.col("a")) & inside(F.col("b"))).select(at(F.col("a")).alias("a"), at(F.col("b")).alias("b"), "w")
-            return pick, edges, size
-        chosen = self.selection(axis, selector)
+            return pick, edges, size, None
+        chosen, bands = self.selection(axis, selector), None
         if isinstance(selector, (Column, DataFrame)):
             chosen = checkpointed(chosen.select(ix, "new_ix"))
+            size = chosen.count()
+            if axis == 1 and self.origin is not None and n > self.origin.width:
+                found = [r.band for r in chosen.select(F.floor(F.col(ix) / self.origin.width).cast("int").alias("band")).distinct().limit(LISTED + 1).collect()]
+                bands = sorted(found) if len(found) <= LISTED else None
+        else:
+            size = len(self._items(axis, selector))
         pick = lambda df: df.join(chosen, ix).withColumn(ix, F.col("new_ix")).drop("new_ix")
-        return pick, lambda g: induced(g, chosen.withColumnRenamed(ix, "ix")), chosen.count() if isinstance(selector, (Column, DataFrame)) else len(self._items(axis, selector))
+        return pick, lambda g: induced(g, chosen.withColumnRenamed(ix, "ix")), size, bands
 
     def sparse(self, rows: Selector = None, cols: Selector = None, layer: str = MAIN) -> DataFrame:
         """Non-zero coordinates of a selection, by their positions in it. Of a stored layer,
-        column ranges and lists read their bands' folders only, row ranges skip row groups."""
-        out = self._stored(layer, cols).where("value <> 0")
-        for axis, selector in ((0, rows), (1, cols)):
-            pick, _, _ = self._chosen(axis, selector)
+        column selections read their bands' folders only, row ranges skip row groups."""
+        chosen = [self._chosen(axis, selector) for axis, selector in ((0, rows), (1, cols))]
+        out = self._stored(layer, cols, chosen[1][3]).where("value <> 0")
+        for pick, *_ in chosen:
             if pick is not None:
                 out = pick(out)
         return coordinates(out)
@@ -294,9 +316,9 @@ class AnnotatedMatrix:
         Of a graph the edges stay whose ends are both selected.
         """
         made, shape = self, list(self.shape)
-        layers = {k: self._stored(k, cols) for k in self.layers}
-        for axis, selector in ((0, rows), (1, cols)):
-            pick, edges, shape[axis] = self._chosen(axis, selector)
+        chosen = [self._chosen(axis, selector) for axis, selector in ((0, rows), (1, cols))]
+        layers = {k: self._stored(k, cols, chosen[1][3]) for k in self.layers}
+        for axis, (pick, edges, shape[axis], _) in enumerate(chosen):
             if pick is None:
                 continue
             table = axis_names(axis)[1]
@@ -371,11 +393,10 @@ class AnnotatedMatrix:
         other = replace(other, layers={k: other.layers[k] for k in self.layers})
         mine = self
         if convert_attrs:
-            fixed = {"CreationDate", "SPEC_VERSION"}
-            differ = sorted(k for k in set(self.attrs) | set(other.attrs) if k not in fixed and self.attrs.get(k) != other.attrs.get(k))
+            differ = differing_globals(self.attrs, other.attrs)
             tagged = []
             for m in (self, other):
-                columns = {k: F.lit(str(m.attrs.get(k, ""))) for k in differ}
+                columns = {k: F.lit(str(m.attrs.get(k, ""))) for k in differ if k not in m.cols.columns}
                 tagged.append(replace(m, cols=m.cols.withColumns(columns) if columns else m.cols, attrs={k: v for k, v in m.attrs.items() if k not in differ}))
             mine, other = tagged
         made = mine.add_columns(other, fill_values)
@@ -424,6 +445,11 @@ def induced(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return edges.join(first, "a").join(second, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "w")
 
 
+def differing_globals(a: dict, b: dict) -> list[str]:
+    """Names of globals that two matrices do not share."""
+    return sorted(k for k in {*a, *b} - {"CreationDate", "SPEC_VERSION"} if a.get(k) != b.get(k))
+
+
 def align_attributes(a: DataFrame, b: DataFrame, ix: str, fill_values: dict | str | None) -> tuple[DataFrame, DataFrame]:
     """Both tables with the same columns: attributes of one side are filled or dropped; so are
     those whose types cannot be joined (an array and a number, say)."""

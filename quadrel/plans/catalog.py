@@ -709,6 +709,73 @@ def s01_connect_slice(spark, sf):
     return storage.connect(spark, path).sparse(slice(10, 100), slice(1, None, 2))
 
 
+STORED_PAIR = f"""WITH {LINES}, {SM}, c AS (SELECT s_suppkey, s_name, s_acctbal, row_number() OVER (ORDER BY s_suppkey % 2, s_suppkey) - 1 AS new_col FROM supplier),
+every AS (SELECT 'main' AS layer, row_ix, col_ix, value FROM sm UNION ALL SELECT 'lines', row_ix, col_ix, value FROM lines)
+"""
+
+
+@register("u02_stored_add", STORED_PAIR + """SELECT layer, row_ix, new_col AS col_ix, value, s_name AS CellID, CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS Part, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE -1 END AS Balance
+FROM every JOIN c ON s_suppkey = col_ix""")
+def u02_stored_add(spark, sf):
+    """Half of the columns stored, the other half (other row order, another global, no Balance) added."""
+    (a, b), path = halves(spark, sf), stored(spark)
+    storage.save(a.set_global("Part", "even"), path)
+    storage.add_matrix(spark, path, b.set_global("Part", "odd").permute(0, F.desc("Size")), key="Accession", convert_attrs=True, fill_values={"Balance": -1})
+    m = storage.connect(spark, path)
+    every = m.layer().select(F.lit("main").alias("layer"), ROW, COL, "value").unionByName(m.layer("lines").select(F.lit("lines").alias("layer"), ROW, COL, "value"))
+    return every.join(m.cols.select(COL, "CellID", "Part", "Balance"), COL)
+
+
+@register("u02_stored_graphs", f"WITH {GRAPH}, n AS (SELECT count(*) AS n FROM supplier) SELECT a, b, w FROM g UNION ALL SELECT a + n, b + n, w FROM g, n")
+def u02_stored_graphs(spark, sf):
+    m, path = fx.trade(spark, sf).set_graph(1, "next", fx.trade_graph(spark, sf)), stored(spark)
+    for _ in range(2):
+        storage.add_matrix(spark, path, m, include_graphs=True)
+    return storage.connect(spark, path).graph(1, "next")
+
+
+@register("u04_stored_combine", f"""WITH {SM}, {LINES}, r AS (SELECT p_partkey, row_number() OVER (ORDER BY 'P' || p_partkey) - 1 AS new_row FROM part),
+c AS (SELECT s_suppkey AS col_ix, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE 0 END AS Balance, row_number() OVER (ORDER BY s_suppkey % 2, s_suppkey) - 1 AS new_col FROM supplier WHERE s_acctbal > 0)
+SELECT 'main' AS layer, new_row AS row_ix, new_col AS col_ix, value, Balance FROM sm JOIN r ON p_partkey = row_ix JOIN c USING (col_ix)
+UNION ALL SELECT 'lines', new_row, new_col, value, Balance FROM lines JOIN r ON p_partkey = row_ix JOIN c USING (col_ix) WHERE col_ix % 2 = 0""")
+def u04_stored_combine(spark, sf):
+    a, b = halves(spark, sf)
+    m = storage.combine_selected(spark, stored(spark), [a, b.delete_layer("lines")], [F.col("Valid") == 1, F.col("Valid") == 1], key="Accession")
+    every = m.layer().select(F.lit("main").alias("layer"), ROW, COL, "value").unionByName(m.layer("lines").select(F.lit("lines").alias("layer"), ROW, COL, "value"))
+    return every.join(m.cols.select(COL, "Balance"), COL)
+
+
+@register("x01_stored_assign", f"WITH {SM} SELECT row_ix, col_ix, value FROM sm WHERE col_ix % 10 <> 3 UNION ALL SELECT p_partkey, s_suppkey, -1.0 * p_size FROM part, supplier WHERE s_suppkey % 10 = 3 AND p_size < 10 UNION ALL SELECT row_ix, col_ix, value FROM sm JOIN part ON p_partkey = row_ix WHERE col_ix % 10 = 3 AND p_size >= 10")
+def x01_stored_assign(spark, sf):
+    """Cells of every tenth column, given twice, assigned to a stored matrix and saved as a patch."""
+    path = stored(spark)
+    storage.save(fx.trade(spark, sf), path)
+    m = storage.connect(spark, path)
+    chosen = m.rows.where("Size < 10").select(ROW, "Size").crossJoin(m.cols.where(F.col(COL) % 10 == 3).select(COL))
+    for sign in (1.0, -1.0):
+        m = m.assign(chosen.select(ROW, COL, (F.col("Size") * sign).alias("value")))
+    storage.save(m, path)
+    return storage.connect(spark, path).layer()
+
+
+@register("x07_resize", f"""WITH {SM}, n AS (SELECT (SELECT count(*) FROM part) // 2 AS r, (SELECT count(*) FROM supplier) // 2 AS c),
+t AS (SELECT row_ix, col_ix, value FROM sm, n WHERE row_ix < r AND col_ix < c UNION ALL SELECT row_ix, col_ix + c + 3, value FROM sm, n WHERE row_ix < r)
+SELECT k AS col_ix, COALESCE(total, 0) AS total, COALESCE(nnz, 0) AS nnz, CASE WHEN k < c THEN a.s_name WHEN k < c + 3 THEN '' ELSE b.s_name END AS CellID
+FROM n, range((SELECT c + 3 + 2 * c + (SELECT count(*) FROM supplier) % 2 FROM n)) x(k) LEFT JOIN (SELECT col_ix, sum(value) AS total, count(*) AS nnz FROM t GROUP BY 1) ON col_ix = k
+LEFT JOIN supplier a ON a.s_suppkey = k LEFT JOIN supplier b ON b.s_suppkey = k - c - 3""")
+def x07_resize(spark, sf):
+    """Stored, cut to a quarter, widened by three columns; then the whole's rows kept are appended."""
+    m, path = fx.trade(spark, sf), stored(spark)
+    storage.save(m, path)
+    rows, cols = m.n_rows // 2, m.n_cols // 2
+    storage.resize(spark, path, rows, cols)
+    storage.resize(spark, path, n_cols=cols + 3)
+    storage.append(spark, path, m.view(slice(0, rows), None))
+    got = storage.connect(spark, path)
+    sums = got.layer().groupBy(COL).agg(F.sum("value").alias("total"), F.count("*").alias("nnz"))
+    return got.cols.select(COL, "CellID").join(sums, COL, "left").select(COL, F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("nnz", F.lit(0)).alias("nnz"), "CellID")
+
+
 @register("x09_changes", "SELECT * FROM (VALUES ('col_attrs', 'Size'), ('layers', 'copy')) t(kind, name)")
 def x09_changes(spark, sf):
     path = stored(spark)

@@ -1,4 +1,5 @@
 import gzip
+import re
 import struct
 from dataclasses import replace
 
@@ -177,6 +178,141 @@ def test_changes_by_component(spark, tmp_path):
     assert storage.connect(spark, path).shape == (3, 2) and storage.changes_since(spark, path, before)["row_attrs"] == ["Gene"]
 
 
+def keyed(spark, cols, start, order):
+    """A matrix whose rows stand in the given order of keys; value = 100 * key + column + start."""
+    entries = [(i, j, float(100 * k + j + start)) for i, k in enumerate(order) for j in range(cols)]
+    rows = [(i, f"k{k}") for i, k in enumerate(order)]
+    return AnnotatedMatrix.create(spark.createDataFrame(entries, "row_ix long, col_ix long, value double"), spark.createDataFrame(rows, "row_ix long, Key string"), spark.createDataFrame([(j, start + j) for j in range(cols)], "col_ix long, Cell int"), {"Batch": str(start)})
+
+
+def test_stored_add_aligns_and_leaves_files(spark, tmp_path):
+    path = str(tmp_path / "ds")
+    storage.add_matrix(spark, path, keyed(spark, 3, 1, [0, 1, 2]).set_graph(1, "g", spark.createDataFrame([(0, 2, 1.0)], "a long, b long, w double")), key="Key")
+    first = files(tmp_path)
+    other = keyed(spark, 2, 50, [2, 0, 1]).set_graph(1, "g", spark.createDataFrame([(1, 0, 2.0)], "a long, b long, w double"))
+    storage.add_matrix(spark, path, other.set_layer("more", "int"), key="Key", convert_attrs=True, include_graphs=True)
+    second = files(tmp_path)
+    assert first.items() < second.items()
+    m = storage.connect(spark, path, full=True)
+    assert cells(m) == sorted((k, j + s0, float(100 * k + j + start)) for k in range(3) for s0, start, n in ((0, 1, 3), (3, 50, 2)) for j in range(n))
+    assert [r.Batch for r in m.cols.orderBy(COL).collect()] == ["1"] * 3 + ["50"] * 2 and "Batch" not in m.attrs and list(m.layers) == [MAIN]
+    assert sorted(tuple(r) for r in m.graph(1, "g").collect()) == [(0, 2, 1.0), (4, 3, 2.0)]
+    # A third one: the attribute that the second made stays as it is in the stored columns.
+    storage.add_matrix(spark, path, keyed(spark, 1, 70, [1, 0, 2]), key="Key", convert_attrs=True)
+    m = storage.connect(spark, path)
+    assert [r.Batch for r in m.cols.orderBy(COL).collect()] == ["1"] * 3 + ["50"] * 2 + ["70"] and second.items() < files(tmp_path).items()
+    with pytest.raises(ValueError, match="one to one"):
+        storage.add_matrix(spark, path, keyed(spark, 1, 0, [0, 1, 3]), key="Key")
+    with pytest.raises(ValueError, match="missing"):
+        storage.add_matrix(spark, path, replace(keyed(spark, 1, 0, [0, 1, 2]), layers={"x": other.layer()}), key="Key")
+    made = storage.combine_selected(spark, str(tmp_path / "c"), [other, m.set_layer("x", m.layer())], [[1], slice(4, None)], key="Key")
+    assert made.shape == (3, 3) and cells(made) == sorted((k, j, float(100 * k + v)) for k in range(3) for j, v in enumerate((51, 51, 70)))
+    assert {c for _, c, _ in cells(made, "x")} == {1, 2} and [r.Batch for r in made.cols.orderBy(COL).collect()] == ["", "50", "70"]
+    with pytest.raises(ValueError, match="several types"):
+        storage.combine_selected(spark, str(tmp_path / "d"), [other, replace(m, cols=m.cols.withColumn("Cell", F.lit("x")))], key="Key")
+
+
+def test_versions_not_clocks_decide(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ds")
+    storage.append(spark, path, sample(spark))
+    before = storage.last_modified(spark, path)
+    real = storage.datetime.datetime
+
+    class Behind(real):
+        @classmethod
+        def now(cls, tz=None):
+            return real(2001, 1, 1, tzinfo=tz)
+
+    monkeypatch.setattr(storage.datetime, "datetime", Behind)
+    storage.append(spark, path, sample(spark, 2, 100))
+    assert storage.connect(spark, path).n_cols == 7 and storage.last_modified(spark, path) > before
+    assert storage.changes_since(spark, path, before)["layers"] == [""]
+    # Two writers from one state: the later one begins again, and one with an old matrix is refused.
+    stale = storage.connect(spark, path)
+    write, raced = storage.write_meta, []
+
+    def race(spark_, path_, meta):
+        if not raced:
+            raced.append(1)
+            storage.append(spark, path, sample(spark, 1, 200))
+        write(spark_, path_, meta)
+
+    monkeypatch.setattr(storage, "write_meta", race)
+    storage.append(spark, path, sample(spark, 3, 300))
+    m = storage.connect(spark, path, full=True)
+    assert m.n_cols == 11 and [r.Cell for r in m.cols.orderBy(COL).collect()] == [0, 1, 2, 3, 4, 100, 101, 200, 300, 301, 302]
+    assert cells(m) == sorted((i, j + s, v) for n, start, s in ((5, 0, 0), (2, 100, 5), (1, 200, 7), (3, 300, 8)) for i, j, v in cells(sample(spark, n, start)))
+    with pytest.raises(storage.Conflict):
+        storage.save(stale.set_global("x", 1), path)
+    monkeypatch.undo()
+    # Folders of the attempt that lost are listed nowhere and go; the state stays.
+    assert storage.vacuum(spark, path, hours=24) == 0 and storage.vacuum(spark, path, hours=0) >= 5 and cells(storage.connect(spark, path)) == cells(m)
+    storage.compact(spark, path)
+    assert cells(storage.connect(spark, path)) == cells(m) and storage.versions(spark, path)[-1] == storage.metadata(spark, path)["version"]
+
+
+def test_many_appends_read_one_metadata_file(spark, tmp_path):
+    path, meta = str(tmp_path / "ds"), tmp_path / "ds" / "_meta"
+    batch = sample(spark, 1)
+    for _ in range(12):
+        storage.append(spark, path, batch)
+    stamps = storage.metadata(spark, path)["modified"]
+    for f in sorted(meta.glob("v*.txt"))[:-1]:
+        f.write_text("{not json")  # older versions are not read
+    assert storage.connect(spark, path).n_cols == 12
+    assert storage.compact(spark, path) == ["layers/", "col_attrs"]
+    m = storage.connect(spark, path, full=True)
+    assert [len(e["parts"]) for e in (m.origin.meta["layers"][""], m.origin.meta["col_attrs"])] == [1, 1] and m.origin.meta["modified"] == stamps
+    assert cells(m) == sorted((i, j, v) for j in range(12) for i, _, v in cells(batch)) and storage.compact(spark, path) == []
+
+
+def test_assigned_cells_write_their_bands(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "BAND", 4)
+    path = str(tmp_path / "ds")
+    entries = spark.range(200).selectExpr("id % 5 AS row_ix", "id DIV 5 AS col_ix", "CAST(id AS DOUBLE) + 1 AS value")
+    whole = AnnotatedMatrix.create(entries, spark.range(5).withColumnRenamed("id", ROW), spark.range(40).withColumnRenamed("id", COL))
+    storage.save(whole, path)
+    first, want = files(tmp_path), {(i, j): v for i, j, v in cells(whole)}
+    set_ = lambda *new: spark.createDataFrame(list(new), "row_ix long, col_ix long, value double")
+    m = storage.connect(spark, path).assign(set_((1, 9, -1.0), (0, 0, -2.0))).assign(set_((1, 9, -3.0)))
+    storage.save(m, path)
+    new = files(tmp_path).keys() - first.keys()
+    assert {f.split("/band=")[1].split("/")[0] for f in new} == {"0", "2"} and first.items() < files(tmp_path).items()
+    want |= {(1, 9): -3.0, (0, 0): -2.0}
+    m = storage.connect(spark, path, full=True)
+    assert {(i, j): v for i, j, v in cells(m)} == want and cells(m.view(None, slice(8, 12))) == [(i, j - 8, v) for (i, j), v in sorted(want.items()) if 8 <= j < 12]
+    storage.save(m.assign(set_((4, 10, 7.0), (4, 39, 8.0))), path)
+    want |= {(4, 10): 7.0, (4, 39): 8.0}
+    m = storage.connect(spark, path, full=True)
+    assert {(i, j): v for i, j, v in cells(m)} == want and m.origin.meta["shape"] == [5, 40]
+    # A predicate's columns prune bands, too.
+    part = m.sparse(None, F.col(COL).isin(17, 18))
+    assert re.search(r"PartitionFilters: \[[^\]]*\(band#\d+ = 4\)", plan(part))
+    assert sorted(tuple(r) for r in part.collect()) == [(i, j - 17, v) for (i, j), v in sorted(want.items()) if j in (17, 18)]
+    storage.compact(spark, path)
+    assert {(i, j): v for i, j, v in cells(storage.connect(spark, path))} == want
+
+
+def test_resize_is_metadata(spark, tmp_path):
+    path = str(tmp_path / "ds")
+    storage.save(sample(spark).set_graph(1, "g", spark.createDataFrame([(0, 1, 0.5), (1, 4, 1.0)], "a long, b long, w double")), path)
+    first = files(tmp_path)
+    storage.resize(spark, path, 2, 3)
+    assert files(tmp_path) == first
+    m = storage.connect(spark, path, full=True)
+    want = [c for c in cells(sample(spark)) if c[0] < 2 and c[1] < 3]
+    assert m.shape == (2, 3) and cells(m) == want and m.rows.count() == 2 and m.graph(1, "g").count() == 1
+    storage.resize(spark, path, 4, 6)  # what was cut off does not come back
+    m = storage.connect(spark, path, full=True)
+    assert m.shape == (4, 6) and cells(m) == want and [r.Gene for r in m.rows.orderBy(ROW).collect()][2:] == ["", ""] and [r.Cell for r in m.cols.orderBy(COL).collect()] == [0, 1, 2, 0, 0, 0]
+    storage.save(m.assign(spark.createDataFrame([(3, 5, 9.0)], "row_ix long, col_ix long, value double")), path)
+    assert cells(storage.connect(spark, path, full=True)) == sorted([*want, (3, 5, 9.0)])
+    storage.compact(spark, path)
+    assert cells(storage.connect(spark, path, full=True)) == sorted([*want, (3, 5, 9.0)]) and not any("limit" in p for p in storage.metadata(spark, path)["layers"][""]["parts"])
+    with pytest.raises(ValueError, match="negative"):
+        storage.resize(spark, path, -1)
+
+
 def plan(df):
     df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     return df._jdf.queryExecution().toString()
