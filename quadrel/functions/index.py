@@ -48,6 +48,19 @@ def renumber(df: DataFrame, ix: str, name: str = "new_ix") -> DataFrame:
     return banded.withColumn("_rank", F.row_number().over(inner)).join(offsets, "_band").withColumn(name, F.col("_offset") + F.col("_rank") - 1).drop("_band", "_rank", "_offset")
 
 
+def ranks_within(df: DataFrame, group: str, ix: str, name: str) -> DataFrame:
+    """Add the rank of the integer ``ix`` among the rows of its group, from 0, as ``renumber``
+    does for all rows: no group is sorted in one task."""
+    banded = df.withColumn("_band", F.floor(F.col(ix) / BAND).cast("long"))
+    sizes = banded.groupBy(group, "_band").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(group).alias("_group"), F.col("_band").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inner = Window.partitionBy(group, "_band").orderBy(ix)
+    ranked = banded.withColumn("_rank", F.row_number().over(inner))
+    joined = ranked.join(offsets, ranked[group].eqNullSafe(offsets["_group"]) & (ranked["_band"] == offsets["_of"]))
+    return joined.withColumn(name, F.col("_offset") + F.col("_rank") - 1).select(*df.columns, name)
+
+
 def positions_by(df: DataFrame, *order: Column | str, name: str = "new_ix") -> DataFrame:
     """Add the 0-based position of every row in the order of ``order`` (make it total).
 

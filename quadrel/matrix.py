@@ -337,25 +337,15 @@ class AnnotatedMatrix:
 
     # --- bands --------------------------------------------------------------------------
     def scan(self, axis: int, batch_size: int = 512, items: Selector = None, layers: list[str] | None = None, key: str | None = None) -> Iterator[tuple[int, AnnotatedMatrix]]:
-        """(first position, view) of successive bands along an axis, empty bands left out.
+        """(first position, view) of successive bands along an axis, in one pass over all
+        layers (``operators.scan``); with ``items``, bands without a chosen position are left out.
 
-        The other axis is sorted by its attribute ``key``. For work on every band at once,
-        ``apply_bands`` runs one function on all of them in parallel.
+        The other axis is sorted by its attribute ``key``. A band's values come to the driver;
+        for work on every band in parallel take ``operators.scan.apply``.
         """
-        base = self if layers is None else replace(self, layers={k: self.layer(k) for k in layers})
-        ix, table, n = base.axis(axis)
-        if key is not None:
-            base = base.permute(1 - axis, key)
-        if items is None:
-            for start in range(0, n, batch_size):
-                part = slice(start, start + batch_size)
-                yield start, base.view(part, None) if axis == 0 else base.view(None, part)
-            return
-        chosen = checkpointed(table.select(ix).join(base.selection(axis, items).select(ix), ix, "left_semi"))
-        band = F.floor(F.col(ix) / batch_size).cast("long")
-        for (start,) in chosen.select((band * batch_size).alias("s")).distinct().orderBy("s").collect():  # a row a band
-            part = chosen.where((F.col(ix) >= start) & (F.col(ix) < start + batch_size))
-            yield start, base.view(part, None) if axis == 0 else base.view(None, part)
+        from quadrel.operators.scan import local
+
+        return local(self, axis, batch_size, items, layers, key)
 
     def apply_bands(self, axis: int, fn: Callable, schema: str, batch_size: int = 512, layer: str = MAIN) -> DataFrame:
         """``fn(pandas of row_ix, col_ix, value) -> pandas`` on every band of an axis."""

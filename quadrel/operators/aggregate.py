@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrel.functions.arrow import dense_tiles, of_rows
+from quadrel.functions.index import ranks_within
 from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix, axis_names
 
 FUNCTIONS = "sum prod mean var std min max median first last argmin argmax len count_nonzero any all sumofsquares".split()
@@ -64,18 +66,15 @@ def aggregate(matrix: AnnotatedMatrix, group_by: str | DataFrame, how: str | lis
         stats = stats.join(filled.groupBy(*keys).agg(F.percentile("value", 0.5, F.col("times")).alias("mid")), keys)
         made["median"] = F.col("mid")
     if set(wanted) & {"first", "last", "argmin", "argmax"}:
-        ranked = groups.withColumn("at", F.row_number().over(Window.partitionBy("grp").orderBy(COL)) - 1)
-        placed = entries.select(ROW, COL, "grp", "value").join(ranked, [COL, "grp"])
-        order = F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1
-        # The first zero stands where the non-zero values' places leave their order.
-        gaps = placed.withColumn("k", order)
-        position = gaps.groupBy(*keys).agg(
-            F.min(F.when(F.col("at") != F.col("k"), F.col("k"))).alias("gap"),
+        placed = entries.select(ROW, COL, "grp", "value").join(ranks_within(groups, "grp", COL, "at"), [COL, "grp"])
+        position = placed.groupBy(*keys).agg(
             F.min_by("value", "at").alias("v0"), F.min("at").alias("a0"), F.max_by("value", "at").alias("v1"), F.max("at").alias("a1"),
             F.min(F.struct(F.col("value"), F.col("at"))).alias("lo"), F.min(F.struct((-F.col("value")).alias("m"), F.col("at"))).alias("hi"),
         )
+        if set(wanted) & {"argmin", "argmax"}:
+            position = position.join(first_gaps(placed, keys), keys)
         stats = stats.join(position, keys)
-        zero_at = F.coalesce("gap", nnz)
+        zero_at = F.col("gap")
         made["first"] = F.when(F.col("a0") == 0, F.col("v0")).otherwise(F.lit(0.0))
         made["last"] = F.when(F.col("a1") == n - 1, F.col("v1")).otherwise(F.lit(0.0))
         made["argmin"] = F.when(zeros & (F.col("low") > 0), zero_at).otherwise(F.col("lo.at")).cast("long")
@@ -87,6 +86,27 @@ def aggregate(matrix: AnnotatedMatrix, group_by: str | DataFrame, how: str | lis
     return grid(matrix, groups).join(out, keys, "left").select(*keys, *[F.coalesce(f, zero[f]).alias(f) for f in wanted])
 
 
+STRETCH = 4096  # places that are looked through together
+
+
+def first_gaps(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, gap): the least place (``at``, from 0) that no row of the keys has.
+
+    Places are ranked within stretches of 4,096, then the stretches among each other, so a
+    row with all the columns of a large group is no sort of them all.
+    """
+    stretch = F.floor(F.col("at") / STRETCH).cast("long")
+    inner = Window.partitionBy(*keys, "_stretch").orderBy("at")
+    ranked = placed.select(*keys, "at", stretch.alias("_stretch")).withColumn("_k", F.col("_stretch") * STRETCH + F.row_number().over(inner) - 1)
+    filled = ranked.groupBy(*keys, "_stretch").agg(F.coalesce(F.min(F.when(F.col("at") != F.col("_k"), F.col("_k"))), F.max("_k") + 1).alias("_free"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_stretch")) - 1
+    # The first stretch that is missing or not full has the gap.
+    numbered = filled.withColumn("_number", number)
+    end = (F.col("_number") + 1) * STRETCH
+    free = F.when(F.col("_stretch") != F.col("_number"), F.col("_number") * STRETCH).when(F.col("_free") < end, F.col("_free"))
+    return numbered.groupBy(*keys).agg(F.coalesce(F.min(free), F.max(end)).alias("gap"))
+
+
 def grid(matrix: AnnotatedMatrix, groups: DataFrame) -> DataFrame:
     """(row_ix, grp, _n): every row with every group and its size. The list of groups is
     broadcast, a row a group."""
@@ -94,25 +114,24 @@ def grid(matrix: AnnotatedMatrix, groups: DataFrame) -> DataFrame:
     return matrix.rows.select(ROW).crossJoin(F.broadcast(sizes))
 
 
-def aggregate_custom(matrix: AnnotatedMatrix, group_by: str | DataFrame, fn: Callable, layer: str = MAIN, every: bool = False) -> DataFrame:
+def aggregate_custom(matrix: AnnotatedMatrix, group_by: str | DataFrame, fn: Callable, layer: str = MAIN, every: bool = False, vectorized: bool = False) -> DataFrame:
     """(row_ix, grp, value) of ``fn(numpy vector)`` over each row's whole group, zeros included,
-    for rows and groups with a non-zero value, or for ``every`` pair. The vectors are made in
-    grouped Arrow tasks; that of zeros alone is made once a group, so ``fn`` must give equal
-    values for equal vectors."""
+    for rows and groups with a non-zero value, or for ``every`` pair; ``vectorized``: of
+    ``fn(tile)``, which gives a number for each row of a dense tile of many rows. The vector of
+    zeros alone is worked out once a group, so ``fn`` must give equal values for equal vectors."""
     groups = groups_of(matrix, group_by)
     sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp")
-    ranked = sized.withColumn("at", F.row_number().over(Window.partitionBy("grp").orderBy(COL)) - 1)
-    entries = matrix.layer(layer).where("value <> 0").join(ranked, COL)
+    ranked = ranks_within(sized, "grp", COL, "at")
+    entries = matrix.layer(layer).where("value <> 0").join(ranked, COL).where("grp IS NOT NULL")
 
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        vector = np.zeros(int(pdf["n"].iloc[0]))
-        vector[pdf["at"].to_numpy()] = pdf["value"].to_numpy()
-        return pd.DataFrame({ROW: [pdf[ROW].iloc[0]], "grp": [pdf["grp"].iloc[0]], "value": [float(fn(vector))]})
+        for group, rows, tile in dense_tiles(batches, "grp", ROW, "at", "value", "n"):
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array([group] * len(rows), pa.int64()), pa.array(of_rows(fn, tile, vectorized))], names=[ROW, "grp", "value"])
 
-    out = entries.select(ROW, "grp", "n", "at", F.col("value").cast("double").alias("value")).groupBy(ROW, "grp").applyInPandas(run, f"{ROW} long, grp long, value double")
+    dealt = entries.select(F.col(ROW).cast("long").alias(ROW), "grp", "n", "at", F.col("value").cast("double").alias("value")).repartition(ROW, "grp").sortWithinPartitions("grp", ROW)
+    out = dealt.mapInArrow(run, f"{ROW} long, grp long, value double")
     if not every:
         return out
 
@@ -120,7 +139,7 @@ def aggregate_custom(matrix: AnnotatedMatrix, group_by: str | DataFrame, fn: Cal
         import numpy as np
 
         for pdf in batches:
-            yield pdf.assign(_zero=[float(fn(np.zeros(int(n)))) for n in pdf["_n"]])[["grp", "_zero"]]
+            yield pdf.assign(_zero=[float(of_rows(fn, np.zeros((1, int(n))), vectorized)[0]) for n in pdf["_n"]])[["grp", "_zero"]]
 
     sizes = groups.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("_n"))
     zeros = F.broadcast(sizes.mapInPandas(blank, "grp long, _zero double"))
@@ -162,11 +181,12 @@ def aggregate_attributes(matrix: AnnotatedMatrix, group_by: str, how: dict[str,
 REDUCERS = ("sum", "mean", "std", "var", "min", "max", "count_nonzero")
 
 
-def map_axis(matrix: AnnotatedMatrix, functions: list[str | Callable], axis: int = 0, layer: str = MAIN, selection=None) -> DataFrame:
+def map_axis(matrix: AnnotatedMatrix, functions: list[str | Callable], axis: int = 0, layer: str = MAIN, selection=None, vectorized: bool = False) -> DataFrame:
     """(ix, f0, f1, ...): each function of every whole row (axis 0) or column (axis 1).
 
-    Named reducers run natively, zeros counted. Callables get a dense numpy vector, built
-    row by row in grouped tasks. ``selection`` restricts the other axis, in its order.
+    Named reducers run natively, zeros counted. Callables get a dense numpy vector or, with
+    ``vectorized``, a dense tile of many vectors, and give a number for each. They must give
+    equal values for equal vectors. ``selection`` restricts the other axis, in its order.
     """
     if not isinstance(functions, (list, tuple)):
         raise ValueError("give a list of functions")
@@ -194,25 +214,30 @@ def map_axis(matrix: AnnotatedMatrix, functions: list[str | Callable], axis: int
     if free:
         names = [f"f{i}" for i, _ in free]
 
-        def run(pdf):
-            import numpy as np
-            import pandas as pd
+        def values(tile):
+            import pyarrow as pa
 
-            vector = np.zeros(width)
-            has = pdf[other].notna().to_numpy()
-            vector[pdf[other].to_numpy()[has].astype(int)] = pdf["value"].to_numpy()[has]
-            return pd.DataFrame({ix: [pdf[ix].iloc[0]], **{f"f{i}": [float(f(vector))] for i, f in free}})
+            return [pa.array(of_rows(f, tile, vectorized)) for _, f in free]
 
-        every = table.select(ix).join(entries.select(ix, other, "value"), ix, "left")
-        made = every.groupBy(ix).applyInPandas(run, f"{ix} long, " + ", ".join(f"{n} double" for n in names))
-        out = out.join(made, ix)
-    return out.select(ix, *[f"f{i}" for i in range(len(functions))])
+        def run(batches):
+            import pyarrow as pa
 
+            for _, rows, tile in dense_tiles(batches, "grp", ix, other, "value", width):
+                yield pa.RecordBatch.from_arrays([pa.array(rows), *values(tile)], names=[ix, *names])
 
-def gram_matrix(matrix: AnnotatedMatrix, layer: str = MAIN) -> DataFrame:
-    """(i, j, value) of the rows' products over all columns (i <= j): what an incremental fit
-    of principal components needs. Work per column is the square of its non-zero rows."""
-    e = matrix.layer(layer).where("value <> 0")
-    a = e.select(COL, F.col(ROW).alias("i"), F.col("value").alias("x"))
-    b = e.select(COL, F.col(ROW).alias("j"), F.col("value").alias("y"))
-    return a.join(b, COL).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+        def blank(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([True]), *values(np.zeros((1, width)))], names=["there", *names])
+
+        fields = ", ".join(f"{n} double" for n in names)
+        dealt = entries.select(F.lit(0).alias("grp"), F.col(ix).cast("long").alias(ix), F.col(other).cast("long").alias(other), "value").repartition(ix).sortWithinPartitions(ix)
+        made = dealt.mapInArrow(run, f"{ix} long, {fields}").withColumn("there", F.lit(True))
+        # Vectors of zeros alone have one value, worked out once; it is broadcast as one row.
+        zeros = matrix.spark.range(1).mapInArrow(blank, f"there boolean, {fields}").select(*[F.col(n).alias(f"_{n}") for n in names])
+        both = out.join(made, ix, "left").crossJoin(F.broadcast(zeros))
+        out = both.select(*out.columns, *[F.when(F.col("there"), F.col(n)).otherwise(F.col(f"_{n}")).alias(n) for n in names])
+    return out.select(ix, *[f"f{i}" for i in range(len(functions))])

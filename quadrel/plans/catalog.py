@@ -12,7 +12,7 @@ from quadrel.functions import dna, stats
 from quadrel.functions.index import positions_by, renumber, shared_folder
 from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix, combine, combine_selected
 from quadrel.operators import aggregate as agg
-from quadrel.operators import cells, index_build, records, sequences
+from quadrel.operators import cells, components, index_build, records, scan, sequences
 from quadrel.operators.validate import convention_counts, structure_counts
 from quadrel.plans import fixtures as fx
 from quadrel.sources import storage, text
@@ -197,7 +197,7 @@ def a02_positions_grid(spark, sf):
 
 @register("a02_aggregate_custom_grid", GRID + "SELECT row_ix, grp, max(value) - min(value) AS value FROM full_ GROUP BY ALL")
 def a02_custom_grid(spark, sf):
-    return agg.aggregate_custom(fx.trade(spark, sf), "ClusterID", lambda v: v.max() - v.min(), every=True)
+    return agg.aggregate_custom(fx.trade(spark, sf), "ClusterID", lambda tile: tile.max(axis=1) - tile.min(axis=1), every=True, vectorized=True)
 
 
 @register(
@@ -357,6 +357,25 @@ def m01_view(spark, sf):
     return next(v.layer() for start, v in fx.trade(spark, sf).scan(0, 32, items=slice(60, 130)) if start == 64)
 
 
+@register("m01_scan_all", f"""WITH {SM}, {LINES}, k AS (SELECT s_suppkey AS col_ix, row_number() OVER (ORDER BY s_name DESC, s_suppkey) - 1 AS pos FROM supplier),
+every AS (SELECT 'lines' AS layer, * FROM lines UNION ALL SELECT '', * FROM sm WHERE value <> 0)
+SELECT (row_ix // 512) * 512 AS start, layer, count(*) AS nnz, sum(value) AS total, CAST(sum((row_ix % 512) * value) AS DOUBLE) AS own, CAST(sum(pos * value) AS DOUBLE) AS other FROM every JOIN k USING (col_ix) GROUP BY ALL""")
+def m01_all(spark, sf):
+    """Every band of 512 rows, both layers, columns in descending order of their names."""
+
+    def band(b):
+        layers = sorted(b.layers)
+        column = lambda f: [f(*b.layers[k]) for k in layers]
+        return {
+            "start": [b.start] * len(layers), "layer": layers, "nnz": column(lambda o, p, v: len(v)), "total": column(lambda o, p, v: float(v.sum())),
+            "own": column(lambda o, p, v: float((o * v).sum())), "other": column(lambda o, p, v: float((p * v).sum())),
+        }
+
+    m = fx.trade(spark, sf, (MAIN, "lines"))
+    order = positions_by(m.cols, F.desc("CellID"), COL).select(COL, "new_ix")
+    return scan.apply(m.permute(1, ordering=order), 0, band, "start long, layer string, nnz long, total double, own double, other double")
+
+
 @register(
     "m04_map_reducers",
     """WITH s AS (SELECT l_suppkey AS col_ix, count(*) AS nnz, sum(v) AS total, sum(v * v) AS squares, min(v) AS low, max(v) AS high FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1), n AS (SELECT count(*) AS n FROM part)
@@ -370,12 +389,29 @@ def m04(spark, sf):
 
 @register("m04_map_callables", f"WITH {SM} SELECT p_partkey AS row_ix, COALESCE(max(value), 0) * 2 AS f0 FROM part LEFT JOIN sm ON row_ix = p_partkey GROUP BY 1")
 def m04_callables(spark, sf):
-    return agg.map_axis(fx.trade(spark, sf), [lambda v: 2 * v.max()], axis=0)
+    return agg.map_axis(fx.trade(spark, sf), [lambda tile: 2 * tile.max(axis=1)], axis=0, vectorized=True)
 
 
 @register("m05_gram_matrix", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT CAST(p.i AS BIGINT) AS i, CAST(q.i AS BIGINT) AS j, round(sum(p.x * q.x), 6) AS value FROM e p JOIN e q ON p.vec_id = q.vec_id AND p.i <= q.i WHERE p.x <> 0 AND q.x <> 0 GROUP BY 1, 2")
 def m05(spark, sf):
-    return agg.gram_matrix(fx.dense(spark, sf)).withColumn("value", F.round("value", 6))
+    return components.gram_matrix(fx.dense(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+@register("m05_components", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT i, avg(x) AS mean FROM e GROUP BY i) SELECT vec_id AS col_ix, round(sum((x - mean) * (x - mean)), 6) AS energy FROM e JOIN m USING (i) GROUP BY vec_id")
+def m05_components(spark, sf):
+    """All components: a vector's scores have the length of the centred vector."""
+    m = fx.dense(spark, sf)
+    scores = components.fit_components(m, 64).project(m)
+    return scores.select(COL, F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x), 6).alias("energy"))
+
+
+@register("m05_variances", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), v AS (SELECT var_samp(x) AS v FROM e GROUP BY i) SELECT round(sum(v), 6) AS fitted, round(sum(v), 6) AS projected FROM v")
+def m05_variances(spark, sf):
+    """The components' variances, and those of the columns' places along them, add up to the features'."""
+    m = fx.dense(spark, sf)
+    made = components.fit_components(m, 64)
+    spread = made.project(m).select(F.posexplode("scores").alias("k", "x")).groupBy("k").agg(F.var_samp("x").alias("v"))
+    return spread.agg(F.round(F.lit(float(made.variances.sum())), 6).alias("fitted"), F.round(F.sum("v"), 6).alias("projected"))
 
 
 # --- mutation ---------------------------------------------------------------------------
