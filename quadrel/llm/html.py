@@ -5,7 +5,7 @@ containers, and stand for what the contract names as no text (scripts, forms, me
 like). Text and link lengths are summed over windows of a few lines: where the sum rises from
 zero is a surge, where it is zero again a dive, and the lines between them form one passage.
 The page's heaviest passage sets the height that others must reach; <article> and <main> are a
-weight in that comparison, not a switch. The whole is linear in the page's length.
+weight in that comparison. The whole is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -261,24 +261,33 @@ def main_text(page: str | None, params: LineBlockParams = LineBlockParams()) ->
     """Main text of one page: blocks in page order, joined by one space; "" if there is none.
 
     Passages that only a removed element parts are joined; those that are mostly links are
-    menus. Of the others, and of all in <article> or <main>, the one of most text is the core:
-    links count against it, and text in <article> or <main> counts ``weight`` times. A passage
-    that is no menu is kept if its peak, so weighted, is at least ``height`` of the core's; if
-    it stands in an <article> or <main> (a teaser stays, but decides nothing); if it stands in
-    a container of which another passage is kept, or between two kept ones of one container's
-    parts. Where the core stands in an <article> or <main>, lists of links there are kept too.
-    Nothing is cut or capped.
+    menus, unless they stand in <article> or <main> with text of their own. Of the others the
+    one of most text is the core: links count against it, and text in <article> or <main>
+    counts ``weight`` times. Another passage is kept if its peak, so weighted, is at least
+    ``height`` of the core's (in the core's own <article> or <main>: of the core's unweighted
+    peak); if it stands in an <article> or <main> that does not hold the core (a teaser stays,
+    but decides nothing); if it stands in a container of which another passage is kept, or
+    between two kept ones of one container's parts. Inside the core's region, too, the windows
+    decide: a list of links or a short passage in a container of its own goes. Nothing is cut
+    or capped.
     """
     read = Reader(page or "", params.window)
-    running = lambda p: p.linked <= params.links * p.size
+    running = lambda p: p.linked <= params.links * p.size or bool(p.lines[0].main) and p.linked < p.size - _spaces(p)
     weight = lambda p: params.weight if p.lines[0].main else 1.0
     same = joined(passages(read.out, params.window), lambda a, b: a.lines[-1].inside == b.lines[0].inside and a.lines[-1].main == b.lines[0].main)
-    found = joined([p for p in same if p.lines[0].main or running(p)], Passage.joins)
+    found = joined([p for p in same if running(p)], Passage.joins)
     if not found:
         return ""
     core = max(found, key=lambda p: p.size * weight(p) - p.linked)
-    least = params.height * core.peak * weight(core)
-    kept = {p.start for p in found if p is core or running(p) and (p.lines[0].main or p.peak * weight(p) >= least)}
+    home = core.lines[0].main
+    around = {n for n, (first, last) in read.places.items() if first <= core.start < last}
+    least = params.height * core.peak
+    kept = set()
+    for p in found:
+        own = p.lines[0].main
+        apart = own and own not in around
+        if p is core or apart or p.peak * weight(p) >= (least if own == home else least * weight(core)):
+            kept.add(p.start)
     shared = {r.inside for p in found if p.start in kept for r in p.lines}
     spread: dict[int, list[int]] = {}  # container -> first and last kept part
     for p in found:
@@ -286,15 +295,14 @@ def main_text(page: str | None, params: LineBlockParams = LineBlockParams()) ->
             spread.setdefault(p.lines[0].around, [p.start, p.start])[1] = p.start
     for p in found:
         first, last = spread.get(p.lines[0].around, (0, 0))
-        if running(p) and (first < p.start < last or any(r.inside in shared for r in p.lines)):
+        if first < p.start < last or any(r.inside in shared for r in p.lines):
             kept.add(p.start)
-    chosen = [(p.start, p.lines) for p in found if p.start in kept]
-    if core.lines[0].main:
-        first, last = read.places[core.lines[0].main]
-        # The region holds whole passages: they end where the innermost <article> or <main> changes.
-        chosen = [x for x in chosen if not first <= x[0] < last]
-        chosen.append((first, [r for r in read.out[first:last] if r]))
-    return " ".join(r.text for _, lines in sorted(chosen, key=lambda x: x[0]) for r in lines)
+    return " ".join(r.text for p in found if p.start in kept for r in p.lines)
+
+
+def _spaces(p: Passage) -> int:
+    """Spaces of a passage's lines, which are not counted as link text."""
+    return sum(r.text.count(" ") for r in p.lines)
 
 
 def extract_pages(pages: DataFrame, params: LineBlockParams = LineBlockParams(), key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -39,6 +39,31 @@ def test_text_beside_a_teaser_article():
     assert main_text(f"<body><article><p>See:</p>{links}</article><div>Imprint</div></body>") == f"See: {LONG.strip()}"
 
 
+def test_passages_inside_a_region_compete():
+    story, links, advert = f"<p>{LONG}</p><p>{LONG}</p>", "<ul><li><a href=1>Home and news</a><li><a href=2>More of this site</a></ul>", "<p>Buy this now, cheap.</p>"
+    want = f"{LONG.strip()} {LONG.strip()}"
+    for region in ("main", "article", "div"):
+        assert main_text(f"<body><{region}><div>{links}</div><div>{story}</div><div>{advert}</div></{region}></body>") == want, region
+    assert main_text(f"<body><main><div>{links}</div><article>{story}</article><div>{advert}</div></main></body>") == want
+    # A part of some height, or between kept ones, stays; so does a short one in the story's own container.
+    parts = f"<section><h2>One</h2><p>{LONG}</p></section><section><p>Short.</p></section><section><p>{LONG}</p></section>"
+    assert main_text(f"<body><main>{parts}</main></body>") == f"One {LONG.strip()} Short. {LONG.strip()}"
+    assert main_text(f"<body><main>{story}<div class=ad>x</div><p>End.</p></main></body>") == f"{want} End."
+
+
+def test_windows_decide_where_a_region_wraps_all():
+    """Names taken off and the whole page in <main>: all that is left is text and links. Taking
+    every passage that is no menu, whatever its windows say, finds next to nothing."""
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    plain = [re.sub(r'\s(class|id)="[^"]*"', "", re.sub(r"(</?)(article|nav|footer|header|aside)\b", r"\1div", h)) for h in pages]
+    wrapped = [re.sub("</body>", "</main></body>", re.sub(r"<body([^>]*)>", r"<body\1><main>", h)) for h in plain]
+    want = [main_text(h) for h in pages]
+    assert sum(main_text(h) == w for h, w in zip(wrapped, want, strict=True)) >= 0.93 * len(want)
+    assert sum(main_text(h, LineBlockParams(height=0)) == w for h, w in zip(wrapped, want, strict=True)) <= 0.05 * len(want)
+
+
 def test_short_end_behind_a_removed_element():
     for end in ("<p>Short end.</p>", "Short end.", "<div>Short end.</div>", "<p>See <a href=1>the end</a>"):
         text = " ".join(re.sub("<.*?>", "", end).split())
