@@ -10,7 +10,6 @@ shorter one rewrites history, which is reported.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -37,36 +36,42 @@ class Span:
     rewritten: int
 
 
-def spans(turns: Iterable[Turn], render: Callable[[list[Turn]], str], context: int | None = None) -> Iterator[Span]:
+def spans(turns: Iterable[Turn], render: Callable[[list[Turn]], str]) -> Iterator[Span]:
     """Spans of successive turns, found from outputs alone.
 
-    ``context``: how many turns before a turn its rendering may depend on (None: all of
-    them, which makes the work quadratic in the number of turns). With a number, memory and
-    work do not grow with the conversation; the first turn is then told from the others by
-    standing alone.
+    Every prefix of the conversation is rendered once, and twice more with a probe for its
+    last text; each output is compared with the one before. Outputs are compared a block at a
+    time, so what is quadratic in the turns is the template's own work and memory reads.
     """
-    window: list[Turn] = []
+    prefix: list[Turn] = []
+    before = ""
     for turn in turns:
-        if context is not None and len(window) > context + 1:
-            window = window[-context - 1 :]
-        before = render(window) if window else ""
-        after = render([*window, turn])
-        kept = len(before) if after.startswith(before) else len(os.path.commonprefix([before, after]))
-        left, right = (render([*window, (turn[0], probe)]) for probe in PROBES)
-        start = len(os.path.commonprefix([left, right]))
-        tail = _common_end(left[start:], right[start:])
+        prefix.append(turn)
+        after = render(prefix)
+        kept = len(before) if after.startswith(before) else common_start(before, after)
+        shown = []
+        for probe in PROBES:
+            prefix[-1] = (turn[0], probe)
+            shown.append(render(prefix))
+        prefix[-1] = turn
+        start = common_start(*shown)
+        tail = common_start(shown[0][start:][::-1], shown[1][start:][::-1])
         yield Span(turn[0], after[kept:], max(0, start - kept), max(0, len(after) - tail - kept), len(before) - kept)
-        window.append(turn)
+        before = after
 
 
-def _common_end(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a[::-1], b[::-1]]))
-
-
-def own_context(render: Callable) -> int | None:
-    """How many turns before a turn the template itself says its rendering depends on, by an
-    attribute ``context``; None, so all of them, where it says nothing."""
-    return getattr(render, "context", None)
+def common_start(a: str, b: str) -> int:
+    """Length of the common beginning of two strings, by halving."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:  # equal up to low, different before high
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
 
 
 class BracketTemplate:
@@ -75,8 +80,6 @@ class BracketTemplate:
     backslash after their first character, and backslashes are doubled, so any text can be
     read back and none can pose as a mark."""
 
-    context = 0  # a turn's rendering depends on no other turn
-
     # The marks.
     KNOWN = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", "</s>"), "system": ("<<SYS>>\n", "\n<</SYS>>\n\n")}
     OTHER = ("<s>[ROLE] ", "\n", " [/ROLE]")
@@ -99,11 +102,18 @@ class BracketTemplate:
         name = cls.escape(role).replace("\n", "\\\n")
         return cls.OTHER[0] + name + cls.OTHER[1], cls.OTHER[2]
 
+    def __init__(self):
+        self.known: dict[Turn, str] = {}  # turns of the conversation in hand, as rendered
+
     def __call__(self, turns: list[Turn]) -> str:
+        if len(turns) == 1:
+            self.known.clear()
         out = []
-        for role, text in turns:
-            start, end = self.marks(role)
-            out.append(start + self.escape(text) + end)
+        for turn in turns:
+            if turn not in self.known:
+                start, end = self.marks(turn[0])
+                self.known[turn] = start + self.escape(turn[1]) + end
+            out.append(self.known[turn])
         return "".join(out)
 
     @classmethod
@@ -125,8 +135,8 @@ def sorted_turns(conversations: DataFrame, key: str = "conv_id", turn: str = "tu
     """(conv_id, turn, role, text), whole conversations in a partition, in the order of turns.
 
     Null roles and texts are empty. Rows of equal turn numbers (null first) are ordered by
-    role and text, so repeated rows keep a defined place. A conversation is a sequence, so
-    one task reads it, a batch at a time.
+    role and text, so repeated rows keep a defined place. A conversation is a sequence that a
+    template renders as a whole, so one task reads it.
     """
     rows = conversations.select(
         F.col(key).alias("conv_id"),
@@ -159,16 +169,15 @@ def format_turns(conversations: DataFrame, render: Callable[[list[Turn]], str] |
     """The formatted conversations, a row a turn: (conv_id, n, role, piece, loss_start,
     loss_end, rewritten). The pieces of a conversation, in the order of n, are its output
     where ``rewritten`` is 0; loss_start and loss_end are code points of the piece, null for
-    turns outside the loss mask. Whole prefixes are rendered, unless the template has an
-    attribute ``context`` that says how many turns before a turn matter to it."""
+    turns outside the loss mask. Whole prefixes are rendered, whatever the template says of
+    itself, so a task holds one conversation."""
     render = render or BracketTemplate()
-    context = own_context(render)
 
     def run(batches):
         out: list[tuple] = []
         key_type, batches = _first(batches)
         for conv, turns in _streamed(batches):
-            for n, s in enumerate(spans(turns, render, context)):
+            for n, s in enumerate(spans(turns, render)):
                 masked = s.role in loss_roles
                 out.append((conv, n, s.role, s.piece, s.text_start if masked else None, s.text_end if masked else None, s.rewritten))
                 if len(out) >= 2000:
@@ -191,8 +200,8 @@ def format_digests(conversations: DataFrame, **names) -> DataFrame:
     conversation, read back from the bracket template's output.
 
     A turn is read from the piece of output that it added; the loss text is what stands
-    under the mask, unescaped. Raises where the template rewrites history. Conversations
-    stream through a task a batch at a time; the digests are updated turn by turn.
+    under the mask, unescaped. Raises where the template rewrites history. Every prefix of a
+    conversation is rendered; a task holds one conversation at a time.
     """
 
     def run(batches):
@@ -201,7 +210,7 @@ def format_digests(conversations: DataFrame, **names) -> DataFrame:
         key_type, batches = _first(batches)
         for conv, turns in _streamed(batches):
             said, loss, n, chars, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-            for s in spans(turns, template, own_context(template)):
+            for s in spans(turns, template):
                 if s.rewritten:
                     raise ValueError(f"the template rewrites history in conversation {conv}")
                 role, text = template.read(s.piece)

@@ -1,10 +1,12 @@
 import hashlib
+import os
+import time
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from quadrel.llm.chat import BracketTemplate, format_digests, format_turns, spans
+from quadrel.llm.chat import BracketTemplate, common_start, format_digests, format_turns, spans
 from quadrel.llm.queries import OP3_SQL, op3_chat_format
 from tests.oracle import same
 
@@ -14,12 +16,37 @@ TEXT = st.one_of(st.text(max_size=20), st.lists(st.sampled_from(["</s>", "[INST]
 @given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", ""]), TEXT), TEXT), max_size=6))
 def test_turns_are_read_back(turns):
     template = BracketTemplate()
-    for context in (None, 0, 2):
-        found = list(spans(turns, template, context))
-        assert "".join(s.piece for s in found) == template(turns)
-        assert [template.read(s.piece) for s in found] == turns
-        assert [template.unescape(s.piece[s.text_start : s.text_end]) for s in found] == [t for _, t in turns]
-        assert not any(s.rewritten for s in found)
+    found = list(spans(turns, template))
+    assert "".join(s.piece for s in found) == template(turns)
+    assert [template.read(s.piece) for s in found] == turns
+    assert [template.unescape(s.piece[s.text_start : s.text_end]) for s in found] == [t for _, t in turns]
+    assert not any(s.rewritten for s in found)
+
+
+@given(st.text("ab", max_size=30), st.text("ab", max_size=30))
+def test_common_start_by_brute_force(a, b):
+    assert common_start(a, b) == len(os.path.commonprefix([a, b]))
+
+
+def test_every_prefix_is_rendered_whole(spark):
+    class Watched(BracketTemplate):
+        context = 0  # what a template says of itself is not believed
+
+        def __call__(self, turns):
+            longest[0] = max(longest[0], len(turns))
+            return super().__call__(turns) if len(turns) < 6 else "*" + super().__call__(turns)[1:]
+
+    longest = [0]
+    turns = [("user", f"question {i}") if i % 2 == 0 else ("assistant", f"answer {i}") for i in range(10)]
+    got = [s.rewritten for s in spans(turns, Watched())]
+    assert longest[0] == 10 and got[5] == len(BracketTemplate()(turns[:5])) and not any(got[:5] + got[6:])
+
+
+def test_long_conversation_takes_little_time():
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i} " * 40) for i in range(1500)]
+    template, begin = BracketTemplate(), time.process_time()
+    assert [template.read(s.piece) for s in spans(turns, template)] == turns
+    assert time.process_time() - begin < 20
 
 
 @given(TEXT)
