@@ -5,6 +5,11 @@ batch encodes the words that its cache lacks: token-position rows join the merge
 leftmost pair of least rank of every word is contracted, and words without a pair leave the
 recursion. In a long word every pair is contracted that is such a one for as many tokens
 around it as a token can have bytes: no merge from further away can reach it before its turn.
+A very long word is encoded by overlapping parts, each different part once, and the parts'
+tokens are put together where neighbours agree on a token. That is exact: a sequence of tokens
+is a word's encoding if every two neighbours are the encoding of their joint bytes, since the
+first contraction across a boundary would happen in these two alone as well; and neighbours
+inside a part's encoding are such.
 Decoding is one ordered aggregation of the tokens' bytes.
 """
 
@@ -71,10 +76,11 @@ WITH RECURSIVE state(w, p, t, done) AS (
 SELECT w, list(t ORDER BY p) AS t FROM state WHERE done GROUP BY w ORDER BY w
 """
 LONG = 96  # bytes of a word from which on it is a long one
+HUGE = 1024  # bytes from which on it is encoded by overlapping parts
+PART, OVERLAP = 512, 128
 
 DECODE = """
-SELECT d, string_agg(s, '') AS t
-FROM (SELECT d, p, s FROM tokens JOIN vocabulary USING (id) ORDER BY p) GROUP BY d ORDER BY d
+SELECT d, string_agg(s, '' ORDER BY p) AS t FROM tokens JOIN vocabulary USING (id) GROUP BY d ORDER BY d
 """
 
 
@@ -127,6 +133,9 @@ class Codec:
         a, b, r = np.array(merges, np.int32).reshape(-1, 3).T
         self._table("merges", a=a, b=b, r=r)
         self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), s=pa.array([k.decode("latin-1") for k in self.ranks], pa.string()))
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        for k, r in self.ranks.items():
+            self.sizes[r] = len(k)
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         # Two bytes that no token holds side by side never merge: words are cut there.
         self.joined = np.zeros((256, 256), bool)
@@ -139,14 +148,25 @@ class Codec:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
-    def _merge(self, parts: list[bytes]) -> list[bytes]:
-        """Token ids (as little-endian bytes) of byte strings that are no tokens themselves."""
+    def _merge(self, parts: list[bytes], whole: bool = True) -> list[bytes]:
+        """Token ids (as little-endian bytes) that contraction gives for byte strings."""
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         raw = np.frombuffer(b"".join(parts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         cuts = np.flatnonzero(~self.joined[raw[:-1], raw[1:]]) + 1 if len(raw) > 1 else np.array([], np.int64)
         bounds = np.union1d(offsets, cuts)
         ids, size = self.byte_id[raw], np.diff(bounds)
+        huge = np.flatnonzero(size >= HUGE)
+        if len(huge) and whole:
+            pieces = [raw[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+            rest = [x for x in pieces if len(x) < HUGE]
+            small = iter(self._merge(rest) if rest else [])
+            coded = [self._by_parts(x).tobytes() if len(x) >= HUGE else next(small) for x in pieces]
+            owner = np.searchsorted(offsets, bounds[:-1], side="right") - 1
+            out: list[list[bytes]] = [[] for _ in parts]
+            for i, x in zip(owner, coded, strict=True):
+                out[i].append(x)
+            return [b"".join(x) for x in out]
         far = size >= LONG
         if not far.any():
             flat, counts = self._short(bounds, ids)
@@ -165,6 +185,72 @@ class Codec:
         data = flat.astype("<u4").tobytes()
         return [data[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
+    def _by_parts(self, data: bytes) -> np.ndarray:
+        """Tokens of a very long word (see above), in time linear in its length where parts
+        come to agree. Where two parts share no token, the next part begins at a token of the
+        last one and must begin with it, which repeated text gives at once: its parts repeat,
+        too. If nothing agrees, the whole word is contracted."""
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+        def tokens(contents: list[bytes]) -> None:
+            fresh = list(dict.fromkeys(c for c in contents if c not in known))
+            if fresh:
+                for c, x in zip(fresh, self._merge(fresh, whole=False), strict=True):
+                    ids = np.frombuffer(x, "<u4")
+                    known[c] = ids, np.r_[0, np.cumsum(self.sizes[ids])]
+
+        starts = list(range(0, max(len(data) - OVERLAP, 1), PART - OVERLAP))
+        tokens([data[i : i + PART] for i in starts])
+        out: list[np.ndarray] = []
+        at, first = 0, 0  # the part in hand and the first of its tokens that is not given yet
+        content = data[:PART]
+        while True:
+            ids, places = known[content]
+            end = at + len(content)
+            if end >= len(data):
+                return np.concatenate([*out, ids[first:]]).astype("<u4")
+            step = self._agreed(data, known, starts, at, content, first) or self._restarted(data, known, tokens, at, content, first)
+            if step is None:
+                return np.frombuffer(self._merge([data], whole=False)[0], "<u4")
+            last, at, content, begin = step
+            out.append(ids[first:last])
+            first = begin
+
+    @staticmethod
+    def _agreed(data, known, starts, at, content, first):
+        """(tokens to take, the next part's start, its content, its first token) where a part
+        that goes further has a token of this one at the same place."""
+        ids, places = known[content]
+        end = at + len(content)
+        i = min((end - 1) // (PART - OVERLAP), len(starts) - 1)
+        while i >= 0 and starts[i] > at:
+            other = data[starts[i] : starts[i] + PART]
+            if starts[i] + len(other) > end:
+                theirs = known[other][1] + starts[i]
+                mine = places + at
+                key = lambda x: x[:-1] * (1 << 32) + x[1:]
+                _, a, b = np.intersect1d(key(mine), key(theirs), assume_unique=True, return_indices=True)
+                good = np.flatnonzero(a >= first)
+                if len(good):
+                    k = good[len(good) // 2]
+                    return int(a[k]), starts[i], other, int(b[k])
+            i -= 1
+        return None
+
+    @staticmethod
+    def _restarted(data, known, tokens, at, content, first):
+        """The same with a part that begins at a token of this one, known parts before others."""
+        ids, places = known[content]
+        trial = [k for k in range(len(ids) - 1, first, -1) if places[k] <= len(content) - min(OVERLAP, len(content) // 4)]
+        ready = [k for k in trial if data[at + places[k] : at + places[k] + PART] in known]
+        for k in [*ready, *trial[:16]]:
+            start = at + int(places[k])
+            other = data[start : start + PART]
+            tokens([other])
+            if start + len(other) > at + len(content) and known[other][0][0] == ids[k]:
+                return k, start, other, 0
+        return None
+
     def _short(self, bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, their number in each word) of the words between ``bounds``."""
         segments = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
@@ -310,8 +396,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     and empty texts have no ids (hashes of no bytes). Repeated rows stay repeated, the key
     may be null, other columns are ignored. decoded_sha256 is made from the ids alone.
     With ``ids=False`` the array is left out. There is no shuffle; a task keeps a batch of
-    about four million characters, one text at least. Time is linear in the text, and nearly
-    so in the length of a single match of the pattern (a run of letters, say).
+    about four million characters, one text at least. Time is linear in the text, and in the
+    length of a single match of the pattern (a run of letters, say) where parts of it come to
+    agree, as they do in prose, random letters and repeated strings.
     """
 
     def run(batches):

@@ -56,6 +56,46 @@ def test_very_long_words_end_soon(public):
     assert [np.frombuffer(x, "<u4").tolist() for x in coded] == [public.encode_ordinary(t) for t in texts]
 
 
+def test_repeated_tokens_end_soon(public):
+    vocabulary = [t for t in (public.decode([i]) for i in range(public.n_vocab - 1)) if t.isalpha() and t.isascii() and 1 < len(t) < 13]
+    units = [("ext", 100_000), ("rent", 100_000), ("exec", 100_000), ("iken", 100_000), ("hent", 100_000)]
+    units += [(u, 20_000) for u in random.Random(7).sample(vocabulary, 20)]
+    tool = Codec(RANKS, P.PATTERN)
+    for unit, n in units:
+        text = (unit * n)[:n]
+        begin = time.process_time()
+        ids = tool.encode([text])[0]
+        assert time.process_time() - begin < 5, unit
+        assert np.frombuffer(ids, "<u4").tolist() == public.encode_ordinary(text), unit
+
+
+def test_parts_are_put_together_exactly(public, monkeypatch):
+    """Small parts, so that agreement, new beginnings and the way without parts all occur."""
+    rng, done = random.Random(11), {"agreed": 0, "restarted": 0, "whole": 0}
+    for name, value in (("HUGE", 96), ("PART", 40), ("OVERLAP", 12)):
+        monkeypatch.setattr(f"quadrel.llm.bpe.{name}", value)
+    agreed, restarted = Codec._agreed, Codec._restarted
+
+    def counted(name, fn):
+        def run(*args):
+            step = fn(*args)
+            done[name] += step is not None
+            done["whole"] += name == "restarted" and step is None
+            return step
+
+        return staticmethod(run)
+
+    monkeypatch.setattr(Codec, "_agreed", counted("agreed", agreed))
+    monkeypatch.setattr(Codec, "_restarted", counted("restarted", restarted))
+    tool = Codec(RANKS, P.PATTERN)
+    pieces = ["etaoinshrdlu", ["ext", "rent", "exec", "iken"], ["a", "aa", "b"], ["-", "=", "--"], ["é", "日本", "о"], ["the", "ther", "e"]]
+    texts = ["".join(rng.choice(p) for _ in range(rng.randint(60, 400))) for p in pieces for _ in range(15)]
+    texts += [u * rng.randint(100 // len(u), 500 // len(u) + 1) for u in ("a", "-", "ext", "rent", "ab", " ", "0", "quartered", "=" * 9 + "-")]
+    for text, ids in zip(texts, tool.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == public.encode_ordinary(text), text[:60]
+    assert done["agreed"] > 100 and done["restarted"] > 5, done
+
+
 def test_documents_match_library(spark, public):
     rows = [(1, "Hello  world's <|endoftext|> 123\n\n x", "clash"), (2, None, "c"), (3, "", "c"), (None, "a" * 300, "c"), (4, "word " * 30000, "c"), (4, "word " * 30000, "c"), (5, "é　漢字\r\n\t.", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
