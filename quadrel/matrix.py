@@ -76,6 +76,7 @@ class AnnotatedMatrix:
     row_graphs: dict[str, DataFrame] = field(default_factory=dict)
     col_graphs: dict[str, DataFrame] = field(default_factory=dict)
     attrs: dict = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)  # globals that are long arrays: tables of any columns
     origin: Origin | None = field(default=None, compare=False, repr=False)
     touched: frozenset[str] = frozenset()  # attributes set since the origin, as "col_attrs/x"
     # Of the origin's layers that cells were assigned to: the layer as it is now, the cells.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrel.functions.arrow import dense_tiles, of_rows
-from quadrel.functions.index import ranks_within
+from quadrel.functions.index import positions_by, ranks_within
 from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix, axis_names
 
 FUNCTIONS = "sum prod mean var std min max median first last argmin argmax len count_nonzero any all sumofsquares".split()
@@ -178,6 +178,27 @@ def aggregate_attributes(matrix: AnnotatedMatrix, group_by: str, how: dict[str,
     return cols.groupBy("grp").agg(*aggs).drop("_n")
 
 
+def aggregated_matrix(matrix: AnnotatedMatrix, group_by: str, how: str = "mean", attributes: dict[str, str] | None = None, keep_constant: bool = False, layer: str = MAIN, select=None) -> AnnotatedMatrix:
+    """A matrix whose columns are the groups, ascending and without gaps, which can be saved.
+
+    Its layer holds ``how`` of every row and group (zeros are left out, as in any layer), rows
+    keep their attributes, columns have ``group_by``, the group's number of columns ``NCells``
+    and the ``attributes`` of ``aggregate_attributes``. ``select`` chooses the columns that
+    are grouped; columns of a null group are in none.
+    """
+    base = matrix if select is None else matrix.view(None, select)
+    grouped = aggregate_attributes(base, group_by, attributes, keep_constant).where("grp IS NOT NULL")
+    sizes = groups_of(base, group_by).groupBy("grp").agg(F.count("*").alias("NCells"))
+    cols = positions_by(grouped.drop(group_by).join(sizes, "grp"), "grp", name=COL).withColumnRenamed("grp", group_by)
+    values = aggregate(base, group_by, how, layer)
+    # What a pair without non-zero values has is 0 for all but "len", which has every pair.
+    if how == "len":
+        values = aggregate(base, group_by, how, layer, every=True)
+    link = cols.select(F.col(group_by).alias("grp"), COL)
+    entries = values.join(link, "grp").select(ROW, COL, F.col(how).cast("double").alias("value")).where("value <> 0")
+    return AnnotatedMatrix(base.rows, cols, {MAIN: entries}, base.n_rows, cols.count(), attrs=dict(base.attrs))
+
+
 REDUCERS = ("sum", "mean", "std", "var", "min", "max", "count_nonzero")
 
 

@@ -15,7 +15,7 @@ from quadrel.operators import aggregate as agg
 from quadrel.operators import cells, components, index_build, records, scan, sequences
 from quadrel.operators.validate import convention_counts, structure_counts
 from quadrel.plans import fixtures as fx
-from quadrel.sources import storage, text
+from quadrel.sources import bus_dataset, storage, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -745,6 +745,36 @@ def s01_connect_slice(spark, sf):
     return storage.connect(spark, path).sparse(slice(10, 100), slice(1, None, 2))
 
 
+@register("a01_stored_groups", f"""WITH {SM}, k AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS col_ix, count(*) AS n, round(avg(balance), 6) AS balance, arg_min(cell, col_ix) AS cell FROM sup WHERE balance > 0 GROUP BY cluster),
+v AS (SELECT row_ix, cluster, sum(value) AS total FROM sm JOIN sup USING (col_ix) WHERE balance > 0 GROUP BY ALL)
+SELECT p_partkey AS row_ix, k.col_ix, CAST(k.cluster AS BIGINT) AS ClusterID, n AS NCells, k.balance AS Balance, cell AS CellID, p_brand AS Brand, round(COALESCE(total, 0) / n, 6) AS value FROM part CROSS JOIN k LEFT JOIN v ON v.row_ix = p_partkey AND v.cluster = k.cluster""")
+def a01_stored_groups(spark, sf):
+    """Means of groups of chosen columns as a stored matrix, read back with all its zeros."""
+    path = stored(spark)
+    made = agg.aggregated_matrix(fx.trade(spark, sf), "ClusterID", "mean", {"Balance": "mean", "CellID": "first"}, select=F.col("Valid") == 1)
+    storage.save(made, path)
+    m = storage.connect(spark, path, full=True)
+    full = m.rows.select(ROW, "Brand").crossJoin(m.cols).join(m.layer(), [ROW, COL], "left")
+    return full.select(ROW, COL, "ClusterID", "NCells", F.round("Balance", 6).alias("Balance"), "CellID", "Brand", F.round(F.coalesce("value", F.lit(0.0)), 6).alias("value"))
+
+
+@register("k04_bus_save", f"""WITH {FIXED}, t AS (SELECT barcode, count(*) AS total FROM dedup WHERE valid GROUP BY 1),
+odd AS (SELECT barcode, count(*) AS n FROM dedup WHERE valid AND ec IN (SELECT ec FROM members WHERE fragment % 2 = 0) GROUP BY 1),
+facts AS (SELECT round(1 - (SELECT count(*) FROM dedup WHERE valid) / count(*), 6) AS share FROM dedup)
+SELECT row_number() OVER (ORDER BY barcode) - 1 AS col_ix, 's_' || array_to_string([substr('ACGT', CAST((barcode >> (2 * (7 - i))) & 3 AS INT) + 1, 1) FOR i IN range(8)], '') AS CellID, total AS TotalUMIs, COALESCE(n, 0) AS even,
+       share AS RedundantReadFraction, (SELECT count(*) FROM t) AS barcodes, (SELECT CAST(sum(total) AS BIGINT) FROM t) AS molecules, 'v3' AS Chemistry FROM t LEFT JOIN odd USING (barcode), facts WHERE total > 7""")
+def k04_bus_save(spark, sf):
+    """Records to a stored dataset of cells (here: of more than 7 molecules) with the table of all barcodes."""
+    path, deduplicated = stored(spark), records.deduplicate(corrected(spark, sf))
+    genes = fx.fragment_genes(spark).select(F.col("gene").cast("long").alias(ROW)).distinct().withColumn("Gene", F.concat(F.lit("g"), ROW))
+    layers = {"even": records.classes_with(fx.class_members(spark), fx.fragment_genes(spark).where("fragment % 2 = 0"))}
+    storage.save(bus_dataset.called_dataset(deduplicated, genes, fx.BARCODE_LENGTH, layers, "s", {"Chemistry": "v3"}, most=7), path)
+    m = storage.connect(spark, path, full=True)
+    barcodes = m.tables["barcodes"].agg(F.count("*").alias("barcodes"), F.sum("TotalUMIs").alias("molecules"))
+    facts = barcodes.withColumns({k: F.lit(m.attrs[k]) for k in ("RedundantReadFraction", "Chemistry")})
+    return m.cols.join(m.totals(1, "even").withColumnRenamed("total", "even"), COL).crossJoin(facts).withColumn("RedundantReadFraction", F.round("RedundantReadFraction", 6))
+
+
 STORED_PAIR = f"""WITH {LINES}, {SM}, c AS (SELECT s_suppkey, s_name, s_acctbal, row_number() OVER (ORDER BY s_suppkey % 2, s_suppkey) - 1 AS new_col FROM supplier),
 every AS (SELECT 'main' AS layer, row_ix, col_ix, value FROM sm UNION ALL SELECT 'lines', row_ix, col_ix, value FROM lines)
 """

@@ -172,7 +172,7 @@ def save(matrix: AnnotatedMatrix, path: str, changed: dict[str, str] | None = No
     same = lambda component, df: origin is not None and origin.parts.get(component) is df
     patched = lambda name, df: origin is not None and name in matrix.patches and matrix.patches[name][0] is df
     width = old["band"] if old else BAND
-    meta = {"version": version + 1, "spec": SPEC_VERSION, "band": width, "shape": list(matrix.shape), "attrs": matrix.attrs, "last_modified": now, "layers": {}, "row_graphs": {}, "col_graphs": {}}
+    meta = {"version": version + 1, "spec": SPEC_VERSION, "band": width, "shape": list(matrix.shape), "attrs": matrix.attrs, "last_modified": now, "layers": {}, "row_graphs": {}, "col_graphs": {}, "tables": {}}
     stamps = {}
     refuse_unsound([matrix.patches[n][1] if patched(n, e) else e for n, e in matrix.layers.items() if not same(f"layers/{n}", e)])
     for name, entries in matrix.layers.items():
@@ -195,7 +195,7 @@ def save(matrix: AnnotatedMatrix, path: str, changed: dict[str, str] | None = No
             meta[key] = {"schema": table.schema.jsonValue(), "parts": [new_part(f"{part}/{key}", fills={})]}
         known = old["modified"] if old and f"{key}/*" not in matrix.touched else {}
         stamps.update({f"{key}/{c}": now if f"{key}/{c}" in matrix.touched else known.get(f"{key}/{c}", now) for c in names})
-    for key in ("row_graphs", "col_graphs"):
+    for key in ("row_graphs", "col_graphs", "tables"):
         for name, edges in getattr(matrix, key).items():
             component = f"{key}/{name}"
             if same(component, edges):
@@ -272,7 +272,7 @@ def connect(spark: SparkSession, path: str, validate: bool = True, full: bool =
     bands = {n: read_banded(spark, path, n, e) for n, e in meta["layers"].items()}
     layers = {n: b.select(ROW, COL, "value") for n, b in bands.items()}
     tables = {key: read_attributes(spark, path, meta[key], ix) for key, ix in (("row_attrs", ROW), ("col_attrs", COL))}
-    graphs = {key: {n: read_graph(spark, path, p) for n, p in meta[key].items()} for key in ("row_graphs", "col_graphs")}
+    graphs = {key: {n: read_graph(spark, path, p) for n, p in meta[key].items()} for key in ("row_graphs", "col_graphs", "tables")}
     parts = {f"layers/{n}": e for n, e in layers.items()} | tables | {f"{key}/{n}": g for key, own in graphs.items() for n, g in own.items()}
     made = AnnotatedMatrix(tables["row_attrs"], tables["col_attrs"], layers, *meta["shape"], **graphs, attrs=meta["attrs"], origin=Origin(path, meta, parts, bands, meta["band"]))
     if validate or full:
@@ -471,7 +471,7 @@ def vacuum(spark: SparkSession, path: str, hours: float = 24.0) -> int:
     older than ``hours``, so that running writers and readers keep theirs. Gives their number."""
     meta = metadata(spark, path)
     fs, to_path = file_system(spark, path)
-    parts = [p for e in meta["layers"].values() for p in e["parts"]] + [p for k in ("row_attrs", "col_attrs") for p in meta[k]["parts"]] + [p for k in ("row_graphs", "col_graphs") for own in meta[k].values() for p in own]
+    parts = [p for e in meta["layers"].values() for p in e["parts"]] + [p for k in ("row_attrs", "col_attrs") for p in meta[k]["parts"]] + [p for k in ("row_graphs", "col_graphs", "tables") for own in meta[k].values() for p in own]
     used = {p["folder"] for p in parts if "folder" in p}
     tops = {f.partition("/")[0] for f in used}
     old = int((datetime.datetime.now(datetime.timezone.utc).timestamp() - hours * 3600) * 1000)

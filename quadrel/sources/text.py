@@ -6,34 +6,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.functions.index import checkpointed
+from quadrel.functions.index import starts_of
 from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line) of one text file; numbers ascend with the lines, but have gaps. Nothing
+    is read for them: they are a row's partition and its place there."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of one text file. Its rows keep their order by partition and place, so
-    the sizes of the partitions, one number each, give every line its number."""
-    lines = checkpointed(spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")))
-    part, local = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
-    total, offsets = 0, []
-    for p, n in sorted(tuple(r) for r in lines.groupBy(part.alias("p")).count().collect()):
-        offsets += [F.lit(p).cast("long"), F.lit(total).cast("long")]
-        total += n
-    start = F.create_map(*offsets)[part] if offsets else F.lit(0).cast("long")
-    return lines.select((start + local).alias("line_no"), "line")
+    """(line_no, line) of one text file, numbered from 0. Lines of a file of several splits are
+    counted once before (a number a split); a file of one split, as all compressed ones, has
+    its numbers without that."""
+    lines = ordered_lines(spark, path)
+    part, local = F.shiftright("line_no", 33), F.col("line_no").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    if lines.rdd.getNumPartitions() <= 1:
+        return lines
+    sizes = [tuple(r) for r in lines.groupBy(part.alias("p")).count().collect()]
+    return lines.select((starts_of(sizes, part) + local).alias("line_no"), "line")
 
 
 def unquoted(column):
     return F.regexp_replace(column, '^"(.*)"$', "$1")
 
 
-def parse_matrix_market(lines: DataFrame, transposed: bool = False, values: int = 1) -> DataFrame:
+def parse_matrix_market(lines: DataFrame, transposed: bool = False, values: int = 1, ordered: bool = False) -> DataFrame:
     """(row_ix, col_ix, value...) of coordinate lines; comments and the size line are skipped.
 
-    ``values`` > 1 reads several value columns (value, value2, ...) of one file.
+    ``values`` > 1 reads several value columns (value, value2, ...) of one file. Where the rows
+    stand in the order of the file (``ordered``), the size line is found in its first lines;
+    else all line numbers are read for it.
     """
     data = lines.where(~F.startswith("line", F.lit("%"))).where(F.trim("line") != "")
-    size = data.agg(F.min("line_no")).first()[0]
+    if ordered:
+        first = data.select("line_no").first()
+        size = first.line_no if first else None
+    else:
+        size = data.agg(F.min("line_no")).first()[0]
     cells = F.split(F.trim("line"), r"\s+")
     row, col = (1, 0) if transposed else (0, 1)
     names = ["value"] + [f"value{i}" for i in range(2, values + 1)]
@@ -55,9 +66,10 @@ def cell_ids(barcodes: DataFrame, sample_id: str) -> DataFrame:
     return barcodes.select(F.col("line_no").alias(COL), F.concat(F.lit(f"{sample_id}:"), F.trim("line")).alias("CellID"))
 
 
-def matrix_market(layers: dict[str, DataFrame], features: DataFrame, barcodes: DataFrame, sample_id: str, attrs: dict | None = None, transposed: bool = False) -> AnnotatedMatrix:
-    """From numbered lines. Without a main layer, it is the sum of the others."""
-    made = {k: parse_matrix_market(v, transposed) for k, v in layers.items()}
+def matrix_market(layers: dict[str, DataFrame], features: DataFrame, barcodes: DataFrame, sample_id: str, attrs: dict | None = None, transposed: bool = False, ordered: bool = False) -> AnnotatedMatrix:
+    """From numbered lines (the layers' in the order of their files, if ``ordered``). Without a
+    main layer, it is the sum of the others."""
+    made = {k: parse_matrix_market(v, transposed, ordered=ordered) for k, v in layers.items()}
     if MAIN not in made:
         made[MAIN] = sum_layers(list(made.values()))
     return AnnotatedMatrix.create(made, parse_features(features), cell_ids(barcodes, sample_id), attrs)
@@ -73,17 +85,30 @@ def sum_layers(layers: list[DataFrame]) -> DataFrame:
 
 def cellranger(spark: SparkSession, folder: str, sample_id: str, genome: str | None = None, selected: list[str] | None = None, attrs: dict | None = None) -> AnnotatedMatrix:
     """A cellranger output folder: version 3 (filtered_feature_bc_matrix, compressed), or
-    version 2 with ``genome``. ``selected`` keeps the given CellIDs. Projections and clusters
-    are joined by ``with_projection`` and ``with_clusters``."""
+    version 2 with ``genome``. ``selected`` keeps the given CellIDs. X and Y of its projection
+    and ClusterID of its graph clusters are column attributes where the analysis is there."""
     if genome is None:
         base, ending, genes = f"{folder}/outs/filtered_feature_bc_matrix", ".gz", "features.tsv"
     else:
         base, ending, genes = f"{folder}/outs/filtered_gene_bc_matrices/{genome}", "", "genes.tsv"
     read = lambda name: numbered_lines(spark, f"{base}/{name}{ending}")
-    made = matrix_market({MAIN: read("matrix.mtx")}, read(genes), read("barcodes.tsv"), sample_id, {**({"Genome": genome} if genome else {}), **(attrs or {})})
+    entries = ordered_lines(spark, f"{base}/matrix.mtx{ending}")
+    made = matrix_market({MAIN: entries}, read(genes), read("barcodes.tsv"), sample_id, {**({"Genome": genome} if genome else {}), **(attrs or {})}, ordered=True)
+    # Where the analysis writes its tables.
+    for name, add in (("tsne/2_components/projection.csv", with_projection), ("clustering/graphclust/clusters.csv", with_clusters)):
+        path = f"{folder}/outs/analysis/{name}"
+        if file_exists(spark, path):
+            made = add(made, spark.read.csv(path, header=True), sample_id)
     return made if selected is None else made.view(None, F.col("CellID").isin(selected))
 
 
+def file_exists(spark: SparkSession, path: str) -> bool:
+    from quadrel.sources.storage import file_system
+
+    fs, to_path = file_system(spark, path)
+    return fs.exists(to_path(path))
+
+
 def with_projection(matrix: AnnotatedMatrix, table: DataFrame, sample_id: str) -> AnnotatedMatrix:
     """Add X and Y from (barcode, x, y)."""
     points = table.select(F.concat(F.lit(f"{sample_id}:"), table.columns[0]).alias("CellID"), F.col(table.columns[1]).cast("double").alias("X"), F.col(table.columns[2]).cast("double").alias("Y"))
@@ -171,18 +196,23 @@ def align_layers(layers: dict[str, tuple[DataFrame, DataFrame]], barcodes: DataF
     return AnnotatedMatrix.create(made, rows, cols, attrs)
 
 
-def starsolo(spark: SparkSession, folder: str, sample_id: str, cell_filter: str = "star", main: str | list[str] = "velosum", extra: list[str] | None = None, expected_cells: int = 5000, attrs: dict | None = None) -> AnnotatedMatrix:
+def starsolo(spark: SparkSession, folder: str, sample_id: str, cell_filter: str = "star", main: str | list[str] = "velosum", extra: list[str] | None = None, expected_cells: int = 5000, attrs: dict | None = None, samples: str | None = None, gtf: str | None = None) -> AnnotatedMatrix:
     """A STARsolo folder with Velocyto (spliced, unspliced, ambiguous in one file) and, as
     ``extra``, Gene or GeneFull. ``cell_filter``: "star" (its filtered barcodes), "none" (all),
-    "emptydrops" (called here on the sum of layers) or "combine" (both sets)."""
+    "emptydrops" (called here on the sum of layers) or "combine" (both sets). The sample's
+    row of a table ``samples`` gives globals, ``gtf`` the genes' places and kinds."""
     read = lambda path: numbered_lines(spark, f"{folder}/{path}")
-    raw = parse_matrix_market(read("Velocyto/raw/matrix.mtx"), values=3)
+    entries = lambda path, **more: parse_matrix_market(ordered_lines(spark, f"{folder}/{path}"), ordered=True, **more)
+    raw = entries("Velocyto/raw/matrix.mtx", values=3)
     own = read("Velocyto/raw/barcodes.tsv").select(F.col("line_no").alias(COL), F.trim("line").alias("barcode"))
     parts = {n: (raw.select(ROW, COL, F.col(v).alias("value")).where("value <> 0"), own) for n, v in (("spliced", "value"), ("unspliced", "value2"), ("ambiguous", "value3"))}
     for name in extra or []:
         codes = read(f"{name}/raw/barcodes.tsv").select(F.col("line_no").alias(COL), F.trim("line").alias("barcode"))
-        parts[name] = (parse_matrix_market(read(f"{name}/raw/matrix.mtx")), codes)
+        parts[name] = (entries(f"{name}/raw/matrix.mtx"), codes)
     rows = parse_features(read("Velocyto/raw/features.tsv"))
+    if gtf is not None:
+        rows = rows_from_gtf(spark, gtf, rows, "Accession")
+    attrs = {**(read_sample_metadata(spark, samples, sample_id) if samples else {}), **(attrs or {})}
     main = ["spliced", "unspliced", "ambiguous"] if main == "velosum" else main
     chosen = None
     if cell_filter in ("star", "combine"):
@@ -229,6 +259,11 @@ def annotate_rows(features: DataFrame, lookup: DataFrame, key: str) -> DataFrame
     return joined.select(*features.columns, *[F.coalesce(f"_{c}", v).alias(c) for c, v in new.items() if c not in features.columns])
 
 
+def rows_from_gtf(spark: SparkSession, path: str, features: DataFrame, key: str = "Accession") -> DataFrame:
+    """Features (row_ix, key, ...) with the genes' places and kinds of an annotation file."""
+    return annotate_rows(features, gene_lookup(parse_gtf(ordered_lines(spark, path))), key)
+
+
 def transcript_genes(lines: DataFrame) -> DataFrame:
     """(Transcript, Accession, Gene) of a GTF's transcript lines."""
     return parse_gtf(lines, "transcript").select("Transcript", "Accession", "Gene")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix
-from quadrel.sources import bus, storage, text
+from quadrel.sources import bus, bus_dataset, storage, text
 from quadrel.streaming.append import append_stream
 
 
@@ -45,6 +45,10 @@ def test_cellranger(spark, tmp_path):
     m = text.cellranger(spark, str(tmp_path), "s")
     assert m.shape == (3, 4) and cells(m) == cells(text.cellranger(spark, str(tmp_path), "s", genome="hg"))
     assert text.cellranger(spark, str(tmp_path), "s", genome="hg").attrs == {"Genome": "hg"}
+    write(tmp_path / "outs/analysis/tsne/2_components/projection.csv", "Barcode,TSNE-1,TSNE-2\nAAAC,0.5,-1\n")
+    write(tmp_path / "outs/analysis/clustering/graphclust/clusters.csv", "Barcode,Cluster\nAAAC,1\nAACC,2\n")
+    analysed = {r.CellID: (r.X, r.Y, r.ClusterID) for r in text.cellranger(spark, str(tmp_path), "s").cols.collect()}
+    assert analysed == {"s:AAAC": (0.5, -1.0, 0), "s:AAAG": (None, None, None), "s:AAAT": (None, None, None), "s:AACC": (None, None, 1)}
     few = text.cellranger(spark, str(tmp_path), "s", selected=["s:AACC"])
     assert few.shape == (3, 1) and cells(few) == [(1, 0, 7), (2, 0, 2)]
     m = text.with_projection(m, spark.createDataFrame([("AAAG", "1.5", "2")], "b string, x string, y string"), "s")
@@ -77,6 +81,10 @@ def test_starsolo(spark, tmp_path):
     every = text.starsolo(spark, str(tmp_path), "s", cell_filter="none", main="spliced")
     assert every.shape == (3, 4) and cells(every) == [(0, 0, 5), (1, 3, 7)] and "spliced" not in every.layers
     assert text.starsolo(spark, str(tmp_path), "s", cell_filter="emptydrops").n_cols == 0
+    samples = write(tmp_path / "samples.tsv", "name\tage\ns\t9\n")
+    gtf = write(tmp_path / "g.gtf", 'chr7\tx\tgene\t10\t20\t.\t+\t.\tgene_id "ENS2"; gene_name "B"; gene_biotype "rna";\n')
+    full = text.starsolo(spark, str(tmp_path), "s", samples=samples, gtf=gtf, attrs={"Title": "t"})
+    assert full.attrs == {"name": "s", "age": "9", "Title": "t"} and [(r.Accession, r.Gene, r.Chromosome, r.Start) for r in full.rows.orderBy(ROW).collect()] == [("ENS1", "A", "Un", 0), ("ENS2", "B", "chr7", 10), ("ENS3", "ENS3", "Un", 0)]
     with pytest.raises(ValueError, match="filter"):
         text.starsolo(spark, str(tmp_path), "s", cell_filter="what")
 
@@ -111,6 +119,53 @@ def test_bus_file(spark, tmp_path):
     assert sorted(tuple(r) for r in classes.collect()) == [(0, 0), (1, 0), (1, 2)]
 
 
+def test_bus_folder_to_dataset(spark, tmp_path):
+    code = {b: i for i, b in enumerate("ACGT")}
+    bits = lambda b: sum(code[c] * 4 ** (len(b) - 1 - i) for i, c in enumerate(b))
+    # Two listed barcodes; one read has a letter wrong, one no neighbour, one class two genes, one a fragment without a gene.
+    reads = [("AAAA", u, 0) for u in range(6)] + [("AAAA", 0, 0), ("AAAC", 9, 1), ("CCCC", 1, 1), ("CCCC", 2, 3), ("GGTT", 1, 0), ("CCCC", 3, 2), ("CCCC", 4, 4)]
+    data = struct.pack("<4sIIII", b"BUS\0", 1, 4, 3, 0) + b"".join(struct.pack("<QQiIIi", bits(b), u, e, 1, 0, 0) for b, u, e in reads)
+    folder, index = tmp_path / "out", tmp_path / "ix"
+    write(folder / "matrix.ec", "0\t0\n1\t1\n2\t0,2\n3\t2\n4\t3\n")
+    (folder / "output.bus").write_bytes(data)
+    write(folder / "transcripts.txt", "f0\nf1\nf2\nlost\n")
+    write(folder / "run_info.json", '{"n_processed": 13, "call": "x"}')
+    write(index / "manifest.json", '{"species": "Mus", "gene_metadata_file": "g.tab", "gene_metadata_key": "Acc", "fragments_to_genes_file": "f2g.txt", "layers": {"even": "even.txt"}}')
+    write(index / "g.tab", "Acc\tGene\nE0\tA\nE1\tB\n")
+    write(index / "f2g.txt", "f0\tE0\nf1\tE0\nf2\tE1\n")
+    write(index / "even.txt", "f0\nf2\n")
+    write(index / "10xv2_whitelist.txt", "AAAA\nCCCC\n")
+    samples = write(tmp_path / "s.tsv", "name\tchemistry\ttargetnumcells\tage\nme\tv2\tmany\t7\n")
+    m = bus_dataset.from_bus(spark, str(folder), str(index), samples, "me", str(tmp_path / "ds"), sims=10, most=2)
+    assert [(r.CellID, r.TotalUMIs) for r in m.cols.collect()] == [("me_AAAA", 7)] and [r.Gene for r in m.rows.orderBy(ROW).collect()] == ["A", "B"]
+    assert cells(m) == [(0, 0, 7)] and cells(m, "even") == [(0, 0, 6)]
+    barcodes = sorted((r.barcode, r.TotalUMIs, r.AmbientPValue, r.Valid) for r in m.tables["barcodes"].collect())
+    assert barcodes == [(bits("AAAA"), 7, 1.0, 1), (bits("CCCC"), 2, 1.0, 0)]
+    assert m.attrs["RedundantReadFraction"] == pytest.approx(1 - 9 / 13) == m.attrs["Saturation"]
+    assert {k: m.attrs[k] for k in ("SampleID", "age", "Species", "NumReadsProcessed", "KallistoCommand")} == {"SampleID": "me", "age": "7", "Species": "Mus", "NumReadsProcessed": 13, "KallistoCommand": "x"}
+    before = files(tmp_path)
+    storage.append(spark, str(tmp_path / "ds"), replace(m, origin=None, cols=m.cols))  # tables stay
+    again = storage.connect(spark, str(tmp_path / "ds"))
+    assert again.n_cols == 2 and again.tables["barcodes"].count() == 2 and before.items() < files(tmp_path).items()
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    path = write(tmp_path / "m.mtx", "%%MatrixMarket\n%\n9 4 4000\n" + "".join(f"{i % 9 + 1} {i % 4 + 1} {i}\n" for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = text.numbered_lines(spark, path)
+        assert lines.rdd.getNumPartitions() > 5
+        got = {r.line_no: r.line for r in lines.collect()}
+        assert got == dict(enumerate(open(path).read().splitlines()))
+        entries = text.parse_matrix_market(text.ordered_lines(spark, path), ordered=True)
+        assert sorted((r[ROW], r[COL], r["value"]) for r in entries.collect()) == sorted((i % 9, i % 4, float(i)) for i in range(4000))
+        assert "ExistingRDD" not in plan(entries)  # the file itself is read, not a copy
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def sample(spark, cols=5, start=0):
     entries = [(i, j, float(i + j + start)) for i in range(3) for j in range(cols) if (i + j) % 2]
     return AnnotatedMatrix.create(spark.createDataFrame(entries, "row_ix long, col_ix long, value double"), spark.createDataFrame([(i, f"g{i}&amp;é") for i in range(3)], "row_ix long, Gene string"), spark.createDataFrame([(j, start + j) for j in range(cols)], "col_ix long, Cell int"), {"Title": "t"})
