@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +31,8 @@ sup AS (SELECT s_suppkey AS col_ix, s_name AS cell, s_nationkey AS cluster, n_na
 LINES = "lines AS (SELECT l_partkey AS row_ix, l_suppkey AS col_ix, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)"
 GRAPH = "g AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, y.l_quantity AS w FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = 1 AND y.l_linenumber = 2)"
 RB = """
-rec AS (SELECT l_partkey * 1000000 + l_suppkey AS rec_ix, l_orderkey % 65536 AS barcode, l_linenumber AS umi, l_suppkey % 50 AS ec FROM lineitem),
-members AS (SELECT range AS ec, unnest(CASE WHEN range % 7 = 0 THEN [range, range + 1] ELSE [range] END) AS fragment FROM range(50)),
+rec AS (SELECT l_partkey * 1000000 + l_suppkey AS rec_ix, l_orderkey % 65536 AS barcode, l_linenumber AS umi, l_suppkey AS ec FROM lineitem),
+members AS (SELECT s_suppkey AS ec, unnest(CASE WHEN s_suppkey % 7 = 0 THEN [s_suppkey, s_suppkey + 1] ELSE [s_suppkey] END) AS fragment FROM supplier),
 genes AS (SELECT ec, CASE WHEN count(DISTINCT fragment // 5) = 1 THEN min(fragment // 5) ELSE -1 END AS gene FROM members GROUP BY ec),
 listed AS (SELECT DISTINCT o_orderkey % 65536 AS barcode FROM orders WHERE o_orderkey % 3 = 0)
 """
@@ -55,6 +57,16 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def register_both(name: str, sql: str):
+    """Under its name and, as it was first called, with _all."""
+
+    def keep(fn):
+        register(f"{name}_all", sql)(fn)
+        return register(name, sql)(fn)
+
+    return keep
+
+
 # --- selection --------------------------------------------------------------------------
 
 
@@ -144,7 +156,7 @@ def a02(spark, sf):
     return out.withColumn("var", F.round("var", 4)).withColumn("std", F.round("std", 4))
 
 
-DENSE_GROUPS = f"""WITH {SM}, cells AS (SELECT p_partkey AS row_ix, sup.col_ix, cluster AS grp, row_number() OVER (PARTITION BY p_partkey, cluster ORDER BY sup.col_ix) - 1 AS pos FROM part, sup WHERE p_partkey < 150),
+DENSE_GROUPS = f"""WITH {SM}, cells AS (SELECT p_partkey AS row_ix, sup.col_ix, cluster AS grp, row_number() OVER (PARTITION BY p_partkey, cluster ORDER BY sup.col_ix) - 1 AS pos FROM part, sup),
 full_ AS (SELECT row_ix, grp, pos, COALESCE(value, 0) AS value FROM cells LEFT JOIN sm USING (row_ix, col_ix))
 """
 
@@ -155,13 +167,12 @@ full_ AS (SELECT row_ix, grp, pos, COALESCE(value, 0) AS value FROM cells LEFT J
     arg_min(pos, (value, pos)) AS argmin, arg_min(pos, (-value, pos)) AS argmax FROM full_ GROUP BY ALL HAVING max(value) > 0""",
 )
 def a02_positions(spark, sf):
-    m = fx.trade(spark, sf)
-    return agg.aggregate(m.view(slice(0, 150), None), "ClusterID", ["median", "first", "last", "argmin", "argmax"])
+    return agg.aggregate(fx.trade(spark, sf), "ClusterID", ["median", "first", "last", "argmin", "argmax"])
 
 
 @register("a02_aggregate_custom", DENSE_GROUPS + "SELECT row_ix, CAST(grp AS BIGINT) AS grp, max(value) - min(value) AS value FROM full_ GROUP BY ALL HAVING max(value) > 0")
 def a02_custom(spark, sf):
-    return agg.aggregate_custom(fx.trade(spark, sf).view(slice(0, 150), None), "ClusterID", lambda v: v.max() - v.min())
+    return agg.aggregate_custom(fx.trade(spark, sf), "ClusterID", lambda v: v.max() - v.min())
 
 
 # The same over every part and group, pairs of zeros alone included.
@@ -431,36 +442,20 @@ def x04(spark, sf):
 # --- records ----------------------------------------------------------------------------
 
 
-@register("b01_twobit_to_dna", "SELECT o_orderkey, array_to_string([substr('ACGT', CAST((o_orderkey >> (2 * (7 - i))) & 3 AS INT) + 1, 1) FOR i IN range(8)], '') AS dna FROM orders WHERE o_orderkey < 65536")
-def b01(spark, sf):
-    return fx.table(spark, sf, "orders").where("o_orderkey < 65536").select("o_orderkey", dna.twobit_to_dna(F.col("o_orderkey"), 8).alias("dna"))
-
-
-@register("b02_dna_to_twobit", "SELECT o_orderkey, o_orderkey AS code FROM orders WHERE o_orderkey < 65536")
-def b02(spark, sf):
-    return b01(spark, sf).select("o_orderkey", dna.dna_to_twobit(F.col("dna")).alias("code"))
-
-
-@register("b03_neighbours", """SELECT o_orderkey, ((o_orderkey & ~(3 << (2 * (3 - p)))) | (x << (2 * (3 - p)))) AS near FROM orders, (SELECT range AS p FROM range(4)), (SELECT range AS x FROM range(4))
-WHERE o_orderkey < 256 AND ((o_orderkey >> (2 * (3 - p))) & 3) <> x""")
-def b03(spark, sf):
-    return fx.table(spark, sf, "orders").where("o_orderkey < 256").select("o_orderkey", F.explode(dna.twobit_neighbours(F.col("o_orderkey"), 4)).alias("near"))
-
-
 # Over every order: 16 letters hold all keys below 4^16.
 
 
-@register("b01_twobit_to_dna_all", "SELECT o_orderkey, array_to_string([substr('ACGT', CAST((o_orderkey >> (2 * (15 - i))) & 3 AS INT) + 1, 1) FOR i IN range(16)], '') AS dna FROM orders")
+@register_both("b01_twobit_to_dna", "SELECT o_orderkey, array_to_string([substr('ACGT', CAST((o_orderkey >> (2 * (15 - i))) & 3 AS INT) + 1, 1) FOR i IN range(16)], '') AS dna FROM orders")
 def b01_all(spark, sf):
     return fx.table(spark, sf, "orders").select("o_orderkey", dna.twobit_to_dna(F.col("o_orderkey"), 16).alias("dna"))
 
 
-@register("b02_dna_to_twobit_all", "SELECT o_orderkey, o_orderkey AS code FROM orders")
+@register_both("b02_dna_to_twobit", "SELECT o_orderkey, o_orderkey AS code FROM orders")
 def b02_all(spark, sf):
     return b01_all(spark, sf).select("o_orderkey", dna.dna_to_twobit(F.col("dna")).alias("code"))
 
 
-@register("b03_neighbours_all", """SELECT o_orderkey, o_orderkey + (x - ((o_orderkey >> (2 * p)) & 3)) * (CAST(1 AS BIGINT) << (2 * p)) AS near FROM orders, (SELECT range AS p FROM range(16)), (SELECT range AS x FROM range(4))
+@register_both("b03_neighbours", """SELECT o_orderkey, o_orderkey + (x - ((o_orderkey >> (2 * p)) & 3)) * (CAST(1 AS BIGINT) << (2 * p)) AS near FROM orders, (SELECT range AS p FROM range(16)), (SELECT range AS x FROM range(4))
 WHERE ((o_orderkey >> (2 * p)) & 3) <> x""")
 def b03_all(spark, sf):
     return fx.table(spark, sf, "orders").select("o_orderkey", F.explode(dna.twobit_neighbours(F.col("o_orderkey"), 16)).alias("near"))
@@ -468,7 +463,7 @@ def b03_all(spark, sf):
 
 @register("b04_class_genes", f"WITH {RB} SELECT ec, gene FROM genes")
 def b04(spark, sf):
-    return records.gene_of_class(fx.class_members(spark), fx.fragment_genes(spark))
+    return records.gene_of_class(fx.class_members(spark, sf), fx.fragment_genes(spark, sf))
 
 
 def corrected(spark, sf) -> DataFrame:
@@ -495,7 +490,7 @@ def b07(spark, sf):
 SELECT gene AS row_ix, col_ix, count(*) AS value FROM dedup JOIN k USING (barcode) WHERE valid AND ec IN (SELECT ec FROM members WHERE fragment % 2 = 0) GROUP BY ALL""")
 def b08(spark, sf):
     valid = records.valid_records(records.deduplicate(corrected(spark, sf)))
-    classes = records.classes_with(fx.class_members(spark), fx.fragment_genes(spark).where("fragment % 2 = 0"))
+    classes = records.classes_with(fx.class_members(spark, sf), fx.fragment_genes(spark, sf).where("fragment % 2 = 0"))
     return records.count_molecules(valid, records.cell_index(valid), classes)
 
 
@@ -560,20 +555,7 @@ def i03(spark, sf):
     return sequences.find_runs(seq, "A", 6)
 
 
-@register("w07_merge_intervals", """WITH e AS (SELECT l_suppkey AS id, l_orderkey AS start, l_orderkey + l_linenumber * 3 AS "end" FROM lineitem WHERE l_orderkey < 3000),
-m AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM e),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT id, min(start) AS start, max("end") AS "end" FROM r GROUP BY id, run""")
-def w07(spark, sf):
-    line = fx.table(spark, sf, "lineitem").where("l_orderkey < 3000")
-    return sequences.merge_intervals(line.select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber") * 3).alias("end")))
-
-
-@register("i05_reverse_complement", "SELECT o_orderkey, reverse(translate(array_to_string([substr('ACGT', CAST((o_orderkey >> (2 * (7 - i))) & 3 AS INT) + 1, 1) FOR i IN range(8)], ''), 'ACGT', 'TGCA')) AS rc FROM orders WHERE o_orderkey < 65536")
-def i05(spark, sf):
-    return b01(spark, sf).select("o_orderkey", dna.reverse_complement(F.col("dna")).alias("rc"))
-
-
-@register("w07_merge_intervals_all", """WITH e AS (SELECT l_suppkey AS id, l_orderkey AS start, l_orderkey + l_linenumber * 3 AS "end" FROM lineitem),
+@register_both("w07_merge_intervals", """WITH e AS (SELECT l_suppkey AS id, l_orderkey AS start, l_orderkey + l_linenumber * 3 AS "end" FROM lineitem),
 m AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM e),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT id, min(start) AS start, max("end") AS "end" FROM r GROUP BY id, run""")
 def w07_all(spark, sf):
@@ -581,7 +563,7 @@ def w07_all(spark, sf):
     return sequences.merge_intervals(line.select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber") * 3).alias("end")))
 
 
-@register("i05_reverse_complement_all", "SELECT o_orderkey, reverse(translate(array_to_string([substr('ACGT', CAST((o_orderkey >> (2 * (15 - i))) & 3 AS INT) + 1, 1) FOR i IN range(16)], ''), 'ACGT', 'TGCA')) AS rc FROM orders")
+@register_both("i05_reverse_complement", "SELECT o_orderkey, reverse(translate(array_to_string([substr('ACGT', CAST((o_orderkey >> (2 * (15 - i))) & 3 AS INT) + 1, 1) FOR i IN range(16)], ''), 'ACGT', 'TGCA')) AS rc FROM orders")
 def i05_all(spark, sf):
     return b01_all(spark, sf).select("o_orderkey", dna.reverse_complement(F.col("dna")).alias("rc"))
 
@@ -628,6 +610,33 @@ def v03(spark, sf):
     return convention_counts(fx.trade(spark, sf))
 
 
+@register("v02_planted_faults", f"""WITH {SM}, k AS (SELECT count(*) FILTER (col_ix % 10 = 0) AS twice, count(*) FILTER (col_ix % 10 = 1) AS moved, count(*) FILTER (col_ix % 10 = 2) AS broken FROM sm)
+SELECT 'layer ' || chr(39) || chr(39) AS part, problem, n FROM (SELECT 'outside the shape' AS problem, moved AS n FROM k UNION ALL SELECT 'not finite', broken FROM k UNION ALL SELECT 'repeated coordinates', twice FROM k)
+UNION ALL SELECT 'rows', 'positions not 0..n-1 once', 2 UNION ALL SELECT 'columns', 'positions not 0..n-1 once', 2 * count(*) FROM supplier WHERE s_suppkey % 10 = 3
+UNION ALL SELECT 'graph ' || chr(39) || 'next' || chr(39), 'ends outside the axis', (SELECT count(*) FROM ({GRAPH.partition(" AS ")[2]}) WHERE a % 10 = 4)""")
+def v02_faults(spark, sf):
+    """Faults planted by column number: repeated, moved outside, not finite; positions that are missing or repeat; edges that end nowhere."""
+    m = fx.trade(spark, sf)
+    kind, e = F.col(COL) % 10, m.layer()
+    broken = e.withColumn("value", F.when(kind == 2, F.lit(float("nan"))).otherwise(F.col("value")))
+    moved = e.where(kind == 1).withColumn(ROW, F.col(ROW) + m.n_rows)
+    g = fx.trade_graph(spark, sf)
+    edges = g.withColumn("a", F.when(F.col("a") % 10 == 4, F.col("a") + m.n_cols).otherwise(F.col("a")))
+    cols = m.cols.withColumn(COL, F.when(kind == 3, F.lit(-1)).otherwise(F.col(COL))).withColumn(COL, F.when(F.col(COL) < 0, F.lit(None)).otherwise(F.col(COL)))
+    return structure_counts(replace(m, layers={MAIN: broken.unionByName(moved).unionByName(e.where(kind == 0))}, rows=m.rows.where(f"{ROW} > 0"), cols=cols.where(F.col(COL).isNotNull()), col_graphs={"next": edges}))
+
+
+@register("v03_planted_faults", """WITH c AS (SELECT s_suppkey, s_nationkey * 2 AS id, n_name, r_name, r_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT 'ClusterID' AS attribute, 'not 0, 1, 2, ... without gaps' AS problem, CAST(abs(count(DISTINCT id) - max(id) - 1) + abs(min(id)) AS BIGINT) AS n FROM c
+UNION ALL SELECT 'ClusterName', 'not one to one with ClusterID', 2 * count(DISTINCT (id, r_name)) - count(DISTINCT id) - count(DISTINCT r_name) FROM c
+UNION ALL SELECT 'CellID', 'repeated values', count(*) - count(DISTINCT n_name) FROM c UNION ALL SELECT 'Accession', 'repeated values', count(*) - count(DISTINCT p_brand) FROM part
+UNION ALL SELECT 'Valid', 'values other than 0 and 1', count(*) FILTER (r_regionkey > 1) FROM c""")
+def v03_faults(spark, sf):
+    m = fx.trade(spark, sf)
+    cols = m.cols.select(COL, (F.col("ClusterID") * 2).alias("ClusterID"), F.col("Region").alias("ClusterName"), F.col("ClusterName").alias("CellID"), F.col("RegionID").alias("Valid"))
+    return convention_counts(replace(m, cols=cols, rows=m.rows.withColumn("Accession", F.col("Brand"))))
+
+
 # --- more sources, sinks and statistics -----------------------------------------------------
 
 
@@ -710,10 +719,11 @@ def i05_fragments(spark, sf):
     return sequences.fragments_at_runs(seq, 6, 8, 4).select("id", "kind", "fragment")
 
 
-@register("x03_delete_layer", "SELECT '' AS layer UNION ALL SELECT 'discounted'")
+@register("x03_delete_layer", f"WITH {SM} SELECT '' AS layer, count(*) AS n, sum(value) AS total FROM sm UNION ALL SELECT 'discounted', count(*), sum(value) FROM (SELECT sum(CASE WHEN l_discount > 0 THEN l_quantity ELSE 0 END) AS value FROM lineitem GROUP BY l_partkey, l_suppkey)")
 def x03(spark, sf):
     m = fx.trade(spark, sf, (MAIN, "lines", "discounted")).delete_layer("lines")
-    return spark.createDataFrame([(k,) for k in m.layers], "layer string")
+    facts = [e.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.lit(k).alias("layer"), "n", "total") for k, e in m.layers.items()]
+    return reduce(DataFrame.unionByName, facts)
 
 
 @register("x06_graph_degree", f"WITH {GRAPH} SELECT a, count(*) AS n, sum(w) AS w FROM g GROUP BY a")
@@ -766,8 +776,8 @@ SELECT row_number() OVER (ORDER BY barcode) - 1 AS col_ix, 's_' || array_to_stri
 def k04_bus_save(spark, sf):
     """Records to a stored dataset of cells (here: of more than 7 molecules) with the table of all barcodes."""
     path, deduplicated = stored(spark), records.deduplicate(corrected(spark, sf))
-    genes = fx.fragment_genes(spark).select(F.col("gene").cast("long").alias(ROW)).distinct().withColumn("Gene", F.concat(F.lit("g"), ROW))
-    layers = {"even": records.classes_with(fx.class_members(spark), fx.fragment_genes(spark).where("fragment % 2 = 0"))}
+    genes = fx.fragment_genes(spark, sf).select(F.col("gene").cast("long").alias(ROW)).distinct().withColumn("Gene", F.concat(F.lit("g"), ROW))
+    layers = {"even": records.classes_with(fx.class_members(spark, sf), fx.fragment_genes(spark, sf).where("fragment % 2 = 0"))}
     storage.save(bus_dataset.called_dataset(deduplicated, genes, fx.BARCODE_LENGTH, layers, "s", {"Chemistry": "v3"}, most=7), path)
     m = storage.connect(spark, path, full=True)
     barcodes = m.tables["barcodes"].agg(F.count("*").alias("barcodes"), F.sum("TotalUMIs").alias("molecules"))

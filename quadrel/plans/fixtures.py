@@ -66,17 +66,19 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.col("l_orderkey") % (4**BARCODE_LENGTH)
     rec = F.col("l_partkey") * 1000000 + F.col("l_suppkey")
     return line.select(
-        rec.alias("rec_ix"), code.alias("barcode"), F.col("l_linenumber").cast("long").alias("umi"), (F.col("l_suppkey") % 50).alias("ec"), F.lit(1).cast("long").alias("count"), F.lit(0).cast("long").alias("flags")
+        rec.alias("rec_ix"), code.alias("barcode"), F.col("l_linenumber").cast("long").alias("umi"), F.col("l_suppkey").alias("ec"), F.lit(1).cast("long").alias("count"), F.lit(0).cast("long").alias("flags")
     )
 
 
-def class_members(spark: SparkSession) -> DataFrame:
-    """(ec, fragment): class e has fragment e, and every seventh class the next one too."""
-    return spark.sql("SELECT id AS ec, explode(CASE WHEN id % 7 = 0 THEN array(id, id + 1) ELSE array(id) END) AS fragment FROM range(50)")
+def class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ec, fragment): a supplier's class has its fragment, and every seventh the next one too."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(key.alias("ec"), F.explode(F.when(key % 7 == 0, F.array(key, key + 1)).otherwise(F.array(key))).alias("fragment"))
 
 
-def fragment_genes(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT id AS fragment, id div 5 AS gene FROM range(51)")
+def fragment_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fragment, gene): five fragments a gene."""
+    return class_members(spark, sf_dir).select("fragment").distinct().select("fragment", F.expr("fragment div 5").alias("gene"))
 
 
 def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
