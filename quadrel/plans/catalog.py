@@ -14,10 +14,10 @@ from quadrel.functions import dna, stats
 from quadrel.functions.index import positions_by, renumber, shared_folder
 from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix, combine, combine_selected
 from quadrel.operators import aggregate as agg
-from quadrel.operators import cells, components, index_build, records, scan, sequences
+from quadrel.operators import cells, components, index_build, intervals, records, scan, sequences
 from quadrel.operators.validate import convention_counts, structure_counts
 from quadrel.plans import fixtures as fx
-from quadrel.sources import bus_dataset, storage, text
+from quadrel.sources import bus_dataset, fasta, storage, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -568,6 +568,32 @@ def i05_all(spark, sf):
     return b01_all(spark, sf).select("o_orderkey", dna.reverse_complement(F.col("dna")).alias("rc"))
 
 
+@register("i06_merge_stranded", """WITH e AS (SELECT l_suppkey % 5 AS chrom, l_returnflag AS strand, l_partkey * 1000 + l_orderkey AS start, l_partkey * 1000 + l_orderkey + l_linenumber * 60 AS "end", CAST(l_orderkey AS VARCHAR) AS name FROM lineitem),
+m AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY chrom, strand ORDER BY start, "end", name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM e),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom, strand ORDER BY start, "end", name ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT chrom, strand, min(start) AS start, max("end") AS "end", string_agg(name, ',' ORDER BY start, "end", name) AS names FROM r GROUP BY chrom, strand, run""")
+def i06_merge(spark, sf):
+    line = fx.table(spark, sf, "lineitem")
+    start = F.col("l_partkey") * 1000 + F.col("l_orderkey")
+    found = line.select((F.col("l_suppkey") % 5).alias("chrom"), F.col("l_returnflag").alias("strand"), start.alias("start"), (start + F.col("l_linenumber") * 60).alias("end"), F.col("l_orderkey").alias("name"))
+    return intervals.merge_stranded(found)
+
+
+@register("i06_sequences", """WITH k AS (SELECT o_orderkey, o_orderkey % 3 AS chrom, array_to_string([substr('ACGT', CAST((o_orderkey >> (2 * (7 - i))) & 3 AS INT) + 1, 1) FOR i IN range(8)], '') AS letters, o_custkey FROM orders),
+c AS (SELECT chrom, string_agg(letters, '' ORDER BY o_orderkey) AS whole FROM k GROUP BY chrom),
+v AS (SELECT o_orderkey, o_custkey % 3 AS chrom, o_orderkey * 4 AS start, o_orderkey * 4 + 5 + o_custkey % 40 AS "end", o_custkey % 2 = 0 AS minus FROM orders)
+SELECT o_orderkey, v.chrom, start, "end", CASE WHEN minus THEN reverse(translate(part, 'ACGT', 'TGCA')) ELSE part END AS sequence
+FROM (SELECT v.*, substr(whole, start + 1, "end" - start) AS part FROM v JOIN c USING (chrom)) v""")
+def i06_sequences(spark, sf):
+    """Three sequences of the orders' codes, eight letters an order; an interval for each order, some beyond the end."""
+    orders = fx.table(spark, sf, "orders")
+    letters = orders.select((F.col("o_orderkey") % 3).alias("chrom"), (F.expr("o_orderkey div 3") * 8).alias("at"), dna.twobit_to_dna(F.col("o_orderkey"), 8).alias("letters"))
+    pieces = letters.select("chrom", F.floor(F.col("at") / fasta.BIN).cast("long").alias("bin"), "at", "letters")
+    start, more = F.col("o_orderkey") * 4, F.col("o_custkey")
+    wanted = orders.select("o_orderkey", (more % 3).alias("chrom"), start.alias("start"), (start + 5 + more % 40).alias("end"), F.when(more % 2 == 0, F.lit("-")).otherwise(F.lit("+")).alias("strand"))
+    return intervals.interval_letters(wanted, pieces, stranded=True).drop("strand")
+
+
 # --- text formats -----------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix
 from quadrel.sources import bus, bus_dataset, storage, text
-from quadrel.streaming.append import append_stream
+from quadrel.streaming.append import append_cells, append_stream
 
 
 def write(path, content):
@@ -427,3 +427,72 @@ def test_stream_of_columns(spark, tmp_path):
             append_stream(spark.readStream.schema(schema).parquet(str(source)), rows, path, str(tmp_path / "cp")).awaitTermination()
     m = storage.connect(spark, path)
     assert cells(m) == [(0, 0, 3.0), (1, 2, 7.0), (2, 1, 5.0)] and [r.CellID for r in m.cols.orderBy(COL).collect()] == ["a", "b", "c"]
+
+
+def test_fasta_and_intervals(spark, tmp_path, monkeypatch):
+    import random
+
+    from quadrel.operators import intervals
+    from quadrel.sources import fasta
+
+    monkeypatch.setattr(intervals, "STRETCH", 50)
+    rng = random.Random(2)
+    genome = {"chr1": 501, "chrX": 64, "empty": 0, "chr2": 1300}
+    genome = {k: "".join(rng.choice("ACGTN") for _ in range(n)) for k, n in genome.items()}
+    lines = []
+    for name, letters in genome.items():
+        lines.append(f">{name} some words")
+        at = 0
+        while at < len(letters):
+            n = rng.choice([1, 7, 60])
+            lines += [letters[at : at + n], ""][: rng.choice([1, 2])]
+            at += n
+    path = write(tmp_path / "g.fa", "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        pieces = fasta.read_fasta(spark, path, size=64)
+        rows = pieces.collect()
+        assert pieces.rdd.getNumPartitions() > 4 and all(r.at // 64 == r.bin == (r.at + len(r.letters) - 1) // 64 for r in rows)
+        for name, letters in genome.items():
+            assert "".join(r.letters for r in sorted(rows, key=lambda r: r["at"]) if r.chrom == name) == letters
+        spans = [(i, rng.choice([*genome, "none"]), s, s + rng.randrange(0, 200), rng.choice("+-")) for i, s in enumerate(rng.choices(range(0, 1300), k=80))]
+        frame = spark.createDataFrame([*spans, spans[0]], "id long, chrom string, start long, end long, strand string")
+        swap = str.maketrans("ACGT", "TGCA")
+        want = [genome.get(c, "")[s:e] if o == "+" else genome.get(c, "")[s:e][::-1].translate(swap) for _, c, s, e, o in [*spans, spans[0]]]
+        got = intervals.interval_letters(frame, pieces, stranded=True, size=64).collect()
+        assert sorted((r.id, r.sequence) for r in got) == sorted((s[0], w) for s, w in zip([*spans, spans[0]], want))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    named = frame.where("end > start").withColumn("name", F.concat(F.lit("n"), F.col("id")))
+    merged, got = {}, intervals.merge_stranded(named).collect()
+    for r in sorted(named.collect(), key=lambda r: (r.start, r.end, r.name)):
+        runs = merged.setdefault((r.chrom, r.strand), [])
+        if runs and r.start <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], r.end), f"{runs[-1][2]},{r.name}")
+        else:
+            runs.append((r.start, r.end, r.name))
+    assert sorted((r.chrom, r.strand, r.start, r.end, r.names) for r in got) == sorted((*k, *x) for k, runs in merged.items() for x in runs)
+    genes = text.parse_gtf(text.ordered_lines(spark, write(tmp_path / "g.gtf", 'chr1\tx\tgene\t11\t20\t.\t-\t.\tgene_id "E1"; gene_name "A";\n')))
+    assert [tuple(r) for r in intervals.gene_intervals(genes).collect()] == [("chr1", 10, 20, "E1", "-")]
+
+
+def test_stream_of_cells_over_batches(spark, tmp_path):
+    rows = spark.range(3).withColumnRenamed("id", ROW)
+    source, path = tmp_path / "in", str(tmp_path / "ds")
+    schema = "row_ix long, cell string, value double, time timestamp"
+    at = lambda minute: f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+    # The cell "a" comes in three batches; "z" only moves the watermark on.
+    batches = [[(0, "a", 1.0, 0), (1, "b", 5.0, 1)], [(0, "a", 2.0, 3), (2, "a", 4.0, 3)], [(1, "a", 8.0, 6)], [(0, "z", 1.0, 100)], [(0, "z", 1.0, 101)]]
+    for n, batch in enumerate(batches):
+        made = spark.createDataFrame([(r, c, v, at(m)) for r, c, v, m in batch], "row_ix long, cell string, value double, time string").withColumn("time", F.to_timestamp("time"))
+        made.coalesce(1).write.mode("append").parquet(str(source))
+        for _ in range(2):  # the second run finds nothing new
+            append_cells(spark.readStream.schema(schema).parquet(str(source)), rows, path, str(tmp_path / "cp")).awaitTermination()
+        if n < 3:
+            with pytest.raises(FileNotFoundError):
+                storage.metadata(spark, path)
+    m = storage.connect(spark, path)
+    names = [r.CellID for r in m.cols.orderBy(COL).collect()]
+    assert names == ["a", "b"] and cells(m) == [(0, 0, 3.0), (1, 0, 8.0), (1, 1, 5.0), (2, 0, 4.0)]
