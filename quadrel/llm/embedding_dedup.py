@@ -3,7 +3,9 @@
 Unit vectors are projected at random to eight dimensions, several times ("tables"); every
 projection is decoded to its nearest point of the lattice E8. A vector lives in that cell
 and also visits the cells around it whose centres are next nearest; two vectors meet where
-one lives and the other lives or visits. Pairs that meet are verified by their cosine.
+one lives and the other lives or visits. Pairs that meet are verified by their cosine. The more
+vectors a label has, the more projections make up a table's cell and the more tables there are,
+so that the share of pairs that meet falls while near pairs meet as surely.
 """
 
 from __future__ import annotations
@@ -26,11 +28,23 @@ class LatticeParams:
 
     tables: int = 4
     cell: float = 0.6  # lattice scale, against unit vectors' projections of norm about 1
-    visits: int = 8  # neighbouring cells that each vector visits, of 240
+    visits: int = 8  # neighbouring cells that each vector visits, of 240, by each projection
+    parts: int = 1  # projections whose lattice points make up a cell; one of them may differ in a visit
     block: int = 1024  # rows of a cell that one task compares with as many others
     seed: int = 20240229
 
 
+# By the number of a label's different vectors, up to: parameters. Simulated chances for a pair of
+# cosine 0.93 to meet, and for random vectors in 64 dimensions: 0.99997 and 0.06; 0.9992 and
+# 0.015; 0.9990 and 0.0003; 0.9991 and about 0.00002.
+LADDER = (
+    (1 << 15, LatticeParams()),
+    (1 << 20, LatticeParams(tables=7, cell=0.8, parts=2)),
+    (1 << 23, LatticeParams(tables=12, parts=2)),
+    (1 << 62, LatticeParams(tables=37, parts=3)),
+)
+FEW = 10_000  # labels up to which the table of their sizes is broadcast
+
 # The 240 shortest vectors of E8: two of eight places are +-1, or all are +-1/2 with an
 # even number of minus signs.
 NEIGHBOURS = np.array(
@@ -71,21 +85,28 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def cells(units: np.ndarray, label: np.ndarray, params: LatticeParams) -> np.ndarray:
-    """int64 (vectors, tables, 1 + visits): hashes of the home cell and the visited cells."""
+    """int64 (vectors, tables, 1 + parts * visits): hashes of the home cell and of the visited
+    cells, which differ from it in the point of one part."""
     n, dim = units.shape
-    out = np.empty((n, params.tables, 1 + params.visits), np.int64)
+    out = np.empty((n, params.tables, 1 + params.parts * params.visits), np.int64)
     for t in range(params.tables):
-        rng = np.random.default_rng([params.seed, t, dim])
-        basis = np.linalg.qr(rng.normal(size=(max(dim, 8), 8)))[0][:dim] * (np.sqrt(max(dim, 8) / 8) / params.cell)
-        y = units @ basis
-        home = nearest_e8(y)
-        gain = (y - home) @ NEIGHBOURS.T
-        order = np.argsort(-gain, axis=1, kind="stable")[:, : params.visits]
-        points = np.concatenate([home[:, None], home[:, None] + NEIGHBOURS[order]], axis=1)
-        code = np.full(points.shape[:2], np.uint64(t + 1)) ^ mixed(label)[:, None]
-        for place in range(8):
-            code = mixed(code * np.uint64(31) + (2 * points[:, :, place]).astype(np.int64).view(np.uint64))
-        out[:, t] = code.view(np.int64)
+        homes, visited = [], []  # hashes of the parts' own points, and of those around them
+        for part in range(params.parts):
+            rng = np.random.default_rng([params.seed, t, dim, part] if part else [params.seed, t, dim])
+            basis = np.linalg.qr(rng.normal(size=(max(dim, 8), 8)))[0][:dim] * (np.sqrt(max(dim, 8) / 8) / params.cell)
+            y = units @ basis
+            home = nearest_e8(y)
+            gain = (y - home) @ NEIGHBOURS.T
+            order = np.argsort(-gain, axis=1, kind="stable")[:, : params.visits]
+            points = np.concatenate([home[:, None], home[:, None] + NEIGHBOURS[order]], axis=1)
+            code = np.full(points.shape[:2], np.uint64(t + 1 + part * 1_000_003)) ^ mixed(label)[:, None]
+            for place in range(8):
+                code = mixed(code * np.uint64(31) + (2 * points[:, :, place]).astype(np.int64).view(np.uint64))
+            homes.append(code[:, 0])
+            visited.append(code[:, 1:])
+        whole = sum(homes[1:], homes[0])  # sums wrap around
+        around = [(whole - h)[:, None] + v for h, v in zip(homes, visited, strict=True)]
+        out[:, t] = np.concatenate([whole[:, None], *around], axis=1).view(np.int64)
     return out
 
 
@@ -110,8 +131,10 @@ def compare(cell, pair, side, home, label, units, threshold: float, params: Latt
     for i, j in zip(starts, np.r_[starts[1:], len(cell)], strict=True):
         if j - i < 2 or not home[i:j].any():
             continue
-        a, b = np.nonzero(np.triu(units[i:j] @ units[i:j].T >= threshold, 1))
-        keep = (home[i + a] | home[i + b]) & ((side[i + a] != side[i + b]) | (side[i + a] == 0))
+        lives = np.flatnonzero(home[i:j])  # two visitors meet elsewhere, if at all
+        a, b = np.nonzero(units[i + lives] @ units[i:j].T >= threshold)
+        a = lives[a]
+        keep = ((a < b) | ((a > b) & ~home[i + b])) & ((side[i + a] != side[i + b]) | (side[i + a] == 0))
         found.append(np.stack([i + a[keep], i + b[keep]]))
     pairs = np.concatenate(found, axis=1)
     used, local = np.unique(pairs, return_inverse=True)
@@ -125,7 +148,7 @@ def compare(cell, pair, side, home, label, units, threshold: float, params: Latt
 
 
 def link_embeddings(
-    vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", embedding: str = "embedding", label: str = "label", params: LatticeParams = LatticeParams()
+    vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", embedding: str = "embedding", label: str = "label", params: LatticeParams | None = None
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``.
 
@@ -136,8 +159,10 @@ def link_embeddings(
     class, so copies are neither hashed nor compared again, and count each other as links.
     Several rows with one key count as that many vectors of one component.
 
+    Without ``params``, each label's follow from its number of different vectors (``LADDER``).
+
     Shuffles: the classes; (cell, key) pairs; and each vector once for every cell that it
-    shares with another (4 x 9 at most). A crowded cell is cut into blocks of ``block`` rows
+    shares with another (4 x 9 at most on the lowest step of the ladder). A crowded cell is cut into blocks of ``block`` rows
     and every pair of blocks is a group of its own, so no task gathers a hot cell. A task
     returns a count per vector and a spanning forest, never the pairs.
     """
@@ -146,16 +171,24 @@ def link_embeddings(
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("e"), F.col(label).cast("long").alias("label"), F.coalesce(finite, F.lit(False)).alias("ok"))
     valid = rows.where("ok AND label IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "label", "e")
     classes = checkpointed(valid.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    ladder = LADDER if params is None else ((1 << 62, params),)
+    tally = checkpointed(classes.groupBy("label").agg(F.count("*").alias("n")))
+    level = F.lit(0)
+    for most, _ in ladder[:-1]:
+        level = level + (F.col("n") > most).cast("int")
+    levels = tally.select("label", level.alias("level"))
+    classes = classes.join(F.broadcast(levels) if tally.count() <= FEW else levels, "label")
+    block = ladder[0][1].block
 
     def hashed(batches):
         for batch in batches:
             sizes = np.asarray(batch.column(1).value_lengths())
-            ids, labels = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            ids, labels, level = (batch.column(i).to_numpy() for i in (0, 2, 3))
             flat, offset = batch.column(1).flatten().to_numpy().astype(np.float64), np.r_[0, np.cumsum(sizes)]
-            for size in np.unique(sizes):
-                own = np.flatnonzero(sizes == size)
+            for size, step in sorted(set(zip(sizes.tolist(), level.tolist(), strict=True))):
+                own = np.flatnonzero((sizes == size) & (level == step))
                 data = flat[offset[own][:, None] + np.arange(size)]
-                code = cells(unit(data), labels[own], params)
+                code = cells(unit(data), labels[own], ladder[step][1])
                 shape = code.shape
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -167,9 +200,9 @@ def link_embeddings(
                     ["cell", "rep", "home", "label"],
                 )
 
-    keys = classes.select("rep", "e", "label").mapInArrow(hashed, "cell long, rep long, home boolean, label long")
+    keys = classes.select("rep", "e", "label", "level").mapInArrow(hashed, "cell long, rep long, home boolean, label long")
     crowd = keys.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("lived")).where("n > 1 AND lived").select("cell", "n")
-    blocks = F.ceil(F.col("n") / params.block).cast("int")
+    blocks = F.ceil(F.col("n") / block).cast("int")
     placed = (
         keys.join(crowd, "cell")
         .withColumn("blocks", blocks)
@@ -188,13 +221,13 @@ def link_embeddings(
         for table in whole_groups(batches, 2):
             cell, pair, side = (table.column(i).to_numpy() for i in range(3))
             ids, home, labels, copies = (table.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7))
-            column = table.column(7).combine_chunks()
+            column, level = table.column(7).combine_chunks(), table.column(8).to_numpy()
             sizes = np.asarray(column.value_lengths())
             flat, offset = column.flatten().to_numpy().astype(np.float64), np.r_[0, np.cumsum(sizes)]
-            for size in np.unique(sizes):
-                own = np.flatnonzero(sizes == size)
+            for size, step in sorted(set(zip(sizes.tolist(), level.tolist(), strict=True))):
+                own = np.flatnonzero((sizes == size) & (level == step))
                 units = unit(flat[offset[own][:, None] + np.arange(size)])
-                a, b = compare(cell[own], pair[own], side[own], home[own], labels[own], units, threshold, params)
+                a, b = compare(cell[own], pair[own], side[own], home[own], labels[own], units, threshold, ladder[step][1])
                 if not len(a):
                     continue
                 weight = copies[own]
@@ -206,8 +239,8 @@ def link_embeddings(
                 members = ids[own]
                 yield pa.RecordBatch.from_arrays([pa.array(members[hit]), pa.array(members[least[hit]]), pa.array(links[hit])], ["rep", "toward", "links"])
 
-    facts = classes.select("rep", "label", "copies", "e")
-    grouped = placed.join(facts, "rep").select("cell", "pair", "side", "rep", "home", "label", "copies", "e")
+    facts = classes.select("rep", "label", "copies", "e", "level")
+    grouped = placed.join(facts, "rep").select("cell", "pair", "side", "rep", "home", "label", "copies", "e", "level")
     found = checkpointed(
         grouped.repartition("cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(verified, "rep long, toward long, links long")
     )

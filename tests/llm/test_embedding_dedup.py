@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quadrel.llm.embedding_dedup import LatticeParams, link_embeddings, nearest_e8
+from quadrel.llm.embedding_dedup import LADDER, LatticeParams, cells, link_embeddings, nearest_e8, unit
 from quadrel.llm.queries import OP2_SQL, op2_embedding_dedup
 from tests.oracle import same
 
@@ -55,6 +55,39 @@ def test_groups_against_brute_force(spark):
     assert result(link_embeddings(df, params=LatticeParams(block=3))) == brute(rows)
 
 
+def test_every_step_of_the_ladder(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 24))
+    rows = [(k, [float(x) for x in centres[k % 30] + rng.normal(size=24) * rng.choice([0.0, 0.1, 0.2])], k % 60 // 30) for k in range(180)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for _, params in LADDER[1:]:
+        assert result(link_embeddings(df, params=params)) == brute(rows)
+    # Labels of different sizes stand on different steps.
+    rows += [(1000 + k, [float(x) for x in rng.normal(size=24)], 7) for k in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr("quadrel.llm.embedding_dedup.LADDER", ((25, LADDER[0][1]), (1 << 62, LADDER[1][1])))
+    monkeypatch.setattr("quadrel.llm.embedding_dedup.FEW", 1)
+    assert result(link_embeddings(df)) == brute(rows)
+
+
+def test_share_of_pairs_falls_and_near_pairs_meet():
+    """Pairs of cosine 0.93 and random pairs in 64 dimensions, on the steps for 20,000 and
+    80,000 vectors a label, and beyond."""
+    rng = np.random.default_rng(0)
+    shares = []
+    for step, (_, params) in enumerate(LADDER[:3]):
+        n = 20_000 if step < 2 else 6000
+        a, z, other = (unit(rng.normal(size=(n, 64))) for _ in range(3))
+        z = unit(z - (z * a).sum(axis=1, keepdims=True) * a)
+        label = np.zeros(n, np.int64)
+        met = lambda x, y: ((x == y[:, :, :1]).any(axis=2) | (y == x[:, :, :1]).any(axis=2)).any(axis=1).mean()
+        own = cells(a, label, params)
+        assert met(own, cells(0.93 * a + np.sqrt(1 - 0.93**2) * z, label, params)) >= 0.998, step
+        shares.append(met(own, cells(other, label, params)))
+    assert shares[0] < 0.08 and shares[1] < shares[0] / 3 and shares[2] < shares[1] / 10
+    assert next(p for most, p in LADDER if 20_000 <= most) != next(p for most, p in LADDER if 80_000 <= most)
+
+
 def test_empty(spark):
     assert link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
