@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.functions.index import shared_folder
+from quadrel.functions.index import checkpointed, shared_folder
 from quadrel.llm.common import read_table, where_scored
 from quadrel.llm.jaccard import join_similar
 from quadrel.llm.packing import pack_documents
@@ -41,12 +41,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one of the least id. Of rows
-    that repeat it one stays. Documents with a null id are in no group and stay."""
+    """One document of each group of near duplicates stays: the one of the least id. Of several
+    rows of that id the one of the least text stays, then of the least other columns (null
+    first). Documents with a null id are in no group and stay."""
     rows = _rows(docs)
-    kept = join_similar(rows).where("doc_id = class_id").select("doc_id").distinct()
-    one = rows.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*COLUMNS).union(rows.where("doc_id IS NULL"))
+    kept = checkpointed(join_similar(rows).where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    single = rows.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    several = rows.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    least = several.groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row")).select("doc_id", "row.*")
+    return single.select(*COLUMNS).union(least.select(*COLUMNS)).union(rows.where("doc_id IS NULL"))
 
 
 def blank_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
