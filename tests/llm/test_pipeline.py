@@ -61,3 +61,12 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
             count = out.count()
             assert count == 0 if frame is not docs else count >= 0
     assert corpus_pipeline.keep_one_of_each_group(spark, docs, SF).count() == 3
+
+
+def test_rows_of_one_id_leave_the_least(spark):
+    story = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, story, "en", "b", 5), (1, story, "en", "a", 5), (1, "another text of the same id", None, "a", 5), (2, story + " more", "en", "a", 5), (3, "alone", "en", "a", 1), (None, story, "en", "a", 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        got = sorted(map(tuple, corpus_pipeline.keep_one_of_each_group(spark, frame.repartition(parts), SF).collect()), key=repr)
+        assert got == sorted([(1, "another text of the same id", None, "a", 5), (3, "alone", "en", "a", 1), (None, story, "en", "a", 5)], key=repr)
