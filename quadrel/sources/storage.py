@@ -497,12 +497,24 @@ def export_lines(matrix: AnnotatedMatrix, layer: str = MAIN) -> DataFrame:
     """
     row_names, col_names = matrix.names(0), matrix.names(1)
     number = "long" if matrix.layer(layer).schema["value"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "double"
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(matrix.n_cols - 1).cast("long")), lambda c: F.coalesce(F.element_at(F.map_from_entries("e"), c), F.lit(0).cast(number)).cast("string"))
-    entries = matrix.layer(layer).groupBy(ROW).agg(F.collect_list(F.struct(COL, F.col("value").cast(number).alias("value"))).alias("e"))
-    joined = matrix.rows.join(entries, ROW, "left").withColumn("e", F.coalesce("e", F.array().cast(f"array<struct<{COL}:bigint,value:{number}>>")))
-    values = dense if matrix.n_cols else F.array().cast("array<string>")
-    attributes = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_names]
-    body = joined.select((F.col(ROW) + len(col_names) + 1).alias("line_no"), F.concat(F.array_join(F.concat(F.array(*attributes, F.lit("")), values), "\t"), F.lit("\t")).alias("line"))
+    zero, n = "0" if number == "long" else "0.0", matrix.n_cols
+    entries = matrix.layer(layer).groupBy(ROW).agg(F.collect_list(F.struct(COL, F.col("value").cast(number).cast("string").alias("value"))).alias("_e"))
+    attributes = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_names]) if row_names else F.array().cast("array<string>")
+    joined = matrix.rows.join(entries, ROW, "left").select((F.col(ROW) + len(col_names) + 1).cast("long").alias("line_no"), attributes.alias("a"), F.col(f"_e.{COL}").alias("at"), F.col("_e.value").alias("v"))
+
+    def filled(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lines = []
+            for a, at, v in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                values = [zero] * n
+                for place, text in zip(at or (), v or (), strict=True):
+                    values[place] = text
+                lines.append("\t".join([*a, "", *values]) + "\t")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], names=["line_no", "line"])
+
+    body = joined.mapInArrow(filled, "line_no long, line string")
     heads = None
     for i, name in enumerate(col_names):
         gathered = matrix.cols.agg(F.transform(F.array_sort(F.collect_list(F.struct(COL, F.coalesce(F.col(name).cast("string"), F.lit("")).alias("v")))), lambda s: s["v"]).alias("v"))
