@@ -19,7 +19,7 @@ from quadrel.functions.index import checkpointed, positions_by, renumber
 ROW, COL = "row_ix", "col_ix"
 MAIN = ""
 LISTED = 1000  # bands that a filter lists at most
-Selector = Column | slice | list | tuple | int | DataFrame | None
+Selector = "Column | slice | list | tuple | int | DataFrame | Chosen | None"
 
 
 def axis_names(axis: int) -> tuple[str, str]:
@@ -50,6 +50,15 @@ def fill_value(schema: T.StructType, name: str, fill_values: dict | str | None):
     return None
 
 
+@dataclass(frozen=True)
+class Chosen:
+    """``n`` positions of an axis as (ix, new_ix) that are computed already, so that using them
+    several times repeats nothing."""
+
+    rows: DataFrame
+    n: int
+
+
 @dataclass(frozen=True)
 class Origin:
     """Where a matrix was opened: the dataset's metadata, each component's DataFrame as it was
@@ -239,6 +248,8 @@ class AnnotatedMatrix:
         ix, table, n = self.axis(axis)
         if selector is None or isinstance(selector, slice) and selector == slice(None):
             return None
+        if isinstance(selector, Chosen):
+            return selector.rows
         if isinstance(selector, Column):
             return renumber(table.where(selector).select(ix), ix)
         if isinstance(selector, DataFrame):
@@ -290,10 +301,11 @@ class AnnotatedMatrix:
             edges = lambda g: g.where(inside(F.col("a")) & inside(F.col("b"))).select(at(F.col("a")).alias("a"), at(F.col("b")).alias("b"), "w")
             return pick, edges, size, None
         chosen, bands = self.selection(axis, selector), None
-        if isinstance(selector, (Column, DataFrame)):
-            chosen = checkpointed(chosen.select(ix, "new_ix"))
-            size = chosen.count()
-            if axis == 1 and self.origin is not None and n > self.origin.width:
+        if isinstance(selector, (Column, DataFrame, Chosen)):
+            if not isinstance(selector, Chosen):
+                chosen = checkpointed(chosen.select(ix, "new_ix"))
+            size = selector.n if isinstance(selector, Chosen) else chosen.count()
+            if size < n and axis == 1 and self.origin is not None and n > self.origin.width:
                 found = [r.band for r in chosen.select(F.floor(F.col(ix) / self.origin.width).cast("int").alias("band")).distinct().limit(LISTED + 1).collect()]
                 bands = sorted(found) if len(found) <= LISTED else None
         else:
@@ -331,9 +343,9 @@ class AnnotatedMatrix:
 
     def permute(self, axis: int, *order: Column | str, ordering: DataFrame | None = None) -> AnnotatedMatrix:
         """Reorder an axis by attributes (ties by position), or by a table (ix, new_ix)."""
-        ix, table, _ = self.axis(axis)
+        ix, table, n = self.axis(axis)
         if ordering is None:
-            ordering = positions_by(table, *order, ix).select(ix, "new_ix")
+            ordering = Chosen(positions_by(table, *order, ix).select(ix, "new_ix"), n)
         return self.view(ordering, None) if axis == 0 else self.view(None, ordering)
 
     # --- bands --------------------------------------------------------------------------
@@ -399,11 +411,11 @@ class AnnotatedMatrix:
 
     def aligned_rows(self, target: AnnotatedMatrix, key: str) -> AnnotatedMatrix:
         """Rows in the target's order of ``key``; raises unless both hold the same unique keys."""
-        pairs = self.rows.select(ROW, key).join(target.rows.select(F.col(ROW).alias("new_ix"), key), key)
+        pairs = checkpointed(self.rows.select(ROW, key).join(target.rows.select(F.col(ROW).alias("new_ix"), key), key).select(ROW, "new_ix"))
         n, a, b = pairs.agg(F.count("*"), F.count_distinct(ROW), F.count_distinct("new_ix")).first()
         if not n == a == b == self.n_rows == target.n_rows:
             raise ValueError(f"the rows' {key!r} do not match one to one")
-        return self.view(pairs.select(ROW, "new_ix"), None)
+        return self.view(Chosen(pairs, n), None)
 
     # --- shorthands ---------------------------------------------------------------------
     def totals(self, axis: int, layer: str = MAIN) -> DataFrame:

@@ -19,6 +19,7 @@ import uuid
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,19 +69,24 @@ def safe(name: str) -> str:
     return "main" if name == MAIN else "x" + name.encode().hex()
 
 
-def refuse_unsound(layers: list[DataFrame]) -> None:
-    """Raise if a layer holds values that are no numbers; before anything is written."""
-    value = F.col("value").cast("double")
-    bad = [e.where(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))).select(ROW, COL) for e in layers]
-    if bad and not reduce(DataFrame.union, bad).isEmpty():
-        raise ValueError("layers may not hold null, NaN or infinite values")
+UNSOUND = "layers may not hold null, NaN or infinite values"
 
 
 def write_layer(entries: DataFrame, folder: str, width: int) -> None:
-    """A folder a band of ``width`` columns; a task writes a range of a band's rows."""
-    banded = entries.withColumn("band", F.floor(F.col(COL) / width).cast("int"))
+    """A folder a band of ``width`` columns; a task writes a range of a band's rows. A value
+    that is no number stops the write, so entries are worked out once; no version lists what
+    was written by then."""
+    value = F.col("value").cast("double")
+    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    sound = entries.withColumn("value", F.when(bad, F.raise_error(F.lit(UNSOUND))).otherwise(F.col("value")))
+    banded = sound.withColumn("band", F.floor(F.col(COL) / width).cast("int"))
     dealt = banded.repartition(F.col("band"), F.floor(F.col(ROW) / ROWS))
-    dealt.sortWithinPartitions("band", ROW, COL).write.partitionBy("band").parquet(folder)
+    try:
+        dealt.sortWithinPartitions("band", ROW, COL).write.partitionBy("band").parquet(folder)
+    except PySparkException as error:
+        if UNSOUND not in str(error):
+            raise
+        raise ValueError(UNSOUND) from None
 
 
 def layer_part(name: str, version: str) -> str:
@@ -174,7 +180,6 @@ def save(matrix: AnnotatedMatrix, path: str, changed: dict[str, str] | None = No
     width = old["band"] if old else BAND
     meta = {"version": version + 1, "spec": SPEC_VERSION, "band": width, "shape": list(matrix.shape), "attrs": matrix.attrs, "last_modified": now, "layers": {}, "row_graphs": {}, "col_graphs": {}, "tables": {}}
     stamps = {}
-    refuse_unsound([matrix.patches[n][1] if patched(n, e) else e for n, e in matrix.layers.items() if not same(f"layers/{n}", e)])
     for name, entries in matrix.layers.items():
         component = f"layers/{name}"
         if same(component, entries):
@@ -349,7 +354,6 @@ def _extend(spark, path, batch, key, fill_values, convert_attrs, include_graphs,
     now = timestamp(meta["last_modified"])
     shift = (F.col(COL) + F.lit(current.n_cols)).cast("long")
     layers = {n: e for n, e in batch.layers.items() if union_layers or n in current.layers}
-    refuse_unsound(list(layers.values()))
     for name, entries in layers.items():
         entry = meta["layers"].setdefault(name, {"type": entries.schema["value"].dataType.simpleString(), "parts": []})
         write_layer(entries.select(F.col(ROW).cast("long").alias(ROW), shift.alias(COL), F.col("value").cast(entry["type"]).alias("value")), f"{path}/{layer_part(name, part)}", meta["band"])
