@@ -12,7 +12,7 @@ steps, and every step is as likely as any other, whatever the length.
 import hashlib
 import itertools
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +34,7 @@ class WalkParams:
     seed: int = 1729
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=8)
 def _bits(params: WalkParams) -> np.ndarray:
     """(PERIOD, 256) moves; class 0 is the end of a text, where the reader stays."""
     bits = np.random.default_rng(params.seed).integers(0, 2, (PERIOD, 256)).astype(np.int64)
@@ -42,7 +42,7 @@ def _bits(params: WalkParams) -> np.ndarray:
     return bits
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=8)
 def _records(params: WalkParams) -> dict[int, np.ndarray]:
     """step -> slots whose sequence of uniform numbers has a new minimum there.
 
@@ -109,14 +109,21 @@ def likeness(a: bytes, b: bytes) -> float:
     return float((x == y).mean()) if len(x) else 1.0
 
 
-def fingerprint_documents(docs: DataFrame, params: WalkParams = WalkParams(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_chars, fingerprint hex) of every row; null texts are empty. No shuffle."""
+def independent(params: WalkParams, walks: int) -> list[WalkParams]:
+    """Parameters of walks that share nothing; the first are the given ones."""
+    return [replace(params, seed=params.seed + 7919 * w) for w in range(walks)]
+
+
+def fingerprint_documents(docs: DataFrame, params: WalkParams = WalkParams(), text: str = "text", key: str = "doc_id", walks: int = 1) -> DataFrame:
+    """(doc_id, n_chars, fingerprint hex) of every row; null texts are empty. No shuffle. Of
+    several independent walks the fingerprints follow each other in one string."""
+    every = independent(params, walks)
 
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in by_size(texts, 24_000_000):
-                codes = [x.hex() for x in fingerprints(texts[i:j], params)]
+                codes = [b"".join(x).hex() for x in zip(*(fingerprints(texts[i:j], p) for p in every), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(t) for t in texts[i:j]], pa.int64()), pa.array(codes, pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -198,20 +205,22 @@ def _range_of(k, bounds: list[int]):
     return F.pandas_udf(place, T.IntegerType())(k)
 
 
-def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int = 3, block: int = 1000, params: WalkParams = WalkParams(), text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int = 3, block: int = 1000, params: WalkParams = WalkParams(), text: str = "text", key: str = "doc_id", walks: int = 3) -> DataFrame:
     """(doc_id, class_id): texts in few edits of each other get one class, the least key.
 
-    Equal texts form one group first. Every band samples ``width`` slots of the fingerprint
-    at random; texts that meet in a bucket are verified by the share of agreeing slots, in
-    the groups of ``candidate_groups``, so no task gathers a hot bucket; a task returns a
+    Equal texts form one group first. One walk may lose its step behind an edit for long, so
+    each text takes ``walks`` independent ones, and two texts are near if one of them says so.
+    Every band samples ``width`` slots of one walk's fingerprint at random; texts that meet in
+    a bucket are verified by the share of slots that agree, in the groups of ``candidate_groups``, so no task gathers a hot bucket; a task returns a
     spanning forest. Rows with null keys get a null class. Keys are integers. A pair that
     agrees in a share s of the slots meets with chance 1 - (1 - s ** width) ** bands: 0.99995
     at the least share 0.7, surely above.
     """
-    marked = fingerprint_documents(docs, params, text, key).withColumn("doc_id", F.col("doc_id").cast("long"))
+    marked = fingerprint_documents(docs, params, text, key, walks).withColumn("doc_id", F.col("doc_id").cast("long"))
     prints = checkpointed(marked.groupBy("fingerprint", "n_chars").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"))
     rng = np.random.default_rng([params.seed, 2])
-    keys = [F.xxhash64(F.lit(b), *[F.substring("fingerprint", 2 * int(s) + 1, 2) for s in rng.choice(params.slots, width, replace=False)]) for b in range(bands)]
+    samples = [w * params.slots + rng.choice(params.slots, width, replace=False) for w in range(walks) for _ in range(bands)]
+    keys = [F.xxhash64(F.lit(b), *[F.substring("fingerprint", 2 * int(s) + 1, 2) for s in own]) for b, own in enumerate(samples)]
     # Texts of one key are several: each is a node of its own until the classes are named.
     numbered = prints.withColumn("own", F.xxhash64("fingerprint", "n_chars"))
     groups = candidate_groups(numbered.select(F.col("own").alias("rep"), F.lit(1).cast("long").alias("weight"), F.array(*keys).alias("bands")), block, block)
@@ -223,7 +232,7 @@ def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int
         for table in whole_groups(batches, 2):
             group, pair, rep = (table.column(i).to_numpy() for i in range(3))
             side = table.column(3).to_numpy()
-            codes = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, params.slots)
+            codes = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, walks, params.slots)
             starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (pair[1:] != pair[:-1])])
             for i, j in zip(starts, np.r_[starts[1:], len(group)], strict=True):
                 a, b = alike(codes[i:j], side[i:j], need)
@@ -239,11 +248,12 @@ def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int
 
 
 def alike(codes: np.ndarray, side: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (a < b) of rows that agree in ``need`` places or more; rows of sides 1 and
-    2 are paired with the other side only."""
+    """Index pairs (a < b) of rows (of one or several codes each) of which one code agrees in
+    ``need`` places or more; rows of sides 1 and 2 are paired with the other side only."""
+    codes = codes.reshape(len(codes), -1, codes.shape[-1])
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(0, len(codes), 16):
-        agree = (codes[i : i + 16, None, :] == codes[None, i:, :]).sum(axis=2) >= need
+        agree = ((codes[i : i + 16, None] == codes[None, i:]).sum(axis=3) >= need).any(axis=2)
         agree &= (side[i : i + 16, None] != side[None, i:]) | (side[None, i:] == 0)
         a, b = np.nonzero(np.triu(agree, 1))
         left.append(a + i)

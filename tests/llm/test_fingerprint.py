@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from quadrel.llm.fingerprint import PERIOD, WalkParams, _bits, _classes, _records, compare_with_next, fingerprints, likeness, near_texts
+from quadrel.llm.fingerprint import PERIOD, WalkParams, _bits, _classes, _records, compare_with_next, fingerprints, independent, likeness, near_texts
 from quadrel.llm.queries import edit_classes, op10_edit_fingerprint
 
 
@@ -150,21 +150,38 @@ def test_classes_against_edit_distances(spark):
             if share > 0.5:
                 assert got[i] != got[j]
     shares, met = np.array(shares), np.array(met)
-    # Texts of some 400 characters: a pair is found by up to two edits, mostly by up to four.
-    for most, least in ((0.005, 0.9), (0.01, 0.85)):
+    # Texts of some 400 characters: a pair of up to four edits is found.
+    for most, least in ((0.005, 0.97), (0.01, 0.95)):
         assert (shares <= most).sum() > 20 and met[shares <= most].mean() >= least
 
 
+def test_independent_walks_find_what_one_loses():
+    """Single pairs of 300 to 600 characters: the share that some walk calls near."""
+    rng = random.Random(12)
+    found = {1: [], 2: []}
+    for percent in found:
+        for _ in range(150):
+            text = prose(rng, 130)[: rng.randint(300, 600)]
+            copy = list(text)
+            for _ in range(len(text) * percent // 100):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice([0, 1])] = rng.choice(["", "q", "zz"])
+            pair = [fingerprints([text, "".join(copy)], p) for p in independent(WalkParams(), 3)]
+            found[percent].append([likeness(a, b) >= 0.7 for a, b in pair])
+    one, any_ = ({k: np.mean([f(x) for x in v]) for k, v in found.items()} for f in (lambda x: x[0], any))
+    assert any_[1] >= 0.95 and any_[2] >= 0.8 and all(any_[k] > one[k] for k in found), (one, any_)
+
+
 def test_edit_classes_on_the_table(spark, sf_dir):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r.doc_id: r.class_id for r in edit_classes(spark, sf_dir).collect()}
     assert got.keys() == texts.keys() and all(c <= k and got[c] == c for k, c in got.items())
-    codes = dict(zip(texts, fingerprints(list(texts.values())), strict=True))
-    label = {k: k for k in texts}  # brute force: all pairs of fingerprints that agree enough
+    codes = [dict(zip(texts, fingerprints(list(texts.values()), p), strict=True)) for p in independent(WalkParams(), 3)]
+    label = {k: k for k in texts}  # brute force: all pairs whose fingerprints of some walk agree enough
     order = sorted(texts)
     for i, a in enumerate(order):
         for b in order[:i]:
-            if likeness(codes[a], codes[b]) >= 0.7 and len(texts[a]) and len(texts[b]):
+            if any(likeness(c[a], c[b]) >= 0.7 for c in codes) and len(texts[a]) and len(texts[b]):
                 old, new = sorted((label[a], label[b]))
                 label = {k: old if v == new else v for k, v in label.items()}
     assert sum(got[k] == label[k] for k in got) >= 0.99 * len(got)
