@@ -18,7 +18,7 @@ from quadrel.llm.fingerprint import compare_with_next, near_texts
 from quadrel.llm.html import extract_pages
 from quadrel.llm.jaccard import join_similar
 from quadrel.llm.merkle import document_manifest
-from quadrel.llm.packing import pack_documents
+from quadrel.llm.packing import PackParams, pack, pack_documents, tokenize_pieces
 from quadrel.llm.pii import find_personal_data, train_field
 from quadrel.llm.quality import score_quality, train_quality
 from quadrel.llm.resample import resample
@@ -115,6 +115,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def packing_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's packing where all three capacities bind: pieces of 1,024 tokens, six a sequence at
+    most, with the attention cost of three full ones."""
+    pieces = tokenize_pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1024, 1)
+    return pack(pieces, PackParams(documents=6, attention=3.0 * 1024**2))
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -223,6 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_decontaminate": op13_decontaminate,
+    "packing_capacities": packing_capacities,
     "edit_classes": edit_classes,
     "pipeline": corpus_pipeline.run,
 }

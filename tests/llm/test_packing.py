@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quadrel.llm.packing import PackParams, WordTokenizer, best_fit, pack_documents
-from quadrel.llm.queries import op6_best_fit_packing
+from quadrel.llm.queries import op6_best_fit_packing, packing_capacities
 
 PATH = P.path("word_bpe_49k.json")
 LIBRARY, TOOL = Tokenizer.from_file(PATH), WordTokenizer(PATH, cache_words=40)
@@ -68,6 +68,49 @@ def test_all_capacities_bind(score):
     assert len(np.unique(bins)) <= 1.35 * floor
 
 
+def plain_best_fit(lengths, params):
+    """The rule read literally: longest first, every open bin scored; bins as sorted lists of lengths."""
+    capacity, bins = params.capacity(), []
+    for n in sorted(lengths, reverse=True):
+        need, best = [n / capacity[0], 1 / capacity[1], float(n) ** 2 / capacity[2]], None
+        for b in bins:
+            if all(r >= d - 1e-12 for r, d in zip(b["room"], need, strict=True)):
+                if params.score == "dot":
+                    value = -sum(r * w * d for r, w, d in zip(b["room"], params.weights, need, strict=True))
+                else:
+                    value = sum(w * (r - d) ** 2 for r, w, d in zip(b["room"], params.weights, need, strict=True))
+                if best is None or value < best[0] - 1e-15:
+                    best = (value, b)
+        if best is None:
+            bins.append(best := {"room": [1.0, 1.0, 1.0], "own": []})
+            best = (0, best)
+        best[1]["room"] = [r - d for r, d in zip(best[1]["room"], need, strict=True)]
+        best[1]["own"].append(int(n))
+    return sorted(sorted(b["own"]) for b in bins)
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [{}, {"documents": 5}, {"attention": 300_000}, {"documents": 6, "attention": 250_000}])
+def test_bins_equal_a_plain_best_fit(score, limits):
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 40, 700):
+        lengths = np.r_[rng.integers(1, 480, size), [7] * (size // 10)].astype(np.int64)
+        params = PackParams(tokens=1000, score=score, **limits)
+        bins, _ = best_fit(lengths, params)
+        assert sorted(sorted(lengths[bins == b].tolist()) for b in np.unique(bins)) == plain_best_fit(lengths.tolist(), params)
+
+
+def test_query_with_binding_capacities(spark, sf_dir):
+    rows = packing_capacities(spark, sf_dir).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append(r.length)
+    tokens, number, cost = ([f(x) for x in bins.values()] for f in (sum, len, lambda own: sum(n * n for n in own)))
+    assert max(tokens) <= 4096 and max(number) == 6 and max(cost) <= 3 * 1024**2
+    assert max(sum(tokens) / 4096, len(rows) / 6, sum(cost) / (3 * 1024**2)) * 1.35 + 1 >= len(bins)
+    assert any(t < 4000 and c > 0.95 * 3 * 1024**2 for t, c in zip(tokens, cost, strict=True))  # attention, not tokens, closed it
+
+
 def test_query_packs_closely(spark):
     sf = "/root/testdata/sf0.01"
     docs = {}
