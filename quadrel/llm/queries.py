@@ -192,6 +192,32 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+OP12_SQL = r"""
+WITH RECURSIVE steps(i, k, c) AS (SELECT range, 0, range::BIGINT FROM range(256) UNION ALL SELECT i, k + 1, xor(c >> 1, 3988292384 * (c & 1)) FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+texts AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text FROM benchmark),
+split AS (SELECT k, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+places AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+features AS (SELECT k, array_to_string(w[i:i + n], ' ') AS f FROM places, range(3) r(n) WHERE i + n <= len(w)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(0, strlen(f)), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)), crc
+),
+counted AS (SELECT k, bucket, count(*) AS n FROM features JOIN hashed USING (f) GROUP BY ALL),
+sides AS (SELECT bucket, sum(n) FILTER (k > 0) AS s, sum(n) FILTER (k < 0) AS t FROM counted GROUP BY bucket),
+totals AS (SELECT COALESCE(sum(s), 0) AS S_, COALESCE(sum(t), 0) AS T_ FROM sides),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST((COALESCE(t, 0) + 1) * (S_ + 10000) AS DOUBLE) / CAST((COALESCE(s, 0) + 1) * (T_ + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM sides, totals),
+weights AS (SELECT k, sum(n) AS n_features, sum(n * gain) AS weight FROM counted JOIN gains USING (bucket) WHERE k > 0 GROUP BY k),
+scores AS (
+  SELECT k, doc_id, len(w) AS n_words, CAST(COALESCE(n_features, 0) AS BIGINT) AS n_features, CAST(COALESCE(weight, 0) AS BIGINT) AS weight,
+         CAST(COALESCE(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (k) WHERE k > 0
+),
+ranked AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, weight, n_features) AS place, count(*) OVER () AS able FROM scores WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * able // 100 THEN place END AS rank FROM scores LEFT JOIN ranked USING (k)
+"""
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -239,5 +265,6 @@ ORACLES: dict[str, str] = {
     "op3_chat_format": OP3_SQL,
     "op5_ngram_jaccard": OP5_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
     "op13_decontaminate": OP13_SQL,
 }
