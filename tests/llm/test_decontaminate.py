@@ -3,7 +3,8 @@ import random
 import re
 
 from quadrel.llm.decontaminate import contamination, find_benchmark
-from quadrel.llm.queries import QUERIES
+from quadrel.llm.queries import OP13_SQL, QUERIES
+from tests.oracle import same
 
 SF = "/root/testdata/sf0.01"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -114,3 +115,7 @@ def test_query_on_whole_table(spark):
         r = rows[d.doc_id]
         assert (r.n_words, r.n_hit, r.n_items) == (len(words), len(hit), len(ids))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+
+def test_query_equals_sql(spark, sf_dir):
+    assert same(spark, sf_dir, QUERIES["op13_decontaminate"], OP13_SQL)

@@ -4,7 +4,8 @@ import zlib
 
 import pytest
 from quadrel.llm.merkle import build_manifest, document_manifest, levels, traverse, treehash
-from quadrel.llm.queries import QUERIES
+from quadrel.llm.queries import OP11_SQL, QUERIES
+from tests.oracle import same
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,3 +110,7 @@ def test_manifest_keeps_columns_and_paths(spark):
 def test_query_on_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
     assert sorted((tuple(r) for r in QUERIES["op11_merkle_manifest"](spark, SF).collect()), key=repr) == brute(rows)
+
+
+def test_query_equals_sql(spark, sf_dir):
+    assert same(spark, sf_dir, QUERIES["op11_merkle_manifest"], OP11_SQL)

@@ -5,7 +5,8 @@ import re
 import zlib
 from collections import Counter
 
-from quadrel.llm.queries import QUERIES
+from quadrel.llm.queries import OP12_SQL, QUERIES
+from tests.oracle import same
 from quadrel.llm.resample import Ring, resample, text_buckets
 
 SF = "/root/testdata/sf0.01"
@@ -92,3 +93,7 @@ def test_query_on_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     target = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert rows_of(QUERIES["op12_importance_resampling"](spark, SF)) == brute(docs, target)
+
+
+def test_query_equals_sql(spark, sf_dir):
+    assert same(spark, sf_dir, QUERIES["op12_importance_resampling"], OP12_SQL)
