@@ -205,7 +205,7 @@ def _range_of(k, bounds: list[int]):
     return F.pandas_udf(place, T.IntegerType())(k)
 
 
-def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int = 3, block: int = 1000, params: WalkParams = WalkParams(), text: str = "text", key: str = "doc_id", walks: int = 3) -> DataFrame:
+def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int = 3, block: int = 1000, params: WalkParams = WalkParams(), text: str = "text", key: str = "doc_id", walks: int = 2) -> DataFrame:
     """(doc_id, class_id): texts in few edits of each other get one class, the least key.
 
     Equal texts form one group first. One walk may lose its step behind an edit for long, so
@@ -216,15 +216,15 @@ def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int
     agrees in a share s of the slots meets with chance 1 - (1 - s ** width) ** bands: 0.99995
     at the least share 0.7, surely above.
     """
-    marked = fingerprint_documents(docs, params, text, key, walks).withColumn("doc_id", F.col("doc_id").cast("long"))
-    prints = checkpointed(marked.groupBy("fingerprint", "n_chars").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"))
+    walked = fingerprint_documents(docs, params, text, key, walks).withColumn("doc_id", F.col("doc_id").cast("long"))
+    marked = checkpointed(walked.withColumn("own", F.xxhash64("fingerprint", "n_chars")))  # texts walk once
+    prints = checkpointed(marked.groupBy("own", "fingerprint").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"))
     rng = np.random.default_rng([params.seed, 2])
     samples = [w * params.slots + rng.choice(params.slots, width, replace=False) for w in range(walks) for _ in range(bands)]
     keys = [F.xxhash64(F.lit(b), *[F.substring("fingerprint", 2 * int(s) + 1, 2) for s in own]) for b, own in enumerate(samples)]
     # Texts of one key are several: each is a node of its own until the classes are named.
-    numbered = prints.withColumn("own", F.xxhash64("fingerprint", "n_chars"))
-    groups = candidate_groups(numbered.select(F.col("own").alias("rep"), F.lit(1).cast("long").alias("weight"), F.array(*keys).alias("bands")), block, block)
-    facts = numbered.select("own", F.col("rep").alias("key"), F.unhex("fingerprint").alias("code"))
+    groups = candidate_groups(prints.select(F.col("own").alias("rep"), F.lit(1).cast("long").alias("weight"), F.array(*keys).alias("bands")), block, block)
+    facts = prints.select("own", F.col("rep").alias("key"), F.unhex("fingerprint").alias("code"))
     placed = groups.join(facts, groups["rep"] == facts["own"]).select("group", "pair", F.col("key").alias("rep"), "side", "code")
     need = math.ceil(least * params.slots)
 
@@ -243,8 +243,8 @@ def near_texts(docs: DataFrame, least: float = 0.7, bands: int = 24, width: int
 
     links = placed.repartition("group", "pair").sortWithinPartitions("group", "pair", "rep").mapInArrow(verify, "u long, v long")
     classes = connected_components(links)
-    named = prints.join(classes, F.col("rep") == F.col("node"), "left").select("fingerprint", "n_chars", F.coalesce("component", "rep").alias("class_id"))
-    return marked.join(named, ["fingerprint", "n_chars"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    named = prints.join(classes, F.col("rep") == F.col("node"), "left").select("own", F.coalesce("component", "rep").alias("class_id"))
+    return marked.select("doc_id", "own").join(named, "own", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
 def alike(codes: np.ndarray, side: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:

