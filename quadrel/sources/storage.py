@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix, Origin, align_attributes, differing_globals, fill_value
+from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix, Block, Origin, align_attributes, differing_globals, fill_value
 from quadrel.operators.validate import validate_schema, validate_spec
 
 SPEC_VERSION = "3.0.0"
@@ -73,16 +73,20 @@ UNSOUND = "layers may not hold null, NaN or infinite values"
 
 
 def write_layer(entries: DataFrame, folder: str, width: int) -> None:
-    """A folder a band of ``width`` columns; a task writes a range of a band's rows. A value
-    that is no number stops the write, so entries are worked out once; no version lists what
-    was written by then."""
+    """A folder a band of ``width`` columns; a task writes a range of a band's rows."""
+    banded = entries.withColumn("band", F.floor(F.col(COL) / width).cast("int"))
+    dealt = banded.repartition(F.col("band"), F.floor(F.col(ROW) / ROWS))
+    write_sound(dealt.sortWithinPartitions("band", ROW, COL), folder, "band")
+
+
+def write_sound(entries: DataFrame, folder: str, *by: str) -> None:
+    """A value that is no number stops the write, so entries are worked out once; no version
+    lists what was written by then."""
     value = F.col("value").cast("double")
     bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
     sound = entries.withColumn("value", F.when(bad, F.raise_error(F.lit(UNSOUND))).otherwise(F.col("value")))
-    banded = sound.withColumn("band", F.floor(F.col(COL) / width).cast("int"))
-    dealt = banded.repartition(F.col("band"), F.floor(F.col(ROW) / ROWS))
     try:
-        dealt.sortWithinPartitions("band", ROW, COL).write.partitionBy("band").parquet(folder)
+        sound.write.partitionBy(*by).parquet(folder)
     except PySparkException as error:
         if UNSOUND not in str(error):
             raise
@@ -159,7 +163,8 @@ def metadata(spark: SparkSession, path: str) -> dict:
 
 def new_part(folder: str, **more) -> dict:
     """Metadata of one folder of a component. ``hidden``: bands that a later part has anew;
-    ``limit``: [rows, columns] (or ends of an axis) from which on nothing is there."""
+    ``limit``: [rows, columns] (or ends of an axis) from which on nothing is there; ``block``:
+    the folder holds rows with values and columns, whose cells are all pairs."""
     return {"folder": folder, **more}
 
 
@@ -176,7 +181,7 @@ def save(matrix: AnnotatedMatrix, path: str, changed: dict[str, str] | None = No
         raise Conflict(f"the dataset is at version {version}, the matrix was opened at {old['version']}")
     now = timestamp(metadata(spark, path)["last_modified"] if version else None)
     same = lambda component, df: origin is not None and origin.parts.get(component) is df
-    patched = lambda name, df: origin is not None and name in matrix.patches and matrix.patches[name][0] is df
+    patched = lambda name, df: origin is not None and name in matrix.patches and matrix.patches[name].layer is df
     width = old["band"] if old else BAND
     meta = {"version": version + 1, "spec": SPEC_VERSION, "band": width, "shape": list(matrix.shape), "attrs": matrix.attrs, "last_modified": now, "layers": {}, "row_graphs": {}, "col_graphs": {}, "tables": {}}
     stamps = {}
@@ -217,16 +222,27 @@ def write_patch(matrix: AnnotatedMatrix, name: str, path: str, part: str, width:
     """Write the bands that hold assigned cells anew and hide them in the older parts. Gives
     the layer's metadata. The list of touched bands (a number a band) is collected."""
     entry = json.loads(json.dumps(matrix.origin.meta["layers"][name]))
-    new = matrix.patches[name][1]
-    touched = sorted(r.band for r in new.select(F.floor(F.col(COL) / width).cast("int").alias("band")).distinct().collect())
+    cells, blocks = matrix.patches[name].cells, matrix.patches[name].blocks
+    columns = [df.select(COL) for df in ([] if cells is None else [cells]) + [b.cols for b in blocks]]
+    bands = reduce(DataFrame.unionByName, columns).select(F.floor(F.col(COL) / width).cast("int").alias("band")).distinct()
+    touched = sorted(r.band for r in bands.collect())
     if not touched:
         return entry
-    stored = matrix.origin.banded[name].where(F.col("band").isin(touched)).select(ROW, COL, "value")
-    kept = stored.join(new.select(ROW, COL), [ROW, COL], "left_anti")
-    write_layer(kept.unionByName(new.withColumn("value", F.col("value").cast(entry["type"]))), f"{path}/{layer_part(name, part)}", width)
+    kept = matrix.origin.banded[name].where(F.col("band").isin(touched)).select(ROW, COL, "value")
+    if cells is not None:
+        kept = kept.join(cells.select(ROW, COL), [ROW, COL], "left_anti")
+    kept = reduce(lambda df, b: b.outside(df), blocks, kept)
+    if cells is not None:
+        kept = kept.unionByName(cells.withColumn("value", F.col("value").cast(entry["type"])))
+    write_layer(kept, f"{path}/{layer_part(name, part)}", width)
     for p in entry["parts"]:
         p["hidden"] = sorted({*p.get("hidden", []), *touched})
     entry["parts"].append(new_part(layer_part(name, part)))
+    for i, b in enumerate(blocks):
+        folder = f"{part}/blocks/{safe(name)}/{i}"
+        write_sound(b.rows, f"{path}/{folder}/rows")
+        b.cols.write.parquet(f"{path}/{folder}/cols")
+        entry["parts"].append(new_part(folder, block=True))
     return entry
 
 
@@ -249,17 +265,29 @@ def read_attributes(spark: SparkSession, path: str, entry: dict, ix: str) -> Dat
     return reduce(DataFrame.unionByName, tables)
 
 
-def read_banded(spark: SparkSession, path: str, name: str, entry: dict) -> DataFrame:
+def read_banded(spark: SparkSession, path: str, name: str, entry: dict, width: int) -> DataFrame:
     """A layer's entries with ``part`` and ``band``, without what later versions hide."""
     reader = spark.read.schema(f"{ROW} long, {COL} long, value {entry['type']}, part string, band int").option("basePath", f"{path}/layers/{safe(name)}")
-    out = reader.parquet(*[f"{path}/{p['folder']}" for p in entry["parts"]])
-    for p in entry["parts"]:
+    listed = [p for p in entry["parts"] if not p.get("block")]
+    out = reader.parquet(*[f"{path}/{p['folder']}" for p in listed])
+    for p in listed:
         other = F.col("part") != p["folder"].rpartition("part=")[2]
         if p.get("hidden"):
             out = out.where(other | ~F.col("band").isin(p["hidden"]))
         if p.get("limit"):
             out = out.where(other | ((F.col(ROW) < p["limit"][0]) & (F.col(COL) < p["limit"][1])))
-    return out
+    return reduce(DataFrame.unionByName, [read_block(spark, path, entry, p, width) for p in entry["parts"] if p.get("block")], out)
+
+
+def read_block(spark: SparkSession, path: str, entry: dict, part: dict, width: int) -> DataFrame:
+    """A block's cells as ``read_banded`` gives them; what is hidden is left out of its tables."""
+    rows = spark.read.schema(f"{ROW} long, value {entry['type']}").parquet(f"{path}/{part['folder']}/rows")
+    cols = spark.read.schema(f"{COL} long").parquet(f"{path}/{part['folder']}/cols").withColumn("band", F.floor(F.col(COL) / width).cast("int"))
+    if part.get("hidden"):
+        cols = cols.where(~F.col("band").isin(part["hidden"]))
+    if part.get("limit"):
+        rows, cols = rows.where(F.col(ROW) < part["limit"][0]), cols.where(F.col(COL) < part["limit"][1])
+    return Block(rows, cols).cells().select(ROW, COL, "value", F.lit(part["folder"]).alias("part"), "band")
 
 
 def read_graph(spark: SparkSession, path: str, parts: list[dict]) -> DataFrame:
@@ -274,7 +302,7 @@ def connect(spark: SparkSession, path: str, validate: bool = True, full: bool =
     """Open a dataset lazily. ``validate`` checks what the schemas show and reads no data;
     ``full`` checks all values, which reads and shuffles every layer."""
     meta = metadata(spark, path)
-    bands = {n: read_banded(spark, path, n, e) for n, e in meta["layers"].items()}
+    bands = {n: read_banded(spark, path, n, e, meta["band"]) for n, e in meta["layers"].items()}
     layers = {n: b.select(ROW, COL, "value") for n, b in bands.items()}
     tables = {key: read_attributes(spark, path, meta[key], ix) for key, ix in (("row_attrs", ROW), ("col_attrs", COL))}
     graphs = {key: {n: read_graph(spark, path, p) for n, p in meta[key].items()} for key in ("row_graphs", "col_graphs", "tables")}

@@ -348,6 +348,60 @@ def test_assigned_cells_write_their_bands(spark, tmp_path, monkeypatch):
     assert {(i, j): v for i, j, v in cells(storage.connect(spark, path))} == want
 
 
+def test_assigned_blocks_are_stored_as_two_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "BAND", 4)
+    path = str(tmp_path / "ds")
+    entries = spark.range(0, 200, 2).selectExpr("id % 5 AS row_ix", "id DIV 5 AS col_ix", "CAST(id AS DOUBLE) + 1 AS value")
+    whole = AnnotatedMatrix.create(entries, spark.range(5).withColumnRenamed("id", ROW), spark.range(40).withColumnRenamed("id", COL))
+    storage.save(whole, path)
+    want = {(i, j): v for i, j, v in cells(whole)}
+    rows = lambda new: spark.createDataFrame(list(new.items()), "row_ix long, value double")
+    cols = lambda *new: spark.createDataFrame([(j,) for j in new], "col_ix long")
+
+    def assigned(m, new, *to):
+        want.update({(i, j): v for i, v in new.items() for j in to})
+        return m.assign_block(rows(new), cols(*to, to[0]))
+
+    def holds(m):
+        got = cells(m)
+        assert len(got) == len(want) and {(i, j): v for i, j, v in got} == want
+
+    m = storage.connect(spark, path)
+    for new, to in (({1: -1.0, 2: -2.0}, (2, 9, 10)), ({2: -3.0, 3: -4.0}, (9, 10, 30)), ({1: -5.0, 2: -6.0}, (2, 9, 10))):
+        m = assigned(m, new, *to)
+        holds(m)
+    assert len(m.patches[MAIN].blocks) == 3  # the first is gone, of the second what two others left
+    # Plain cells below a block, then the block's own cells.
+    want[(4, 30)] = 8.0
+    storage.save(assigned(storage.connect(spark, path).assign(spark.createDataFrame([(2, 9, 7.0), (4, 30, 8.0)], "row_ix long, col_ix long, value double")), {1: -1.0, 2: -2.0}, 2, 9), path)
+    for (i, j), v in {(2, 10): None, (1, 10): None, (3, 9): None, (3, 10): None, (2, 30): None, (3, 30): None}.items():
+        old = 5 * j + i + 1.0 if (5 * j + i) % 2 == 0 else v
+        want.pop((i, j), None)
+        want.update({} if old is None else {(i, j): old})
+    m = storage.connect(spark, path, full=True)
+    holds(m)
+    stored = [p["folder"] for p in m.origin.meta["layers"][MAIN]["parts"] if p.get("block")]
+    assert len(stored) == 1 and spark.read.parquet(f"{path}/{stored[0]}/rows").count() == 2 and spark.read.parquet(f"{path}/{stored[0]}/cols").count() == 2
+    assert cells(m.view(slice(0, 2), slice(8, 12))) == [(i, j - 8, v) for (i, j), v in sorted(want.items()) if i < 2 and 8 <= j < 12]
+    assert storage.vacuum(spark, path, 0) > 0
+    holds(storage.connect(spark, path))
+    # Over a stored block: another block, a cell, an end of the shape, one part again.
+    storage.save(assigned(m, {0: 0.5, 2: 0.25}, 9, 39), path)
+    holds(storage.connect(spark, path, full=True))
+    want[(1, 2)] = 4.0
+    storage.save(storage.connect(spark, path).assign(spark.createDataFrame([(1, 2, 4.0)], "row_ix long, col_ix long, value double")), path)
+    holds(storage.connect(spark, path, full=True))
+    storage.resize(spark, path, 2, 39)
+    want = {(i, j): v for (i, j), v in want.items() if i < 2 and j < 39}
+    holds(storage.connect(spark, path, full=True))
+    storage.compact(spark, path)
+    holds(storage.connect(spark, path, full=True))
+    with pytest.raises(ValueError, match="NaN"):
+        storage.save(storage.connect(spark, path).assign_block(rows({0: float("nan")}), cols(1)), path)
+    plain = whole.assign_block(rows({0: 1.0}), cols(0, 1)).assign_block(rows({0: 2.0}), cols(1))
+    assert [c for c in cells(plain) if c[0] == 0][:2] == [(0, 0, 1.0), (0, 1, 2.0)]
+
+
 def test_resize_is_metadata(spark, tmp_path):
     path = str(tmp_path / "ds")
     storage.save(sample(spark).set_graph(1, "g", spark.createDataFrame([(0, 1, 0.5), (1, 4, 1.0)], "a long, b long, w double")), path)
