@@ -151,6 +151,13 @@ def test_runs_and_fragments(spark):
     assert {(r.kind, r.fragment) for r in frag} == {("A", seq[max(0, a[0] - 15) : a[0]]), ("T", seq[t[1] : t[1] + 15][::-1].translate(str.maketrans("ACGT", "TGCA"))), ("end", seq[-15:])} - {("T", "")}
 
 
+def test_merged_intervals_of_ties(spark):
+    rows = [(1, 5, 8), (1, 0, 4), (1, 5, 8), (1, 5, 8), (1, 9, 12), (1, 8, 8), (2, 3, 3), (2, 3, 3)] * 50
+    for parts in (1, 7):
+        got = sequences.merge_intervals(spark.createDataFrame(rows, "id long, start long, end long").repartition(parts)).collect()
+        assert sorted(map(tuple, got)) == [(1, 0, 4), (1, 5, 8), (1, 9, 12), (2, 3, 3)]
+
+
 def slow_bounds(s, c, n):
     hits = [i for i in range(len(s) - n + 1) if s[i : i + n].count(c) >= n - 1]
     return hits[0], hits[-1] + n
