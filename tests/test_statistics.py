@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quadrel.functions import dna, stats
 from quadrel.matrix import AnnotatedMatrix
 from quadrel.operators import cells, records, sequences
-from quadrel.plans import catalog
+from quadrel.plans import catalog, fixtures
 
 
 def good_turing(freqs):
@@ -177,3 +177,12 @@ def test_queries_cover_whole_tables(spark, sf_dir, tmp_path):
     assert sorted(run("b03_neighbours_all")) == near
     assert sorted(run("w07_merge_intervals_all")) == [(1, 10, 16), (1, 2999, 3010), (1, 5_000_000, 5_000_006)]
     assert catalog.QUERIES["c07_simulate"](spark, sf_dir).select("sim").distinct().count() == 1000
+
+
+def test_cells_of_lines_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    lines = fixtures.table(spark, sf_dir, "lineitem").count()
+    want = sorted(map(tuple, fixtures.trade(spark, sf_dir).layer().collect()))
+    monkeypatch.setattr(fixtures, "LINES", 100)
+    m = fixtures.trade(spark, sf_dir, ("", "lines"))
+    assert m.layer().rdd.getNumPartitions() == m.layer("lines").rdd.getNumPartitions() == -(-lines // 100)
+    assert sorted(map(tuple, m.layer().collect())) == want
