@@ -43,10 +43,11 @@ def aggregate(matrix: AnnotatedMatrix, group_by: str | DataFrame, how: str | lis
     keys = [ROW, "grp"]
     v, n, nnz = F.col("value"), F.col("n"), F.col("nnz")
     stats = entries.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.count("*").alias("nnz"), F.sum(v).alias("total"), F.avg(v).alias("avg"), F.var_pop(v).alias("v"), F.min(v).alias("low"), F.max(v).alias("high"), F.product(v).alias("product"), F.sum(v * v).alias("squares")
+        F.max("n").alias("n"), F.count("*").alias("nnz"), F.sum(v).alias("total"), F.var_pop(v).alias("v"), F.min(v).alias("low"), F.max(v).alias("high"), F.product(v).alias("product"), F.sum(v * v).alias("squares")
     )
     zeros = n > nnz
-    variance = (nnz * F.col("v") + F.col("avg") * F.col("avg") * nnz * (n - nnz) / n) / n
+    average = F.col("total") / nnz
+    variance = (nnz * F.col("v") + average * average * nnz * (n - nnz) / n) / n
     made: dict[str, Column] = {
         "sum": F.col("total"),
         "prod": F.when(zeros, F.lit(0.0)).otherwise(F.col("product")),
