@@ -2,8 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
-from quadrel.llm.fingerprint import PERIOD, WalkParams, _bits, _classes, _records, compare_with_next, fingerprints, independent, likeness, near_texts
+from quadrel.llm import fingerprint
+from quadrel.llm.fingerprint import PERIOD, WalkParams, _bits, _classes, _records, alike, compare_with_next, fingerprints, independent, likeness, near_texts
 from quadrel.llm.queries import edit_classes, op10_edit_fingerprint
 
 
@@ -191,3 +193,23 @@ def test_query_against_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in op10_edit_fingerprint(spark, sf_dir).collect()), key=repr)
     assert got == expected(docs)
+
+
+@pytest.mark.parametrize("slots", [128, 255, 256, 300])
+def test_alike_counts_every_slot(slots):
+    codes = np.random.default_rng(5).integers(0, 4, (40, 2, slots)).astype(np.uint8)
+    codes[7], codes[30, 1] = codes[3], codes[20, 1]
+    side = np.r_[np.zeros(20), np.ones(10), np.full(10, 2)].astype(int)
+    for need in (slots // 4, slots):
+        want = {(a, b) for a in range(40) for b in range(a + 1, 40) if (side[a] != side[b] or side[b] == 0) and max((codes[a] == codes[b]).sum(axis=1)) >= need}
+        assert set(zip(*map(list, alike(codes, side, need)), strict=True)) == want
+    assert (3, 7) in want and (20, 30) in want
+
+
+def test_fingerprints_are_kept_as_bytes(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(fingerprint, "checkpointed", lambda df: kept.append(df.schema) or df)
+    docs = spark.createDataFrame([(1, "one text"), (2, "one text"), (3, None), (None, "x")], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_texts(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, None: None}
+    assert [s["code"].dataType.simpleString() for s in kept] == ["binary", "binary"] and not any("fingerprint" in s.names for s in kept)
