@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrel.matrix import COL, MAIN, ROW, AnnotatedMatrix, Block, Origin, align_attributes, differing_globals, fill_value
+from quadrel.matrix import COL, MAIN, ROW, TILE, AnnotatedMatrix, Block, Origin, align_attributes, differing_globals, fill_value
 from quadrel.operators.validate import validate_schema, validate_spec
 
 SPEC_VERSION = "3.0.0"
@@ -281,8 +281,9 @@ def read_banded(spark: SparkSession, path: str, name: str, entry: dict, width: i
 
 def read_block(spark: SparkSession, path: str, entry: dict, part: dict, width: int) -> DataFrame:
     """A block's cells as ``read_banded`` gives them; what is hidden is left out of its tables."""
-    rows = spark.read.schema(f"{ROW} long, value {entry['type']}").parquet(f"{path}/{part['folder']}/rows")
-    cols = spark.read.schema(f"{COL} long").parquet(f"{path}/{part['folder']}/cols").withColumn("band", F.floor(F.col(COL) / width).cast("int"))
+    run = lambda ix, size: F.coalesce("run", F.floor(F.col(ix) / size).cast("long"))  # noqa: E731  none in blocks that were stored without
+    rows = spark.read.schema(f"{ROW} long, value {entry['type']}, run long").parquet(f"{path}/{part['folder']}/rows").withColumn("run", run(ROW, TILE[0]))
+    cols = spark.read.schema(f"{COL} long, run long").parquet(f"{path}/{part['folder']}/cols").withColumn("run", run(COL, TILE[1])).withColumn("band", F.floor(F.col(COL) / width).cast("int"))
     if part.get("hidden"):
         cols = cols.where(~F.col("band").isin(part["hidden"]))
     if part.get("limit"):

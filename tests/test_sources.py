@@ -402,6 +402,27 @@ def test_assigned_blocks_are_stored_as_two_tables(spark, tmp_path, monkeypatch):
     assert [c for c in cells(plain) if c[0] == 0][:2] == [(0, 0, 1.0), (0, 1, 2.0)]
 
 
+def test_cells_of_a_block_come_by_tiles(spark, tmp_path):
+    path, n = str(tmp_path / "ds"), 40_000
+    rows, cols = spark.range(300).withColumnRenamed("id", ROW), spark.range(n).withColumnRenamed("id", COL)
+    storage.save(AnnotatedMatrix.create(spark.createDataFrame([(2, 7, 9.0)], "row_ix long, col_ix long, value double"), rows, cols), path)
+    new = rows.where(F.col(ROW) % 5 == 1).select(ROW, (F.col(ROW) + 0.5).alias("value"))
+    storage.save(storage.connect(spark, path).assign_block(new, cols.where(F.col(COL) % 2 == 1)), path)
+    layer = storage.connect(spark, path).layer()
+    layer.write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.agg(F.count("*"), F.count_distinct(ROW, COL), F.sum("value"), F.min(F.col(COL) % 2)).first() == (30 * n + 1, 30 * n + 1, n // 2 * sum(i + 0.5 for i in range(1, 300, 5)) + 9, 1)
+    assert sum(x.stat().st_size for x in (tmp_path / "out").glob("*.parquet")) < 30 * n  # a byte a cell; row by row four
+    # A filter reaches the two tables; a block that was stored without runs is read.
+    assert re.search(r"GreaterThanOrEqual\(row_ix,100\)", plan(layer.where("row_ix >= 100"))) and re.search(r"EqualTo\(col_ix,5\)", plan(layer.where("col_ix = 5")))
+    assert layer.where("row_ix >= 100 AND col_ix = 5").count() == 40
+    folder = next(p["folder"] for p in storage.metadata(spark, path)["layers"][MAIN]["parts"] if p.get("block"))
+    for k in ("rows", "cols"):
+        spark.read.parquet(f"{path}/{folder}/{k}").drop("run").write.parquet(str(tmp_path / "old" / k))
+    old = storage.read_block(spark, str(tmp_path), {"type": "double"}, {"folder": "old", "block": True}, storage.BAND)
+    assert old.select(ROW, COL, "value").exceptAll(got).isEmpty() and old.count() == 30 * n
+
+
 def test_resize_is_metadata(spark, tmp_path):
     path = str(tmp_path / "ds")
     storage.save(sample(spark).set_graph(1, "g", spark.createDataFrame([(0, 1, 0.5), (1, 4, 1.0)], "a long, b long, w double")), path)
